@@ -20,7 +20,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 # Texts are counted in blocks so one position lookup reads one block, not the
 # whole prefix of the text.
-BLOCK = 512
+BLOCK = 128
 
 
 def strip(col: Column) -> Column:

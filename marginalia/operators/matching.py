@@ -40,6 +40,10 @@ CELL = 16
 FOLD_LIMIT = 4_000_000
 
 UNIT = ["criterion", "system_id", "doc_id"]
+# (output name, span column) of the fields carried for each side
+SIDE_FIELDS = (
+    ("idx", "idx"), ("id", "comp_id"), ("type", "ctype"), ("lo", "lo"), ("hi", "hi"),
+)
 PAIR = [*UNIT, "g_idx", "p_idx", "g_id", "p_id", "g_type", "p_type", "ratio"]
 
 
@@ -109,23 +113,36 @@ def _per_criterion(
 
 
 def _same_key(spans: DataFrame) -> DataFrame:
-    """Step 1: k-th gold with k-th prediction of each key; unmatched sides stay null."""
-    key = [*UNIT, "exact", "tkey", "k1", "k2"]
-    nth = F.row_number().over(W.partitionBy(*key, "side").orderBy("idx"))
-    ranked = spans.withColumn("nth", nth)
-
-    def side(name: str) -> DataFrame:
-        return ranked.filter(F.col("side") == name).select(
-            *key,
-            "nth",
-            F.col("idx").alias(f"{name}_idx"),
-            F.col("comp_id").alias(f"{name}_id"),
-            F.col("ctype").alias(f"{name}_type"),
-            F.col("lo").alias(f"{name}_lo"),
-            F.col("hi").alias(f"{name}_hi"),
-        )
+    """Step 1: k-th gold with k-th prediction of each key; unmatched sides stay null.
 
-    return side("g").join(side("p"), [*key, "nth"], "full_outer")
+    One exchange on the key serves both windows: the first numbers each side, the
+    second puts equal numbers next to each other, gold first.
+    """
+    key = [*UNIT, "exact", "tkey", "k1", "k2"]
+    numbered = spans.repartition(*key).withColumn(
+        "nth", F.row_number().over(W.partitionBy(*key, "side").orderBy("idx"))
+    )
+    order = W.partitionBy(*key).orderBy("nth", "side")
+    span = F.struct("nth", "side", "idx", "comp_id", "ctype", "lo", "hi")
+    mine, after = F.col("me"), F.col("after")
+    placed = (
+        numbered.withColumn("me", span)
+        .withColumn("after", F.lead("me").over(order))
+        .withColumn("prior_nth", F.lag("nth").over(order))
+    )
+    is_gold = F.col("side") == "g"
+    met = F.coalesce(after["nth"] == F.col("nth"), F.lit(False))
+    other = F.when(is_gold & met, after)
+    out = [F.col(c) for c in (*UNIT, "exact", "tkey")]
+    for name, at in (
+        ("g", F.when(is_gold, mine)),
+        ("p", F.when(is_gold, other).otherwise(mine)),
+    ):
+        for new, old in SIDE_FIELDS:
+            out.append(at[old].alias(f"{name}_{new}"))
+    # a prediction right behind its gold partner is already on that row
+    spoken_for = ~is_gold & F.coalesce(F.col("prior_nth") == F.col("nth"), F.lit(False))
+    return placed.filter(~spoken_for).select(out)
 
 
 def _cells(df: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -294,6 +311,7 @@ def match(
     if all(c.span == "exact" for c in criteria):
         return _paired(_same_key(_per_criterion(ranges, systems, criteria)))
 
+    crowded = _crowded(gold, pred, fold_limit)
     parts: list[DataFrame] = []
     leftover_of: list[tuple[Criterion, DataFrame]] = []
     if plain:
@@ -312,7 +330,7 @@ def match(
             same = [c for c in group if c.threshold == threshold]
             labels = [c.label for c in same]
             parts.extend(
-                _leftovers(rest.filter(F.col("criterion").isin(labels)), same[0], fold_limit)
+                _leftovers(rest.filter(F.col("criterion").isin(labels)), same[0], fold_limit, crowded)
             )
     return reduce(DataFrame.unionByName, parts)
 
@@ -327,34 +345,49 @@ def _one_sided(spans: DataFrame) -> DataFrame:
     out = [F.col(c) for c in (*UNIT, "exact", "tkey")]
     for name in ("g", "p"):
         mine = F.col("side") == name
-        for new, old in (("idx", "idx"), ("id", "comp_id"), ("type", "ctype"), ("lo", "lo"), ("hi", "hi")):
+        for new, old in SIDE_FIELDS:
             out.append(F.when(mine, F.col(old)).alias(f"{name}_{new}"))
     return spans.select(out)
 
 
-def _leftovers(rest: DataFrame, criterion: Criterion, fold_limit: int) -> list[DataFrame]:
-    sizes = rest.groupBy(*UNIT).agg(
-        (F.count("g_idx").cast("double") * F.count("p_idx")).alias("size")
-    )
-    heavy = cut(sizes.filter(F.col("size") > fold_limit).select(UNIT))
-    any_heavy = not heavy.isEmpty()
+def _leftovers(
+    rest: DataFrame, criterion: Criterion, fold_limit: int, crowded: bool
+) -> list[DataFrame]:
+    """Steps 2 and 3 on the spans step 1 left over."""
+    if crowded:
+        sizes = rest.groupBy(*UNIT).agg(
+            (F.count("g_idx").cast("double") * F.count("p_idx")).alias("size")
+        )
+        heavy = cut(sizes.filter(F.col("size") > fold_limit).select(UNIT))
+        crowded = not heavy.isEmpty()
 
     def side(name: str, part: DataFrame) -> DataFrame:
         keep = [c for c in part.columns if c.startswith(f"{name}_")]
         some = F.col(f"{name}_hi") > F.col(f"{name}_lo")
         return part.filter(F.col(f"{name}_idx").isNotNull() & some).select(*UNIT, "tkey", *keep)
 
-    light = rest.join(heavy, UNIT, "left_anti") if any_heavy else rest
+    light = rest.join(heavy, UNIT, "left_anti") if crowded else rest
     near = _near(side("g", light), side("p", light), [*UNIT, "tkey"], criterion)
     parts = [_fold(near)]
     if criterion.overlap_mode == "gold_recall":
         parts.append(_bare_pairs(rest))
-    if any_heavy:
+    if crowded:
         part = rest.join(heavy, UNIT, "left_semi")
         parts.append(_rounds(side("g", part), side("p", part), criterion))
     return parts
 
 
+def _crowded(gold: DataFrame, pred: DataFrame, fold_limit: int) -> bool:
+    """Whether any document could hold more leftovers than one fold takes.
+
+    Counts spans only, so the usual answer (no) costs two small aggregates.
+    """
+    golds = gold.groupBy("doc_id").agg(F.count(F.lit(1)).alias("g"))
+    preds = pred.groupBy("doc_id", "system_id").agg(F.count(F.lit(1)).alias("p"))
+    over = F.col("g").cast("double") * F.col("p") > fold_limit
+    return not golds.join(preds, "doc_id").filter(over).isEmpty()
+
+
 def _bare_pairs(rest: DataFrame) -> DataFrame:
     """Ranges without tokens pair k-th with k-th (ratio 1)."""
     key = [*UNIT, "tkey"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.stats import prf_columns
 from marginalia.operators.matching import UNIT, match
 from marginalia.schemas import STANDARD_CRITERIA, Criterion
+from marginalia.session import cut
 
 SCORE = ["system_id", "criterion", "doc_id", "kind", "label", "tp", "fp", "fn"]
 
@@ -51,7 +52,6 @@ def edge_matches(
     pairs: DataFrame,
     gold_rel: DataFrame,
     pred_rel: DataFrame,
-    systems: Sequence,
     criteria: Sequence[Criterion] = STANDARD_CRITERIA,
 ) -> DataFrame:
     """Matched edges per key: (criterion, system_id, doc_id, src, tgt, rkey, hits).
@@ -59,28 +59,30 @@ def edge_matches(
     Predicted endpoints are renamed to the gold components they were paired with.
     A repeated edge counts as often as both sides hold it.
     """
-    sys_type = pred_rel.schema["system_id"].dataType
     key = [*UNIT, "src", "tgt", "rkey"]
-    rkey = F.when(F.col("typed"), F.col("rtype")).otherwise("*")
+    typed = [c.label for c in criteria if c.typed]
     names = pairs.groupBy(*UNIT, "p_id").agg(F.max_by("g_id", "g_idx").alias("g_id"))
-    named = _spread(pred_rel, None, criteria, sys_type).select(
-        *UNIT, F.col("src").alias("p_src"), F.col("tgt").alias("p_tgt"), rkey.alias("rkey")
-    )
-    ends = named
-    for end in ("src", "tgt"):
-        ends = ends.join(
-            names.withColumnsRenamed({"p_id": f"p_{end}", "g_id": end}), [*UNIT, f"p_{end}"]
+
+    def named(end: str) -> DataFrame:
+        return names.withColumnsRenamed({"p_id": f"p_{end}", "g_id": end})
+
+    # the criterion comes in with the first endpoint that was paired under it
+    ends = (
+        pred_rel.select(
+            "system_id", "doc_id", F.col("src").alias("p_src"), F.col("tgt").alias("p_tgt"), "rtype"
         )
+        .join(named("src"), ["system_id", "doc_id", "p_src"])
+        .join(named("tgt"), [*UNIT, "p_tgt"])
+        .withColumn("rkey", F.when(F.col("criterion").isin(typed), F.col("rtype")).otherwise("*"))
+    )
     found = ends.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pred"))
     wanted = (
-        gold_rel.groupBy("doc_id", "src", "tgt", "rtype")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .transform(lambda d: _spread(d, systems, criteria, sys_type))
-        .withColumn("rkey", rkey)
-        .groupBy(*key)
-        .agg(F.sum("n").alias("n_gold"))
+        gold_rel.withColumn("rkey", F.explode(F.array(F.col("rtype"), F.lit("*"))))
+        .groupBy("doc_id", "src", "tgt", "rkey")
+        .agg(F.count(F.lit(1)).alias("n_gold"))
     )
-    return found.join(wanted, key).select(*key, F.least("n_pred", "n_gold").alias("hits"))
+    hits = F.least("n_pred", "n_gold").alias("hits")
+    return found.join(wanted, ["doc_id", "src", "tgt", "rkey"]).select(*key, hits)
 
 
 def document_scores(
@@ -102,12 +104,11 @@ def document_scores(
     sys_type = pred.schema["system_id"].dataType
     ids = docs.select("doc_id")
     if pairs is None:
-        pairs = match(docs, gold, pred, systems, criteria)
+        pairs = cut(match(docs, gold, pred, systems, criteria))
     one, none = F.lit(1), F.lit(0)
 
     def tally(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-        known = df.join(ids, "doc_id", "left_semi")
-        return known.groupBy(*keys, F.col(label).alias("what")).agg(F.count(one).alias("n"))
+        return df.groupBy(*keys, F.col(label).alias("what")).agg(F.count(one).alias("n"))
 
     n = F.col("n")
     any_label = F.explode(F.array(F.lit("*"), _type_label("what")))
@@ -119,7 +120,7 @@ def document_scores(
     )
     gr = _spread(tally(gold_rel, ["doc_id"], "rtype"), systems, criteria, sys_type)
     pr = _spread(tally(pred_rel, ["system_id", "doc_id"], "rtype"), None, criteria, sys_type)
-    edges = edge_matches(pairs, gold_rel, pred_rel, systems, criteria)
+    edges = edge_matches(pairs, gold_rel, pred_rel, criteria)
     edge_label = F.explode(
         F.when(F.col("rkey") == "*", F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.col("rkey")))
     )
@@ -144,6 +145,8 @@ def document_scores(
         table.groupBy("system_id", "criterion", "doc_id", "kind", "label")
         .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
         .filter((F.col("label") == "*") | (F.col("tp") + F.col("fp") + F.col("fn") > 0))
+        .join(ids, "doc_id", "left_semi")
+        .select(SCORE)
     )
 
 

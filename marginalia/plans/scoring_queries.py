@@ -12,6 +12,7 @@ from marginalia.operators import matching as m
 from marginalia.operators import scoring as s
 from marginalia.plans.registry import query
 from marginalia.schemas import STANDARD_CRITERIA, Criterion
+from marginalia.session import cut
 
 OVERLAP_TYPED = Criterion("overlap", True)
 EXACT = [c for c in STANDARD_CRITERIA if c.span == "exact"]
@@ -218,8 +219,8 @@ WHERE least(ng, np) > 0""",
     ("fx_edges",),
 )
 def c6_edge_match(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = m.match(*spans(spark, sf), fx.SYSTEMS)
-    return s.edge_matches(pairs, fx.gold_rel(spark, sf), fx.pred_rel(spark, sf), fx.SYSTEMS)
+    pairs = cut(m.match(*spans(spark, sf), fx.SYSTEMS))
+    return s.edge_matches(pairs, fx.gold_rel(spark, sf), fx.pred_rel(spark, sf))
 
 
 @query(
