@@ -276,5 +276,7 @@ def with_ctes(ctes: dict, names: tuple[str, ...], body: str) -> str:
 
     for name in names:
         visit(name)
+    if not ordered:
+        return body
     parts = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n][1]})" for n in ordered)
     return f"WITH RECURSIVE {parts}\n{body}"

@@ -206,7 +206,8 @@ def cache_stats(requests: DataFrame, key: str = "key") -> DataFrame:
 
 def request_rollup(log: DataFrame, level: str = "concurrency") -> DataFrame:
     """Requests, failures, rate and latency per concurrency level."""
-    seconds = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.max(at) - F.min(at)
     base = log.groupBy(level).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if("failed").alias("failures"),
