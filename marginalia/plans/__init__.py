@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring_queries", "statistics_queries", "cost_queries")
+MODULES = ("scoring_queries", "statistics_queries", "cost_queries", "answer_queries")
 
 
 def _load():
