@@ -240,11 +240,11 @@ def first_difference(a: Column, b: Column) -> Column:
         size = F.least(F.lit(BLOCK).cast("bigint"), n - i * BLOCK)
         return F.substring(c, (i * BLOCK + 1).cast("int"), size.cast("int"))
 
-    hit = F.filter(blocks, lambda i: block(a, i) != block(b, i))[0]
+    hit = F.get(F.filter(blocks, lambda i: block(a, i) != block(b, i)), F.lit(0))
     chars = F.sequence(hit * BLOCK, F.least(n, (hit + 1) * BLOCK) - 1)
 
     def at(c: Column, i: Column) -> Column:
         return F.substring(c, (i + 1).cast("int"), F.lit(1))
 
-    inside = F.filter(chars, lambda i: at(a, i) != at(b, i))[0]
+    inside = F.get(F.filter(chars, lambda i: at(a, i) != at(b, i)), F.lit(0))
     return F.when(hit.isNull(), n).otherwise(inside)

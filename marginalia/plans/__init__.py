@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring_queries", "statistics_queries", "cost_queries", "answer_queries")
+MODULES = (
+    "scoring_queries",
+    "statistics_queries",
+    "cost_queries",
+    "answer_queries",
+    "shaping_queries",
+    "ingest_queries",
+)
 
 
 def _load():
