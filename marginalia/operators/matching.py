@@ -71,15 +71,19 @@ def token_ranges(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame
 def _per_criterion(
     ranges: DataFrame, systems: Sequence, criteria: Sequence[Criterion]
 ) -> DataFrame:
-    """One row per span, criterion and system, with the key of step 1."""
+    """One row per span, criterion and system, with the key of step 1.
+
+    Until the pairs are done a criterion is its position in the list: short keys
+    hash and sort faster than labels.
+    """
     options = F.array(
         *[
             F.struct(
-                F.lit(c.label).alias("criterion"),
+                F.lit(code).alias("criterion"),
                 F.lit(c.typed).alias("typed"),
                 F.lit(c.span == "exact").alias("exact"),
             )
-            for c in criteria
+            for code, c in enumerate(criteria)
         ]
     )
     sys_type = ranges.schema["system_id"].dataType
@@ -305,33 +309,35 @@ def match(
     """Greedy one-to-one pairs under every criterion."""
     if any(c.threshold <= 0 for c in criteria):
         raise ValueError("a threshold must be above zero")
-    plain = [c for c in criteria if c.span == "exact" or c.overlap_mode == "jaccard"]
-    recall = [c for c in criteria if c not in plain]
+    def labelled(pairs: DataFrame, group: Sequence[Criterion]) -> DataFrame:
+        names = F.array(*[F.lit(c.label) for c in group])
+        return pairs.withColumn("criterion", F.element_at(names, F.col("criterion") + 1))
+
     ranges = token_ranges(docs, gold, pred)
     if all(c.span == "exact" for c in criteria):
-        return _paired(_same_key(_per_criterion(ranges, systems, criteria)))
+        return labelled(_paired(_same_key(_per_criterion(ranges, systems, criteria))), criteria)
 
     crowded = _crowded(gold, pred, fold_limit)
+    plain = [c for c in criteria if c.span == "exact" or c.overlap_mode == "jaccard"]
+    recall = [c for c in criteria if c not in plain]
     parts: list[DataFrame] = []
-    leftover_of: list[tuple[Criterion, DataFrame]] = []
-    if plain:
-        first = cut(_same_key(_per_criterion(ranges, systems, plain)))
-        parts.append(_paired(first))
-        rest = first.filter(~F.col("exact") & (F.col("g_idx").isNull() | F.col("p_idx").isNull()))
-        leftover_of.append((plain[-1], rest))
-    if recall:
-        # a gold span inside a longer prediction also has ratio 1: step 1 does not apply
-        spans = _per_criterion(ranges, systems, recall)
-        leftover_of.append((recall[-1], cut(_one_sided(spans))))
-
-    for kind, rest in leftover_of:
-        group = [c for c in (plain if kind in plain else recall) if c.span == "overlap"]
-        for threshold in sorted({c.threshold for c in group}):
-            same = [c for c in group if c.threshold == threshold]
-            labels = [c.label for c in same]
-            parts.extend(
-                _leftovers(rest.filter(F.col("criterion").isin(labels)), same[0], fold_limit, crowded)
-            )
+    for group in filter(None, (plain, recall)):
+        spans = _per_criterion(ranges, systems, group)
+        if group is plain:
+            first = cut(_same_key(spans))
+            alone = F.col("g_idx").isNull() | F.col("p_idx").isNull()
+            rest = first.filter(~F.col("exact") & alone)
+            found = [_paired(first)]
+        else:
+            # a gold span inside a longer prediction also has ratio 1: step 1 does not apply
+            rest, found = cut(_one_sided(spans)), []
+        overlaps = [c for c in group if c.span == "overlap"]
+        for threshold in sorted({c.threshold for c in overlaps}):
+            same = [c for c in overlaps if c.threshold == threshold]
+            codes = [group.index(c) for c in same]
+            part = rest.filter(F.col("criterion").isin(codes))
+            found += _leftovers(part, same[0], fold_limit, crowded)
+        parts += [labelled(p, group) for p in found]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -378,14 +384,20 @@ def _leftovers(
 
 
 def _crowded(gold: DataFrame, pred: DataFrame, fold_limit: int) -> bool:
-    """Whether any document could hold more leftovers than one fold takes.
+    """Whether some document could hold more leftovers than one fold takes.
 
-    Counts spans only, so the usual answer (no) costs two small aggregates.
+    Counts spans only: the most gold spans of any document times the most
+    predictions any document got. Usually small; then no finer look is needed.
     """
-    golds = gold.groupBy("doc_id").agg(F.count(F.lit(1)).alias("g"))
-    preds = pred.groupBy("doc_id", "system_id").agg(F.count(F.lit(1)).alias("p"))
-    over = F.col("g").cast("double") * F.col("p") > fold_limit
-    return not golds.join(preds, "doc_id").filter(over).isEmpty()
+    system = pred.schema["system_id"].dataType
+    ids = gold.select(F.lit("g").alias("side"), F.lit(None).cast(system).alias("system_id"), "doc_id")
+    ids = ids.unionByName(pred.select(F.lit("p").alias("side"), "system_id", "doc_id"))
+    most = ids.groupBy("side", "system_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def top(side: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).cast("double")
+
+    return most.agg((top("g") * top("p")).alias("n")).first()[0] > fold_limit
 
 
 def _bare_pairs(rest: DataFrame) -> DataFrame:

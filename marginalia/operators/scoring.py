@@ -107,19 +107,21 @@ def document_scores(
         pairs = cut(match(docs, gold, pred, systems, criteria))
     one, none = F.lit(1), F.lit(0)
 
-    def tally(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-        return df.groupBy(*keys, F.col(label).alias("what")).agg(F.count(one).alias("n"))
-
-    n = F.col("n")
-    any_label = F.explode(F.array(F.lit("*"), _type_label("what")))
-    g = _spread(tally(gold, ["doc_id"], "ctype"), systems, criteria, sys_type)
-    p = _spread(tally(pred, ["system_id", "doc_id"], "ctype"), None, criteria, sys_type)
-    pair_counts = pairs.groupBy(*UNIT, "g_type", "p_type").agg(F.count(one).alias("n"))
+    # items go in unsummed: a document's items lie together, so the partial sums
+    # of the one aggregate below take them up before anything is exchanged
+    any_label = F.explode(F.array(F.lit("*"), F.col("what")))
     rel_label = F.explode(
         F.when(F.col("typed"), F.array(F.lit("*"), F.col("what"))).otherwise(F.array(F.lit("*")))
     )
-    gr = _spread(tally(gold_rel, ["doc_id"], "rtype"), systems, criteria, sys_type)
-    pr = _spread(tally(pred_rel, ["system_id", "doc_id"], "rtype"), None, criteria, sys_type)
+
+    def items(df: DataFrame, label: Column, every: Sequence | None) -> DataFrame:
+        keys = ["doc_id"] if every is not None else ["system_id", "doc_id"]
+        return _spread(df.select(*keys, label.alias("what")), every, criteria, sys_type)
+
+    g = items(gold, _type_label("ctype"), systems)
+    p = items(pred, _type_label("ctype"), None)
+    gr = items(gold_rel, F.col("rtype"), systems)
+    pr = items(pred_rel, F.col("rtype"), None)
     edges = edge_matches(pairs, gold_rel, pred_rel, criteria)
     edge_label = F.explode(
         F.when(F.col("rkey") == "*", F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.col("rkey")))
@@ -129,13 +131,13 @@ def document_scores(
     parts = [
         _part(base, "components", F.lit("*"), none, none, none),
         _part(base, "relations", F.lit("*"), none, none, none),
-        _part(g.withColumn("l", any_label), "components", F.col("l"), none, none, n),
-        _part(p.withColumn("l", any_label), "components", F.col("l"), none, n, none),
-        _part(pair_counts, "components", F.lit("*"), n, -n, -n),
-        _part(pair_counts, "components", _type_label("g_type"), n, none, -n),
-        _part(pair_counts, "components", _type_label("p_type"), none, -n, none),
-        _part(gr.withColumn("l", rel_label), "relations", F.col("l"), none, none, n),
-        _part(pr.withColumn("l", rel_label), "relations", F.col("l"), none, n, none),
+        _part(g.withColumn("l", any_label), "components", F.col("l"), none, none, one),
+        _part(p.withColumn("l", any_label), "components", F.col("l"), none, one, none),
+        _part(pairs, "components", F.lit("*"), one, -one, -one),
+        _part(pairs, "components", _type_label("g_type"), one, none, -one),
+        _part(pairs, "components", _type_label("p_type"), none, -one, none),
+        _part(gr.withColumn("l", rel_label), "relations", F.col("l"), none, none, one),
+        _part(pr.withColumn("l", rel_label), "relations", F.col("l"), none, one, none),
         _part(edges.withColumn("l", edge_label), "relations", F.col("l"), hits, -hits, -hits),
     ]
     table = parts[0]

@@ -55,7 +55,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from there.
+
+    A written table rather than an RDD checkpoint: later stages read only the
+    columns and row groups they need, and a lost executor costs a re-read.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
