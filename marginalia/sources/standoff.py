@@ -109,7 +109,9 @@ def parse_annotations(docs: DataFrame, strict: bool = True) -> tuple[DataFrame,
     lines = annotation_lines(docs)
     if strict:
         stop = F.raise_error(F.concat("doc_id", F.lit(": "), "error", F.lit(": "), "line"))
-        lines = lines.withColumn("line", F.when(F.col("error").isNotNull(), stop.cast("string")).otherwise(F.col("line")))
+        # on the kind, which every selection below has to read
+        kind = F.when(F.col("error").isNotNull(), stop.cast("string")).otherwise(F.col("line_kind"))
+        lines = lines.withColumn("line_kind", kind)
     good = lines.filter(F.col("error").isNull()) if not strict else lines
     line = F.col("line")
 
