@@ -53,10 +53,13 @@ def rank_checkpoints(reports: DataFrame, model: str) -> DataFrame:
 
 
 def score_by_epoch(ranked: DataFrame) -> DataFrame:
-    x = F.col("selection_score")
+    x, n = F.col("selection_score"), F.count(F.lit(1))
+    # scores have six places: their mean is taken in whole millionths, so that a
+    # tie is a tie whatever order the scores are added in
+    millionths = F.sum(F.bround(x * 1_000_000, 0).cast("bigint"))
     return ranked.groupBy("epoch").agg(
-        F.count(F.lit(1)).alias("seeds"),
-        F.bround(F.avg(x), 6).alias("mean"),
+        n.alias("seeds"),
+        (F.bround(millionths / n, 0) / 1_000_000).alias("mean"),
         F.bround(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"),
     )
 

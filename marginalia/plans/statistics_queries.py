@@ -441,7 +441,8 @@ def f1_checkpoint_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d16_score_by_epoch",
-    """SELECT epoch, count(*) AS seeds, round_even(avg(selection_score), 6) AS mean,
+    """SELECT epoch, count(*) AS seeds,
+  round_even(sum(round(selection_score * 1000000)::BIGINT)::DOUBLE / count(*), 0) / 1000000::DOUBLE AS mean,
   CASE WHEN count(*) > 1 THEN round_even(stddev_samp(selection_score), 6) ELSE 0.0::DOUBLE END AS std
 FROM fx_ranked GROUP BY epoch""",
     ("fx_ranked",),

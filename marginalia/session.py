@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows that carry a whole text to Python travel in small batches
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
