@@ -30,16 +30,6 @@ def b6_parse_or_null(spark: SparkSession, sf: str) -> DataFrame:
     return fx.gen(spark, sf).select("event_id", parsed)
 
 
-CTE["fx_wrapped"] = (
-    (),
-    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN props
-  WHEN 1 THEN concat('Here it is:', chr(10), '```json', chr(10), props, chr(10), '```')
-  WHEN 2 THEN concat('The answer is ', props, ' as asked.')
-  WHEN 3 THEN concat('{"claims": [', props, ', {"cut')
-  WHEN 4 THEN concat('{"a": [{"b": [', props, ', {"cut') ELSE 'nothing here' END AS answer FROM events""",
-)
-
-
 @query(
     "b7_salvage_answer",
     """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'whole' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces'
