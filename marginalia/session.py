@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,20 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, whatever folder the driver was started from.
+
+    Once per Spark context; Spark serves the archive from the driver.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_marginalia_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="marginalia-code-")) / "marginalia.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._marginalia_shipped = True
