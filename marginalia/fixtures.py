@@ -13,10 +13,8 @@ SYSTEMS = (0, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one file too small to split is spread over the cores first."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _big(value: int) -> Column:
@@ -106,7 +104,7 @@ def pred_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k, s, c = (F.col(n) for n in ("doc_id", "idx", "system_id", "c"))
 
     def renamed(end: str) -> Column:
-        return F.concat(F.lit("P"), F.substring(F.col(end), 2, 1000))
+        return F.concat(F.lit("P"), F.substring(F.col(end), F.lit(2), F.length(end)))
 
     return (
         gold_rel(spark, sf_dir)
@@ -155,14 +153,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(corpus, split, doc_id): every ledger document below 120 belongs to one scope."""
+    """(corpus, split, doc_id): three quarters of all documents belong to one scope each."""
     d = F.col("doc_id")
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id")
-        .filter(d < 120)
+        .filter(d % 4 != 3)
         .select(
-            F.when(d < 60, "essays").otherwise("short").alias("corpus"),
+            F.when(d % 4 < 2, "essays").otherwise("short").alias("corpus"),
             F.when(d % 5 == 0, "test").when(d % 5 == 1, "val").otherwise("train").alias("split"),
             "doc_id",
         )
@@ -247,9 +245,9 @@ FROM events""",
     ),
     "fx_scopes": (
         (),
-        """SELECT CASE WHEN doc_id < 60 THEN 'essays' ELSE 'short' END AS corpus,
+        """SELECT CASE WHEN doc_id % 4 < 2 THEN 'essays' ELSE 'short' END AS corpus,
   CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, doc_id
-FROM documents WHERE doc_id < 120""",
+FROM documents WHERE doc_id % 4 <> 3""",
     ),
     "fx_gen": (
         (),

@@ -8,9 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# control characters whose escape holds a hex digit above 9
+_LETTERED = [c for c in range(32) if c % 16 > 9 and c not in (10, 12, 13)]
+
+
 def json_string(text: Column) -> Column:
-    """A text as a JSON string with non-ASCII characters kept."""
-    return F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+    """A text as a JSON string: non-ASCII characters kept, escapes with small hex digits."""
+    quoted = F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+    # rare texts: pieces between the characters in question are quoted one by one
+    plain = lambda t: F.substring(F.to_json(F.array(t)), F.lit(3), F.length(F.to_json(F.array(t))) - 4)
+    inside = "[" + "".join(f"\\x{c:02x}" for c in _LETTERED) + "]"
+    marks = F.transform(
+        F.regexp_extract_all(text, F.lit(inside), F.lit(0)),
+        lambda c: F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0"))),
+    )
+    pieces = F.transform(F.split(text, inside, -1), plain)
+    joined = F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    return F.when(text.rlike(inside), F.concat(F.lit('"'), joined, F.lit('"'))).otherwise(quoted)
 
 
 def cache_key(model: str, prompt_version: str, text: Column, params: dict | None = None) -> Column:

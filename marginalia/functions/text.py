@@ -54,61 +54,80 @@ def _joined(pair: Column) -> Column:
     return pair.rlike(r"^[\p{L}\p{N}_]{2}$").cast("bigint")
 
 
-def with_blocks(df: DataFrame, text: str = "text", name: str = "pieces") -> DataFrame:
-    """Replace a text column by its pieces of :data:`BLOCK` characters.
+def earlier_totals(numbers: Column, group: int = 128) -> Column:
+    """For each number the sum of those before it.
 
-    Each piece knows whether its first word runs on from the piece before
-    (``cont``) and how many words start in it.
+    Groups of numbers are summed first, so a long array costs little more than one pass.
     """
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    big = F.lit(0).cast("bigint")
 
-    def described(body: Column, i: Column) -> Column:
-        before = F.get(F.col(name), i - 1)
-        cont = F.when(
-            i > 0, _joined(F.concat(F.substring(before, -1, 1), F.substring(body, 1, 1)))
-        ).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(body.alias("body"), cont.alias("cont"), (_runs(body) - cont).alias("starts"))
-
-    # two steps, so that the text is cut once and not once per piece
-    return df.withColumn(name, parts).drop(text).withColumn(name, F.transform(name, described))
-
-
-def _block_at(pieces: Column, pos: Column) -> tuple[Column, Column]:
-    index = F.floor(pos / BLOCK).cast("int")
-    return F.get(pieces, index), (pos - index * BLOCK).cast("int")
-
-
-def straddles(pieces: Column, pos: Column) -> Column:
-    """1 where a word covers both the character before ``pos`` and the one at it."""
-    block, offset = _block_at(pieces, pos)
-    inside = F.when(offset == 0, block["cont"]).otherwise(
-        _joined(F.substring(block["body"], offset, F.lit(2)))
-    )
-    return F.coalesce(inside, F.lit(0).cast("bigint"))
+    def walk(parts: Column) -> Column:
+        return F.aggregate(
+            parts, F.array(big), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        )
 
+    def spread(groups: Column, heads: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                groups,
+                lambda g, i: F.transform(F.slice(walk(g), F.lit(1), F.size(g)), lambda x: x + F.get(heads, i)),
+            )
+        )
+
+    last = F.floor((F.size(numbers) - 1) / group).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(numbers, i * group + 1, F.lit(group)))
+    sums = lambda gs: F.transform(gs, lambda g: F.aggregate(g, big, lambda t, x: t + x))
+    # the one-element arrays keep groups and heads from being computed again for every group
+    found = F.transform(
+        F.array(groups), lambda gs: F.transform(F.array(walk(sums(gs))), lambda heads: spread(gs, heads))[0]
+    )[0]
+    return F.when(F.size(numbers) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def text_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A text as rows of :data:`BLOCK` characters: (doc_id, block, body, cont, before).
+
+    ``before`` words start ahead of the block; ``cont`` is 1 where its first word runs on
+    from the block before. An empty block closes every text.
+    """
+    cut_up = F.concat(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), F.array(F.lit("")))
 
-def word_starts_before(pieces: Column, pos: Column) -> Column:
-    """How many words of a text start before ``pos``, given its pieces."""
-    block, offset = _block_at(pieces, pos)
-    earlier = F.aggregate(
-        F.slice(pieces, F.lit(1), F.floor(pos / BLOCK).cast("int")),
-        F.lit(0).cast("bigint"),
-        lambda total, piece_: total + piece_["starts"],
-    )
-    inside = F.when(
-        offset > 0, _runs(F.substring(block["body"], F.lit(1), offset)) - block["cont"]
-    )
-    return earlier + F.coalesce(inside, F.lit(0).cast("bigint"))
+    def described(body: Column, i: Column) -> Column:
+        ahead = F.get("parts", i - 1)
+        cont = F.when(i > 0, _joined(F.concat(F.substring(ahead, -1, 1), F.substring(body, 1, 1)))).otherwise(_zero())
+        return F.struct(body.alias("body"), cont.alias("cont"), (_runs(body) - cont).alias("starts"))
 
+    # one step at a time, so that the text is cut once and not once per block
+    parts = docs.select("doc_id", cut_up.alias("parts")).select("doc_id", F.transform("parts", described).alias("parts"))
+    counted = parts.select("doc_id", "parts", earlier_totals(F.col("parts.starts")).alias("before"))
+    rows = counted.select("doc_id", F.posexplode(F.arrays_zip("parts", "before")).alias("block", "p"))
+    return rows.select("doc_id", F.col("block").cast("bigint").alias("block"), "p.parts.body", "p.parts.cont", "p.before")
 
-def token_lo(pieces: Column, start: Column) -> Column:
-    """Index of the first token not wholly before ``start``."""
-    return word_starts_before(pieces, start) - straddles(pieces, start)
 
+def with_token_indexes(spans: DataFrame, docs: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add token indexes to spans: ``wanted`` maps a new column to (position column, ``lo`` or ``hi``).
 
-def token_hi(pieces: Column, end: Column) -> Column:
-    """One past the index of the last token starting before ``end``."""
-    return word_starts_before(pieces, end)
+    ``lo`` is the index of the first token not wholly before a position, ``hi`` one past
+    the last token starting before it. A span meets the one block its position is in, so
+    no row holds a whole text and a long text is spread over many tasks. Spans of unknown
+    documents drop out.
+    """
+    sizes = docs.select("doc_id", F.length("text").cast("bigint").alias("__n"))
+    blocks = text_blocks(docs)
+    out = spans.join(sizes, "doc_id")
+    for name, (position, side) in wanted.items():
+        at = F.greatest(_zero(), F.least(F.col(position), F.col("__n")))
+        # least and greatest skip nulls; a span without a position has no index
+        out = out.withColumn("__at", F.when(F.col(position).isNotNull(), at)).withColumn("block", F.floor(F.col("__at") / BLOCK))
+        out = out.join(blocks, ["doc_id", "block"], "left")
+        offset = (F.col("__at") - F.col("block") * BLOCK).cast("int")
+        inside = F.when(offset > 0, _runs(F.substring("body", F.lit(1), offset)) - F.col("cont")).otherwise(_zero())
+        index = F.col("before") + inside
+        if side == "lo":
+            over = F.when(offset == 0, F.col("cont")).otherwise(_joined(F.substring("body", offset, F.lit(2))))
+            index = index - F.coalesce(over, _zero())
+        out = out.withColumn(name, index).drop("block", "body", "cont", "before", "__at")
+    return out.drop("__n")
 
 
 def token_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -122,21 +141,9 @@ def token_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
     pieces = docs.select("doc_id", parts.alias("parts")).select(
         "doc_id",
         "parts",
-        # running totals of characters and tokens over the few pieces of a text
-        F.aggregate(
-            F.transform(
-                "parts", lambda p: F.struct(F.length(p).alias("chars"), _runs(p).alias("words"))
-            ),
-            F.array(F.struct(_zero().alias("chars"), _zero().alias("words"))),
-            lambda acc, p: F.concat(
-                acc,
-                F.array(
-                    F.struct(
-                        (F.element_at(acc, -1)["chars"] + p["chars"]).alias("chars"),
-                        (F.element_at(acc, -1)["words"] + p["words"]).alias("words"),
-                    )
-                ),
-            ),
+        F.arrays_zip(
+            earlier_totals(F.transform("parts", lambda p: F.length(p).cast("bigint"))).alias("chars"),
+            earlier_totals(F.transform("parts", _runs)).alias("words"),
         ).alias("before"),
     )
     rows = pieces.select("doc_id", F.posexplode("parts").alias("k", "part"), "before").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- fixed values -------------------------------------------------------------------
 CLAIM_TYPES = ("premise", "conclusion", "objection", "assumption", "weakness", "hidden_assumption")
@@ -18,9 +19,16 @@ def _one_of(col: str, allowed: tuple[str, ...], fallback: str) -> Column:
     return F.when(F.col(col).isin(*allowed), F.col(col)).otherwise(fallback)
 
 
-def _unit(col: str) -> Column:
-    """Clamped to [0, 1]; what is no number is 0.5."""
-    value = F.col(col).cast("double")
+def _unit(rows: DataFrame, col: str) -> Column:
+    """Clamped to [0, 1]; what is no number is 0.5, a text that looks like one too."""
+    kind, value = rows.schema[col].dataType, F.col(col)
+    if isinstance(kind, T.VariantType):
+        named = F.schema_of_variant(value)
+        number = F.when(named.isin("STRING", "VOID"), F.lit(None)).otherwise(F.try_variant_get(value, "$", "double"))
+        value = F.when(named == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(number)
+    elif isinstance(kind, T.StringType):
+        value = F.lit(None)
+    value = value.cast("double")
     return F.when(value.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
@@ -32,7 +40,7 @@ def claims(rows: DataFrame, length: str) -> DataFrame:
     return rows.withColumns(
         {
             "type": _one_of("type", CLAIM_TYPES, "premise"),
-            "confidence": _unit("confidence"),
+            "confidence": _unit(rows, "confidence"),
             "source_start": start,
             "source_end": end,
         }
@@ -48,7 +56,7 @@ def relationships(rows: DataFrame, claim_ids: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "type": _one_of("type", LINK_TYPES, "supports"),
-            "strength": _unit("strength"),
+            "strength": _unit(rows, "strength"),
             "reasoning_type": _one_of("reasoning_type", REASONING_TYPES, "deductive"),
         }
     )

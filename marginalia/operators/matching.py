@@ -61,12 +61,8 @@ def token_ranges(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame
         .select(cols)
         .unionByName(pred.withColumn("side", F.lit("p")).select(cols))
     )
-    text = tx.with_blocks(docs.select("doc_id", "text"))
-    return both.join(text, "doc_id").select(
-        *cols,
-        tx.token_lo(F.col("pieces"), F.col("start_off")).alias("lo"),
-        tx.token_hi(F.col("pieces"), F.col("end_off")).alias("hi"),
-    )
+    found = tx.with_token_indexes(both, docs, {"lo": ("start_off", "lo"), "hi": ("end_off", "hi")})
+    return found.select(*cols, "lo", "hi")
 
 
 def _per_criterion(

@@ -11,7 +11,7 @@ from marginalia.functions import jsontext as js
 from marginalia.functions import text as tx
 from marginalia.operators import answers as an
 from marginalia.operators import assemble as asm
-from marginalia.operators import guards
+from marginalia.operators import guards, legacy
 from marginalia.operators.align import align
 from marginalia.plans.registry import query
 from marginalia.session import cut
@@ -252,14 +252,13 @@ def _sweep(spark: SparkSession, sf: str, conditions, refine: bool) -> DataFrame:
     )
     docs = fx.docs(spark, sf)
     spots = cut(align(rows, docs, refine))
-    pieces = tx.with_blocks(docs.select("doc_id", "text"))
-    p = F.col("pieces")
-    ranges = [
-        tx.token_lo(p, F.col("gold_start")), tx.token_hi(p, F.col("gold_end")),
-        tx.token_lo(p, F.col("start_off")), tx.token_hi(p, F.col("end_off")),
-    ]
-    jaccard = F.when(F.col("start_off").isNull(), 0.0).otherwise(tx.overlap_ratio(*ranges))
-    return spots.join(pieces, "doc_id").withColumn("jaccard", jaccard).drop("pieces")
+    wanted = {
+        "g_lo": ("gold_start", "lo"), "g_hi": ("gold_end", "hi"), "p_lo": ("start_off", "lo"), "p_hi": ("end_off", "hi"),
+    }
+    ranged = tx.with_token_indexes(spots, docs, wanted)
+    shared = tx.overlap_ratio(*map(F.col, wanted))
+    jaccard = F.when(F.col("start_off").isNull(), 0.0).otherwise(shared)
+    return ranged.withColumn("jaccard", jaccard).drop(*wanted)
 
 
 @query(
@@ -359,19 +358,35 @@ def i2_assembled_relations(spark: SparkSession, sf: str) -> DataFrame:
     return asm.assemble(_answers(spark, sf), fx.docs(spark, sf))[1]
 
 
+CTE["fx_stated"] = (
+    ("fx_gold",),
+    """SELECT doc_id, idx, CASE idx % 4 WHEN 2 THEN concat('c', idx // 4, '#', idx) WHEN 3 THEN concat('c', idx // 4, '#', idx - 1, '#', idx)
+    ELSE concat('c', idx // 4) END AS s FROM fx_gold""",
+)
+CTE["fx_folded"] = (
+    ("fx_stated",),
+    """SELECT doc_id, list(idx ORDER BY idx) AS k, list_reduce(list_prepend([]::VARCHAR[], list([s, concat(s, '#', idx + 1)] ORDER BY idx)),
+    lambda used, x: list_append(used, CASE WHEN list_contains(used, x[1]) THEN x[2] ELSE x[1] END)) AS c FROM fx_stated GROUP BY doc_id""",
+)
+
+
 @query(
     "e2_minted_ids",
-    """SELECT doc_id, count(*) FILTER (nth > 1) AS duplicate_ids, count(*) FILTER (idx % 7 = 6) AS odd_types FROM fx_named GROUP BY doc_id""",
-    ("fx_named",),
+    """SELECT doc_id, idx, comp_id, comp_id <> s AS repeat
+FROM (SELECT doc_id, unnest(k) AS idx, unnest(c) AS comp_id FROM fx_folded) JOIN fx_stated USING (doc_id, idx)""",
+    ("fx_stated", "fx_folded"),
 )
 def e2_minted_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Stated ids of which some equal ids minted before them, and those minted from these."""
     k = F.col("idx")
-    stated = F.when(k % 5 == 4, F.concat(F.lit("c"), k + 1)).otherwise(F.concat(F.lit("c"), k % 40 + 1))
-    rows = _gold_text(spark, sf).filter((k % 11 != 10) & (tx.strip(F.col("text")) != ""))
-    minted = asm.mint_ids(rows.select("doc_id", "idx", stated.alias("stated")))
-    return minted.groupBy("doc_id").agg(
-        F.count_if("repeat").alias("duplicate_ids"), F.count_if(k % 7 == 6).alias("odd_types")
+    name = F.concat(F.lit("c"), F.floor(k / 4))
+    stated = (
+        F.when(k % 4 == 2, F.concat(name, F.lit("#"), k))
+        .when(k % 4 == 3, F.concat(name, F.lit("#"), k - 1, F.lit("#"), k))
+        .otherwise(name)
     )
+    minted = asm.mint_ids(fx.gold(spark, sf).select("doc_id", "idx", stated.alias("stated")))
+    return minted.select("doc_id", "idx", "comp_id", "repeat")
 
 
 def first_sentences(doc_id, text: str) -> str:
@@ -396,17 +411,61 @@ def i3_batch_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "b8_legacy_normalisation",
     """SELECT event_id, CASE WHEN event_type IN ('premise', 'conclusion', 'objection', 'assumption', 'weakness', 'hidden_assumption') THEN event_type ELSE 'premise' END AS type,
-  CASE WHEN event_id % 7 = 0 THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) END AS confidence,
+  CASE WHEN event_id % 7 < 3 THEN 0.5::DOUBLE WHEN event_id % 7 = 3 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) END AS confidence,
   greatest(0, least(event_id % 90, 39)) AS source_start,
   greatest(greatest(0, least(event_id % 90, 39)) + 1, least(event_id % 90 + 30, 40)) AS source_end FROM events""",
 )
 def b8_legacy_normalisation(spark: SparkSession, sf: str) -> DataFrame:
-    from marginalia.operators.legacy import claims
-
+    """Claims whose confidence is absent, a word, a number in quotes, a truth value or a number."""
     e = F.col("event_id")
+    said = (
+        F.when(e % 7 == 0, "null").when(e % 7 == 1, '"high"').when(e % 7 == 2, '"0.9"').when(e % 7 == 3, "true")
+        .otherwise(F.to_json(F.struct((F.col("value") / 100).alias("v"))))
+    )
+    parsed = F.parse_json(said)
+    number = F.when(e % 7 > 3, F.try_variant_get(parsed, "$.v", "variant")).otherwise(parsed)
     rows = fx.table(spark, sf, "events").select(
-        "event_id", F.col("event_type").alias("type"),
-        F.when(e % 7 != 0, F.col("value") / 100).alias("confidence"),
+        "event_id", F.col("event_type").alias("type"), number.alias("confidence"),
         (e % 90).alias("source_start"), (e % 90 + 30).alias("source_end"), F.lit(40).cast("bigint").alias("n"),
     )
-    return claims(rows, "n").drop("n")
+    return legacy.claims(rows, "n").drop("n")
+
+
+@query(
+    "b8_legacy_relationships",
+    """SELECT event_id, CASE WHEN event_type IN ('supports', 'opposes', 'refines', 'depends_on') THEN event_type ELSE 'supports' END AS type,
+  CASE WHEN event_id % 5 = 0 THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 50)) END AS strength,
+  'deductive' AS reasoning_type, user_id AS source, event_id AS target FROM events
+WHERE user_id % 3 <> 0 AND event_id % 2 = 0 AND user_id IN (SELECT doc_id FROM documents)""",
+)
+def b8_legacy_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    """Links whose ends are not both known claims go."""
+    e, u = F.col("event_id"), F.col("user_id")
+    events = fx.table(spark, sf, "events")
+    rows = events.select(
+        "event_id", F.lit("all").alias("doc_id"), F.col("event_type").alias("type"),
+        F.when(e % 5 != 0, F.col("value") / 50).alias("strength"), F.lit("guess").alias("reasoning_type"),
+        u.cast("bigint").alias("source"), (-1 - e).alias("target"),
+    )
+    sources = fx.docs(spark, sf).filter(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("claim_id"))
+    targets = events.filter(e % 2 == 0).select((-1 - e).alias("claim_id"))
+    known = sources.unionByName(targets).select(F.lit("all").alias("doc_id"), "claim_id")
+    return legacy.relationships(rows, known).select(
+        "event_id", "type", "strength", "reasoning_type", "source", (-1 - F.col("target")).alias("target")
+    )
+
+
+@query(
+    "b8_legacy_bias",
+    """SELECT doc_id, CASE WHEN lang IN ('neutral', 'loaded', 'one_sided', 'balanced') THEN lang ELSE 'neutral' END AS framing,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS dominant_perspective,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat_ws(',', source, lang, source) END AS underrepresented_perspectives FROM documents""",
+)
+def b8_legacy_bias(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = fx.docs(spark, sf).select(
+        "doc_id", F.col("lang").alias("framing"), F.when(d % 4 != 0, F.col("source")).alias("dominant_perspective"),
+        F.when(d % 5 != 0, F.array("source", "lang", "source", "lang")).alias("underrepresented_perspectives"),
+    )
+    listed = F.array_join("underrepresented_perspectives", ",")
+    return legacy.bias(rows).withColumn("underrepresented_perspectives", listed)

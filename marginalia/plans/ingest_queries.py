@@ -78,10 +78,25 @@ def a2_flattened_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- standoff ---------------------------------------------------------------------------
+# what tx.LINE_BREAK can match, as the inside of a character class
+BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
+def _one_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Every gold span from its first character that breaks no line to the next break.
+
+    A span of line breaks alone has no text to record and is the one kind left out.
+    """
+    lead = F.length(F.regexp_extract("text", f"^[{BREAKS}]*", 0))
+    body = F.regexp_extract("text", f"^[{BREAKS}]*([^{BREAKS}]*)", 1)
+    rows = _gold_text(spark, sf).withColumn("start_off", F.col("start_off") + lead).withColumn("text", body)
+    return rows.withColumn("end_off", F.col("start_off") + F.length("text")).filter("text <> ''")
+
+
 def standoff_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text, ann): annotation lines for every span that fits on one line."""
+    """(doc_id, text, ann): annotation lines of every document, empty where it has no span."""
     k = F.col("idx")
-    rows = _gold_text(spark, sf).filter(~F.col("text").rlike(tx.LINE_BREAK))
+    rows = _one_line(spark, sf)
     at = F.concat_ws(" ", "start_off", "end_off")
     broken = F.concat(at, F.lit(";"), at)
     span = F.concat(
@@ -99,27 +114,27 @@ def standoff_docs(spark: SparkSession, sf: str) -> DataFrame:
     lines = rows.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", F.concat_ws("\n", span, stance, edge).alias("l")))).alias("x")
     )
-    return fx.docs(spark, sf).select("doc_id", "text").join(
-        lines.select("doc_id", F.concat(F.array_join("x.l", "\n"), F.lit("\n")).alias("ann")), "doc_id"
-    )
+    ann = lines.select("doc_id", F.concat(F.array_join("x.l", "\n"), F.lit("\n")).alias("ann"))
+    return fx.docs(spark, sf).select("doc_id", "text").join(ann, "doc_id", "left").withColumn("ann", F.coalesce("ann", F.lit("")))
 
 
 CTE["fx_oneline"] = (
     ("fx_gold",),
-    f"""SELECT g.*, substr(text, start_off + 1, end_off - start_off) AS t FROM fx_gold g JOIN documents USING (doc_id)
-WHERE NOT regexp_matches(substr(text, start_off + 1, end_off - start_off), '{tx.LINE_BREAK}')""",
+    f"""SELECT doc_id, idx, comp_id, ctype, start_off + lead AS start_off, start_off + lead + length(body) AS end_off, body AS t FROM (
+  SELECT g.*, length(regexp_extract(t, '^[{BREAKS}]*')) AS lead, regexp_extract(t, '^[{BREAKS}]*([^{BREAKS}]*)', 1) AS body
+  FROM (SELECT g.*, substr(text, start_off + 1, end_off - start_off) AS t FROM fx_gold g JOIN documents USING (doc_id)) g) WHERE body <> ''""",
 )
 
 
 @query(
     "a3_standoff_components",
-    """SELECT doc_id, comp_id, ctype, start_off, end_off, CASE WHEN ctype = 'Claim' THEN CASE WHEN idx % 2 = 0 THEN 'For' ELSE 'Against' END END AS stance,
+    """SELECT doc_id, comp_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_off, end_off, comp_id) - 1 AS idx, ctype, start_off, end_off, CASE WHEN ctype = 'Claim' THEN CASE WHEN idx % 2 = 0 THEN 'For' ELSE 'Against' END END AS stance,
   CASE WHEN idx % 4 = 1 THEN 'fixup' ELSE 'same' END AS "check" FROM fx_oneline WHERE idx % 13 <> 12""",
     ("fx_oneline",),
 )
 def a3_standoff_components(spark: SparkSession, sf: str) -> DataFrame:
     components, _, _ = standoff.parse_annotations(standoff_docs(spark, sf))
-    return components.select("doc_id", "comp_id", "ctype", "start_off", "end_off", "stance", "check")
+    return components.select("doc_id", "comp_id", "idx", "ctype", "start_off", "end_off", "stance", "check")
 
 
 @query(
@@ -143,7 +158,7 @@ def b5_offset_fixups(spark: SparkSession, sf: str) -> DataFrame:
     from marginalia.operators.validate import offset_check
 
     k = F.col("idx")
-    rows = _gold_text(spark, sf).filter(~F.col("text").rlike(tx.LINE_BREAK))
+    rows = _one_line(spark, sf)
     declared = F.when(k % 4 == 1, F.concat("text", F.lit("\t"))).when(k % 4 == 3, F.concat("text", F.lit("x")))
     check = offset_check(F.col("text"), declared.otherwise(F.col("text")))
     return rows.select("doc_id", check.alias("c")).groupBy("doc_id").agg(
@@ -153,8 +168,7 @@ def b5_offset_fixups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a4_archive_members",
-    "SELECT DISTINCT doc_id::VARCHAR AS doc_id, sha256(text) AS text FROM documents JOIN fx_oneline USING (doc_id)",
-    ("fx_oneline",),
+    "SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS text FROM documents",
 )
 def a4_archive_members(spark: SparkSession, sf: str) -> DataFrame:
     """Every document packed into an archive of its own, opened and paired again."""
@@ -191,25 +205,30 @@ def c13_paired_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a6_split_csv",
-    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'train' WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM documents""",
+    """SELECT concat('doc;', doc_id) AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 'train' WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM documents""",
 )
 def a6_split_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Split files of a hundred documents each, with header, byte-order mark and quoted delimiters."""
     d = F.col("doc_id")
     docs = fx.table(spark, sf, "documents").select("doc_id")
-    listed = docs.filter(d % 4 != 0)
-    row = F.concat(F.lit('"'), d, F.lit('";"'), F.when(d % 3 == 0, "TEST").otherwise("Train"), F.lit('"'))
-    lines = listed.select(row.alias("value"))
-    splits = standoff.read_split_csv(lines)
-    return standoff.with_split(docs, splits.withColumn("doc_id", F.col("doc_id").cast("bigint")))
+    row = F.concat(F.lit('"doc;'), d, F.lit('";"'), F.when(d % 3 == 0, "TEST").otherwise("Train"), F.lit('"'))
+    lines = docs.filter(d % 4 != 0).groupBy(F.floor(d / 100).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("l"))
+    mark = F.when(F.col("part") % 2 == 0, "\ufeff").otherwise("")
+    made = lines.select(F.concat(mark, F.lit('"ID";"SET"\r\n'), F.array_join("l", "\r\n"), F.lit("\r\n")).alias("value"))
+    path = scratch_path(spark, "splits")
+    made.repartition(F.xxhash64("value")).write.option("lineSep", "\u0000").text(path)
+    read = spark.read.option("lineSep", "\u0000").text(path).filter("value <> ''")
+    splits = standoff.read_split_csv(read.select(F.lit(path).alias("path"), "value"))
+    return standoff.with_split(docs.select(F.concat(F.lit("doc;"), d).alias("doc_id")), splits)
 
 
 @query("a7_split_ids", "SELECT split, doc_id::VARCHAR AS doc_id FROM fx_docs", ("fx_docs",))
 def a7_split_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Id lists written per split and read back from their folders."""
+    """Id lists written and read back by the library's own writer and reader."""
     path = scratch_path(spark, "splits")
     docs = fx.docs(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
     files.write_split_ids(docs, path)
-    return spark.read.schema("doc_id string, split string").json(path).select("split", "doc_id")
+    return files.read_split_ids(spark, path)
 
 
 def _ledger_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,23 +296,44 @@ def a11_predictions_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a12_generations",
-    """SELECT model AS adapter, count(*) AS documents, round_even(count(*) / 12.5::DOUBLE, 3) AS docs_per_second FROM fx_gen GROUP BY model""",
+    """SELECT doc_id::VARCHAR AS doc_id, model AS adapter, sha256(answer) AS answer, output_tokens, 12.5::DOUBLE AS generate_seconds, true AS constrained
+FROM fx_gen""",
     ("fx_gen",),
 )
 def a12_generations(spark: SparkSession, sf: str) -> DataFrame:
-    """Generation files with one run per adapter and user group, unnested again."""
+    """Generation files of one run per adapter and thousand answers, written, read and unnested."""
+    path = scratch_path(spark, "generations")
+    _generation_files(spark, sf).write.partitionBy("file").text(path)
+    found = files.read_generations(spark, path, single_run=True)
+    return found.select("doc_id", "adapter", F.sha2("text", 256).alias("answer"), "output_tokens", "generate_seconds", "constrained")
+
+
+def _generation_files(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("answer").alias("text"), "output_tokens",
         F.lit(0).cast("bigint").alias("prompt_tokens"), "finish_reason",
         F.lit(None).cast("double").alias("mean_logprob"), F.lit(None).cast("double").alias("min_logprob"),
     )
-    runs = fx.gen(spark, sf).groupBy("model", (F.col("event_id") % 50).alias("part")).agg(F.collect_list(item).alias("results"))
+    # runs of bounded size: their number grows with the table
+    part = F.floor(F.col("event_id") / 1000)
+    runs = fx.gen(spark, sf).groupBy("model", part.alias("part")).agg(F.collect_list(item).alias("results"))
     run = F.struct(
         F.col("model").alias("adapter"), F.lit(12.5).alias("generate_seconds"), F.size("results").cast("bigint").alias("documents"),
         F.lit(None).cast("double").alias("throughput_docs_per_second"), "results",
     )
-    made = runs.select(F.lit(True).alias("constrained"), F.array(run).alias("runs"))
-    return files.batched_throughput(files.unnest_generations(made, single_run=True))
+    body = F.to_json(F.struct(F.lit(True).alias("constrained"), F.array(run).alias("runs")))
+    return runs.select(F.concat_ws("-", "model", "part").alias("file"), body.alias("value"))
+
+
+@query(
+    "a12_throughput",
+    """SELECT model AS adapter, count(*) AS documents, round_even(count(*) / 12.5::DOUBLE, 3) AS docs_per_second FROM fx_gen GROUP BY model""",
+    ("fx_gen",),
+)
+def a12_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "generations")
+    _generation_files(spark, sf).write.partitionBy("file").text(path)
+    return files.batched_throughput(files.read_generations(spark, path))
 
 
 @query(
@@ -397,7 +437,7 @@ def c14_unit_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Three segments to a unit."""
     graphs = ag.parse(graph_xml(spark, sf))
     _, segments = ag.segment_text(graphs)
-    number = F.substring("src", 2, 10).cast("int")
+    number = F.substring("src", F.lit(2), F.length("src")).cast("int")
     joined = ag.edges(graphs).filter("etype = 'seg'").withColumn(
         "trg", F.concat(F.lit("a"), F.floor((number - 1) / 3))
     )
@@ -471,19 +511,21 @@ def j1_streaming_spend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "j2_streaming_distinct_calls",
-    "SELECT count(DISTINCT (doc_id, model)) AS calls FROM fx_ledger",
+    "SELECT model, count(DISTINCT doc_id) AS calls FROM fx_ledger GROUP BY model",
     ("fx_ledger",),
 )
 def j2_streaming_distinct_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """First calls by document and model; keys are kept as long as the ledger's time span asks for."""
     source = scratch_path(spark, "ledger")
     files.append_ledger(_ledger_entries(spark, sf), source)
-    once = jobs.first_calls(jobs.read_ledger(spark, source), ["doc_id", "model"])
-    return jobs.run_to_end(once, "append").agg(F.count(F.lit(1)).alias("calls"))
+    stamped = jobs.read_ledger(spark, source).withColumn("at", F.to_timestamp("timestamp"))
+    once = jobs.first_calls(stamped, ["doc_id", "model"], ("at", "400 days"))
+    return jobs.run_to_end(once, "append").groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
 
 
 @query(
     "j3_streaming_routing",
-    f"""SELECT model, conf IS NULL OR conf < -0.01 AS escalated, count(*) AS documents, count(*) FILTER (NOT json_valid(answer)) AS unparsed
+    f"""SELECT model, conf IS NULL OR conf < -0.01 AS escalated, count(*) AS documents, count(*) FILTER (NOT json_valid(answer) OR json_type(CASE WHEN json_valid(answer) THEN answer END) <> 'OBJECT') AS unparsed
 FROM (SELECT g.*, CASE WHEN event_id % 37 = 0 THEN NULL ELSE -((event_id * 7919) % 1000)::DOUBLE / 50000::DOUBLE END AS conf FROM fx_gen g) GROUP BY ALL""",
     ("fx_gen",),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,42 +33,51 @@ def b2_first_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 CTE["fx_claimed"] = (
     ("fx_pred", "fx_gold"),
-    """SELECT p.doc_id, CASE WHEN p.idx % 8 = 6 THEN 'P1' ELSE p.comp_id END AS comp_id, CASE WHEN p.idx % 10 = 4 THEN p.end_off ELSE p.start_off END AS start_off,
+    """SELECT p.system_id, p.doc_id, CASE WHEN p.idx % 8 = 6 THEN 'P1' ELSE p.comp_id END AS comp_id, CASE WHEN p.idx % 10 = 4 THEN p.end_off ELSE p.start_off END AS start_off,
   p.end_off, substr(d.text, g.start_off + 1, g.end_off - g.start_off) AS text
-FROM fx_pred p JOIN fx_gold g ON g.doc_id = p.doc_id AND g.idx = p.idx // 2 JOIN documents d ON d.doc_id = p.doc_id WHERE p.system_id = 0""",
+FROM fx_pred p JOIN fx_gold g ON g.doc_id = p.doc_id AND g.idx = p.idx // 2 JOIN documents d ON d.doc_id = p.doc_id""",
 )
 CTE["fx_linked"] = (
     ("fx_pred_rel",),
-    "SELECT doc_id, CASE WHEN idx % 14 = 0 THEN 'Q2' ELSE rel_id END AS rel_id, src, tgt FROM fx_pred_rel WHERE system_id = 0",
+    "SELECT system_id, doc_id, CASE WHEN idx % 14 = 0 THEN 'Q2' ELSE rel_id END AS rel_id, src, tgt FROM fx_pred_rel",
 )
 
 
 @query(
     "b3_violations",
-    """SELECT DISTINCT doc_id, item, rule FROM (
-  SELECT c.doc_id, comp_id AS item, unnest(list_filter([CASE WHEN start_off < 0 OR end_off < 0 THEN 'negative offset' END,
+    """SELECT DISTINCT system_id, doc_id, item, rule FROM (
+  SELECT c.system_id, c.doc_id, comp_id AS item, unnest(list_filter([CASE WHEN start_off < 0 OR end_off < 0 THEN 'negative offset' END,
     CASE WHEN end_off <= start_off THEN 'empty or inverted span' END, CASE WHEN end_off > length(d.text) THEN 'span beyond text' END,
     CASE WHEN start_off >= 0 AND end_off > start_off AND end_off <= length(d.text) AND substr(d.text, start_off + 1, end_off - start_off) <> c.text
       THEN 'text mismatch' END], lambda x: x IS NOT NULL)) AS rule FROM fx_claimed c JOIN documents d USING (doc_id)
-  UNION ALL SELECT doc_id, comp_id, 'duplicate component id' FROM fx_claimed GROUP BY doc_id, comp_id HAVING count(*) > 1
-  UNION ALL SELECT doc_id, rel_id, 'duplicate relation id' FROM fx_linked GROUP BY doc_id, rel_id HAVING count(*) > 1
-  UNION ALL SELECT doc_id, rel_id, 'self loop' FROM fx_linked WHERE src = tgt
-  UNION ALL SELECT doc_id, rel_id, 'endpoint is not a component' FROM (SELECT doc_id, rel_id, unnest([src, tgt]) AS e FROM fx_linked) r
-    ANTI JOIN fx_claimed c ON c.doc_id = r.doc_id AND c.comp_id = r.e)""",
+  UNION ALL SELECT system_id, doc_id, comp_id, 'duplicate component id' FROM fx_claimed GROUP BY system_id, doc_id, comp_id HAVING count(*) > 1
+  UNION ALL SELECT system_id, doc_id, rel_id, 'duplicate relation id' FROM fx_linked GROUP BY system_id, doc_id, rel_id HAVING count(*) > 1
+  UNION ALL SELECT system_id, doc_id, rel_id, 'self loop' FROM fx_linked WHERE src = tgt
+  UNION ALL SELECT system_id, doc_id, rel_id, 'endpoint is not a component' FROM (SELECT system_id, doc_id, rel_id, unnest([src, tgt]) AS e FROM fx_linked) r
+    ANTI JOIN fx_claimed c ON c.system_id = r.system_id AND c.doc_id = r.doc_id AND c.comp_id = r.e)""",
     ("fx_claimed", "fx_linked"),
 )
 def b3_violations(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("idx")
     text = _gold_text(spark, sf).select("doc_id", F.col("idx").alias("g"), "text")
-    pred = fx.pred(spark, sf).filter("system_id = 0").withColumn("g", F.floor(k / 2))
-    claimed = pred.join(text, ["doc_id", "g"]).select(
-        "doc_id", F.when(k % 8 == 6, "P1").otherwise(F.col("comp_id")).alias("comp_id"),
+    claimed = fx.pred(spark, sf).withColumn("g", F.floor(k / 2)).join(text, ["doc_id", "g"]).select(
+        "system_id", "doc_id", F.when(k % 8 == 6, "P1").otherwise(F.col("comp_id")).alias("comp_id"),
         F.when(k % 10 == 4, F.col("end_off")).otherwise(F.col("start_off")).alias("start_off"), "end_off", "text",
     )
-    linked = fx.pred_rel(spark, sf).filter("system_id = 0").select(
-        "doc_id", F.when(k % 14 == 0, "Q2").otherwise(F.col("rel_id")).alias("rel_id"), "src", "tgt"
+    linked = fx.pred_rel(spark, sf).select(
+        "system_id", "doc_id", F.when(k % 14 == 0, "Q2").otherwise(F.col("rel_id")).alias("rel_id"), "src", "tgt"
+    )
+    return _per_system(
+        lambda mine: va.violations(fx.docs(spark, sf), claimed.filter(mine), linked.filter(mine)),
+    )
+
+
+def _per_system(result) -> DataFrame:
+    """The result for each system of the fixture, named."""
+    return reduce(
+        DataFrame.unionByName,
+        [result(F.col("system_id") == k).withColumn("system_id", F.lit(k).cast("bigint")) for k in fx.SYSTEMS],
     )
-    return va.violations(fx.docs(spark, sf), claimed, linked)
 
 
 @query(
@@ -84,35 +95,35 @@ def b12_id_audit(spark: SparkSession, sf: str) -> DataFrame:
     return va.id_problems(fx.table(spark, sf, "pages").select(split.alias("split"), named.alias("doc_id")))
 
 
-CTE["fx_segments"] = (
+CTE["fx_layered"] = (
     ("fx_gold", "fx_pred"),
-    """SELECT b.doc_id, b.s AS start_off, b.e AS end_off,
+    """SELECT x.*, length(text) AS n FROM (SELECT s AS system_id, 'gold' AS layer, doc_id, comp_id, start_off, end_off FROM fx_gold, (VALUES (0::BIGINT), (1)) ss(s)
+  UNION ALL SELECT system_id, 'prediction', doc_id, comp_id, start_off, end_off FROM fx_pred) x JOIN documents USING (doc_id)""",
+)
+CTE["fx_segments"] = (
+    ("fx_layered",),
+    """SELECT b.system_id, b.doc_id, b.s AS start_off, b.e AS end_off,
   array_to_string(list_sort(list(h.comp_id) FILTER (h.layer = 'prediction')), ',') AS prediction,
   array_to_string(list_sort(list(h.comp_id) FILTER (h.layer = 'gold')), ',') AS gold
-FROM (SELECT doc_id, pt AS s, lead(pt) OVER (PARTITION BY doc_id ORDER BY pt) AS e FROM (
-    SELECT DISTINCT doc_id, unnest([0, length(text)]) AS pt FROM documents
-    UNION SELECT doc_id, unnest([least(greatest(start_off, 0), n), least(greatest(end_off, 0), n)]) FROM fx_layered)) b
-LEFT JOIN fx_layered h ON h.doc_id = b.doc_id AND h.start_off < b.e AND h.end_off > b.s
-WHERE b.e > b.s GROUP BY b.doc_id, b.s, b.e""",
+FROM (SELECT system_id, doc_id, pt AS s, lead(pt) OVER (PARTITION BY system_id, doc_id ORDER BY pt) AS e FROM (
+    SELECT DISTINCT s AS system_id, doc_id, unnest([0, length(text)]) AS pt FROM documents, (VALUES (0::BIGINT), (1)) ss(s)
+    UNION SELECT system_id, doc_id, unnest([least(greatest(start_off, 0), n), least(greatest(end_off, 0), n)]) FROM fx_layered)) b
+LEFT JOIN fx_layered h ON h.system_id = b.system_id AND h.doc_id = b.doc_id AND h.start_off < b.e AND h.end_off > b.s
+WHERE b.e > b.s GROUP BY b.system_id, b.doc_id, b.s, b.e""",
 )
-CTE["fx_layered"] = (
-    ("fx_gold", "fx_pred"),
-    """SELECT x.*, length(text) AS n FROM (SELECT 'gold' AS layer, doc_id, comp_id, start_off, end_off FROM fx_gold
-  UNION ALL SELECT 'prediction', doc_id, comp_id, start_off, end_off FROM fx_pred WHERE system_id = 0) x JOIN documents USING (doc_id)""",
-)
-CTE["fx_segments"] = (("fx_layered",), CTE["fx_segments"][1])
 
 
 @query(
     "c16_segments",
-    "SELECT doc_id, start_off, end_off, coalesce(prediction, '') AS prediction, coalesce(gold, '') AS gold FROM fx_segments",
+    "SELECT system_id, doc_id, start_off, end_off, coalesce(prediction, '') AS prediction, coalesce(gold, '') AS gold FROM fx_segments",
     ("fx_segments",),
 )
 def c16_segments(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["layer", "doc_id", "comp_id", "start_off", "end_off"]
     gold = fx.gold(spark, sf).withColumn("layer", F.lit("gold")).select(cols)
-    pred = fx.pred(spark, sf).filter("system_id = 0").withColumn("layer", F.lit("prediction")).select(cols)
-    out = sh.segments(fx.docs(spark, sf), gold.unionByName(pred))
+    pred = fx.pred(spark, sf).withColumn("layer", F.lit("prediction"))
+    docs = fx.docs(spark, sf)
+    out = _per_system(lambda mine: sh.segments(docs, gold.unionByName(pred.filter(mine).select(cols))))
     return out.withColumns({c: F.array_join(c, ",") for c in ("prediction", "gold")})
 
 
@@ -145,15 +156,19 @@ def c22_epoch_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c23_component_lookup",
-    """SELECT DISTINCT r.doc_id, r.tgt AS comp_id, coalesce(c.idx, -1) AS idx, c.ctype, coalesce(c.start_off, -1) AS start_off, coalesce(c.end_off, -1) AS end_off
-FROM (SELECT DISTINCT doc_id, tgt FROM fx_pred_rel WHERE system_id = 0) r
-LEFT JOIN (SELECT * FROM fx_pred WHERE system_id = 0 QUALIFY row_number() OVER (PARTITION BY doc_id, comp_id ORDER BY idx) = 1) c
-  ON c.doc_id = r.doc_id AND c.comp_id = r.tgt""",
+    """SELECT DISTINCT r.system_id, r.doc_id, r.tgt AS comp_id, coalesce(c.idx, -1) AS idx, c.ctype, coalesce(c.start_off, -1) AS start_off, coalesce(c.end_off, -1) AS end_off
+FROM (SELECT DISTINCT system_id, doc_id, tgt FROM fx_pred_rel) r
+LEFT JOIN (SELECT * FROM fx_pred QUALIFY row_number() OVER (PARTITION BY system_id, doc_id, comp_id ORDER BY idx) = 1) c
+  ON c.system_id = r.system_id AND c.doc_id = r.doc_id AND c.comp_id = r.tgt""",
     ("fx_pred_rel", "fx_pred"),
 )
 def c23_component_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = fx.pred_rel(spark, sf).filter("system_id = 0").select("doc_id", F.col("tgt").alias("comp_id"))
-    found = sh.component_by_id(fx.pred(spark, sf).filter("system_id = 0"), wanted.distinct())
+    pred, rel = fx.pred(spark, sf), fx.pred_rel(spark, sf)
+    found = _per_system(
+        lambda mine: sh.component_by_id(
+            pred.filter(mine).drop("system_id"), rel.filter(mine).select("doc_id", F.col("tgt").alias("comp_id")).distinct()
+        )
+    )
     return found.fillna(-1, ["idx", "start_off", "end_off"])
 
 
@@ -215,7 +230,7 @@ def d17_sft_sizing(spark: SparkSession, sf: str) -> DataFrame:
     return sh.sizing(_graphs(spark, sf), ["split"])
 
 
-PROMPT_SQL = "concat('Identify the argument components and relations in the following text.\n\n<text>\n', text, '\n</text>')"
+PROMPT_SQL = "concat('List the claims and premises of the document below and how they are linked.\n\n<document>\n', text, '\n</document>')"
 
 
 @query(

@@ -49,7 +49,7 @@ def flatten(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_split_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(split, doc_id) of a ``{train: [], val: [], test: []}`` file."""
+    """(split, doc_id) of ``{train: [], val: [], test: []}`` objects, one a line or one a file."""
     ids = T.ArrayType(T.StringType())
     schema = T.StructType([T.StructField(s, ids) for s in schemas.SPLITS])
     lists = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -57,11 +57,18 @@ def read_split_ids(spark: SparkSession, path: str) -> DataFrame:
     return lists.select(F.inline(entries)).select("split", F.explode("ids").alias("doc_id"))
 
 
-def write_split_ids(docs: DataFrame, path: str) -> None:
-    """Sorted id lists, one part per split: ids only, no text."""
-    docs.select("split", "doc_id").repartitionByRange("split", "doc_id").sortWithinPartitions(
-        "split", "doc_id"
-    ).write.partitionBy("split").json(path)
+def write_split_ids(docs: DataFrame, path: str, most: int = 100_000) -> None:
+    """Sorted id lists, without any text, as ``{train: [], val: [], test: []}`` files.
+
+    A file holds about ``most`` ids, a range of the sorted ids; a small corpus is one file.
+    """
+    n = docs.count()
+    ranged = docs.select("split", "doc_id").repartitionByRange(max(1, -(-n // most)), "doc_id")
+    part = F.spark_partition_id().alias("part")
+    mine = lambda s: F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("doc_id")))).alias(s)
+    lists = ranged.groupBy(part).agg(*map(mine, schemas.SPLITS)).repartition("part").sortWithinPartitions("part")
+    body = F.to_json(F.struct(*schemas.SPLITS), {"ignoreNullFields": "false"})
+    lists.select("part", body.alias("value")).write.mode("error").partitionBy("part").text(path)
 
 
 def read_ledger(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

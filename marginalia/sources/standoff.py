@@ -7,6 +7,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import LINE_BREAK, SPACE, piece
@@ -124,6 +125,9 @@ def parse_annotations(docs: DataFrame, strict: bool = True) -> tuple[DataFrame,
         F.contains(part(SPAN_LINE, 3), F.lit(";")).alias("broken"),
         part(SPAN_LINE, 4).alias("declared"),
     )
+    # an id that is recorded again means the last record
+    last = W.partitionBy("doc_id", "comp_id").orderBy(F.desc("pos"))
+    spans = spans.withColumn("nth", F.row_number().over(last)).filter("nth = 1").drop("nth")
     stances = (
         good.filter("line_kind = 'A'")
         .groupBy("doc_id", part(ATTRIBUTE_LINE, 3).alias("comp_id"))
@@ -140,6 +144,8 @@ def parse_annotations(docs: DataFrame, strict: bool = True) -> tuple[DataFrame,
         .withColumn("check", offset_check(F.col("text"), F.col("declared")))
         .join(stances, ["doc_id", "comp_id"], "left")
     )
+    by_place = W.partitionBy("doc_id").orderBy("start_off", "end_off", "comp_id")
+    components = components.withColumn("idx", F.row_number().over(by_place).cast("bigint") - 1)
     if strict:
         drift = F.raise_error(F.concat("doc_id", F.lit("/"), "comp_id", F.lit(": offsets and recorded text differ")))
         components = components.withColumn(
@@ -156,16 +162,23 @@ def parse_annotations(docs: DataFrame, strict: bool = True) -> tuple[DataFrame,
     return components, edges, errors
 
 
-def read_split_csv(rows: DataFrame) -> DataFrame:
-    """(doc_id, split) of ``ID;SET`` text rows ``value``, quotes and byte-order mark allowed."""
-    clean = F.regexp_replace("value", "^﻿", "")
-    cells = F.transform(F.split(clean, ";"), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-    table = rows.select(cells.alias("c")).filter(F.size("c") >= 2)
-    name = F.upper(F.col("c")[1])
-    is_header = (F.upper(F.col("c")[0]) == "ID") & (name == "SET")
-    bad = F.raise_error(F.concat(F.lit("unexpected split value "), name))
-    split = F.when(name == "TRAIN", "train").when(name == "TEST", "test").otherwise(bad.cast("string"))
-    return table.filter(~is_header).select(F.col("c")[0].alias("doc_id"), split.alias("split"))
+def read_split_csv(files: DataFrame) -> DataFrame:
+    """(doc_id, split) of whole ``ID;SET`` files ``(path, value)``: header, quotes, byte-order mark.
+
+    A file that does not begin with the header or names another split ends the job. A
+    quoted cell may hold the delimiter; lines of fewer than two cells are skipped.
+    """
+    clean = F.regexp_replace("value", "^\ufeff", "")
+    line = F.filter(F.split(clean, r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
+    cells = F.from_csv("line", "id string, set string", {"sep": ";", "mode": "PERMISSIVE"})
+    rows = files.select("path", F.posexplode(line).alias("k", "line")).withColumn("c", cells)
+    name = F.upper(F.trim("c.set"))
+    head = (F.upper(F.trim("c.id")) == "ID") & (name == "SET")
+    no_header = F.raise_error(F.concat(F.lit("no ID;SET header in "), "path")).cast("string")
+    unknown = F.raise_error(F.concat(F.lit("no such split: "), name)).cast("string")
+    split = F.when(name == "TRAIN", "train").when(name == "TEST", "test").otherwise(unknown)
+    kept = rows.filter(F.when(F.col("k") == 0, F.when(~F.coalesce(head, F.lit(False)), no_header).isNotNull()).otherwise(F.col("c.set").isNotNull()))
+    return kept.select(F.trim("c.id").alias("doc_id"), split.alias("split"))
 
 
 def with_split(docs: DataFrame, splits: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import schemas
+from marginalia.functions.jsontext import parse_object
 from marginalia.operators.cascade import escalates
 from marginalia.session import scratch_path
 
@@ -41,18 +43,20 @@ def route(generations: DataFrame, threshold: float) -> DataFrame:
     routed = generations.withColumn("escalated", escalates(F.col("mean_logprob"), F.lit(threshold)))
     return routed.groupBy("model", "escalated").agg(
         F.count(F.lit(1)).alias("documents"),
-        F.count_if(F.try_parse_json("answer").isNull()).alias("unparsed"),
+        F.count_if(parse_object(F.col("answer")).isNull()).alias("unparsed"),
     )
 
 
 def run_to_end(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Process what is there, stop, and return the result as a table.
+    """Process what is there, stop, and return all that the stream has put out so far.
 
-    Every batch is written as a whole to its own folder, so a retried batch
-    replaces itself; complete mode keeps the last batch only.
+    The output lies beside the checkpoint, so a restart adds to what earlier runs wrote,
+    and one that finds nothing new returns it as it was. Every batch is written as a whole
+    to its own folder: a retried batch replaces itself. Complete mode keeps the last batch.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream")
+    place = checkpoint or scratch_path(spark, "stream")
+    out = f"{place}/output"
 
     def keep(batch: DataFrame, number: int) -> None:
         folder = "all" if mode == "complete" else f"batch={number}"
@@ -60,11 +64,17 @@ def run_to_end(stream: DataFrame, mode: str, checkpoint: str | None = None) -> D
 
     started = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "progress"))
+        .option("checkpointLocation", f"{place}/progress")
         .trigger(availableNow=True)
         .foreachBatch(keep)
         .start()
     )
     started.awaitTermination()
-    result = spark.read.parquet(f"{out}/all" if mode == "complete" else out)
-    return result.drop("batch") if "batch" in result.columns and "batch" not in stream.columns else result
+    empty = spark.createDataFrame([], stream.schema)
+    try:
+        result = spark.read.schema(stream.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/batch=*")
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty  # no batch was ever written
+    return result
