@@ -3,11 +3,12 @@
 A unit is one combination of the key columns (system, criterion, kind, ...) with
 one count vector ``(tp, fp, fn)`` per document, or two for a paired difference.
 
-Two ways to resample, with the same distribution:
+Two ways to resample, with the same distribution. The caller names the way; it never
+depends on the size of the data:
 
 * ``draws``: every draw is computed from a hash of (seed, iteration, position), so
   results repeat on any engine. Costs documents x iterations rows.
-* ``multinomial``: documents with equal count vectors cannot be told apart, so a
+* ``multinomial`` (the default): documents with equal count vectors cannot be told apart, so a
   resample is a multinomial draw over the distinct vectors. Vectors are split
   into buckets; every task draws the bucket totals from the same seed and then
   only its own bucket. The cost does not grow with the number of documents.
@@ -28,11 +29,8 @@ from marginalia.functions.stats import f1
 ITERATIONS = 10_000
 SEED = 0
 CONFIDENCE = 0.95
-# Most documents x iterations resampled draw by draw.
-DRAW_LIMIT = 50_000_000
-# Distinct vectors per bucket aimed at, and the most buckets a unit is split into.
+# Distinct vectors per bucket aimed at.
 BUCKET_VECTORS = 2_000
-MAX_BUCKETS = 256
 # Iterations a task holds in memory at once.
 CHUNK = 250
 
@@ -72,7 +70,7 @@ def _draws(counts: DataFrame, keys: list[str], cols, iterations: int, seed: int)
 def _multinomial(counts: DataFrame, keys: list[str], cols, iterations: int, seed: int) -> DataFrame:
     classes = counts.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("size"))
     per_unit = classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("k") / BUCKET_VECTORS))
+    buckets = F.ceil(F.col("k") / BUCKET_VECTORS)
     placed = classes.join(per_unit, keys).withColumn(
         "bucket", F.pmod(F.xxhash64(*cols), buckets).cast("int")
     )
@@ -122,7 +120,7 @@ def intervals(
     iterations: int = ITERATIONS,
     seed: int = SEED,
     confidence: float = CONFIDENCE,
-    method: str = "auto",
+    method: str = "multinomial",
 ) -> DataFrame:
     """Point estimate and percentile interval of micro-F1 (or its difference) per unit.
 
@@ -135,9 +133,6 @@ def intervals(
         .agg(F.count(F.lit(1)).alias("n"), *_sums(cols))
         .select(*keys, "n", _statistic(cols).alias("point"))
     )
-    if method == "auto":
-        largest = point.agg(F.max("n")).first()[0] or 0
-        method = "draws" if largest * iterations <= DRAW_LIMIT else "multinomial"
     sample = {"draws": _draws, "multinomial": _multinomial}[method]
     tail = round((1.0 - confidence) / 2.0, 12)
     bounds = (
