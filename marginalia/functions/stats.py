@@ -27,7 +27,10 @@ def prf_columns(tp: Column, fp: Column, fn: Column) -> list[Column]:
     ]
 
 
-BINS = 4096
+# Steps of the approximate quantile grid, and the sketch's accuracy: its rank error is
+# a tenth of a step.
+STEPS = 1000
+ACCURACY = 10_000
 
 
 def values_at_ranks(
@@ -36,63 +39,41 @@ def values_at_ranks(
     """The values standing at given 0-based sorted positions of every group.
 
     ``ranks`` maps an output name to a function of the group size. Sorting a
-    whole group in one task is avoided: rows are counted into :data:`BINS`
-    equal-width bins, the bin holding each rank is found on those counts, and
-    only that bin's distinct values are ranked.
+    whole group in one task is avoided: an approximate quantile grid, whose error is
+    bounded whatever the distribution, brackets each rank between two values. Rows
+    below the bracket are only counted, and the few distinct values inside are ranked.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    low, high = F.col("__min"), F.col("__max")
-    span = rows.groupBy(*keys).agg(
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count(F.lit(1)).alias("__n")
+    grid = F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", grid, ACCURACY).alias("__grid")
     )
-    wanted = span.select(
-        *keys,
-        "__min",
-        "__max",
-        "__n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"), fn(F.col("__n")).cast("bigint").alias("rank")
-                    )
-                    for name, fn in ranks.items()
-                ]
-            )
-        ).alias("__w"),
-    )
-    part = (F.col("__v") - low) / (high - low)
-    bin_of = F.when(high > low, F.floor(part * (BINS - 1))).otherwise(F.lit(0)).cast("bigint")
-    binned = _join(rows, span, keys).select(*keys, "__v", bin_of.alias("__bin"))
-    counts = binned.groupBy(*keys, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    by_bin = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"))
-    upto = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
-    edges = by_bin.withColumn("__end", F.sum("__c").over(upto)).withColumn(
-        "__start", F.col("__end") - F.col("__c")
-    )
-    target = (
-        _join(edges, wanted.select(*keys, "__w"), keys)
-        .filter((F.col("__w.rank") >= F.col("__start")) & (F.col("__w.rank") < F.col("__end")))
-        .select(*keys, "__bin", F.col("__w.name").alias("__name"),
-                (F.col("__w.rank") - F.col("__start")).alias("__k"))
+    named = F.array(
+        *[F.struct(F.lit(name).alias("name"), fn(F.col("__n")).cast("bigint").alias("rank")) for name, fn in ranks.items()]
     )
-    inside = counts.join(
-        F.broadcast(target) if not keys else target, [*keys, "__bin"]
-    )
-    run = (
-        W.partitionBy(*keys, "__name").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    step = F.floor(F.col("__w.rank") / F.col("__n") * STEPS).cast("int")
+    wanted = sizes.filter("__n > 0").select(*keys, "__n", "__grid", F.explode(named).alias("__w")).select(
+        *keys,
+        F.col("__w.name").alias("__name"),
+        F.col("__w.rank").alias("__rank"),
+        F.get("__grid", F.greatest(step - 1, F.lit(0))).alias("__lo"),
+        F.get("__grid", F.least(step + 2, F.lit(STEPS))).alias("__hi"),
     )
+    met = _join(rows, wanted, keys).filter(F.col("__v") <= F.col("__hi"))
+    inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
+    counts = met.groupBy(*keys, "__name", "__rank", inside.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    # rows below the bracket have no value and come first
+    run = W.partitionBy(*keys, "__name").orderBy(F.asc_nulls_first("__v")).rowsBetween(W.unboundedPreceding, 0)
     picked = (
-        inside.withColumn("__end", F.sum("__c").over(run))
-        .filter(F.col("__end") > F.col("__k"))
+        counts.withColumn("__end", F.sum("__c").over(run))
+        .filter((F.col("__end") > F.col("__rank")) & F.col("__v").isNotNull())
         .groupBy(*keys, "__name")
         .agg(F.min("__v").alias("__v"))
     )
-    wide = picked.groupBy(*keys).agg(
+    return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks]
     )
-    return wide
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

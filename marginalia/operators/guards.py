@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.jsontext import is_array, is_object
 from marginalia.functions.text import words
-from marginalia.session import cut
 
 # ---- fixed values ------------------------------------------------------------
 SHINGLE = 8
@@ -29,15 +28,20 @@ DESCRIPTION_KEYS = (
 
 
 def shingles(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Distinct (key, hash, shingle) of every 8 consecutive normalised words."""
+    """Distinct (key, hash, check) of every 8 consecutive normalised words.
+
+    Two independent 64-bit hashes stand for the words, so no text moves.
+    """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(NORMAL_WORD), F.lit(0))
     rows = df.select(key, tokens.alias("tokens")).filter(F.size("tokens") >= SHINGLE)
     windows = F.transform(
         F.sequence(F.lit(1), F.size("tokens") - SHINGLE + 1),
         lambda i: F.array_join(F.slice("tokens", i, F.lit(SHINGLE)), " "),
     )
-    out = rows.select(key, F.explode(F.array_distinct(windows)).alias("shingle"))
-    return out.withColumn("hash", F.xxhash64("shingle"))
+    hashed = F.transform(
+        windows, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.xxhash64(F.lit("check"), w).alias("check"))
+    )
+    return rows.select(key, F.inline(F.array_distinct(hashed)))
 
 
 def contamination(texts: DataFrame, key: str, protected: DataFrame) -> DataFrame:
@@ -46,25 +50,25 @@ def contamination(texts: DataFrame, key: str, protected: DataFrame) -> DataFrame
     The protected side is reduced to its distinct shingles, so a passage copied
     many times still meets each text's shingle once.
     """
-    guarded = protected.select("hash", "shingle").distinct()
-    found = texts.join(guarded, ["hash", "shingle"], "left_semi")
+    guarded = protected.select("hash", "check").distinct()
+    found = texts.join(guarded, ["hash", "check"], "left_semi")
     return found.groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def long_strings(df: DataFrame, key: str, body: str) -> DataFrame:
     """Strings of more than 8 words anywhere in a JSON column: (key, field, words).
 
-    List items go under their list's field. Described fields may hold prose. One
-    pass per nesting level; the text itself is never carried out.
+    List items go under their list's field. Described fields may hold prose. What is
+    no JSON has no strings. Levels are narrow steps over the input: nothing is shuffled
+    or written, so no text leaves the place it is read in.
     """
     spark = df.sparkSession
     level = df.select(
         F.col(key).alias("id"), F.lit(None).cast("string").alias("field"),
-        F.parse_json(body).alias("node"),
+        F.try_parse_json(body).alias("node"),
     )
     found = []
     while True:
-        level = cut(level)
         text = F.try_variant_get("node", "$", "string")
         stringy = F.schema_of_variant("node") == "STRING"
         n = F.size(words(text))
@@ -78,10 +82,10 @@ def long_strings(df: DataFrame, key: str, body: str) -> DataFrame:
         nested = level.filter(is_object(F.col("node")) | is_array(F.col("node")))
         if nested.isEmpty():
             break
-        nested.createOrReplaceTempView("__nested")
         level = spark.sql(
             "SELECT id, coalesce(e.key, field) AS field, e.value AS node "
-            "FROM __nested, LATERAL variant_explode(node) e"
+            "FROM {nested}, LATERAL variant_explode(node) e",
+            nested=nested,
         )
     out = found[0]
     for part in found[1:]:

@@ -107,8 +107,8 @@ def document_scores(
         pairs = cut(match(docs, gold, pred, systems, criteria))
     one, none = F.lit(1), F.lit(0)
 
-    # items go in unsummed: a document's items lie together, so the partial sums
-    # of the one aggregate below take them up before anything is exchanged
+    # items are counted per document and label before they are spread over systems,
+    # criteria and labels
     any_label = F.explode(F.array(F.lit("*"), F.col("what")))
     rel_label = F.explode(
         F.when(F.col("typed"), F.array(F.lit("*"), F.col("what"))).otherwise(F.array(F.lit("*")))
@@ -116,7 +116,8 @@ def document_scores(
 
     def items(df: DataFrame, label: Column, every: Sequence | None) -> DataFrame:
         keys = ["doc_id"] if every is not None else ["system_id", "doc_id"]
-        return _spread(df.select(*keys, label.alias("what")), every, criteria, sys_type)
+        tally = df.groupBy(*keys, label.alias("what")).agg(F.count(F.lit(1)).alias("items"))
+        return _spread(tally, every, criteria, sys_type)
 
     g = items(gold, _type_label("ctype"), systems)
     p = items(pred, _type_label("ctype"), None)
@@ -126,18 +127,18 @@ def document_scores(
     edge_label = F.explode(
         F.when(F.col("rkey") == "*", F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.col("rkey")))
     )
-    hits = F.col("hits")
+    hits, many = F.col("hits"), F.col("items")
     base = _spread(ids, systems, criteria, sys_type)
     parts = [
         _part(base, "components", F.lit("*"), none, none, none),
         _part(base, "relations", F.lit("*"), none, none, none),
-        _part(g.withColumn("l", any_label), "components", F.col("l"), none, none, one),
-        _part(p.withColumn("l", any_label), "components", F.col("l"), none, one, none),
+        _part(g.withColumn("l", any_label), "components", F.col("l"), none, none, many),
+        _part(p.withColumn("l", any_label), "components", F.col("l"), none, many, none),
         _part(pairs, "components", F.lit("*"), one, -one, -one),
         _part(pairs, "components", _type_label("g_type"), one, none, -one),
         _part(pairs, "components", _type_label("p_type"), none, -one, none),
-        _part(gr.withColumn("l", rel_label), "relations", F.col("l"), none, none, one),
-        _part(pr.withColumn("l", rel_label), "relations", F.col("l"), none, one, none),
+        _part(gr.withColumn("l", rel_label), "relations", F.col("l"), none, none, many),
+        _part(pr.withColumn("l", rel_label), "relations", F.col("l"), none, many, none),
         _part(edges.withColumn("l", edge_label), "relations", F.col("l"), hits, -hits, -hits),
     ]
     table = parts[0]
