@@ -279,8 +279,8 @@ def b4_untyped_corpus_gate(spark: SparkSession, sf: str) -> DataFrame:
       ELSE (least(g.hi, p.hi) - greatest(g.lo, p.lo))::DOUBLE / (greatest(g.hi, p.hi) - least(g.lo, p.lo))::DOUBLE END AS ratio,
     CASE WHEN g.hi = g.lo AND p.hi = p.lo THEN 1.0::DOUBLE WHEN least(g.hi, p.hi) <= greatest(g.lo, p.lo) THEN 0.0::DOUBLE
       ELSE (least(g.hi, p.hi) - greatest(g.lo, p.lo))::DOUBLE / (g.hi - g.lo)::DOUBLE END AS recall
-  FROM (SELECT * FROM fx_span WHERE side = 'g') g JOIN (SELECT * FROM fx_span WHERE side = 'p') p
-    ON g.doc_id = p.doc_id AND g.idx = p.idx // 2)""",
+  FROM (SELECT * FROM fx_span WHERE side = 'g') g JOIN (SELECT *, idx // 2 AS made_from FROM fx_span WHERE side = 'p') p
+    ON g.doc_id = p.doc_id AND g.idx = p.made_from)""",
     ("fx_span",),
 )
 def h1_overlap_ratio(spark: SparkSession, sf: str) -> DataFrame:

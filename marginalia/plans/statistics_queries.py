@@ -96,6 +96,25 @@ _interval("fx_l", "system_id, kind, label", _f1(), "fx_labelled")
 _with_sums("fx_labelled", ONE)
 
 
+CTE["fx_every"] = (("fx_scores",), "SELECT system_id, criterion, kind, label, doc_id, tp, fp, fn FROM fx_scores")
+_draw_ctes("fx_e", "fx_every", "system_id, criterion, kind, label", ONE)
+_interval("fx_e", "system_id, criterion, kind, label", _f1(), "fx_every_interval")
+_with_sums("fx_every_interval", ONE)
+
+
+@query(
+    "d3_report_with_intervals",
+    """SELECT r.*, i.n AS documents, i.ci_low, i.ci_high FROM fx_report r JOIN fx_every_interval i USING (system_id, criterion, kind, label)""",
+    ("fx_report", "fx_every_interval"),
+)
+def d3_report_with_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Every criterion and kind, overall and by type, with its counts and its interval."""
+    keys = ["system_id", "criterion", "kind", "label"]
+    rows = cut(scores(spark, sf))
+    bounds = rs.intervals(rows, keys, **DRAWS).select(*keys, F.col("n").alias("documents"), "ci_low", "ci_high")
+    return s.corpus_scores(rows).join(bounds, keys)
+
+
 def overall(spark: SparkSession, sf: str, criteria=None) -> DataFrame:
     rows = scores(spark, sf) if criteria is None else scores(spark, sf, criteria)
     return rows.filter(F.col("label") == "*")
