@@ -15,7 +15,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import shaping as sh
 from marginalia.plans.answer_queries import _gold_text
 from marginalia.plans.registry import query
-from marginalia.plans.shaping_queries import SYSTEM, _graphs
+from marginalia.plans.shaping_queries import PROMPT_SQL, SYSTEM, _graphs
 from marginalia.session import scratch_path
 from marginalia.sources import arggraph as ag
 from marginalia.sources import files, standoff
@@ -336,16 +336,99 @@ def a12_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return files.batched_throughput(files.read_generations(spark, path))
 
 
+@query(
+    "a13_report_sink",
+    "SELECT lang, source, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang, source",
+)
+def a13_report_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """A long-form report written and read back."""
+    path = scratch_path(spark, "report")
+    report = fx.table(spark, sf, "documents").groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars")
+    )
+    files.write_report(report, path)
+    return spark.read.schema(report.schema).parquet(path)
+
+
+@query(
+    "a14_report_scan",
+    """SELECT source AS model, 'exact/untyped' AS criterion, 'scored' AS status, unnest(['components', 'relations']) AS kind,
+  unnest([count(*) / 65536.0::DOUBLE, sum(n_chars % 7) / 65536.0::DOUBLE]) AS point FROM documents GROUP BY source
+UNION ALL SELECT source, 'exact/typed', 'not_applicable', unnest(['components', 'relations']), NULL FROM documents GROUP BY source""",
+)
+def a14_report_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """One report file per source, some criteria of which do not apply."""
+    path = scratch_path(spark, "reports")
+
+    def part(value, name):
+        return F.struct(F.struct(value.alias("point")).alias("f1_ci")).alias(name)
+
+    figures = fx.table(spark, sf, "documents").groupBy("source").agg(
+        (F.count(F.lit(1)) / F.lit(65536.0)).alias("c"), (F.sum(F.col("n_chars") % 7) / F.lit(65536.0)).alias("r")
+    )
+    scores = F.struct(
+        F.struct(F.lit("not_applicable").alias("status")).alias("exact/typed"),
+        F.struct(part(F.col("c"), "components"), part(F.col("r"), "relations")).alias("exact/untyped"),
+    )
+    body = F.to_json(F.struct(F.col("source").alias("model"), scores.alias("scores")))
+    figures.select(F.col("source").alias("file"), body.alias("value")).write.partitionBy("file").text(path)
+    return files.read_report(spark, path).select("model", "criterion", "status", "kind", "point")
+
+
+@query(
+    "a15_load_test_scan",
+    """SELECT event_type AS level, count(*) AS requests, count(*) FILTER (event_id % 9 = 0) AS failures,
+  round_even(max(event_id % 1000) / 1000.0::DOUBLE, 3) AS p50_s, round_even(max(event_id % 700) / 1000.0::DOUBLE, 3) AS p95_s,
+  0.0::DOUBLE AS p99_s FROM events GROUP BY event_type""",
+)
+def a15_load_test_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """One statistics file per load level; a figure that is no number counts as 0."""
+    path = scratch_path(spark, "load")
+    e = F.col("event_id")
+    rows = fx.table(spark, sf, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("Request Count"), F.count_if(e % 9 == 0).alias("Failure Count"),
+        F.max(e % 1000).alias("50%"), F.max(e % 700).alias("95%"),
+    )
+    both = rows.select(
+        F.col("event_type").alias("level"), F.explode(F.array(F.lit("/x"), F.lit("Aggregated"))).alias("Name"),
+        "Request Count", "Failure Count", F.lit(1.5).alias("Requests/s"), "50%", "95%", F.lit("N/A").alias("99%"),
+        F.lit(1).alias("Average Response Time"), F.lit(2).alias("Max Response Time"),
+    )
+    both.write.option("header", True).partitionBy("level").csv(path)
+    levels = [r[0] for r in rows.select("event_type").collect()]  # one per kind of event
+    found = [files.read_load_test(spark, f"{path}/level={x}").withColumn("level", F.lit(x)) for x in levels]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("level", "requests", "failures", "p50_s", "p95_s", "p99_s")
+
+
+@query(
+    "a16_exemplar_files",
+    "SELECT doc_id::VARCHAR AS doc_id, source, sha256(text) AS text, lang AS graph FROM documents",
+)
+def a16_exemplar_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Exemplars written and read back; a place without any gives none."""
+    path = scratch_path(spark, "exemplars")
+    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text", F.col("lang").alias("graph"))
+    files.write_exemplars(rows, path)
+    read = files.read_exemplars(spark, path).unionByName(files.read_exemplars(spark, f"{path}-absent"))
+    return read.withColumn("text", F.sha2("text", 256))
+
+
 @query(
     "a17_chat_lines",
-    "SELECT doc_id, 3 AS turns FROM documents",
+    f"""SELECT doc_id, 3 AS turns, unnest(['system', 'user', 'assistant']) AS role,
+  unnest([sha256('{SYSTEM}'), sha256({PROMPT_SQL}), sha256(graph)]) AS content FROM fx_graph""",
+    ("fx_graph",),
 )
 def a17_chat_lines(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "chat")
     chat = sh.messages(F.col("text"), F.to_json("graph"), SYSTEM)
     files.write_chat(_graphs(spark, sf).select("doc_id", chat.alias("messages")), path)
     back = spark.read.schema("doc_id bigint, messages array<struct<role:string,content:string>>").json(path)
-    return back.select("doc_id", F.size("messages").cast("bigint").alias("turns"))
+    turns = F.size("messages").cast("bigint").alias("turns")
+    return back.select("doc_id", turns, F.inline("messages")).withColumn("content", F.sha2("content", 256))
 
 
 # ---- argument graphs ----------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,14 +111,17 @@ def last_per_document(rows: DataFrame, order: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, folder: str, stem: str) -> DataFrame:
-    """Predictions of the newest file beginning with ``stem``; the last line of a document wins."""
-    lines = spark.read.text(f"{folder}/{stem}*.jsonl").select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_modification_time").alias("written"),
-        F.monotonically_increasing_id().alias("line"),
+    """Predictions of the newest file beginning with ``stem``; the last line of a document wins.
+
+    The newest file is found in the listing, by time and name, and read alone. Lines are
+    ordered by the place where Spark's reader met them in that file.
+    """
+    listing = spark.read.format("binaryFile").load(f"{folder}/{stem}*.jsonl").select("path", "modificationTime")
+    newest = listing.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first().path
+    lines = spark.read.text(newest).select(
+        "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line")
     )
-    newest = lines.agg(F.max_by("file", F.struct("written", "file"))).scalar()
-    rows = lines.filter((F.col("file") == newest) & (F.trim("value") != ""))
+    rows = lines.filter(F.trim("value") != "")
     parsed = rows.select(F.from_json("value", schemas.PREDICTION, {"mode": "FAILFAST"}).alias("r"), "line")
     return last_per_document(parsed.select("r.*", "line"), "line").drop("line")
 
@@ -198,6 +202,17 @@ def write_exemplars(exemplars: DataFrame, path: str) -> None:
     exemplars.select("doc_id", "source", "text", "graph").write.mode("error").json(path)
 
 
+def read_exemplars(spark: SparkSession, path: str) -> DataFrame:
+    """Exemplars as written; none where nothing was ever written."""
+    schema = "doc_id string, source string, text string, graph string"
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def write_chat(records: DataFrame, path: str) -> None:
     """Chat records as JSON lines: (doc_id, messages)."""
     records.select(F.to_json(F.struct("doc_id", "messages")).alias("value")).write.mode("error").text(path)
