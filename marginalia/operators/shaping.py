@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,8 +187,14 @@ def conforms(graph: Column) -> Column:
     )
 
 
-def dataset_summary(docs: DataFrame, components: DataFrame, relations: DataFrame) -> DataFrame:
-    """Counts only, long form: (measure, what, value)."""
+def dataset_summary(
+    docs: DataFrame, components: DataFrame, relations: DataFrame, meta: Sequence[str] = ()
+) -> DataFrame:
+    """Counts only, long form: (measure, what, value).
+
+    ``meta`` names columns of ``docs`` whose values are counted. Stances are counted
+    where ``components`` has a column of that name; a component without one is left out.
+    """
     n = F.count(F.lit(1)).cast("double").alias("value")
 
     def counted(df: DataFrame, measure: str, col: Column) -> DataFrame:
@@ -198,13 +207,19 @@ def dataset_summary(docs: DataFrame, components: DataFrame, relations: DataFrame
     ).unpivot([], ["documents", "mean_chars", "max_chars"], "measure", "value")
     label = F.coalesce("ctype", F.lit("untyped"))
     typed = components.agg(F.max(F.col("ctype").isNotNull().cast("int")).cast("double").alias("value"))
-    return (
-        chars.select("measure", F.lit("*").alias("what"), "value")
+    whole = F.lit("*")
+    more = [counted(components, "components", whole), counted(relations, "relations", whole)]
+    if "stance" in components.columns:
+        more.append(counted(components.filter("stance IS NOT NULL"), "stances", F.col("stance")))
+    more += [counted(docs, f"meta_{m}", F.coalesce(F.col(m).cast("string"), F.lit("absent"))) for m in meta]
+    base = (
+        chars.select("measure", whole.alias("what"), "value")
         .unionByName(counted(docs, "by_split", F.col("split")))
         .unionByName(counted(components, "components_by_type", label))
         .unionByName(counted(relations, "relations_by_type", F.col("rtype")))
-        .unionByName(typed.select(F.lit("typed_components").alias("measure"), F.lit("*").alias("what"), "value"))
+        .unionByName(typed.select(F.lit("typed_components").alias("measure"), whole.alias("what"), "value"))
     )
+    return reduce(DataFrame.unionByName, more, base)
 
 
 def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -179,11 +179,17 @@ UNION ALL SELECT 'mean_chars', '*', round_even(avg(length(text)), 1) FROM fx_doc
 UNION ALL SELECT 'by_split', split, count(*)::DOUBLE FROM fx_docs GROUP BY split
 UNION ALL SELECT 'components_by_type', ctype, count(*)::DOUBLE FROM fx_gold GROUP BY ctype
 UNION ALL SELECT 'relations_by_type', rtype, count(*)::DOUBLE FROM fx_gold_rel GROUP BY rtype
+UNION ALL SELECT 'components', '*', count(*)::DOUBLE FROM fx_gold UNION ALL SELECT 'relations', '*', count(*)::DOUBLE FROM fx_gold_rel
+UNION ALL SELECT 'stances', CASE WHEN idx % 2 = 0 THEN 'For' ELSE 'Against' END, count(*)::DOUBLE FROM fx_gold WHERE ctype = 'Claim' GROUP BY idx % 2
+UNION ALL SELECT 'meta_lang', lang, count(*)::DOUBLE FROM fx_docs GROUP BY lang
+UNION ALL SELECT 'meta_source', source, count(*)::DOUBLE FROM fx_docs GROUP BY source
 UNION ALL SELECT 'typed_components', '*', 1.0::DOUBLE""",
     ("fx_docs", "fx_gold_rel"),
 )
 def d4_dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return sh.dataset_summary(fx.docs(spark, sf), fx.gold(spark, sf), fx.gold_rel(spark, sf))
+    side = F.when(F.col("idx") % 2 == 0, "For").otherwise("Against")
+    gold = fx.gold(spark, sf).withColumn("stance", F.when(F.col("ctype") == "Claim", side))
+    return sh.dataset_summary(fx.docs(spark, sf), gold, fx.gold_rel(spark, sf), ("lang", "source"))
 
 
 @query(
