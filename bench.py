@@ -43,6 +43,7 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]",
         spark_sql_shuffle_partitions=cpus,
+        spark_marginalia_spread=cpus,
         spark_driver_memory="16g",
         spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false",

@@ -76,6 +76,7 @@ def main() -> int:
     spark = build_session(
         "local[8]",
         spark_sql_shuffle_partitions="8",
+        spark_marginalia_spread="8",
         spark_driver_memory="16g",
         spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false",
