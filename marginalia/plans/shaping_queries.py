@@ -287,17 +287,26 @@ def e5_validation_carve(spark: SparkSession, sf: str) -> DataFrame:
     return sh.carve_validation(_train_sizes(spark, sf))
 
 
-@query(
-    "e6_exemplar_pick",
+CTE["fx_picked"] = (
+    ("fx_sizes",),
     """SELECT doc_id, n_components FROM (SELECT *, row_number() OVER (ORDER BY n_components, doc_id) - 1 AS pos, count(*) OVER () AS n FROM fx_sizes WHERE n_components > 0)
 WHERE pos >= n // 4 AND pos < 3 * n // 4 ORDER BY md5(concat_ws('-', 17, doc_id)), doc_id LIMIT 3""",
-    ("fx_sizes",),
 )
+
+
+@query("e6_exemplar_pick", "SELECT * FROM fx_picked", ("fx_picked",))
 def e6_exemplar_pick(spark: SparkSession, sf: str) -> DataFrame:
     return sh.pick_exemplars(_train_sizes(spark, sf))
 
 
-@query("h5_prompt_fingerprint")
+@query(
+    "h5_prompt_fingerprint",
+    f"""SELECT concat('v2-', substr(sha256(to_json({{'version': 'v2', 'system': '{SYSTEM}',
+  'turns': list({{'doc_id': doc_id, 'turn': turn, 'role': role, 'content': content}} ORDER BY doc_id, turn)}})::VARCHAR), 1, 16)) AS fingerprint
+FROM (SELECT doc_id, unnest([0, 1]) AS turn, unnest(['user', 'assistant']) AS role, unnest([{PROMPT_SQL}, graph]) AS content
+  FROM fx_graph JOIN fx_picked USING (doc_id))""",
+    ("fx_graph", "fx_picked"),
+)
 def h5_prompt_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """The fingerprint of the prompt rendered with the picked exemplars."""
     chosen = sh.pick_exemplars(_train_sizes(spark, sf)).select("doc_id")
