@@ -1,11 +1,14 @@
 """Links and components of documents whose shingle sets have a large Jaccard similarity.
 
 Exact copies share a class; only classes are compared. Shingles are ordered from
-rare to frequent by a count sketch of fixed size. A class indexes a prefix of its
+rare to frequent: first by a count sketch of shingles met several times, then by the
+frequency of their words, both in tables of fixed size. A class indexes a prefix of its
 ordered set. Where the prefix needs p tokens to share one with every similar set,
 p + l - 1 tokens share at least l; each class takes the l of least estimated cost
 (index entries read plus candidates left), and a pair is verified only if its
-prefixes share as many tokens as the smaller l of both.
+prefixes share as many tokens as the smaller l of both, and if their number and the
+tokens behind the last of them can still reach the similarity asked for. All that is
+known from the index entries, so sets move for pairs that pass only.
 
 Groups of near copies would propose all their pairs. So the members of an index
 entry are first compared with one pivot, the member whose shingles are the most
@@ -26,14 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import arrow_map, cut, mix, texts, word_bytes
+from marginalia.llm.common import arrow_map, cut, mix, texts
 from marginalia.llm.components import components
 
-REMEMBERED = 200_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -45,31 +46,82 @@ class Settings:
     most_shared: int = 4
     verify_cost: float = 8.0
     sketch_bits: int = 20
+    word_bits: int = 18
     filter_bits: int = 24
-    star_rounds: int = 6
+    star_rounds: int = 3
+
 
+class WordHashes:
+    """64-bit hashes of all words of a text at once: polynomials over its bytes.
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+    A byte stands for a random number; sums over prefixes give any stretch between two
+    positions, times an inverse power that takes it back to position 0.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    def __init__(self) -> None:
+        rng = np.random.default_rng(20)
+        self.value = rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
+        self.base = (int(rng.integers(0, 2**62, dtype=np.uint64)) * 4 + 3) % 2**64
+        self.space = np.zeros(256, np.uint8)
+        self.space[[9, 10, 11, 12, 13, 32]] = 1
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        up = np.full(n, self.base, np.uint64)
+        down = np.full(n, pow(self.base, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    def of(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+        n = len(raw)
+        if n > len(self.up):
+            self._powers(2 * n)
+        edges = np.ones(n + 2, np.uint8)
+        edges[1:-1] = self.space[raw]
+        at = np.flatnonzero(edges[1:] != edges[:-1])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[raw] * self.up[:n], out=sums[1:])
+        return mix((sums[at[1::2]] - sums[at[::2]]) * self.down[at[::2]])
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k``-word windows over word hashes; all words as one where there are fewer."""
+    n, k = max(1, len(h) - k + 1), min(k, len(h))
+    out = np.full(n, k, np.uint64)
+    for j in range(k):  # word hashes are random, an odd factor keeps their order apart
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return mix(out)
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct windows."""
+    if not len(h):
         return h
+    out = np.sort(windows(h, k))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the ``k``-word shingles; all words as one where there are fewer."""
-    words = word_bytes(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, len(h) if len(h) < k else k, np.uint64)
-    for j in range(min(k, len(h))):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+@dataclass(frozen=True)
+class Rarity:
+    """Counts of repeated shingles, and the log share of words, by the low bits of a hash."""
+
+    repeated: np.ndarray
+    log_share: np.ndarray
+    words: int
+
+    def ordered(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct windows from rare to frequent, and how many texts are expected to have each."""
+        x = windows(h, k)
+        share = self.log_share[(h & np.uint64(len(self.log_share) - 1)).astype(np.int64)]
+        rare = np.zeros(len(x), np.float32)
+        for j in range(min(k, len(h))):  # the same sum wherever a window stands
+            rare += share[j : j + len(x)]
+        c = self.repeated[(x & np.uint64(len(self.repeated) - 1)).astype(np.int64)]
+        order = np.lexsort((x, rare, c))
+        x = x[order]
+        order = order[np.concatenate(([True], x[1:] != x[:-1]))]
+        return windows(h, k)[order], c[order] + self.words * np.exp(rare[order].astype(np.float64))
 
 
 def signature(s: np.ndarray) -> int:
@@ -83,27 +135,30 @@ def required(n: int, s: Settings) -> int:
 
 
 def _hash_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, cid, n`` of every row, and one row (null ``n``) per task with its sketch."""
+    """``doc_id, text_hash, cid, n`` of every row, and one row (null ``n``) per task with its sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        names = ["doc_id", "text_hash", "cid", "n", "at", "count"]
         size = 1 << s.sketch_bits
-        waiting, held, seen = [], 0, set()
-        total = np.zeros(size, np.int64)
+        waiting, heard, held, seen = [], [], 0, set()
+        total, words = np.zeros(size, np.int64), np.zeros(1 << s.word_bits, np.int64)
 
         def flush() -> None:
             # shingles that occur once among some thousand texts say nothing on frequency
-            nonlocal waiting, held
+            nonlocal waiting, heard, held, words
             if waiting:
+                words += np.bincount(np.concatenate(heard).astype(np.int64), minlength=len(words))
                 v, c = np.unique(np.concatenate(waiting), return_counts=True)
                 v, c = v[c > 1], c[c > 1]
                 np.add.at(total, (v & np.uint64(size - 1)).astype(np.int64), c)
-                waiting, held = [], 0
+                waiting, heard, held = [], [], 0
 
         for b in batches:
             cid, n = [], []
             for t in texts(b.column("text")):
-                x = shingles(t, s.words, hashes)
+                h = hashes.of(t)
+                x = shingles(h, s.words)
                 sig = signature(x)
                 cid.append(sig)
                 n.append(len(x))
@@ -112,29 +167,29 @@ def _hash_sets(docs: DataFrame, s: Settings) -> DataFrame:
                         seen.clear()
                     seen.add(sig)
                     waiting.append(x)
+                    heard.append(h & np.uint64(len(words) - 1))
                     held += len(x)
                     if held > 3_000_000:
                         flush()
             none = pa.nulls(len(n), pa.list_(pa.int32()))
-            cols = [b.column("doc_id"), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), none, none]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cid", "n", "at", "count"])
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), none, none]
+            yield pa.RecordBatch.from_arrays(cols, names)
         flush()
-        at = np.flatnonzero(total)
+        both = np.r_[total, words]  # words follow the shingles
+        at = np.flatnonzero(both)
         cols = [
-            pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.int64()),
-            pa.nulls(1, pa.int64()),
+            *[pa.nulls(1, pa.int64())] * 4,
             pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([np.minimum(total[at], 2**31 - 1).astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([np.minimum(both[at], 2**31 - 1).astype(np.int32)], pa.list_(pa.int32())),
         ]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cid", "n", "at", "count"])
+        yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return cut(arrow_map(rows, work, "doc_id long, cid long, n long, at array<int>, count array<int>"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return cut(arrow_map(rows, work, "doc_id long, text_hash long, cid long, n long, at array<int>, count array<int>"))
 
 
-def _sketch(hashed: DataFrame, s: Settings) -> np.ndarray:
-    """Counts of frequent shingles by the low bits of their hash: 4 bytes times 2^``sketch_bits``."""
+def _rarity(hashed: DataFrame, s: Settings) -> Rarity:
+    """The tables of all tasks added up: 2^``sketch_bits`` + 2^``word_bits`` numbers."""
     found = (
         hashed.filter("n is null")
         .select(F.explode(F.arrays_zip("at", "count")).alias("x"))
@@ -142,9 +197,12 @@ def _sketch(hashed: DataFrame, s: Settings) -> np.ndarray:
         .agg(F.sum("x.count").alias("c"))
         .toArrow()
     )
-    out = np.zeros(1 << s.sketch_bits, np.int32)
-    out[found.column("at").to_numpy()] = np.minimum(found.column("c").to_numpy(), 2**31 - 1)
-    return out
+    size = 1 << s.sketch_bits
+    both = np.zeros(size + (1 << s.word_bits))
+    both[found.column("at").to_numpy()] = found.column("c").to_numpy()
+    words = both[size:]
+    share = np.log((words + 1) / (words.sum() + len(words)))
+    return Rarity(np.minimum(both[:size], 2**31 - 1).astype(np.int32), share.astype(np.float32), int(words.sum()))
 
 
 def choose(counts: np.ndarray, n: int, s: Settings) -> int:
@@ -160,52 +218,61 @@ def choose(counts: np.ndarray, n: int, s: Settings) -> int:
     return best
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, s: Settings) -> DataFrame:
-    """One row per class: ``cid, n, shared, central, prefix`` (tokens from rare to frequent)."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+def _index(docs: DataFrame, rarity: Rarity, s: Settings) -> DataFrame:
+    """Entries ``token, cid, n, shared, central, pos`` of tokens that several classes have.
+
+    ``pos`` counts from 1 in the order from rare to frequent.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table, seen = WordHashes(), sent.value, set()
-        mask = np.uint64(len(table) - 1)
+        hashes, known, seen = WordHashes(), sent.value, set()
         for b in batches:
             rows = []
             for t in texts(b.column("text")):
-                x = shingles(t, s.words, hashes)
-                if not len(x):
+                h = hashes.of(t)
+                if not len(h):
                     continue
-                cid = signature(x)
+                cid = signature(shingles(h, s.words))
                 if cid in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(cid)
-                c = table[(x & mask).astype(np.int64)]
-                order = np.lexsort((x, c))
-                x, c = x[order], c[order]
+                x, c = known.ordered(h, s.words)
                 n = len(x)
                 l = choose(c, n, s)
                 rows.append((cid, n, l, float(np.log1p(c).mean()), x[: n - required(n, s) + l].view(np.int64)))
             cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.list_(pa.int64()))
             names = ["cid", "n", "shared", "central", "prefix"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
-    rows = arrow_map(docs.select("text"), work, "cid long, n long, shared int, central double, prefix array<long>")
-    return cut(rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "shared", "central", "prefix"))))
+    rows = arrow_map(docs.select("text"), work, "cid long, n int, shared int, central float, prefix array<long>")
+    # one row per class: tasks have seen to their own copies
+    rows = rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "shared", "central", "prefix")))
+    entries = rows.select("cid", "n", "shared", "central", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    entries = cut(entries)
+    common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    return cut(entries.join(common, "token"))
 
 
-def _needed_sets(docs: DataFrame, cids: DataFrame, s: Settings) -> DataFrame:
-    """``cid, items`` of the classes in ``cids``.
+def _needed_sets(docs: DataFrame, cids: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """``cid, items`` of the classes in ``cids``, each read from one of its texts.
 
-    A bit table of fixed size lets tasks skip most other texts; the join is exact.
+    A bit table of fixed size over hashes of these texts lets tasks skip most others;
+    the join on the class is exact.
     """
-    slot = F.col("cid").bitwiseAND(F.lit((1 << s.filter_bits) - 1).cast("long"))
+    slot = F.col("text_hash").bitwiseAND(F.lit((1 << s.filter_bits) - 1).cast("long"))
     found = (
-        cids.select(slot.alias("h"))
+        rows.join(cids, "cid", "left_semi")
+        .groupBy("cid")
+        .agg(F.min("text_hash").alias("text_hash"))
+        .select(slot.alias("h"))
         .groupBy(F.shiftright("h", 5).cast("int").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
         .toArrow()
-    )
+    )  # 2^filter_bits / 32 rows at most
     table = np.zeros(1 << (s.filter_bits - 5), np.uint32)
     table[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -213,14 +280,13 @@ def _needed_sets(docs: DataFrame, cids: DataFrame, s: Settings) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits, seen = WordHashes(), sent.value, set()
         for b in batches:
+            h = b.column("text_hash").to_numpy() & ((1 << s.filter_bits) - 1)
+            hit = np.flatnonzero(bits[h >> 5] >> (h & 31).astype(np.uint32) & np.uint32(1))
             cid, items = [], []
-            for t in texts(b.column("text")):
-                x = shingles(t, s.words, hashes)
-                if not len(x):
-                    continue
+            for t in texts(b.column("text").take(pa.array(hit))):
+                x = shingles(hashes.of(t), s.words)
                 c = signature(x)
-                h = c & ((1 << s.filter_bits) - 1)
-                if bits[h >> 5] >> np.uint32(h & 31) & np.uint32(1) and c not in seen:
+                if len(x) and c not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(c)
@@ -228,80 +294,109 @@ def _needed_sets(docs: DataFrame, cids: DataFrame, s: Settings) -> DataFrame:
                     items.append(x.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["cid", "items"])
 
-    rows = arrow_map(docs.select("text"), work, "cid long, items array<long>")
-    return rows.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("items").alias("items"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link."""
-    side = lambda c: classes.select(F.col("cid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "shared", "prefix")))
-    both = F.array_intersect("a_prefix", "b_prefix")
-    last = F.element_at("both", -1)
-    rest = lambda c: F.col(f"{c}_n") - F.array_position(f"{c}_prefix", last)
-    enough = lambda inter: (s.den + s.num) * inter >= s.num * (F.col("a_n") + F.col("b_n"))
-    likely = cut(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter((s.den * F.least("a_n", "b_n") >= s.num * F.greatest("a_n", "b_n")))
-        .withColumn("both", both)
-        .filter(F.size("both") >= F.least("a_shared", "b_shared"))
-        .filter(enough(F.size("both") + F.least(rest("a"), rest("b"))))
-        .select("a", "b", "a_n", "b_n")
+    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    sets = arrow_map(hashed, work, "cid long, items array<long>")
+    return cut(sets.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("items").alias("items")))
+
+
+def _enough(inter: Column, s: Settings) -> Column:
+    return (s.den + s.num) * inter >= s.num * (F.col("a_n") + F.col("b_n"))
+
+
+def _likely(met: DataFrame, s: Settings) -> DataFrame:
+    """Pairs ``a, b, a_n, b_n, pivot`` whose shared entries allow a link; ``met``: a row per pair and token."""
+    return (
+        met.filter(s.den * F.least("a_n", "b_n") >= s.num * F.greatest("a_n", "b_n"))
+        # at a shared token: those up to it, and those behind it
+        .filter(_enough(F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")), s))
+        .groupBy("a", "b", "a_n", "b_n", F.least("a_shared", "b_shared").alias("ask"))
+        .agg(
+            F.count(F.lit(1)).alias("k"), F.max("a_pos").alias("a_last"), F.max("b_pos").alias("b_last"),
+            F.min("pivot").alias("pivot"),
+        )
+        .filter(F.col("k") >= F.col("ask"))
+        .filter(_enough(F.col("k") + F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")), s))
+        .select("a", "b", "a_n", "b_n", "pivot")
     )
-    ids = cut(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    sets = cut(_needed_sets(docs, ids, s))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     x, y = sets.toDF("a", "a_items"), sets.toDF("b", "b_items")
     inter = F.size(F.array_intersect("a_items", "b_items"))
-    return likely.join(x, "a").join(y, "b").filter(enough(inter)).select("a", "b")
+    return cut(pairs.join(x, "a").join(y, "b").filter(_enough(inter, s)).select("a", "b", "pivot"))
+
 
+def _side(entries: DataFrame, name: str) -> DataFrame:
+    return entries.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("cid", "n", "shared", "pos", "component")))
 
-def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+
+def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
     """Rows ``doc_id, cid, n``, and ``cid, component`` of classes with links to others."""
     hashed = _hash_sets(docs, s)
-    classes = _prefixes(docs, _sketch(hashed, s), s)
-    entries = classes.select("cid", "central", F.explode("prefix").alias("token"))
-    common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    index = cut(entries.join(common, "token"))
-    links, label = None, None
+    rows = hashed.filter("n is not null").select("doc_id", "text_hash", "cid", "n")
+    index = _index(docs, _rarity(hashed, s), s)
+    links = tried = label = sets = None
     for k in range(s.star_rounds + 1):
-        member = index.withColumn("component", F.col("cid")) if label is None else (
-            index.join(label.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        )
-        split = (
-            member.groupBy("token", "component")
-            .agg(F.count(F.lit(1)).alias("k"))
-            .groupBy("token")
-            .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("parts"))
-            .filter("parts > 1")
-        )
-        left, entries_left = split.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.sum("k")).first()
-        if not left:
-            break
-        member = cut(member.join(split.select("token"), "token"))
-        if left <= 2 * entries_left or k == s.star_rounds:
-            pairs = (
-                member.select("token", F.col("cid").alias("a"), F.col("component").alias("ca"))
-                .join(member.select("token", F.col("cid").alias("b"), F.col("component").alias("cb")), "token")
-                .filter("a < b and ca <> cb")
+        if label is None:
+            member = index.withColumn("component", F.col("cid"))
+            done = False
+        else:
+            named = index.join(label.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+            named = cut(named)
+            split = (
+                named.groupBy("token", "component")
+                .agg(F.count(F.lit(1)).alias("k"))
+                .groupBy("token")
+                .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("parts"))
+                .filter("parts > 1")
             )
-            done = True
+            left, entries_left = split.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.sum("k")).first()
+            if not left:
+                break
+            member = cut(named.join(split.select("token"), "token"))
+            done = left <= 2 * entries_left or k == s.star_rounds
+        if done:
+            met = _side(member, "a").join(_side(member, "b"), "token").filter("a_cid < b_cid and a_component <> b_component")
+            met = met.withColumn("pivot", F.col("a_cid"))
         else:
             # the first rounds take the most central member, later ones any other
-            weight = F.col("central") if k < 2 else F.xxhash64("cid", F.lit(k)).cast("double")
-            smallest = "component" if k % 2 else "cid"
-            pivot = member.groupBy("token").agg(F.max_by(F.struct("cid", "component"), F.struct(weight, smallest)).alias("p"))
-            pairs = (
-                member.join(pivot, "token")
-                .filter("p.component <> component")
-                .select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-            )
-            done = False
-        found = cut(_verified(docs, pairs.select("a", "b").distinct(), classes, s))
-        links = found if links is None else links.unionByName(found)
-        label = cut(components(links))
+            weight = F.col("central").cast("double") if k < 2 else F.xxhash64("cid", F.lit(k)).cast("double")
+            pick = F.struct(weight.alias("weight"), F.col("component" if k % 2 else "cid").alias("tie"), "cid")
+            pivot = member.groupBy("token").agg(
+                F.max_by(F.struct("cid", "n", "shared", "pos", "component"), pick).alias("p")
+            ).select("token", "p.*")
+            met = _side(member, "a").join(_side(pivot, "b"), "token").filter("a_component <> b_component")
+            swap = F.col("a_cid") > F.col("b_cid")
+            met = met.select(F.col("b_cid").alias("pivot"), *(
+                F.when(swap, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}")
+                for x, y in (("a", "b"), ("b", "a")) for c in ("cid", "n", "shared", "pos")
+            ))
+        likely = _likely(met.withColumnsRenamed({"a_cid": "a", "b_cid": "b"}), s)
+        likely = cut(likely if tried is None else likely.join(tried, ["a", "b"], "left_anti"))
+        needed = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        if sets is not None:
+            needed = needed.join(sets.select("cid"), "cid", "left_anti")
+        needed = cut(needed)
+        if not needed.isEmpty():
+            more = _needed_sets(docs, needed, rows, s)
+            sets = more if sets is None else sets.unionByName(more)
+        if not likely.isEmpty():
+            found = _linked(likely, sets, s)
+            links = found if links is None else links.unionByName(found)
+            tried = likely.select("a", "b") if tried is None else tried.unionByName(likely.select("a", "b"))
+            if done:
+                break
+            # between rounds labels need not be final: nodes of one label are connected
+            if label is None:
+                other = F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a"))
+                label = cut(found.groupBy(other.alias("node")).agg(F.min("pivot").alias("component")))
+            else:
+                label = cut(components(links, rounds=2))
+        elif label is None:
+            label = index.select("cid", F.col("cid").alias("component")).limit(0)
         if done:
             break
-    return hashed.filter("n is not null").select("doc_id", "cid", "n"), label
+    return rows.drop("text_hash"), None if links is None else components(links)
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
