@@ -21,6 +21,7 @@ and the model is uniform. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,7 +73,7 @@ def blocks(docs: DataFrame, s: Settings) -> DataFrame:
     """
     names = ["block", "doc_ids", "held", "lengths", "numbers", "kinds", "word", "number", "kind", "count"]
     types = (
-        pa.string(),
+        pa.int64(),
         pa.list_(pa.int64()),
         pa.list_(pa.bool_()),
         pa.list_(pa.int64()),
@@ -85,13 +86,11 @@ def blocks(docs: DataFrame, s: Settings) -> DataFrame:
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         own: dict[bytes, int] = {}
         ids, held, lengths, numbers, size = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            block = uuid.uuid4().hex
+            block = secrets.randbits(63)
             words = list(own)
             kinds = np.fromiter((class_of(w, s.classes) for w in words), np.int32, len(words))
             flat = np.concatenate(numbers)
@@ -131,7 +130,7 @@ def blocks(docs: DataFrame, s: Settings) -> DataFrame:
             yield flush()
 
     schema = (
-        "block string, doc_ids array<long>, held array<boolean>, lengths array<long>, numbers binary, kinds binary, "
+        "block long, doc_ids array<long>, held array<boolean>, lengths array<long>, numbers binary, kinds binary, "
         "word binary, number int, kind int, count long"
     )
     rows = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
