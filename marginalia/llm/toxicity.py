@@ -1,7 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes ratios.
 
-Features are hashed character n-grams inside the padded distinct words of a text,
-present or not. Their naive Bayes log-count ratios come from every labelled row, summed over
+Features are hashed character n-grams of the lower-cased text, present or not. Their naive Bayes log-count ratios come from every labelled row, summed over
 the cluster; they scale the features of a logistic regression, which is fitted on a
 bounded sample: at most ``per_class`` rows of each label, those with the smallest
 hash of their id, weighted to the true share of their label.
@@ -15,65 +14,49 @@ labels, or 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import arrow_map, mix, texts, word_bytes
-
-#: Words a worker remembers with their features; when full it starts anew.
-REMEMBERED = 100_000
-
+from marginalia.llm.common import arrow_map, cut, texts
 
 @dataclass(frozen=True)
 class Settings:
+    """``least_ratio``: features whose absolute log ratio is smaller are left out of the classifier."""
+
     orders: tuple[int, ...] = (3, 4, 5)
-    bits: int = 18
-    per_class: int = 1500
+    bits: int = 20
+    per_class: int = 800
     smoothing: float = 1.0
+    least_ratio: float = 0.25
     ridge: float = 1.0
     rounds: int = 60
 
 
-@dataclass
 class Features:
-    """Hashed n-grams of words, looked up by word."""
+    """Hashed n-grams of texts. ``mark`` is all false between two texts."""
 
-    settings: Settings
-    known: dict[bytes, np.ndarray] = field(default_factory=dict)
-
-    def of_word(self, word: bytes) -> np.ndarray:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            code = np.array([32, *map(ord, word.decode("utf-8", "replace").lower()), 32], np.uint64)
-            parts = []
-            with np.errstate(over="ignore"):
-                for n in self.settings.orders:
-                    if len(code) >= n:
-                        h = np.full(len(code) - n + 1, n, np.uint64)
-                        for k in range(n):
-                            h = h * np.uint64(0x100000001B3) + code[k : len(code) - n + 1 + k]
-                        parts.append(mix(h))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            got = self.known[word] = np.unique(flat >> np.uint64(64 - self.settings.bits)).astype(np.int32)
-        return got
+    def __init__(self, settings: Settings):
+        self.settings = settings
+        self.mark = np.zeros(1 << settings.bits, bool)
 
     def of_text(self, text: str) -> np.ndarray:
         """Sorted distinct features."""
-        words = set(word_bytes(text))
-        if not words:
+        code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(code) <= 2:
             return np.zeros(0, np.int32)
-        seen = np.zeros(1 << self.settings.bits, bool) if len(words) > 4000 else None
-        if seen is not None:  # long texts: mark instead of sort
-            for w in words:
-                seen[self.of_word(w)] = True
-            return np.flatnonzero(seen).astype(np.int32)
-        return np.unique(np.concatenate([self.of_word(w) for w in words]))
+        odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - self.settings.bits)
+        h = code
+        for n in range(2, min(max(self.settings.orders), len(code)) + 1):
+            h = h[:-1] * odd + code[n - 1 :]
+            if n in self.settings.orders:  # the upper bits of one more product, other ones for each length
+                self.mark[h * np.uint64(0xBF58476D1CE4E5B9 + 2 * n) >> shift] = True
+        found = np.flatnonzero(self.mark)
+        self.mark[found] = False
+        return found.astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -120,20 +103,27 @@ def log_count_ratios(train: DataFrame, settings: Settings) -> tuple[np.ndarray,
     size = 1 << settings.bits
     counts = np.zeros((2, size))
     rows = np.zeros(2)
-    for f, a, b in found.itertuples(index=False):
-        if f < 0:
-            rows[:] = a, b
-        else:
-            counts[0, f], counts[1, f] = a, b
-    p = (counts[1] + settings.smoothing) / (rows[1] + 2 * settings.smoothing)
-    q = (counts[0] + settings.smoothing) / (rows[0] + 2 * settings.smoothing)
-    return np.log(p / q) * (counts.sum(0) > 0), rows
+    at = found["feature"].to_numpy()
+    inside = at >= 0
+    counts[0, at[inside]], counts[1, at[inside]] = found["other"][inside], found["toxic"][inside]
+    if not inside.all():
+        rows[:] = found["other"][~inside].iloc[0], found["toxic"][~inside].iloc[0]
+    # pseudo counts in proportion to the labels: a feature never met has ratio 0
+    extra = 2 * settings.smoothing * rows / max(1, rows.sum())
+    p = (counts[1] + extra[1]) / max(1, rows[1])
+    q = (counts[0] + extra[0]) / max(1, rows[0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where((p > 0) & (q > 0), np.log(p / q), 0.0)
+    return np.where(np.abs(ratio) >= settings.least_ratio, ratio, 0.0), rows
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on rows ``(doc_id, text, label)``; each row counts, also if it is repeated."""
-    train = labelled.filter(F.col("label").isin(0, 1)).select(
-        F.col("doc_id").cast("long"), "text", F.col("label").cast("int")
+    # written once: ratios and sample both read it, and the join behind it moves texts
+    train = cut(
+        labelled.filter(F.col("label").isin(0, 1)).select(
+            F.col("doc_id").cast("long"), "text", F.col("label").cast("int")
+        )
     )
     ratio, rows = log_count_ratios(train.select("text", "label"), settings)
     size = 1 << settings.bits
@@ -150,10 +140,12 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     for label, top in cuts.items():
         inside = inside | ((F.col("label") == label) & (salt <= F.lit(top)))
 
+    useful = train.sparkSession.sparkContext.broadcast(ratio != 0)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feats = Features(settings)
         for b in batches:
-            got = [feats.of_text(t) for t in texts(b.column("text"))]
+            got = [f[useful.value[f]] for f in map(feats.of_text, texts(b.column("text")))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("label"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "label", "feats"]
             )
@@ -171,7 +163,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 def _regression(y, indices, lengths, ratio, rows, s: Settings) -> Model:
     """Weighted logistic regression on scaled features; conjugate gradient inside Newton steps."""
     n, size = len(y), len(ratio)
-    row = np.repeat(np.arange(n), lengths)
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     value = ratio[indices]
     used, col = np.unique(indices, return_inverse=True)
     weight = np.where(y == 1, rows[1] / max(1, (y == 1).sum()), rows[0] / max(1, (y == 0).sum()))
