@@ -46,7 +46,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = toxicity.fit(docs.filter(~held_out).join(labels.filter(~held_out), "doc_id"))
+    model = toxicity.fit(toxicity.labelled(docs.filter(~held_out), labels.filter(~held_out)))
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted")
     )

@@ -70,6 +70,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with their label, by ``doc_id``.
+
+    Joined by sorting at every size: the labels grow with the corpus, so no size at which
+    they would still fit into every task is taken as given.
+    """
+    return docs.join(labels.hint("merge"), "doc_id")
+
+
 def log_count_ratios(train: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Log ratio of each feature's share among toxic and other rows, and the rows of each label.
 
@@ -117,18 +126,18 @@ def log_count_ratios(train: DataFrame, settings: Settings) -> tuple[np.ndarray,
     return np.where(np.abs(ratio) >= settings.least_ratio, ratio, 0.0), rows
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
+def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on rows ``(doc_id, text, label)``; each row counts, also if it is repeated."""
     # written once: ratios and sample both read it, and the join behind it moves texts
     train = cut(
-        labelled.filter(F.col("label").isin(0, 1)).select(
+        rows.filter(F.col("label").isin(0, 1)).select(
             F.col("doc_id").cast("long"), "text", F.col("label").cast("int")
         )
     )
-    ratio, rows = log_count_ratios(train.select("text", "label"), settings)
+    ratio, totals = log_count_ratios(train.select("text", "label"), settings)
     size = 1 << settings.bits
-    if rows.min() == 0:
-        share = rows[1] / max(1.0, rows.sum())
+    if totals.min() == 0:
+        share = totals[1] / max(1.0, totals.sum())
         return Model(settings, np.zeros(size), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     salt = F.xxhash64(F.lit("sample"), "doc_id")
     ids = train.select("doc_id", "label", salt.alias("h"))
@@ -157,7 +166,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     lists = table.column("feats").combine_chunks()
     indices = lists.values.to_numpy() if not hasattr(lists, "chunks") else np.concatenate([c.values.to_numpy() for c in lists.chunks])
     lengths = np.diff(lists.offsets.to_numpy())
-    return _regression(y, indices, lengths, ratio, rows, settings)
+    return _regression(y, indices, lengths, ratio, totals, settings)
 
 
 def _regression(y, indices, lengths, ratio, rows, s: Settings) -> Model:
