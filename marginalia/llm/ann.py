@@ -1,11 +1,16 @@
-"""Approximate nearest neighbours by largest inner product: a forest of random-projection trees.
+"""Approximate nearest neighbours by largest inner product: forests of random-projection trees.
 
-Vectors get one more component that makes all of them equally long, so the largest
-inner product is the nearest direction. Every tree splits by one random direction
-per level at the median of a bounded sample, as deep as the number of vectors asks
-for. A query walks all trees through one priority queue ordered by how far it is
-from the splits it crossed, takes the leaves that come first, and the vectors of
-these leaves are ranked exactly, in double precision, on the original components.
+Vectors are dealt into bands by length, so that one very long vector moves no split of
+others, and each band has a forest of its own over directions alone. Every tree splits
+by one random direction per level at the median of a bounded sample, as deep as the
+number of vectors asks for. In every band a query walks all trees through one priority
+queue ordered by how far it is from the splits it crossed, takes the leaves that come
+first, and the vectors of these leaves are ranked exactly, in double precision.
+
+How much of a band is read, and by how many trees, is measured before the search: for
+some of the queries the true nearest of the sample are known, and the share is what
+holds ``aim`` of those that lie in the band. Up to ``sample`` vectors these are the true
+nearest; beyond, as many of the sample's nearest count as lie as near as the real ones do.
 
 Equal vectors are one entry with as many of their smallest ids as a result can
 hold, so a vector that a third of all rows share fills no leaf. Leaves are cut into
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,7 +38,10 @@ from marginalia.llm.common import arrow_map, cut, ship
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: vectors that set the splits; ``part``: most entries of a leaf in one task."""
+    """``sample``: vectors that set the splits; ``part``: most entries of a leaf in one task.
+
+    ``aim``: share of the nearest that the measured reading holds, for ``probes`` queries.
+    """
 
     nearest: int = 20
     trees: int = 8
@@ -43,6 +51,9 @@ class Settings:
     share: float = 0.06
     least_candidates: int = 4_000
     part: int = 2_000
+    bands: int = 7
+    probes: int = 200
+    aim: float = 0.95
     seed: int = 11
 
 
@@ -51,15 +62,11 @@ class Forest:
     directions: np.ndarray  # trees x depth x dims
     splits: np.ndarray  # trees x nodes, in heap order from 1
     depth: int
-    length: float  # of the longest vector
-
-    def lengthened(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0.0, self.length**2 - (x**2).sum(1)))
-        return np.c_[x, rest]
+    share: float = 1.0  # entries to read, as a multiple of the band's
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of every vector in every tree: vectors x trees."""
-        z = self.lengthened(x)
+        z = directed(x)
         out = np.empty((len(x), len(self.splits)), np.int64)
         for t, splits in enumerate(self.splits):
             at = np.ones(len(x), np.int64)
@@ -69,13 +76,13 @@ class Forest:
         return out
 
     def search(self, q: np.ndarray, enough: float, sizes: np.ndarray) -> list[tuple[int, int]]:
-        """Leaves ``(tree, leaf)`` for one query, nearest first, until they hold ``enough`` entries."""
-        z = np.r_[q, 0.0]
-        project = self.directions @ z  # trees x depth
+        """Leaves ``(tree, leaf)`` for one query, nearest first, until they hold ``enough`` entries or a whole tree."""
+        project = self.directions @ directed(q[None])[0]  # trees x depth
         queue = [(0.0, t, 1, 0) for t in range(len(self.splits))]
         heapq.heapify(queue)
+        left = sizes.sum(1)
         found, held = [], 0
-        while queue and held < enough:
+        while queue and held < enough and left.min() > 0:
             far, t, node, d = heapq.heappop(queue)
             while d < self.depth:
                 margin = project[t, d] - self.splits[t, node]
@@ -86,8 +93,29 @@ class Forest:
             if sizes[t, leaf]:
                 found.append((t, leaf))
                 held += int(sizes[t, leaf])
+                left[t] -= sizes[t, leaf]
         return found
 
+    def first(self, trees: int) -> Forest:
+        return replace(self, directions=self.directions[:trees], splits=self.splits[:trees])
+
+    def counts(self, leaves: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(leaf, minlength=1 << self.depth) for leaf in leaves.T])
+
+
+@dataclass(frozen=True)
+class Banded:
+    cuts: np.ndarray  # lengths from which a band begins, ascending, without the first
+    forests: list[Forest]
+    length: float  # of the longest vector
+
+    def band(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, np.linalg.norm(x, axis=1), side="right")
+
+
+def directed(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
 
 def usable(vector: Column) -> Column:
     """Not null or empty, all components finite, one of them not zero."""
@@ -95,17 +123,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def grow(entries: DataFrame, n: int, s: Settings) -> Forest:
-    """Splits from the ``sample`` entries with the smallest hash."""
-    length = entries.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    some = entries.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(s.sample).select("vector").toArrow()
-    x = np.array(some.column("vector").to_pylist(), np.float64)
+def plant(x: np.ndarray, n: float, rng: np.random.Generator, s: Settings) -> Forest:
+    """Trees over ``n`` vectors with splits from the sample ``x``."""
     depth = int(np.clip(np.ceil(np.log2(max(1, n / s.leaf))), 0, s.deepest))
-    rng = np.random.default_rng(s.seed)
-    directions = rng.normal(size=(s.trees, max(1, depth), x.shape[1] + 1))
-    forest = Forest(directions, np.zeros((s.trees, 1 << max(1, depth))), depth, float(length) * (1 + 1e-9))
-    z = forest.lengthened(x)
-    for t in range(s.trees):
+    trees = s.trees if depth else 1
+    directions = rng.normal(size=(trees, max(1, depth), x.shape[1]))
+    forest = Forest(directions, np.zeros((trees, 1 << max(1, depth))), depth)
+    z = directed(x)
+    for t in range(trees):
         at = np.ones(len(z), np.int64)
         for d in range(depth):
             p = z @ directions[t, d]
@@ -116,6 +141,58 @@ def grow(entries: DataFrame, n: int, s: Settings) -> Forest:
     return forest
 
 
+def measured(forest: Forest, x: np.ndarray, queries: np.ndarray, wanted: list[np.ndarray], s: Settings) -> Forest:
+    """The forest with the number of trees and the share that hold ``aim`` of the rows ``wanted`` of ``x`` for least reading."""
+    all_leaves = forest.leaves(x)
+    options = []
+    for trees in sorted({1, 2, 4, len(forest.splits)} & set(range(1, len(forest.splits) + 1))):
+        some, leaves = forest.first(trees), all_leaves[:, :trees]
+        sizes, at = some.counts(leaves), []
+        for q, rows in zip(queries, wanted):
+            if len(rows):
+                order = np.full(sizes.shape, np.inf)
+                visited = some.search(q, np.inf, sizes)
+                order[tuple(np.array(visited).T)] = np.cumsum([sizes[v] for v in visited])
+                at.append(order[np.arange(trees), leaves[rows]].min(1))
+        # the last tree, which is whole, holds every row
+        options.append((float(np.quantile(np.concatenate(at), s.aim, method="higher")) / len(x) if at else 0.0, trees))
+    share, trees = min(options) if any(len(r) for r in wanted) else (0.0, len(forest.splits))
+    return replace(forest.first(trees), share=share)
+
+
+def grow(entries: DataFrame, asked: DataFrame, n: int, s: Settings) -> Banded:
+    """Splits from the ``sample`` entries with the smallest hash, shares from as many queries as ``probes``."""
+    length = entries.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+
+    def some(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = df.select("entry", "vector").withColumn("h", F.xxhash64("vector")).orderBy("h").limit(most).toArrow()
+        return rows.column("entry").to_numpy(), np.array(rows.column("vector").to_pylist(), np.float64)
+
+    names, x = some(entries, s.sample)
+    asked_names, q = some(asked, s.probes)
+    norms = np.linalg.norm(x, axis=1)
+    cuts, low = [], norms.min()
+    for k in range(1, s.bands):  # the longer half, quarter, eighth...
+        at = np.quantile(norms, 1 - 0.5**k)
+        if at > 1.05 * low:
+            cuts.append(at)
+            low = at
+    made = Banded(np.array(cuts), [], float(length))
+    band, rng = made.band(x), np.random.default_rng(s.seed)
+    wide = int(np.ceil(s.nearest * len(x) / n))  # of the sample lie as near as ``nearest`` of all
+    nearest = []
+    for name, v in zip(asked_names, q):
+        score = np.where(names == name, -np.inf, x @ v)
+        nearest.append(np.argsort(-score, kind="stable")[: min(wide, len(x) - int((names == name).any()))])
+    for k in range(len(cuts) + 1):
+        rows = np.flatnonzero(band == k)
+        place = np.full(len(x), -1)
+        place[rows] = np.arange(len(rows))
+        wanted = [place[t][place[t] >= 0] for t in nearest]
+        made.forests.append(measured(plant(x[rows], n * len(rows) / len(x), rng, s), x[rows], q, wanted, s))
+    return made
+
+
 def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> DataFrame:
     """The ``nearest`` found of every query among all other rows of ``vectors`` (vec_id, vector).
 
@@ -137,33 +214,38 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> Da
     schema = "query_id long, rank int, vec_id long, score double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    forest = spark.sparkContext.broadcast(grow(entries, n, s))  # bounded by trees and depth
+    asked = cut(rows.filter("is_query").select("entry", "vector").dropDuplicates(["entry"]))
+    forest = spark.sparkContext.broadcast(grow(entries, asked, n, s))  # bounded by bands, trees and depth
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column("vector").to_pylist(), np.float64).reshape(b.num_rows, -1)
-            found = forest.value.leaves(x)
-            m = found.shape[1]
-            again = np.repeat(np.arange(b.num_rows), m)
-            cols = [pa.array(np.tile(np.arange(m), b.num_rows), pa.int32()), pa.array(found.ravel())]
-            yield pa.RecordBatch.from_arrays([*cols, b.column("entry").take(pa.array(again))], ["tree", "leaf", "entry"])
+            band = forest.value.band(x)
+            for k, part in enumerate(forest.value.forests):
+                mine = np.flatnonzero(band == k)
+                found = part.leaves(x[mine])
+                m = found.shape[1]
+                cols = [pa.array(np.tile(np.arange(m) + k * s.trees, len(mine)), pa.int32()), pa.array(found.ravel())]
+                entry = b.column("entry").take(pa.array(np.repeat(mine, m)))
+                yield pa.RecordBatch.from_arrays([*cols, entry], ["tree", "leaf", "entry"])
 
     routed = cut(arrow_map(entries.select("entry", "vector"), route, "tree int, leaf long, entry long"))
-    sizes = np.zeros(forest.value.splits.shape, np.int64)
-    for t, leaf, k in routed.groupBy("tree", "leaf").count().collect():  # at most trees x leaves
-        sizes[t, leaf] = k
+    sizes = [np.zeros((len(f.splits), 1 << f.depth), np.int64) for f in forest.value.forests]
+    for t, leaf, k in routed.groupBy("tree", "leaf").count().collect():  # at most bands x trees x leaves
+        sizes[t // s.trees][t % s.trees, leaf] = k
     held = spark.sparkContext.broadcast(sizes)
-    enough = max(s.least_candidates, s.share * n) * s.trees / 4
-    asked = cut(rows.filter("is_query").select("entry", "vector").dropDuplicates(["entry"]))
+    least = max(s.least_candidates / n, s.share) / 4  # of the entries of every tree
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[], [], [], []]
             for entry, vector in zip(b.column("entry").to_pylist(), b.column("vector").to_pylist()):
-                for t, leaf in forest.value.search(np.array(vector), enough, held.value):
-                    for p in range(-(-int(held.value[t, leaf]) // s.part)):
-                        for c, v in zip(out, (t, leaf, p, entry)):
-                            c.append(v)
+                for k, (part, size) in enumerate(zip(forest.value.forests, held.value)):
+                    enough = max(least * size.sum(), part.share * size[0].sum())
+                    for t, leaf in part.search(np.array(vector), enough, size):
+                        for p in range(-(-int(size[t, leaf]) // s.part)):
+                            for c, v in zip(out, (t + k * s.trees, leaf, p, entry)):
+                                c.append(v)
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["tree", "leaf", "part", "query"])
 
@@ -173,27 +255,34 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> Da
     members = parts.join(entries.select("entry", "vector"), "entry").select("tree", "leaf", "part", "entry", "vector")
     visitors = visits.join(asked.select(F.col("entry").alias("query"), F.col("vector").alias("q")), "query")
 
+    length = forest.value.length
+
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "entry": [], "score": []}).astype({"query": "int64", "entry": "int64"})
+            return pd.DataFrame({c: [] for c in ("query", "entry", "score", "slack")}).astype({"query": "int64", "entry": "int64"})
         x, ids = np.stack(left["vector"].to_numpy()), left["entry"].to_numpy()
         top = min(len(ids), s.nearest + 1)
         out = []
         for i in range(0, len(right), 256):
             q = right.iloc[i : i + 256]
-            dots = np.stack(q["q"].to_numpy()) @ x.T
+            z = np.stack(q["q"].to_numpy())
+            dots = z @ x.T
+            slack = 1e-12 * length * np.linalg.norm(z, axis=1)  # more than the products are rounded by
             # all that reach the last place, so that ties are settled by id later
             least = np.partition(dots, len(ids) - top, axis=1)[:, len(ids) - top]
-            a, b = np.nonzero(dots >= least[:, None] - 1e-9 * np.abs(least[:, None]))
-            out.append(pd.DataFrame({"query": q["query"].to_numpy()[a], "entry": ids[b], "score": dots[a, b]}))
+            a, b = np.nonzero(dots >= (least - slack)[:, None])
+            out.append(pd.DataFrame({"query": q["query"].to_numpy()[a], "entry": ids[b], "score": dots[a, b], "slack": slack[a]}))
         return pd.concat(out)
 
     leaf = ["tree", "leaf", "part"]
-    near = members.groupBy(*leaf).cogroup(visitors.groupBy(*leaf)).applyInPandas(rank, "query long, entry long, score double")
-    near = near.groupBy("query", "entry").agg(F.max("score").alias("about"))
+    found = "query long, entry long, score double, slack double"
+    near = members.groupBy(*leaf).cogroup(visitors.groupBy(*leaf)).applyInPandas(rank, found)
+    near = near.groupBy("query", "entry").agg(F.max("score").alias("about"), F.max("slack").alias("slack"))
     best = Window.partitionBy("query").orderBy(F.desc("about"))
-    # rounding of the block products may swap near ties; a margin keeps them, the exact score decides
-    near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 3 * (s.nearest + 1)).drop("r", "about")
+    # rounding of the block products may swap near ties: all within it of the last place stay, the exact score decides
+    last_place = F.min(F.when(F.col("r") <= s.nearest + 1, F.col("about"))).over(Window.partitionBy("query"))
+    near = near.withColumn("r", F.row_number().over(best)).withColumn("least", last_place)
+    near = near.filter(F.col("about") >= F.col("least") - 2 * F.col("slack")).select("query", "entry")
     dot = F.aggregate(F.zip_with("q", "vector", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     exact = (
         near.join(entries, "entry")

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, clashing columns, empty tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,29 @@ def test_ann(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_ann_recall_with_unequal_lengths(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 64))[rng.integers(0, 200, 20_000)] + 0.7 * rng.normal(size=(20_000, 64))
+    x *= np.exp(0.5 * rng.normal(size=len(x)))[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100 / np.linalg.norm(x[7])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "vector": x.tolist()}))
+    got = ann.search(df, F.col("vec_id") % 200 == 0).toPandas()
+    assert got["query_id"].nunique() == 100
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(part["vec_id"]))
+    assert hits >= 0.9 * 20 * 100
+
+
+def test_ann_ties_go_to_the_smallest_ids(spark):
+    rows = [(i, [1.0, float(i), 0.0]) for i in range(1, 301)] + [(1000, [1.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").orderBy(F.desc("vec_id"))
+    got = ann.search(df, F.col("vec_id") == 1000).orderBy("rank").toPandas()
+    assert got["vec_id"].tolist() == list(range(1, 21)) and set(got["score"]) == {1.0}
+
+
 def test_pii(spark, docs, none):
     got = pii.find(docs)
     assert got.count() == len(ROWS)
