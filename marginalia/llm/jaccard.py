@@ -331,7 +331,7 @@ def _side(entries: DataFrame, name: str) -> DataFrame:
 
 
 def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """Rows ``doc_id, cid, n``, and ``cid, component`` of classes with links to others."""
+    """Rows ``doc_id, text_hash, cid, n``, and ``cid, component`` of classes with links to others."""
     hashed = _hash_sets(docs, s)
     rows = hashed.filter("n is not null").select("doc_id", "text_hash", "cid", "n")
     index = _index(docs, _rarity(hashed, s), s)
@@ -396,20 +396,25 @@ def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame
             label = index.select("cid", F.col("cid").alias("component")).limit(0)
         if done:
             break
-    return rows.drop("text_hash"), None if links is None else components(links)
+    return rows, None if links is None else components(links)
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, cid, n_shingles, component_id`` of every row of ``docs`` (doc_id, text)."""
+    """``doc_id, cid, n_shingles, component_id, component, text_hash`` of every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest id in a component, and may be that of two if rows repeat an id;
+    ``component`` names one only.
+    """
     rows, label = class_components(docs, settings)
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"))
     if label is None:
-        named = classes.withColumnRenamed("first", "component_id")
+        named = classes.withColumnRenamed("first", "component_id").withColumn("component", F.col("cid"))
     else:
         known = classes.join(label.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         top = known.groupBy("component").agg(F.min("first").alias("component_id"))
-        named = known.join(top, "component").select("cid", "component_id")
+        named = known.join(top, "component").select("cid", "component_id", "component")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(named, "cid", "left").select(
-        "doc_id", "cid", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
+        "doc_id", "cid", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+        "component", "text_hash",
     )

@@ -336,3 +336,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[EMAIL]" in docs.filter("doc_id = 103").first().text
     whole = cp.run(spark, str(tmp_path))
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == kept["pii"]
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    words = [f"word{i}" for i in range(300)]
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(rng.choice(words, 60)) for _ in range(4))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, d), (3, d), (4, b + " tail"), (5, "short"), (5, "brief"), (5, "brief"), (6, None), (6, None), (None, a)]
+    rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(1, a), (2, b), (3, c), (3, d), (5, "brief"), (5, "short"), (6, None), (6, None), (None, a)]  # a short text is one shingle
+    got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
