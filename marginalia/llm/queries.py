@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ann, bpe, hmm, jaccard, packing, pii, repetition, secrets, toxicity, urls
-from marginalia.llm.common import fold
+from marginalia.llm import alignment, ann, bpe, hmm, jaccard, lexical, packing, pii, repetition, secrets, toxicity, urls, warc
+from marginalia.llm.common import UPPER, fold
 
 END_ID = 1
 
@@ -105,6 +105,25 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), piece_model())
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,6 +143,9 @@ QUERIES = {
         op8_bpe_round_trip,
         op9_url_filter,
         op10_repetition_rules,
+        op11_warc_archive,
+        op12_token_alignment,
+        op13_lexical_search,
         pipeline,
     )
 }
@@ -154,5 +176,41 @@ SELECT page_id, host, path, hit.r AS rule,
        CASE WHEN hit IS NOT NULL THEN hit.v
             WHEN regexp_matches(host, '{HOST_PATTERN}') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
-"""
+""",
+    "op11_warc_archive": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+""",
+    "op13_lexical_search": rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{lexical.TERM}')) AS term
+  FROM documents
+),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{lexical.TERM}')) AS term
+  FROM benchmark
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+lengths AS (SELECT doc_id, 100 - 50 + ((50 * n * big_n) // big_l) AS m FROM sizes, total),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+""",
 }
