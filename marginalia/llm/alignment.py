@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -141,7 +140,7 @@ class Grown:
     def __init__(self):
         self.n, self.data = 0, np.zeros(1 << 16, np.int64)
 
-    def extend(self, values: list[int]) -> None:
+    def extend(self, values: list[int] | np.ndarray) -> None:
         while self.n + len(values) > len(self.data):
             self.data = np.concatenate([self.data, np.zeros_like(self.data)])
         self.data[self.n : self.n + len(values)] = values
@@ -174,7 +173,11 @@ class Aligner:
         table = encoder(a_path)
         ranks = {b: i for i, b in table.bytes_of.items() if i not in table.special.values()}
         self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_len = {i: len(b) for b, i in ranks.items()}
+        n = max(ranks.values()) + 1
+        self.a_len = np.zeros(n, np.int64)
+        self.a_len[list(ranks.values())] = [len(b) for b in ranks]
+        # an id as it is written inside a group's list, and at the list's end
+        self.a_word = np.array([[f"{i},", f"{i}|"] for i in range(n)], object)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁|\n", p) for p in pieces):
@@ -185,7 +188,9 @@ class Aligner:
             for i, p in enumerate(pieces)
         ]
         self.b_size = len(pieces)
-        self.codes = (max(self.a_len) + 1) * self.b_size
+        self.b_len = np.array([len(b) for b in self.b_bytes], np.int64)
+        self.b_word = np.array([[f"{i},", f"{i};"] for i in range(len(pieces))], object)
+        self.codes = n * self.b_size
         self.forget()
 
     def forget(self) -> None:
@@ -195,54 +200,99 @@ class Aligner:
         self.starts = Grown()
         self.pair, self.mult = Grown(), Grown()
 
-    def _groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        out, mine, theirs = [], [], []
-        at_a = at_b = j = 0
-        for t in a:
-            mine.append(t)
-            at_a += self.a_len[t]
-            while at_b < at_a:
-                theirs.append(b[j])
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_b == at_a:
-                out.append((mine, theirs))
-                mine, theirs = [], []
-        return out
+    def _good(self, new: list[str], theirs: list[list[int]]) -> np.ndarray:
+        """Which stretches the model leaves as they are."""
+        spelled = self.b_bytes
+        if b"".join([spelled[t] for t in chain.from_iterable(theirs)]) == "".join(new).encode("utf-8", "surrogatepass"):
+            return np.ones(len(new), bool)
+        return np.array([
+            b"".join([spelled[t] for t in b]) == u.encode("utf-8", "surrogatepass") for u, b in zip(new, theirs)
+        ], bool)
 
     def learn(self, new: list[str]) -> None:
-        """Align stretches not met before."""
-        if len(self.index) + len(new) > REMEMBERED:
-            self.forget()
+        """Align stretches not met before, all of them as one run of bytes."""
+        # between these A ends its tokens anyway, so it may read them in one go
+        plain = [u for u in new if len(u) > 1 and not u[1].isspace() and not u[-1].isspace()]
+        odd = [u for u in new if len(u) < 2 or u[1].isspace() or u[-1].isspace()]
+        new = plain + odd
         # the model puts a space in front: it stands for the stretch's own, or is dropped
-        others = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
-        size = self.b_size
-        for u, b in zip(new, others):
-            if u[0] != " ":
-                b = b[1:]
+        theirs = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
+        theirs = [b if u[0] == " " else b[1:] for u, b in zip(new, theirs)]
+        good = self._good(new, theirs)
+        for u in (u for u, g in zip(new, good) if not g):
             self.index[u] = len(self.strings)
+            self.strings.append("")
             self.starts.extend([self.pair.n])
-            if b"".join([self.b_bytes[t] for t in b]) != u.encode("utf-8", "surrogatepass"):
-                self.strings.append("")
-                self.counts.extend([0, 0, 0, 0, 1])
-                continue
-            a = self.a.encode_ordinary(u)
-            groups = self._groups(a, b)
-            pairs, mults, links = [], [], 0
-            for mine, theirs in groups:
-                n = len(mine) * len(theirs)
-                links += n
-                if n <= FEW_LINKS:
-                    pairs += [x * size + y for x in mine for y in theirs]
-                    mults += [1] * n
-                else:
-                    xs, ys = Counter(mine), Counter(theirs)
-                    pairs += [x * size + y for x in xs for y in ys]
-                    mults += [m * k for m in xs.values() for k in ys.values()]
-            self.strings.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
-            self.counts.extend([len(a), len(b), len(groups), links, 0])
-            self.pair.extend(pairs)
-            self.mult.extend(mults)
+            self.counts.extend([0, 0, 0, 0, 1])
+        if not good.all():
+            plain, odd = ([u for u in part if u not in self.index] for part in (plain, odd))
+            new, theirs = plain + odd, [b for b, g in zip(theirs, good) if g]
+        if not new:
+            return
+        ids = self.a.encode_ordinary("".join(plain))
+        for u in odd:
+            ids += self.a.encode_ordinary(u)
+        a, b = np.array(ids, np.int64), np.fromiter(chain.from_iterable(theirs), np.int64)
+        end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        end = np.cumsum([len(u) if u.isascii() else len(u.encode("utf-8", "surrogatepass")) for u in new])
+        at = np.zeros(end[-1] + 1, bool)
+        at[end_a] = True
+        both = at[end_b]
+        cuts = end_b[both]
+        at[:] = False
+        at[cuts] = True
+        if not at[end].all():
+            raise ValueError("a token reaches across a safe point")
+        # groups end with these tokens; their first tokens and sizes
+        stop_a, stop_b = np.searchsorted(end_a, cuts) + 1, np.flatnonzero(both) + 1
+        n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        last = np.searchsorted(cuts, end) + 1  # groups up to the end of each stretch
+        links = n_a * n_b
+        per_group = np.stack([n_a, n_b, np.ones_like(n_a), links, np.zeros_like(n_a)], axis=1)
+        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(per_group, axis=0)])
+        counts = np.diff(sums[last], axis=0, prepend=0)
+        codes, mults, size = self._pairs_of(a, b, stop_a - n_a, stop_b - n_b, n_a, n_b, links)
+        ends = np.concatenate([[0], np.cumsum(size)])[last]
+        base = self.pair.n
+        self.starts.extend(base + np.concatenate([[0], ends[:-1]]))
+        self.pair.extend(codes)
+        self.mult.extend(mults)
+        self.counts.extend(counts.ravel())
+        first = len(self.strings)
+        self.strings += self._written(a, b, stop_a, stop_b, n_a, n_b, last)
+        self.index.update(zip(new, range(first, first + len(new))))
+
+    def _pairs_of(self, a, b, start_a, start_b, n_a, n_b, links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked id pairs with their numbers, group by group, and how many entries a group has."""
+        many = {}
+        size = links.copy()
+        for g in np.flatnonzero(links > FEW_LINKS).tolist():
+            xs, k = np.unique(a[start_a[g] : start_a[g] + n_a[g]], return_counts=True)
+            ys, m = np.unique(b[start_b[g] : start_b[g] + n_b[g]], return_counts=True)
+            many[g] = (np.add.outer(xs * self.b_size, ys).ravel(), np.multiply.outer(k, m).ravel())
+            size[g] = len(xs) * len(ys)
+        begin = np.cumsum(size) - size
+        few = np.where(links > FEW_LINKS, 0, links)
+        group = np.repeat(np.arange(len(few)), few)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(few) - few, few)
+        x, y = start_a[group] + nth // n_b[group], start_b[group] + nth % n_b[group]
+        codes, mults = np.empty(size.sum(), np.int64), np.ones(size.sum(), np.int64)
+        codes[begin[group] + nth] = a[x] * self.b_size + b[y]
+        for g, (c, m) in many.items():
+            codes[begin[g] : begin[g] + size[g]], mults[begin[g] : begin[g] + size[g]] = c, m
+        return codes, mults, size
+
+    def _written(self, a, b, stop_a, stop_b, n_a, n_b, last) -> list[str]:
+        """The groups of each stretch as text."""
+        ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ends_a[stop_a - 1] = ends_b[stop_b - 1] = 1
+        # in the order of the text: a group's A ids, then its B ids
+        words = np.empty(len(a) + len(b), object)
+        words[np.arange(len(a)) + np.repeat(stop_b - n_b, n_a)] = self.a_word[a, ends_a]
+        words[np.arange(len(b)) + np.repeat(stop_a, n_b)] = self.b_word[b, ends_b]
+        words = words.tolist()
+        stops = (stop_a + stop_b)[last - 1].tolist()
+        return ["".join(words[s:e])[:-1] for s, e in zip([0, *stops], stops)]
 
     def figures(self, pieces: list[str]) -> Figures:
         """Of texts that start and end at safe points or at the ends of a document."""
