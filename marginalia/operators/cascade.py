@@ -155,3 +155,28 @@ def report(docs: DataFrame, threshold: Column, **options) -> DataFrame:
         deltas = deltas.unionByName(p)
     versus = intervals(deltas, ["kind", "against"], paired=True, **options)
     return own.withColumn("against", F.lit("none")).unionByName(versus)
+
+
+def operating_points(docs: DataFrame, threshold: Column, local_cost: Column, api_cost: Column) -> DataFrame:
+    """Escalation, quality and price of the cascade and of both its legs alone.
+
+    Rows ``first_only`` (only documents without a confidence are escalated), ``cascade`` and
+    ``second_only`` (all are). No threshold means that everything is escalated.
+    """
+    ends = F.lit(float("inf"))
+    chosen = F.coalesce(threshold, ends)
+    names = ("first_only", "cascade", "second_only")
+    points = docs.sparkSession.range(1).select(F.posexplode(F.array(-ends, chosen, ends)).alias("step", "threshold"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("step") + 1)
+    return curve(docs, points, local_cost, api_cost).filter("threshold is not null").select(
+        name.alias("point"),
+        F.when(name == "cascade", F.col("threshold")).alias("threshold"),
+        "escalated", "documents", "escalation_rate", "component_f1", "relation_f1", "usd_per_1k",
+    )
+
+
+def criterion_for(gold: DataFrame, typed: str, untyped: str) -> Column:
+    """The label results are reported under: ``untyped`` where no gold component has a type."""
+    return gold.agg(
+        F.when(F.coalesce(F.bool_or(F.col("ctype").isNotNull()), F.lit(False)), typed).otherwise(untyped).alias("c")
+    ).scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.stats import lower_rank, values_at_ranks
+from marginalia.operators.ranking import running
 from marginalia.schemas import (
     BATCH_MULTIPLIER,
     CACHE_READ_MULTIPLIER,
@@ -114,13 +115,23 @@ def spend_summary(ledger: DataFrame, cap: float) -> DataFrame:
 
 
 def run_summary(calls: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Calls, cache hits, tokens, dollars and latency of live calls per group."""
+    """Calls, cache hits, failures, tokens, dollars and latency of live calls per group.
+
+    Where ``calls`` has them, ``error`` (text), ``invalid_output`` (boolean) and
+    ``unalignable_components`` (count) are summed up; a run without them had none.
+    """
     keys = list(keys)
     live = ~F.col("cached")
+    none = {"error": "string", "invalid_output": "boolean", "unalignable_components": "bigint"}
+    calls = calls.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items() if c not in calls.columns))
     base = calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("documents"),
         F.count_if(live).alias("api_calls"),
         F.count_if(F.col("cached")).alias("cache_hits"),
+        F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"),
+        F.count_if("invalid_output").alias("invalid_outputs"),
+        F.coalesce(F.sum("unalignable_components"), F.lit(0)).cast("bigint").alias("unalignable_components"),
+        F.count_if(live).alias("latency_n"),
         *[
             F.sum(c).alias(c)
             for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
@@ -141,37 +152,13 @@ def admission(calls: DataFrame, cap: float, order: Sequence[str] = ("ts", "event
     """Which calls a spend cap lets through, in time order.
 
     A call is refused when the dollars spent before it plus its projected price
-    pass the cap; the first refusal ends the run. Running totals are taken per
-    minute first, so no task sees the whole ledger.
+    pass the cap; the first refusal ends the run. Running totals go over ranges of
+    the order, so no task sees the whole ledger, nor all calls of one moment.
     """
-    minute = F.date_trunc("minute", F.col(order[0]))
     # sums of exact decimals: the running total is the same however rows are grouped
-    money = "decimal(38,12)"
-    rows = calls.withColumn("minute", minute).withColumn("amount", F.col("dollars").cast(money))
-    zero = F.lit(0).cast(money)
-    per_minute = rows.groupBy("minute").agg(F.sum("amount").alias("amount"))
-    day = F.date_trunc("day", F.col("minute"))
-    per_day = per_minute.groupBy(day.alias("day")).agg(F.sum("amount").alias("amount"))
-    day_start = per_day.select(
-        "day",
-        F.coalesce(
-            F.sum("amount").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), zero
-        ).alias("day_start"),
-    )
-    in_day = W.partitionBy("day").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)
-    minute_start = (
-        per_minute.withColumn("day", day)
-        .withColumn("in_day", F.coalesce(F.sum("amount").over(in_day), zero))
-        .join(day_start, "day")
-        .select("minute", (F.col("day_start") + F.col("in_day")).alias("minute_start"))
-    )
-    in_minute = W.partitionBy("minute").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    spent = F.col("minute_start") + F.coalesce(F.sum("amount").over(in_minute), zero)
-    marked = (
-        rows.join(minute_start, "minute")
-        .withColumn("spent_before", spent.cast("double"))
-        .withColumn("refused", F.col("spent_before") + F.col("projected") > F.lit(float(cap)))
-    )
+    amount = F.coalesce(F.col("dollars"), F.lit(0)).cast("decimal(38,12)")
+    marked = running(calls, order, amount, "spent").withColumn("spent_before", F.col("spent").cast("double"))
+    marked = marked.withColumn("refused", F.col("spent_before") + F.col("projected") > F.lit(float(cap)))
     place = F.struct(*order)
     first = marked.filter("refused").agg(F.min(place)).scalar()
     return marked.withColumn("admitted", F.coalesce(place < first, F.lit(True))).select(

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.jsontext import is_array, is_object
 from marginalia.functions.text import words
+from marginalia.session import cut
+
+# Protected shingles that every task may hold (16 bytes each), and bits of a filter over more.
+HELD_SHINGLES = 1_000_000
+FILTER_BITS = 1 << 30
 
 # ---- fixed values ------------------------------------------------------------
 SHINGLE = 8
@@ -28,31 +33,55 @@ DESCRIPTION_KEYS = (
 
 
 def shingles(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Distinct (key, hash, check) of every 8 consecutive normalised words.
+    """(key, hash, check) of every 8 consecutive normalised words, as often as they occur.
 
     Two independent 64-bit hashes stand for the words, so no text moves.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(NORMAL_WORD), F.lit(0))
     rows = df.select(key, tokens.alias("tokens")).filter(F.size("tokens") >= SHINGLE)
-    windows = F.transform(
+    hashed = F.transform(
         F.sequence(F.lit(1), F.size("tokens") - SHINGLE + 1),
         lambda i: F.array_join(F.slice("tokens", i, F.lit(SHINGLE)), " "),
     )
-    hashed = F.transform(
-        windows, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.xxhash64(F.lit("check"), w).alias("check"))
-    )
-    return rows.select(key, F.inline(F.array_distinct(hashed)))
+    words = rows.select(key, F.explode(hashed).alias("w"))
+    return words.select(key, F.xxhash64("w").alias("hash"), F.xxhash64(F.lit("check"), "w").alias("check"))
 
 
 def contamination(texts: DataFrame, key: str, protected: DataFrame) -> DataFrame:
-    """How many shingles of each text also occur in the protected set. Counts only.
+    """How many distinct shingles of each text also occur in the protected set. Counts only.
 
-    The protected side is reduced to its distinct shingles, so a passage copied
-    many times still meets each text's shingle once.
+    The protected side is reduced to its distinct shingles and counted. Up to ``HELD_SHINGLES``
+    of them go to every task, so that only shingles found there are shuffled; beyond that
+    their hashes fill a bitmap that is sent instead, which lets through few others, and what
+    passes meets the protected shingles in a shuffled join.
     """
-    guarded = protected.select("hash", "check").distinct()
-    found = texts.join(guarded, ["hash", "check"], "left_semi")
-    return found.groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
+    guarded = cut(protected.select("hash", "check").distinct())
+    n = guarded.count()
+    if n <= HELD_SHINGLES:
+        found = texts.join(F.broadcast(guarded), ["hash", "check"], "left_semi")
+    else:
+        found = _likely(texts, guarded, n).join(guarded, ["hash", "check"], "left_semi")
+    return found.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _likely(texts: DataFrame, guarded: DataFrame, n: int) -> DataFrame:
+    """Shingles whose bit is set in a bitmap of the protected hashes, of 8 to 16 bits a hash.
+
+    The bitmap lies in rows of 4 KB. It is broadcast up to ``FILTER_BITS`` bits; a larger set is
+    left to the join alone.
+    """
+    bits = 1 << max(15, (8 * n - 1).bit_length())
+    if bits > FILTER_BITS:
+        return texts
+    place = F.pmod(F.col("hash"), F.lit(bits)).cast("bigint") + 1
+    bitmap = guarded.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")
+    )
+    at = F.bitmap_bit_position(F.col("place"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place"))
+    held = met.join(F.broadcast(bitmap), "bucket")
+    return held.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*texts.columns)
 
 
 def long_strings(df: DataFrame, key: str, body: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.operators.align import align
+
 # ---- fixed values -------------------------------------------------------------------
 CLAIM_TYPES = ("premise", "conclusion", "objection", "assumption", "weakness", "hidden_assumption")
 LINK_TYPES = ("supports", "opposes", "refines", "depends_on")
@@ -47,6 +49,23 @@ def claims(rows: DataFrame, length: str) -> DataFrame:
     )
 
 
+def located_claims(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Claims placed where their text stands in the document, else where they say, clamped to it.
+
+    ``rows``: ``doc_id, idx, claim`` and the columns of :func:`claims`; ``docs``: ``doc_id, text``.
+    """
+    size = docs.select("doc_id", F.length("text").cast("bigint").alias("__length"))
+    stated = claims(rows.join(size, "doc_id"), "__length").drop("__length")
+    needles = rows.select("doc_id", "idx", F.coalesce("claim", F.lit("")).alias("needle"))
+    spots = align(needles, docs, refine=False).select("doc_id", "idx", "start_off", "end_off")
+    return stated.join(spots, ["doc_id", "idx"], "left").withColumns(
+        {
+            "source_start": F.coalesce("start_off", "source_start"),
+            "source_end": F.when(F.col("start_off").isNull(), F.col("source_end")).otherwise(F.col("end_off")),
+        }
+    ).drop("start_off", "end_off")
+
+
 def relationships(rows: DataFrame, claim_ids: DataFrame) -> DataFrame:
     """Links between known claims only. ``claim_ids (doc_id, claim_id)``."""
     out = rows

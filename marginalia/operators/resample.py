@@ -3,15 +3,16 @@
 A unit is one combination of the key columns (system, criterion, kind, ...) with
 one count vector ``(tp, fp, fn)`` per document, or two for a paired difference.
 
-Two ways to resample, with the same distribution. The caller names the way; it never
-depends on the size of the data:
-
-* ``draws``: every draw is computed from a hash of (seed, iteration, position), so
-  results repeat on any engine. Costs documents x iterations rows.
-* ``multinomial`` (the default): documents with equal count vectors cannot be told apart, so a
-  resample is a multinomial draw over the distinct vectors. Vectors are split
-  into buckets; every task draws the bucket totals from the same seed and then
-  only its own bucket. The cost does not grow with the number of documents.
+Documents with equal count vectors cannot be told apart, so a resample is a multinomial draw
+over the distinct vectors: the cost does not grow with the number of documents. Vectors lie
+in buckets; every task draws the bucket totals for itself and then only its own bucket. Two
+ways to draw, with the same distribution. The caller names the way; it never depends on the
+size of the data:
+
+* ``splits`` (the default): a binary tree over the vectors in order. At each node the draws that
+  reached it are split between its halves by a binomial draw, whose uniform number is a hash
+  of (seed, iteration, height, node). Results repeat on any engine that can add and hash.
+* ``multinomial``: numpy's own generator.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ CONFIDENCE = 0.95
 BUCKET_VECTORS = 2_000
 # Iterations a task holds in memory at once.
 CHUNK = 250
+# Height of the subtree that is one bucket of ``splits``: 2,048 vectors.
+BUCKET_HEIGHT = 11
+# Largest variance of a binomial draw that is taken by inversion of the exact distribution.
+# Beyond it the normal quantile with a correction for skewness is exact to a few thousandths.
+# No ratio of small integers, so that rounding decides nothing.
+EXACT_VARIANCE = 25.00001
 
 ONE = ("tp", "fp", "fn")
 TWO = ("a_tp", "a_fp", "a_fn", "b_tp", "b_fp", "b_fn")
@@ -43,28 +50,113 @@ def _statistic(cols: Sequence[str]) -> Column:
     return first if len(cols) == 3 else first - f1(*[F.col(c) for c in cols[3:]])
 
 
-def _sums(cols: Sequence[str], weight: Column | None = None) -> list[Column]:
-    return [F.sum(F.col(c) if weight is None else F.col(c) * weight).alias(c) for c in cols]
+def _sums(cols: Sequence[str]) -> list[Column]:
+    return [F.sum(c).alias(c) for c in cols]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scramble 32-bit numbers held in longs; no product passes 2**59."""
+    for _ in range(2):
+        x = ((x >> 16) ^ x) * 0x45D9F3B & 0xFFFFFFFF
+    return (x >> 16) ^ x
+
+
+def uniform(seed: int, stream: int, iteration: np.ndarray, height: int, node: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 that depend on all arguments; iterations x nodes."""
+    x = _mixed((iteration * 4 + stream) ^ _mixed(seed & 0xFFFFFFFF))[:, None]
+    x = _mixed(x ^ _mixed((node * 64 + height) & 0xFFFFFFFF)[None, :])
+    return (x + 0.5) / 4294967296.0
+
+
+def binomial(n: np.ndarray, part: np.ndarray, whole: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many of ``n`` draws fall on ``part`` of ``whole``, for uniform numbers ``u`` and ``v``."""
+    swap = 2 * part > whole
+    p = np.where(swap, whole - part, part) / whole
+    q = 1.0 - p
+    spread = n * p * q
+    z = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
+    x = np.floor(n * p + np.sqrt(spread) * z + (q - p) * (z * z - 1.0) / 6.0 + 0.5)
+    x = np.clip(x, 0, n).astype(np.int64)
+    # inversion: count the values whose distribution function lies below u
+    small = np.flatnonzero((spread <= EXACT_VARIANCE).ravel())
+    m, p, u = n.ravel()[small], p.ravel()[small], u.ravel()[small]
+    odds = p / (1.0 - p)
+    mass = np.exp(m * np.log1p(-p))
+    below, k, exact = mass.copy(), 0, np.zeros(len(small), np.int64)
+    live = np.flatnonzero((below < u) & (m > 0))
+    while len(live):
+        k += 1
+        exact[live] = k
+        mass[live] *= (m[live] - k + 1) / k * odds[live]
+        below[live] += mass[live]
+        live = live[(below[live] < u[live]) & (k < m[live])]
+    x = x.ravel()
+    x[small] = exact
+    x = x.reshape(n.shape)
+    return np.where(swap, n - x, x)
+
+
+def split(sizes: np.ndarray, n: np.ndarray, first: int, low: int, iterations: np.ndarray, seed: int) -> np.ndarray:
+    """Multinomial draws, iterations x leaves, by binomial splits from the root down.
+
+    ``n``: draws of each iteration. The leaves stand at height ``low`` from node ``first`` on,
+    which a subtree starts at.
+    """
+    height = max(0, int(len(sizes) - 1).bit_length())
+    tree = [np.concatenate([sizes, np.zeros((1 << height) - len(sizes), np.int64)])]
+    while len(tree[-1]) > 1:
+        tree.append(tree[-1][::2] + tree[-1][1::2])
+    drawn = n[:, None]
+    for h in range(height, 0, -1):
+        whole, left = tree[h], tree[h - 1][::2]
+        node = (first >> h) + np.arange(len(whole))
+        taken = np.where(left == whole, drawn, 0)
+        open_ = np.flatnonzero((left > 0) & (left < whole))
+        if len(open_):
+            mine = drawn[:, open_]
+            u, v = (uniform(seed, s, iterations, h + low, node[open_]) for s in (0, 1))
+            shape = np.ones_like(mine)
+            taken[:, open_] = binomial(mine, left[open_] * shape, whole[open_] * shape, u, v)
+        drawn = np.stack([taken, drawn - taken], axis=2).reshape(len(n), -1)
+    return drawn[:, : len(sizes)]
+
+
+def _splits(counts: DataFrame, keys: list[str], cols, iterations: int, seed: int) -> DataFrame:
+    classes = counts.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("size"))
+    # places of distinct vectors, not of documents
+    place = (F.row_number().over(W.partitionBy(*keys).orderBy(*cols)) - 1).cast("bigint")
+    placed = classes.withColumn("place", place).withColumn("bucket", F.shiftright("place", BUCKET_HEIGHT))
+    totals = (
+        placed.groupBy(*keys, "bucket")
+        .agg(F.sum("size").alias("size"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("b"))
+        .select(*keys, F.col("b.size").alias("bucket_sizes"))
+    )
+    parts = F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // CHUNK))).alias("part")
+    work = placed.join(totals, keys).select("*", parts)
+    cols = list(cols)
 
+    def resample(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows.iloc[0]
+        rows = rows.sort_values("place")
+        buckets = np.asarray(head["bucket_sizes"], np.int64)
+        first = int(head["part"]) * CHUNK
+        iters = np.arange(first, min(first + CHUNK, iterations), dtype=np.int64)
+        bucket = int(head["bucket"])
+        n = np.full(len(iters), buckets.sum(), np.int64)
+        mine = split(buckets, n, 0, BUCKET_HEIGHT, iters, seed)[:, bucket]
+        drawn = split(rows["size"].to_numpy(np.int64), mine, bucket << BUCKET_HEIGHT, 0, iters, seed)
+        out = pd.DataFrame(drawn @ rows[cols].to_numpy(np.int64), columns=cols)
+        out.insert(0, "iter", iters.astype(np.int32))
+        for k in reversed(keys):
+            out.insert(0, k, head[k])
+        return out
 
-def _draws(counts: DataFrame, keys: list[str], cols, iterations: int, seed: int) -> DataFrame:
-    unit = W.partitionBy(*keys)
-    placed = counts.select(
-        *keys,
-        *cols,
-        (F.row_number().over(unit.orderBy("doc_id")) - 1).cast("bigint").alias("pos"),
-        F.count(F.lit(1)).over(unit).alias("n"),
-    )
-    # units of the same size share their draws
-    spots = placed.select("n", "pos").distinct()
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col("pos").cast("string")))
-    pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("n")
-    weights = (
-        spots.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-        .groupBy("n", "iter", pick.alias("pos"))
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    return placed.join(weights, ["n", "pos"]).groupBy(*keys, "iter").agg(*_sums(cols, F.col("w")))
+    types = {f.name: f.dataType.simpleString() for f in counts.schema}
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["iter int"] + [f"{c} bigint" for c in cols])
+    drawn = work.groupBy(*keys, "bucket", "part").applyInPandas(resample, schema)
+    return drawn.groupBy(*keys, "iter").agg(*_sums(cols))
 
 
 def _multinomial(counts: DataFrame, keys: list[str], cols, iterations: int, seed: int) -> DataFrame:
@@ -120,7 +212,7 @@ def intervals(
     iterations: int = ITERATIONS,
     seed: int = SEED,
     confidence: float = CONFIDENCE,
-    method: str = "multinomial",
+    method: str = "splits",
 ) -> DataFrame:
     """Point estimate and percentile interval of micro-F1 (or its difference) per unit.
 
@@ -133,7 +225,7 @@ def intervals(
         .agg(F.count(F.lit(1)).alias("n"), *_sums(cols))
         .select(*keys, "n", _statistic(cols).alias("point"))
     )
-    sample = {"draws": _draws, "multinomial": _multinomial}[method]
+    sample = {"splits": _splits, "multinomial": _multinomial}[method]
     tail = round((1.0 - confidence) / 2.0, 12)
     bounds = (
         sample(counts, keys, cols, iterations, seed)

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.schemas import COMPONENT_ID_PATTERN, MAX_COMPONENTS, MAX_RELATIONS
+from marginalia.operators.ranking import positions
+from marginalia.schemas import (
+    COMPONENT_ID_PATTERN,
+    COMPONENT_TYPES,
+    MAX_COMPONENTS,
+    MAX_RELATIONS,
+    RELATION_TYPES,
+)
 
 # ---- fixed values --------------------------------------------------------------
 SPLIT_SEED = 13
@@ -17,6 +24,10 @@ VAL_FRACTION = 0.2
 STRATA = 4
 EXEMPLAR_SEED = 17
 EXEMPLARS = 3
+# tokens of a component and of a relation in an answer, and of a whole answer
+COMPONENT_TOKENS = 50
+RELATION_TOKENS = 25
+MAX_OUTPUT_TOKENS = 3072
 USER_PROMPT = (
     "List the claims and premises of the document below and how they are linked.\n\n<document>\n",
     "\n</document>",
@@ -132,37 +143,32 @@ def seeded(seed: int) -> Column:
 
 
 def ranked_by_size(sizes: DataFrame) -> DataFrame:
-    """0-based position of documents ordered by (n_components, doc_id), and their number.
-
-    Documents are counted per size first; the running total over the few sizes
-    gives each size its offset, so no task orders the whole corpus.
-    """
-    per_size = sizes.groupBy("n_components").agg(F.count(F.lit(1)).alias("c"))
-    upto = W.orderBy("n_components").rowsBetween(W.unboundedPreceding, -1)
-    every = W.orderBy("n_components").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    offsets = per_size.select(
-        "n_components",
-        F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("before"),
-        F.sum("c").over(every).alias("n"),
-    )
-    inside = F.row_number().over(W.partitionBy("n_components").orderBy("doc_id")) - 1
-    return sizes.join(offsets, "n_components").withColumn(
-        "pos", (F.col("before") + inside).cast("bigint")
-    )
+    """0-based position of documents ordered by (n_components, doc_id), and their number."""
+    total = sizes.agg(F.count(F.lit(1)).alias("n"))
+    return positions(sizes, ["n_components", "doc_id"]).join(F.broadcast(total))
 
 
 def carve_validation(
     sizes: DataFrame, fraction: float = VAL_FRACTION, seed: int = SPLIT_SEED, strata: int = STRATA
 ) -> DataFrame:
-    """Training documents with the split they end in: a share of every size stratum moves to val."""
+    """Training documents with the split they end in: a share of every size stratum moves to val.
+
+    A document's place inside its stratum is its place in the order by stratum and hash, less
+    the documents of the strata before; no task holds a stratum.
+    """
     ranked = ranked_by_size(sizes)
     size = F.greatest(F.lit(1), F.floor(F.col("n") / strata))
-    placed = ranked.withColumn("stratum", F.floor(F.col("pos") / size))
-    per = W.partitionBy("stratum")
-    take = F.bround(F.count(F.lit(1)).over(per) * F.lit(float(fraction)), 0)
-    nth = F.row_number().over(per.orderBy(seeded(seed), "doc_id"))
+    keyed = ranked.select(
+        "doc_id", "n_components", F.floor(F.col("pos") / size).alias("stratum"), size.alias("size"), "n",
+        seeded(seed).alias("hash"),
+    )
+    placed = positions(keyed, ["stratum", "hash", "doc_id"])
+    nth = F.col("pos") - F.col("stratum") * F.col("size")
+    # the last stratum may be short
+    members = F.least("size", F.col("n") - F.col("stratum") * F.col("size"))
+    take = F.bround(members * F.lit(float(fraction)), 0)
     return placed.select(
-        "doc_id", "n_components", "stratum", F.when(nth <= take, "val").otherwise("train").alias("split")
+        "doc_id", "n_components", "stratum", F.when(nth < take, "val").otherwise("train").alias("split")
     )
 
 
@@ -175,18 +181,31 @@ def pick_exemplars(sizes: DataFrame, k: int = EXEMPLARS, seed: int = EXEMPLAR_SE
 
 
 def conforms(graph: Column) -> Column:
-    """Whether an answer stays inside the bounded grammar."""
+    """Whether an answer stays inside the bounded grammar: sizes, ids and types."""
     c, r = graph["components"], graph["relations"]
     return (
         (F.size(c) <= MAX_COMPONENTS)
         & (F.size(r) <= MAX_RELATIONS)
-        & F.forall(c, lambda x: x["id"].rlike(COMPONENT_ID_PATTERN))
+        & F.forall(c, lambda x: x["id"].rlike(COMPONENT_ID_PATTERN) & x["type"].isin(*COMPONENT_TYPES))
         & F.forall(
-            r, lambda x: x["src"].rlike(COMPONENT_ID_PATTERN) & x["tgt"].rlike(COMPONENT_ID_PATTERN)
+            r,
+            lambda x: x["src"].rlike(COMPONENT_ID_PATTERN)
+            & x["tgt"].rlike(COMPONENT_ID_PATTERN)
+            & x["type"].isin(*RELATION_TYPES),
         )
     )
 
 
+def token_bound(components: Column, relations: Column) -> Column:
+    """Most tokens an answer with so many components and relations takes."""
+    return components * F.lit(COMPONENT_TOKENS) + relations * F.lit(RELATION_TOKENS)
+
+
+def grammar_closes(max_tokens: int = MAX_OUTPUT_TOKENS) -> bool:
+    """Whether the largest answer of the grammar fits, so that generation always reaches its end."""
+    return MAX_COMPONENTS * COMPONENT_TOKENS + MAX_RELATIONS * RELATION_TOKENS < max_tokens
+
+
 def dataset_summary(
     docs: DataFrame, components: DataFrame, relations: DataFrame, meta: Sequence[str] = ()
 ) -> DataFrame:

@@ -54,12 +54,15 @@ def b7_salvage_answer(spark: SparkSession, sf: str) -> DataFrame:
     "b9_answer_shape",
     f"""SELECT event_id, length(answer) AS chars, 1 AS lines, substr(sha256(answer), 1, 16) AS sha256_16,
   starts_with(answer, '{{') AS starts_with_brace, 0 AS heading_lines, 0 AS bullet_lines, json_valid(answer) AS parses,
-  CASE WHEN {OBJECT} THEN array_to_string(list_sort(json_keys(answer)), ',') END AS top_level_keys FROM fx_gen""",
+  CASE WHEN {OBJECT} THEN array_to_string(list_sort(json_keys(answer)), ',') END AS top_level_keys,
+  CASE WHEN {OBJECT} AND json_type(answer, '$.components') = 'ARRAY' THEN json_array_length(answer, '$.components')::BIGINT ELSE -1 END AS n_components,
+  CASE WHEN {OBJECT} AND json_type(answer, '$.relations') = 'ARRAY' THEN json_array_length(answer, '$.relations')::BIGINT ELSE -1 END AS n_relations FROM fx_gen""",
     ("fx_gen",),
 )
 def b9_answer_shape(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.gen(spark, sf).select("event_id", js.shape(F.col("answer")).alias("s"))
-    return rows.select("event_id", "s.*").drop("n_components", "n_relations")
+    # -1 for what is no list, so that the column holds whole numbers everywhere
+    return rows.select("event_id", "s.*").fillna(-1, ["n_components", "n_relations"])
 
 
 @query(
@@ -431,6 +434,26 @@ def b8_legacy_normalisation(spark: SparkSession, sf: str) -> DataFrame:
     return legacy.claims(rows, "n").drop("n")
 
 
+@query(
+    "b8_located_claims",
+    f"""SELECT doc_id, idx, 'premise' AS type, 0.5::DOUBLE AS confidence,
+  CASE WHEN hit THEN position(claim IN text) - 1 ELSE greatest(0, least(s, length(text) - 1)) END AS source_start,
+  CASE WHEN hit THEN position(claim IN text) - 1 + length(claim)
+       ELSE greatest(greatest(0, least(s, length(text) - 1)) + 1, least(s + 30, length(text))) END AS source_end
+FROM (SELECT doc_id, idx, text, idx * 400 AS s, CASE WHEN idx % 3 = 1 THEN '' ELSE needle END AS claim,
+  idx % 3 <> 1 AND length(needle) > 0 AS hit FROM fx_needle)""",
+    ("fx_needle",),
+)
+def b8_located_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims are looked for in their text; those without words keep what they state, clamped."""
+    said = F.when(F.col("idx") % 3 == 1, "").otherwise(F.col("text"))
+    rows = _gold_text(spark, sf).select(
+        "doc_id", "idx", said.alias("claim"), F.lit("guess").alias("type"), F.lit(None).cast("double").alias("confidence"),
+        (F.col("idx") * 400).alias("source_start"), (F.col("idx") * 400 + 30).alias("source_end"),
+    )
+    return legacy.located_claims(rows, fx.docs(spark, sf).select("doc_id", "text")).drop("claim")
+
+
 @query(
     "b8_legacy_relationships",
     """SELECT event_id, CASE WHEN event_type IN ('supports', 'opposes', 'refines', 'depends_on') THEN event_type ELSE 'supports' END AS type,

@@ -106,7 +106,9 @@ def _rank_sql(source: str, key: str, value: str, qs: dict[str, float], out) -> s
 @query(
     "d5_run_summary",
     f"""SELECT * FROM (SELECT model, count(*) AS documents, count(*) FILTER (NOT cached) AS api_calls, count(*) FILTER (cached) AS cache_hits,
-  sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+  count(*) FILTER (event_id % 41 = 0) AS errors, count(*) FILTER (event_id % 23 = 5) AS invalid_outputs,
+  coalesce(sum(CASE WHEN event_id % 23 <> 5 THEN event_id % 3 END), 0)::BIGINT AS unalignable_components,
+  count(*) FILTER (NOT cached) AS latency_n, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
   sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(cache_write_tokens)::BIGINT AS cache_write_tokens,
   round_even({EXACT}, 6) AS dollars_total, round_even({EXACT} / count(*), 6) AS dollars_per_doc,
   round_even(sum(CASE WHEN NOT cached THEN latency_ms END)::DOUBLE / 1000 / count(*) FILTER (NOT cached), 3) AS latency_mean
@@ -115,7 +117,15 @@ FROM fx_ledger GROUP BY model) JOIN ({_rank_sql("(SELECT * FROM fx_ledger WHERE
     ("fx_ledger",),
 )
 def d5_run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    calls = fx.ledger(spark, sf).withColumn("latency_s", F.col("latency_ms") / 1000)
+    e = F.col("event_id")
+    calls = fx.ledger(spark, sf).withColumns(
+        {
+            "latency_s": F.col("latency_ms") / 1000,
+            "error": F.when(e % 41 == 0, "timeout"),
+            "invalid_output": e % 23 == 5,
+            "unalignable_components": F.when(e % 23 != 5, e % 3),
+        }
+    )
     return cost.run_summary(calls)
 
 

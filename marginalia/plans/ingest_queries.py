@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia import fixtures as fx
 from marginalia.fixtures import CTE
@@ -18,7 +19,7 @@ from marginalia.plans.registry import query
 from marginalia.plans.shaping_queries import PROMPT_SQL, SYSTEM, _graphs
 from marginalia.session import scratch_path
 from marginalia.sources import arggraph as ag
-from marginalia.sources import files, standoff
+from marginalia.sources import files, snapshots, standoff
 from marginalia.streaming import jobs
 
 
@@ -294,6 +295,61 @@ def a11_predictions_sink(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("system", "prompt_version").agg(F.count(F.lit(1)).alias("n"))
 
 
+CTE["fx_version"] = (
+    ("fx_pred",),
+    """SELECT concat('s', system_id) AS system, 'v' || v AS prompt_version, doc_id, comp_id, n AS version
+FROM fx_pred, (VALUES (1, 1), (1, 2), (2, 3)) t(v, n)
+WHERE CASE n WHEN 1 THEN true WHEN 2 THEN system_id = 0 AND idx % 2 = 0 ELSE system_id = 1 END""",
+)
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[str, T.StructType]:
+    """A prediction table written three times: all, one system anew, another prompt version."""
+    folder = scratch_path(spark, "versions")
+    pred = fx.pred(spark, sf)
+    named = pred.select(F.concat(F.lit("s"), "system_id").alias("system"), "doc_id", "comp_id", "idx", "system_id")
+    for prompt, rows in (
+        ("v1", named),
+        ("v1", named.filter("system_id = 0 AND idx % 2 = 0")),
+        ("v2", named.filter("system_id = 1")),
+    ):
+        made = rows.select("system", F.lit(prompt).alias("prompt_version"), "doc_id", "comp_id")
+        snapshots.commit(made, folder)
+    return folder, made.schema
+
+
+@query(
+    "a10_newest_predictions",
+    """SELECT doc_id, comp_id, version FROM fx_version WHERE (system, prompt_version, version) IN
+  (SELECT (system, prompt_version, max(version)) FROM fx_version GROUP BY system, prompt_version) AND system = 's0'""",
+    ("fx_version",),
+)
+def a10_newest_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """One system's predictions from the newest version that holds it."""
+    folder, schema = _versions(spark, sf)
+    return snapshots.latest(spark, folder, schema, system="s0").select("doc_id", "comp_id", "version")
+
+
+@query(
+    "a11_prediction_history",
+    """SELECT system, prompt_version, version, count(*) AS n, count(DISTINCT doc_id) AS documents, sum(hash_part)::BIGINT AS content,
+  version = max(version) OVER (PARTITION BY system, prompt_version) AS newest
+FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', system, prompt_version, doc_id, comp_id)), 1, 8))::BIGINT AS hash_part FROM fx_version)
+GROUP BY system, prompt_version, version""",
+    ("fx_version",),
+)
+def a11_prediction_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Every version as it was written, and which of them the view of the latest shows."""
+    folder, schema = _versions(spark, sf)
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", "system", "prompt_version", F.col("doc_id").cast("string"), "comp_id")), 1, 8), 16, 10)
+    every = snapshots.history(spark, folder, schema).groupBy("system", "prompt_version", "version").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.sum(part.cast("bigint")).alias("content")
+    )
+    shown = snapshots.latest(spark, folder, schema).select("system", "prompt_version", "version", F.lit(True).alias("shown")).distinct()
+    joined = every.join(shown, ["system", "prompt_version", "version"], "left")
+    return joined.select(*every.columns, F.col("shown").isNotNull().alias("newest"))
+
+
 @query(
     "a12_generations",
     """SELECT doc_id::VARCHAR AS doc_id, model AS adapter, sha256(answer) AS answer, output_tokens, 12.5::DOUBLE AS generate_seconds, true AS constrained
@@ -598,11 +654,12 @@ def j1_streaming_spend(spark: SparkSession, sf: str) -> DataFrame:
     ("fx_ledger",),
 )
 def j2_streaming_distinct_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """First calls by document and model; keys are kept as long as the ledger's time span asks for."""
+    """First calls by document and model, a batch per written file: old and undated rows in any of them."""
     source = scratch_path(spark, "ledger")
-    files.append_ledger(_ledger_entries(spark, sf), source)
-    stamped = jobs.read_ledger(spark, source).withColumn("at", F.to_timestamp("timestamp"))
-    once = jobs.first_calls(stamped, ["doc_id", "model"], ("at", "400 days"))
+    entries = _ledger_entries(spark, sf)
+    for part in range(3):
+        files.append_ledger(entries.filter(F.col("input_tokens") % 3 == part).coalesce(1), source)
+    once = jobs.first_calls(jobs.read_ledger(spark, source, files_per_batch=1), ["doc_id", "model"])
     return jobs.run_to_end(once, "append").groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
 
 

@@ -16,6 +16,7 @@ from marginalia.operators import shaping as sh
 from marginalia.operators import validate as va
 from marginalia.plans.answer_queries import SPACE_SQL, _gold_text
 from marginalia.plans.registry import query
+from marginalia.session import scratch_path
 from marginalia.sources import files
 
 SYSTEM = "Annotate the argument structure of the text."
@@ -26,6 +27,20 @@ def b1_split_filter(spark: SparkSession, sf: str) -> DataFrame:
     return fx.docs(spark, sf).filter(F.col("split") == "val").select("doc_id", "split")
 
 
+@query(
+    "b1_partitioned_split",
+    "SELECT doc_id, lang AS corpus, split FROM fx_docs WHERE split = 'val' AND lang = (SELECT min(lang) FROM documents)",
+    ("fx_docs",),
+)
+def b1_partitioned_split(spark: SparkSession, sf: str) -> DataFrame:
+    """One split of one corpus, read from its own folder of a written corpus."""
+    docs = fx.docs(spark, sf)
+    path = scratch_path(spark, "corpora")
+    files.write_corpora(docs.withColumn("corpus", F.col("lang")), path)
+    corpus = docs.agg(F.min("lang")).first()[0]
+    return files.read_split(spark, path, "val", corpus).select("doc_id", "corpus", "split")
+
+
 @query("b2_first_documents", "SELECT doc_id, lang FROM fx_docs ORDER BY doc_id LIMIT 25", ("fx_docs",))
 def b2_first_documents(spark: SparkSession, sf: str) -> DataFrame:
     return fx.docs(spark, sf).select("doc_id", "lang").orderBy("doc_id").limit(25)
@@ -264,6 +279,29 @@ def h7_grammar_conformance(spark: SparkSession, sf: str) -> DataFrame:
     return _graphs(spark, sf).select("doc_id", sh.conforms(F.col("graph")).alias("conforms"))
 
 
+@query(
+    "h7_types_and_budget",
+    """SELECT d.doc_id, coalesce(c.n, 0) <= 30 AND coalesce(r.n, 0) <= 22 AND coalesce(c.m, 0) < 100
+    AND NOT (d.doc_id % 7 = 3 AND coalesce(c.n, 0) > 0) AS conforms,
+  coalesce(c.n, 0) * 50 + coalesce(r.n, 0) * 25 AS token_bound, coalesce(c.n, 0) * 50 + coalesce(r.n, 0) * 25 < 400 AS within_400,
+  30 * 50 + 22 * 25 < 3072 AS closes
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n, max(idx + 1) AS m FROM fx_gold GROUP BY doc_id) c USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM fx_gold_rel GROUP BY doc_id) r USING (doc_id)""",
+    ("fx_gold_rel",),
+)
+def h7_types_and_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with a type outside the scheme do not conform; every answer's worst case in tokens."""
+    other = F.when(F.col("doc_id") % 7 == 3, "Evidence")
+    retyped = F.transform("graph.components", lambda c: c.withField("type", F.coalesce(other, c["type"])))
+    rows = _graphs(spark, sf).withColumn("graph", F.col("graph").withField("components", retyped))
+    bound = sh.token_bound(F.size("graph.components"), F.size("graph.relations")).cast("bigint")
+    return rows.select(
+        "doc_id", sh.conforms(F.col("graph")).alias("conforms"), bound.alias("token_bound"),
+        (bound < 400).alias("within_400"), F.lit(sh.grammar_closes()).alias("closes"),
+    )
+
+
 CTE["fx_sizes"] = (
     ("fx_docs", "fx_gold"),
     """SELECT doc_id, count(g.idx) AS n_components FROM fx_docs d LEFT JOIN fx_gold g USING (doc_id) WHERE d.split = 'train' GROUP BY doc_id""",

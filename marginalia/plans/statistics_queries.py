@@ -17,9 +17,6 @@ from marginalia.plans.registry import query
 from marginalia.plans.scoring_queries import OVERLAP_TYPED, scores
 from marginalia.session import cut
 
-# Iterations in the checked queries: enough to exercise the interval, quick in SQL.
-B = 200
-DRAWS = {"iterations": B, "seed": 0, "method": "draws"}
 LOCAL_DOCS_PER_SECOND = 1.487
 API_MODEL = "claude-haiku-4-5"
 LABEL = OVERLAP_TYPED.label
@@ -32,22 +29,93 @@ def _f1(p: str = "") -> str:
     )
 
 
+def _mixed_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor({x} >> 16, {x}) * 73244475) & 4294967295)"
+    return f"xor({x} >> 16, {x})"
+
+
+# Height of the trees in SQL: room for 4,096 distinct vectors, more than the checked tables have documents.
+LEVELS = 12
+
+# Hashes of the iterations, for the two uniform numbers of a draw; the seed is 0.
+CTE["bs_iter"] = (
+    (),
+    f"""SELECT i AS iter, {_mixed_sql('(i * 4)')} AS hu, {_mixed_sql('(i * 4 + 1)')} AS hv
+FROM (SELECT unnest(range(0, {rs.ITERATIONS})) AS i)""",
+)
+
+
 def _draw_ctes(name: str, source: str, keys: str, cols: tuple[str, ...]) -> str:
-    """Per-iteration sums of the columns of one CTE with (keys, doc_id, cols)."""
-    CTE[f"{name}_pos"] = (
-        (source,),
-        f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY doc_id) - 1 AS pos,
-  count(*) OVER (PARTITION BY {keys}) AS n FROM {source}""",
-    )
-    CTE[f"{name}_draw"] = (
+    """Per-iteration sums of the columns of one CTE with (keys, doc_id, cols).
+
+    A tree over the distinct vectors: draws go down from the root, split by binomial draws.
+    Levels are written out, as a recursive query would keep the rows of all of them.
+    """
+    vec = ", ".join(cols)
+    CTE[f"{name}_pos"] = ((source,), f"SELECT {keys}, doc_id, {vec} FROM {source}")
+    CTE[f"{name}_unit"] = (
         (f"{name}_pos",),
-        f"""SELECT n, iter, ('0x' || substr(md5(concat_ws('|', 0, iter, pos)), 1, 8))::BIGINT % n AS pos, count(*) AS w
-FROM (SELECT DISTINCT n, pos FROM {name}_pos) CROSS JOIN (SELECT unnest(range(0, {B})) AS iter) GROUP BY 1, 2, 3""",
+        f"SELECT row_number() OVER (ORDER BY {keys}) AS unit, * FROM (SELECT DISTINCT {keys} FROM {name}_pos)",
+    )
+    CTE[f"{name}_class"] = (
+        (f"{name}_pos", f"{name}_unit"),
+        f"""SELECT unit, {vec}, size, row_number() OVER (PARTITION BY unit ORDER BY {vec}) - 1 AS place
+FROM (SELECT {keys}, {vec}, count(*) AS size FROM {name}_pos GROUP BY {keys}, {vec}) JOIN {name}_unit USING ({keys})""",
     )
-    sums = ", ".join(f"sum({c} * w)::BIGINT AS {c}" for c in cols)
+    CTE[f"{name}_mass"] = (
+        (f"{name}_class",),
+        f"""SELECT unit, h, place >> h AS node, sum(size)::BIGINT AS mass
+FROM {name}_class, (SELECT unnest(range(0, {LEVELS + 1})) AS h) GROUP BY unit, h, place >> h""",
+    )
+    CTE[f"{name}_node"] = (
+        (f"{name}_mass",),
+        f"""SELECT *, least(part, mass - part) AS low, {_mixed_sql('((node * 64 + h) & 4294967295)')} AS hn
+FROM (SELECT a.unit, a.h, a.node, a.mass, coalesce(b.mass, 0) AS part
+  FROM {name}_mass a LEFT JOIN {name}_mass b ON b.unit = a.unit AND b.h = a.h - 1 AND b.node = 2 * a.node WHERE a.h > 0)""",
+    )
+    # distribution functions of all binomial draws that are taken by inversion
+    CTE[f"{name}_odds"] = (
+        (f"{name}_node",),
+        f"""SELECT low, mass, low::DOUBLE / mass AS p, unnest(range(1, least(n, floor({rs.EXACT_VARIANCE}::DOUBLE
+  / ((low::DOUBLE / mass) * (1.0::DOUBLE - low::DOUBLE / mass)))::BIGINT) + 1)) AS n
+FROM (SELECT DISTINCT low, mass FROM {name}_node WHERE low > 0), (SELECT max(mass) AS n FROM {name}_node)""",
+    )
+    CTE[f"{name}_fact"] = (
+        (f"{name}_node",),
+        f"""SELECT k, coalesce(sum(CASE WHEN k > 0 THEN ln(k) END) OVER (ORDER BY k), 0.0::DOUBLE) AS lf
+FROM (SELECT unnest(range(0, n + 1)) AS k FROM (SELECT max(mass) AS n FROM {name}_node))""",
+    )
+    CTE[f"{name}_cdf"] = (
+        (f"{name}_odds", f"{name}_fact"),
+        f"""SELECT low, mass, n, list(below ORDER BY k) AS cdf FROM (
+  SELECT low, mass, o.n, o.k, sum(exp(a.lf - b.lf - c.lf + o.k * ln(p) + (o.n - o.k) * ln(1.0::DOUBLE - p)))
+    OVER (PARTITION BY low, mass, o.n ORDER BY o.k) AS below
+  FROM (SELECT *, unnest(range(0, least(n, ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 15)::BIGINT))) AS k FROM {name}_odds) o
+  JOIN {name}_fact a ON a.k = o.n JOIN {name}_fact b ON b.k = o.k JOIN {name}_fact c ON c.k = o.n - o.k)
+GROUP BY low, mass, n""",
+    )
+    u, v = (f"({_mixed_sql(f'xor({h}, hn)')}::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE" for h in ("hu", "hv"))
+    z = f"(sqrt(-2.0::DOUBLE * ln(u)) * cos(2.0::DOUBLE * pi() * ({v})))"
+    draw = (
+        "CASE WHEN low = 0 THEN 0 WHEN n = 1 THEN (u > q)::BIGINT WHEN n = 2 THEN (u > q * q)::BIGINT + (u > 1.0::DOUBLE - p * p)::BIGINT "
+        "WHEN cdf IS NOT NULL THEN len(list_filter(cdf, lambda c: c < u)) "
+        f"ELSE least(n, greatest(0, floor(n * p + sqrt(n * p * q) * {z} + (q - p) * ({z} * {z} - 1.0::DOUBLE) / 6.0::DOUBLE + 0.5::DOUBLE))) END::BIGINT"
+    )
+    rows = f"SELECT unit, iter, hu, hv, 0::BIGINT AS node, mass AS n FROM {name}_mass, bs_iter WHERE h = {LEVELS}"
+    for h in range(LEVELS, 0, -1):
+        rows = f"""SELECT unit, iter, hu, hv, 2 * node + side AS node, CASE side WHEN 0 THEN x ELSE n - x END AS n FROM (
+SELECT unit, iter, hu, hv, node, n, CASE WHEN 2 * part > mass THEN n - x ELSE x END AS x FROM (
+SELECT *, {draw} AS x FROM (
+SELECT d.*, t.part, t.mass, t.low, t.hn, f.cdf, t.low::DOUBLE / t.mass AS p, 1.0::DOUBLE - t.low::DOUBLE / t.mass AS q, {u} AS u
+FROM ({rows}) d JOIN (SELECT * FROM {name}_node WHERE h = {h}) t ON t.unit = d.unit AND t.node = d.node
+LEFT JOIN (SELECT * FROM {name}_cdf WHERE n > 2) f ON f.low = t.low AND f.mass = t.mass AND f.n = d.n))), (VALUES (0), (1)) s(side)
+WHERE CASE side WHEN 0 THEN x ELSE n - x END > 0"""
+    sums = ", ".join(f"sum({c} * n)::BIGINT AS {c}" for c in cols)
     CTE[f"{name}_iter"] = (
-        (f"{name}_pos", f"{name}_draw"),
-        f"""SELECT {keys}, iter, {sums} FROM {name}_pos JOIN {name}_draw USING (n, pos) GROUP BY {keys}, iter""",
+        (f"{name}_unit", f"{name}_class", f"{name}_node", f"{name}_cdf", "bs_iter"),
+        f"""SELECT {keys}, iter, {vec} FROM (SELECT unit, iter, {sums} FROM (SELECT unit, iter, node AS place, n FROM ({rows}))
+  JOIN (SELECT unit, place, {vec} FROM {name}_class) USING (unit, place) GROUP BY unit, iter) JOIN {name}_unit USING (unit)""",
     )
     return f"{name}_iter"
 
@@ -111,7 +179,7 @@ def d3_report_with_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Every criterion and kind, overall and by type, with its counts and its interval."""
     keys = ["system_id", "criterion", "kind", "label"]
     rows = cut(scores(spark, sf))
-    bounds = rs.intervals(rows, keys, **DRAWS).select(*keys, F.col("n").alias("documents"), "ci_low", "ci_high")
+    bounds = rs.intervals(rows, keys).select(*keys, F.col("n").alias("documents"), "ci_low", "ci_high")
     return s.corpus_scores(rows).join(bounds, keys)
 
 
@@ -123,7 +191,7 @@ def overall(spark: SparkSession, sf: str, criteria=None) -> DataFrame:
 @query("d8_bootstrap_f1", "SELECT * FROM fx_marginal", ("fx_marginal",))
 def d8_bootstrap_f1(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut(overall(spark, sf))
-    return rs.intervals(rows, ["system_id", "criterion", "kind"], **DRAWS)
+    return rs.intervals(rows, ["system_id", "criterion", "kind"])
 
 
 @query("d8_bootstrap_f1_multinomial")
@@ -136,14 +204,14 @@ def d8_bootstrap_f1_multinomial(spark: SparkSession, sf: str) -> DataFrame:
 @query("d9_paired_bootstrap_delta", "SELECT * FROM fx_paired", ("fx_paired",))
 def d9_paired_bootstrap_delta(spark: SparkSession, sf: str) -> DataFrame:
     both = cut(rs.side_by_side(overall(spark, sf), 0, 1))
-    return rs.intervals(both, ["criterion", "kind"], paired=True, **DRAWS)
+    return rs.intervals(both, ["criterion", "kind"], paired=True)
 
 
 @query("d10_bootstrap_by_type", "SELECT * FROM fx_labelled", ("fx_labelled",))
 def d10_bootstrap_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """A label's interval rests on the documents where it occurs."""
     rows = scores(spark, sf, [OVERLAP_TYPED]).filter(F.col("label") != "*")
-    return rs.intervals(cut(rows), ["system_id", "kind", "label"], **DRAWS)
+    return rs.intervals(cut(rows), ["system_id", "kind", "label"])
 
 
 @query(
@@ -156,7 +224,7 @@ FROM (SELECT * FROM fx_marginal WHERE system_id = 0) a JOIN (SELECT * FROM fx_ma
     ("fx_marginal", "fx_paired"),
 )
 def d11_system_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return rs.comparison(cut(overall(spark, sf)), 0, 1, **DRAWS)
+    return rs.comparison(cut(overall(spark, sf)), 0, 1)
 
 
 @query(
@@ -348,7 +416,7 @@ ORDER BY usd_per_1k, threshold LIMIT 1""",
 @query("f3_cheapest_sound_point", f"SELECT {ROUNDED} FROM fx_chosen", ("fx_chosen",))
 def f3_cheapest_sound_point(spark: SparkSession, sf: str) -> DataFrame:
     docs = legs(spark, sf, "val")
-    return _rounded(cs.cheapest_sound_point(docs, cut(sweep(spark, sf, docs)), **DRAWS))
+    return _rounded(cs.cheapest_sound_point(docs, cut(sweep(spark, sf, docs))))
 
 
 CTE["fx_final"] = (
@@ -393,8 +461,43 @@ def f5_cascade_report(spark: SparkSession, sf: str) -> DataFrame:
         return cut(cs.legs(rows.join(conf.select("doc_id"), "doc_id", "left_semi"), conf, LABEL))
 
     val = part("val")
-    chosen = cut(cs.cheapest_sound_point(val, cut(sweep(spark, sf, val)), **DRAWS))
-    return cs.report(part("test"), chosen.select("threshold").scalar(), **DRAWS)
+    chosen = cut(cs.cheapest_sound_point(val, cut(sweep(spark, sf, val))))
+    return cs.report(part("test"), chosen.select("threshold").scalar())
+
+
+CTE["fx_points"] = (
+    ("fx_leg", "fx_chosen", "fx_api"),
+    f"""SELECT point, threshold, escalated, documents, escalated::DOUBLE / documents::DOUBLE AS escalation_rate,
+  {_f1('components_')} AS component_f1, {_f1('relations_')} AS relation_f1,
+  (documents * {LOCAL_COST} + escalated * (SELECT api_cost FROM fx_api WHERE split = 'test')) / documents * 1000 AS usd_per_1k
+FROM (SELECT point, threshold, count(*) AS documents, sum((conf IS NULL OR conf < threshold)::INT)::BIGINT AS escalated, """
+    + ", ".join(f"sum({k}_{c})::BIGINT AS {k}_{c}" for k in cs.KINDS for c in cs.COUNTS)
+    + f""" FROM (SELECT point, threshold, conf, {_blend_sql('components')}, {_blend_sql('relations')}
+  FROM fx_leg, (SELECT 'first_only' AS point, '-inf'::DOUBLE AS threshold UNION ALL SELECT 'second_only', 'inf'::DOUBLE
+    UNION ALL SELECT 'cascade', threshold FROM fx_chosen) WHERE split = 'test') GROUP BY point, threshold)""",
+)
+
+
+@query(
+    "f5_operating_points",
+    f"""SELECT point, CASE WHEN point = 'cascade' THEN threshold END AS threshold, escalated, documents, escalation_rate, component_f1, relation_f1,
+  round_even(usd_per_1k, 6) AS usd_per_1k, '{LABEL}' AS criterion FROM fx_points""",
+    ("fx_points",),
+)
+def f5_operating_points(spark: SparkSession, sf: str) -> DataFrame:
+    """What the report split costs and gains at the chosen threshold and with either leg alone, at its own prices."""
+    rows = cut(scores(spark, sf, [OVERLAP_TYPED]))
+
+    def part(split: str) -> DataFrame:
+        conf = val_conf(spark, sf, split)
+        return cut(cs.legs(rows.join(conf.select("doc_id"), "doc_id", "left_semi"), conf, LABEL))
+
+    val = part("val")
+    chosen = cut(cs.cheapest_sound_point(val, cut(sweep(spark, sf, val))))
+    local = cost.local_usd_per_doc(F.lit(LOCAL_DOCS_PER_SECOND))
+    points = cs.operating_points(part("test"), chosen.select("threshold").scalar(), local, api_cost(spark, sf, "test"))
+    label = cs.criterion_for(fx.gold(spark, sf), LABEL, LABEL.replace("/typed", "/untyped"))
+    return points.withColumn("usd_per_1k", F.bround("usd_per_1k", 6)).withColumn("criterion", label)
 
 
 # ---- variance across runs and checkpoint choice --------------------------------

@@ -76,15 +76,86 @@ def components(graphs: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFram
     )
 
 
+def _doubled(state: DataFrame) -> DataFrame:
+    """Follow all open pointers to their ends: each takes over the pointer of the edge it has reached.
+
+    ``state``: ``doc_id, edge_id, to, len, open, most``: ``len`` links lead from ``edge_id`` to ``to``;
+    an open pointer may go on. Ways double every round, so the longest chain needs as many rounds
+    as its length has binary digits. A way longer than ``most`` goes round in a loop (``looped``).
+    """
+    state = cut(state.withColumn("looped", F.lit(False)))
+    while not state.filter("open").isEmpty():
+        reached = state.select("doc_id", *(F.col(c).alias(f"x_{c}") for c in ("edge_id", "to", "len", "open", "looped")))
+        way = F.col("len") + F.col("x_len")
+        beyond = F.col("x_looped") | (F.col("x_open") & (way > F.col("most")))
+        moved = (
+            state.filter("open")
+            .withColumn("x_edge_id", F.col("to"))
+            .join(reached, ["doc_id", "x_edge_id"])
+            .select(
+                "doc_id", "edge_id", F.col("x_to").alias("to"), way.alias("len"),
+                (F.col("x_open") & ~beyond).alias("open"), "most", beyond.alias("looped"),
+            )
+        )
+        state = cut(state.filter("not open").unionByName(moved))
+    return state
+
+
+def _chain_ends(step: DataFrame) -> DataFrame:
+    """``doc_id, edge_id, to, len, looped`` per added premise: the first edge of another kind on
+    its way and the number of added premises before it.
+
+    On a way into a loop ``len`` counts every edge met once.
+    """
+    adds = step.filter("etype = 'add'").groupBy("doc_id", "edge_id").agg(F.max_by("trg", "pos").alias("to"))
+    adds = cut(adds)
+    most = adds.groupBy("doc_id").agg(F.count(F.lit(1)).alias("most"))
+    others = adds.select("doc_id", F.col("edge_id").alias("to"), F.lit(True).alias("is_add"))
+    first = (
+        adds.join(others, ["doc_id", "to"], "left")
+        .join(most, "doc_id")
+        .select("doc_id", "edge_id", "to", F.lit(1).cast("bigint").alias("len"), F.col("is_add").isNotNull().alias("open"), "most")
+    )
+    ways = _doubled(first)
+    plain = ways.filter("not looped").select("doc_id", "edge_id", "to", "len", "looped")
+    looped = ways.filter("looped")
+    if looped.isEmpty():
+        return plain
+    # having gone further than there are edges, ways end anywhere on their loops, and on all of them
+    ring = cut(looped.select("doc_id", F.col("to").alias("edge_id")).distinct())
+    steps = cut(ring.join(adds, ["doc_id", "edge_id"]).withColumn("low", F.col("edge_id")))
+    longest = ring.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+    for _ in range(int(longest).bit_length()):
+        ahead = steps.select("doc_id", F.col("edge_id").alias("to"), F.col("to").alias("x_to"), F.col("low").alias("x_low"))
+        steps = cut(
+            steps.join(ahead, ["doc_id", "to"])
+            .select("doc_id", "edge_id", F.col("x_to").alias("to"), F.least("low", "x_low").alias("low"))
+        )
+    around = steps.groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("around"))
+    sized = cut(steps.join(around, ["doc_id", "low"]).select("doc_id", "edge_id", "around"))
+    on_ring = sized.select("doc_id", "edge_id", F.col("edge_id").alias("to"), F.col("around").alias("len"), F.lit(True).alias("looped"))
+    # ways to a loop: as before, with the loop's edges as ends
+    tails = looped.select("doc_id", "edge_id", "most").join(ring, ["doc_id", "edge_id"], "left_anti").join(adds, ["doc_id", "edge_id"])
+    entry = ring.select("doc_id", F.col("edge_id").alias("to"), F.lit(True).alias("is_ring"))
+    into = _doubled(
+        tails.join(entry, ["doc_id", "to"], "left")
+        .select("doc_id", "edge_id", "to", F.lit(1).cast("bigint").alias("len"), F.col("is_ring").isNull().alias("open"), "most")
+    )
+    met = into.drop("looped").join(sized.withColumnRenamed("edge_id", "to"), ["doc_id", "to"]).select(
+        "doc_id", "edge_id", "to", (F.col("len") + F.col("around")).alias("len"), F.lit(True).alias("looped")
+    )
+    return plain.unionByName(on_ring).unionByName(met)
+
+
 def resolve_edges(edge_rows: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(relations, outcomes): every edge reduced to a type and a target unit.
 
     Support and rebuttal keep their target unit; aimed at an edge they take that
     edge's source, and so does an undercut, as an attack. An added premise takes
-    over what the edge it joins resolves to; those chains are followed one link
-    per round, and only the chains still open go into the next round. A chain that
-    meets itself is unresolvable. ``outcomes`` has one row per edge with its
-    result and the number of edges noted as unresolvable on its account.
+    over what the edge it joins resolves to. A chain that meets itself is
+    unresolvable. Of edges that share an id the last one counts as the edge to join.
+    ``outcomes`` has one row per edge with its result and the number of edges noted
+    as unresolvable on its account.
     """
     rows = edge_rows.filter("etype <> 'seg'")
     odd = F.raise_error(F.concat("doc_id", F.lit("/"), "edge_id", F.lit(": unknown edge type ")))
@@ -110,36 +181,25 @@ def resolve_edges(edge_rows: DataFrame, units: DataFrame) -> tuple[DataFrame, Da
             *own, "rtype", "tgt", F.when(F.col("tgt").isNull(), 1).otherwise(0).alias("noted")
         )
     ]
-    links = step.select(
-        "doc_id", F.col("edge_id").alias("at"), F.col("etype").alias("at_type"), F.col("rtype").alias("at_rtype"),
-        F.col("tgt").alias("at_tgt"), F.col("trg").alias("next"),
+    links = step.groupBy("doc_id", F.col("edge_id").alias("to")).agg(
+        F.max_by(F.struct("etype", "rtype", "tgt"), "pos").alias("end")
     )
-    # also what an added premise may join: segment edges are edges too, of no known kind
-    open_ = step.filter("etype = 'add'").select(
-        *own, F.col("trg").alias("at"), F.array("edge_id").alias("seen")
-    )
-    while True:
-        moved = cut(open_.join(links, ["doc_id", "at"], "left"))
-        if moved.isEmpty():
-            break
-        loop = F.array_contains("seen", F.col("at"))
-        missing = F.col("at_type").isNull()
-        ends = F.coalesce(F.col("at_type") != "add", F.lit(True))
-        done = loop | missing | ends
-        failed = loop | missing | F.col("at_tgt").isNull()
-        # noted: every edge on the way, and the one the chain failed at where it exists
-        noted = F.when(failed, F.size("seen") + F.when(missing, 0).otherwise(1)).otherwise(0)
-        settled.append(
-            moved.filter(done).select(
-                *own,
-                F.when(~failed, F.col("at_rtype")).alias("rtype"),
-                F.when(~failed, F.col("at_tgt")).alias("tgt"),
-                noted.alias("noted"),
-            )
-        )
-        open_ = moved.filter(~done).select(
-            *own, F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen")
+    ends = _chain_ends(step)
+    missing = F.col("end").isNull()
+    failed = F.col("looped") | missing | F.col("end.tgt").isNull()
+    # noted: every edge on the way, and the one the chain failed at where it exists
+    noted = F.when(failed, F.col("len") + F.when(~F.col("looped") & missing, 0).otherwise(1)).otherwise(0)
+    settled.append(
+        step.filter("etype = 'add'").select(*own)
+        .join(ends, ["doc_id", "edge_id"])
+        .join(links, ["doc_id", "to"], "left")
+        .select(
+            *own,
+            F.when(~failed, F.col("end.rtype")).alias("rtype"),
+            F.when(~failed, F.col("end.tgt")).alias("tgt"),
+            noted.cast("int").alias("noted"),
         )
+    )
     outcomes = reduce(DataFrame.unionByName, settled)
     loops = F.coalesce(F.col("tgt") == F.col("src"), F.lit(False))
     outcomes = outcomes.withColumn("noted", F.when(loops, 1).otherwise(F.col("noted"))).withColumn(

@@ -30,9 +30,23 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("error").option("ignoreNullFields", "false").json(path)
 
 
-def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One split of a document table partitioned by ``split``: other folders are not read."""
-    return spark.read.parquet(path).filter(F.col("split") == split)
+def write_corpora(docs: DataFrame, path: str) -> None:
+    """Documents under ``corpus=.../split=...``, so that readers of one split open its folder alone."""
+    docs.write.mode("error").partitionBy("corpus", "split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str, corpus: str | None = None) -> DataFrame:
+    """One split of a document table partitioned by ``split``: other folders are not read.
+
+    With ``corpus`` the table is also partitioned by it, and a corpus that is not there is an error.
+    """
+    docs = spark.read.parquet(path)
+    if corpus is None:
+        return docs.filter(F.col("split") == split)
+    mine = docs.filter(F.col("corpus") == corpus)
+    if mine.isEmpty():
+        raise FileNotFoundError(f"no corpus {corpus} in {path}")
+    return mine.filter(F.col("split") == split)
 
 
 def flatten(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

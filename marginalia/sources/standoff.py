@@ -166,11 +166,11 @@ def read_split_csv(files: DataFrame) -> DataFrame:
     """(doc_id, split) of whole ``ID;SET`` files ``(path, value)``: header, quotes, byte-order mark.
 
     A file that does not begin with the header or names another split ends the job. A
-    quoted cell may hold the delimiter; lines of fewer than two cells are skipped.
+    quoted cell may hold the delimiter, and quotes that are doubled; lines of fewer than two cells are skipped.
     """
     clean = F.regexp_replace("value", "^\ufeff", "")
     line = F.filter(F.split(clean, r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    cells = F.from_csv("line", "id string, set string", {"sep": ";", "mode": "PERMISSIVE"})
+    cells = F.from_csv("line", "id string, set string", {"sep": ";", "escape": '"', "mode": "PERMISSIVE"})
     rows = files.select("path", F.posexplode(line).alias("k", "line")).withColumn("c", cells)
     name = F.upper(F.trim("c.set"))
     head = (F.upper(F.trim("c.id")) == "ID") & (name == "SET")

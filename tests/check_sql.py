@@ -30,7 +30,7 @@ def connect(sf_dir: str):
 
 
 def canon(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if hasattr(value, "item"):
         value = value.item()

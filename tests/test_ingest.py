@@ -232,6 +232,57 @@ def test_restart_keeps_earlier_rows(spark, tmp_path):
         assert sorted(r.key for r in out.collect()) == keys
 
 
+def ledger_part(spark, src, *rows):
+    """One file of ledger entries ``(timestamp, model, doc_id, dollars)``."""
+    made = spark.createDataFrame(list(rows), "timestamp string, model string, doc_id string, dollars double")
+    none = {c: F.lit(0).cast("bigint") for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")}
+    files.append_ledger(made.coalesce(1).withColumns(none | {"latency_s": F.lit(1.0), "batch": F.lit(False), "cached": F.lit(False), "note": F.lit("")}), src)
+
+
+def test_first_calls_lose_no_old_or_undated_row(spark, tmp_path):
+    src, progress = str(tmp_path / "ledger"), str(tmp_path / "progress")
+    ledger_part(spark, src, ("", "m", "a", 1.0), ("2024-01-01T00:00:00", "m", "b", 1.0))
+    once = lambda: jobs.first_calls(jobs.read_ledger(spark, src, files_per_batch=1), ["doc_id", "model"])
+    assert sorted(r.doc_id for r in jobs.run_to_end(once(), "append", progress).collect()) == ["a", "b"]
+    ledger_part(spark, src, ("2023-06-01T00:00:00", "m", "c", 1.0), ("", "m", "d", 1.0), ("2020-01-01T00:00:00", "m", "a", 1.0))
+    ledger_part(spark, src, ("1999-01-01T00:00:00", "n", "a", 1.0), ("", "m", "b", 1.0))
+    got = sorted((r.doc_id, r.model) for r in jobs.run_to_end(once(), "append", progress).collect())
+    assert got == [("a", "m"), ("a", "n"), ("b", "m"), ("c", "m"), ("d", "m")]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def test_first_calls_with_bounded_state(spark, tmp_path, rocksdb):
+    src, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    for keys in (["a", "a", "b"], ["b", "c"], ["a"]):
+        spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n int").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("key string, n int").parquet(src)
+        out = jobs.run_to_end(jobs.first_calls(stream, ["key"], keep="1 day"), "append", progress)
+    assert sorted(r.key for r in out.collect()) == ["a", "b", "c"]
+
+
+def test_alert_once_when_the_cap_is_passed(spark, tmp_path, rocksdb):
+    src, progress = str(tmp_path / "ledger"), str(tmp_path / "progress")
+    seen = []
+    for spent in (1.5, 1.0, 3.0):
+        ledger_part(spark, src, ("", "m", "a", spent), ("", "small", "a", 0.1))
+        out = jobs.run_to_end(jobs.cap_alerts(jobs.read_ledger(spark, src), 2.0), "append", progress)
+        seen.append([(r.model, r.calls, r.spent) for r in out.collect()])
+    assert seen == [[], [("m", 2, 2.5)], [("m", 2, 2.5)]]
+
+
+def test_quotes_in_split_files(spark):
+    text = '"ID";"SET"\n"a""b;c";"TRAIN"\nplain;test\n'
+    got = standoff.read_split_csv(spark.createDataFrame([("f", text)], "path string, value string")).collect()
+    assert {(r.doc_id, r.split) for r in got} == {('a"b;c', "train"), ("plain", "test")}
+
+
 def test_starts_from_any_folder(tmp_path):
     """A query whose Python runs on executors, from an empty working folder."""
     import subprocess

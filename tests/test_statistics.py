@@ -19,7 +19,7 @@ def counts(spark, rows):
     return spark.createDataFrame([("u", i, *r) for i, r in enumerate(rows)], "unit string, doc_id int, tp bigint, fp bigint, fn bigint")
 
 
-@pytest.mark.parametrize("method", ["draws", "multinomial"])
+@pytest.mark.parametrize("method", ["splits", "multinomial"])
 def test_marginal_interval(spark, method):
     mixed = rs.intervals(counts(spark, [PERFECT] * 10 + [MEDIOCRE] * 10), ["unit"], iterations=500, method=method).first()
     assert mixed.ci_low < mixed.point < mixed.ci_high
@@ -29,7 +29,7 @@ def test_marginal_interval(spark, method):
     assert (lone.ci_low, lone.ci_high) == (lone.point, lone.point)
 
 
-@pytest.mark.parametrize("method", ["draws", "multinomial"])
+@pytest.mark.parametrize("method", ["splits", "multinomial"])
 def test_paired_interval(spark, method):
     schema = "unit string, doc_id int, " + ", ".join(f"{c} bigint" for c in rs.TWO)
     rows = [("gap", i, *PERFECT, *MEDIOCRE) for i in range(20)]
@@ -42,7 +42,7 @@ def test_paired_interval(spark, method):
 def test_methods_agree(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(6), rng.randrange(4), rng.randrange(4)) for _ in range(200)]
-    a, b = (rs.intervals(counts(spark, rows), ["unit"], iterations=3000, method=m).first() for m in ("draws", "multinomial"))
+    a, b = (rs.intervals(counts(spark, rows), ["unit"], iterations=3000, method=m).first() for m in ("splits", "multinomial"))
     assert a.point == b.point
     assert a.ci_low == pytest.approx(b.ci_low, abs=0.01) and a.ci_high == pytest.approx(b.ci_high, abs=0.01)
 
