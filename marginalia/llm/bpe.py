@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,6 +51,8 @@ class PairIndexEncoder:
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.pair_of = {rank: pair for pair, (rank, _) in self.ranks.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        # the longest of those that begin at one place
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -122,8 +125,10 @@ class PairIndexEncoder:
         """Chunks of ordinary text, and the ids of special tokens between them."""
         if not any(t in text for t in self.special):
             return chunks(text)
-        at, token = min((text.find(t), t) for t in self.special if t in text)
-        return [*chunks(text[:at]), self.special[token], *self._parts(text[at + len(token) :])]
+        out: list[str | int] = []
+        for i, part in enumerate(self.marks.split(text)):
+            out += [self.special[part]] if i % 2 else chunks(part)
+        return out
 
     def encode(self, batch: list[str]) -> Iterator[list[int]]:
         """The ids of each text; pieces are merged for a group of texts at a time."""

@@ -210,7 +210,7 @@ class CachedTokenizer:
         table = encoder(path)
         ranks = {b: i for i, b in table.bytes_of.items() if i not in table.special.values()}
         self.engine = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = table.special
+        self.special, self.marks = table.special, table.marks
         self.chunk_ids: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
@@ -239,12 +239,8 @@ class CachedTokenizer:
         return b"".join(map(seen.__getitem__, parts))
 
     def _with_special(self, text: str) -> bytes:
-        found = [(text.find(t), t) for t in self.special if t in text]
-        if not found:
-            return self._plain(text)
-        at, token = min(found)
-        mark = array("I", [self.special[token]]).tobytes()
-        return self._plain(text[:at]) + mark + self._with_special(text[at + len(token) :])
+        mark = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+        return b"".join(mark[p] if i % 2 else self._plain(p) for i, p in enumerate(self.marks.split(text)))
 
 
 @lru_cache(maxsize=2)

@@ -348,3 +348,15 @@ def test_near_copies_of_rows_that_share_an_id(spark):
     want = [(1, a), (2, b), (3, c), (3, d), (5, "brief"), (5, "short"), (6, None), (6, None), (None, a)]  # a short text is one shingle
     got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_many_special_tokens(spark):
+    """Texts with thousands of special tokens, as crawled training text has them."""
+    mark = "<|endoftext|>"
+    docs = spark.createDataFrame([(1, mark * 100_000), (2, f"a {mark} b{mark}"), (3, f"{mark}x" * 20_000)], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()).toPandas().set_index("doc_id")
+    assert (got["decoded"] == got["text"]).all()
+    assert len(got.loc[1, "ids"]) == 100_000 and set(got.loc[1, "ids"]) == {50256}
+    packed = packing.pack_documents(docs, vocabulary(), 1, digest=False).toPandas().sort_values(["doc_id", "start"])
+    for i, pieces in packed.groupby("doc_id"):
+        assert [*np.concatenate(list(pieces["ids"]))] == [*got.loc[i, "ids"], 1]
