@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from decimal import Decimal
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from marginalia import schemas
 from marginalia.functions.jsontext import parse_object
@@ -34,73 +32,16 @@ def spend_by_model(ledger: DataFrame, cap: float) -> DataFrame:
     )
 
 
-def first_calls(calls: DataFrame, key: Sequence[str], keep: str | None = None) -> DataFrame:
-    """Each key once, whatever times its rows carry; no row is ever late.
+def first_calls(calls: DataFrame, key: Sequence[str], within: tuple[str, str] | None = None) -> DataFrame:
+    """Each key once, whatever times its rows carry: without ``within`` no row is ever late.
 
-    Without ``keep`` a key is remembered for good. With it (``"30 days"``) it is forgotten that
-    long after it was last met, by the clock of the job: state stays bounded, and a key that
-    comes back later counts as new. ``keep`` needs the RocksDB state store.
+    Keys are remembered for good then. ``within`` = (event-time column, delay) bounds them, at
+    the price of rows that come later than that after the newest time seen: use it only where
+    every row is dated by the event itself.
     """
-    if keep is None:
+    if within is None:
         return calls.dropDuplicates(list(key))
-    schema = calls.schema
-    millis = _milliseconds(calls.sparkSession, keep)
-
-    class FirstOnly(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.seen = handle.getValueState("seen", "met boolean", ttlDurationMs=millis)
-
-        def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
-            new = not self.seen.exists()
-            self.seen.update((True,))
-            first = next(rows)
-            for _ in rows:
-                pass
-            if new:
-                yield first
-
-        def close(self) -> None:
-            pass
-
-    return calls.groupBy(*key).transformWithState(
-        FirstOnly(), outputStructType=schema, outputMode="append", timeMode="ProcessingTime"
-    )
-
-
-def _milliseconds(spark: SparkSession, interval: str) -> int:
-    """Length of an interval such as ``30 days``."""
-    at = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {interval}")
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp")
-    return spark.range(1).select((F.unix_millis(at) - F.unix_millis(zero)).alias("ms")).first().ms
-
-
-def cap_alerts(ledger: DataFrame, cap: float) -> DataFrame:
-    """``model, calls, spent`` once per model: at the end of the batch in which its spend passes the cap.
-
-    State is one row per model. Needs the RocksDB state store.
-    """
-    priced = ledger.select("model", F.coalesce("dollars", F.lit(0.0)).cast("decimal(38,12)").alias("amount"))
-
-    class Alert(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.total = handle.getValueState("total", "calls long, spent decimal(38,12), told boolean")
-
-        def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
-            calls, spent, told = self.total.get() if self.total.exists() else (0, Decimal(0), False)
-            for r in rows:
-                calls, spent = calls + 1, spent + r.amount
-            over = spent > limit
-            self.total.update((calls, spent, told or over))
-            if over and not told:
-                yield Row(model=key[0], calls=calls, spent=float(spent))
-
-        def close(self) -> None:
-            pass
-
-    limit = Decimal(str(cap))
-    return priced.groupBy("model").transformWithState(
-        Alert(), outputStructType="model string, calls bigint, spent double", outputMode="append", timeMode="None"
-    )
+    return calls.withWatermark(*within).dropDuplicatesWithinWatermark(list(key))
 
 
 def route(generations: DataFrame, threshold: float) -> DataFrame:

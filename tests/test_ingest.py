@@ -250,33 +250,6 @@ def test_first_calls_lose_no_old_or_undated_row(spark, tmp_path):
     assert got == [("a", "m"), ("a", "n"), ("b", "m"), ("c", "m"), ("d", "m")]
 
 
-@pytest.fixture
-def rocksdb(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset(key)
-
-
-def test_first_calls_with_bounded_state(spark, tmp_path, rocksdb):
-    src, progress = str(tmp_path / "in"), str(tmp_path / "progress")
-    for keys in (["a", "a", "b"], ["b", "c"], ["a"]):
-        spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n int").coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema("key string, n int").parquet(src)
-        out = jobs.run_to_end(jobs.first_calls(stream, ["key"], keep="1 day"), "append", progress)
-    assert sorted(r.key for r in out.collect()) == ["a", "b", "c"]
-
-
-def test_alert_once_when_the_cap_is_passed(spark, tmp_path, rocksdb):
-    src, progress = str(tmp_path / "ledger"), str(tmp_path / "progress")
-    seen = []
-    for spent in (1.5, 1.0, 3.0):
-        ledger_part(spark, src, ("", "m", "a", spent), ("", "small", "a", 0.1))
-        out = jobs.run_to_end(jobs.cap_alerts(jobs.read_ledger(spark, src), 2.0), "append", progress)
-        seen.append([(r.model, r.calls, r.spent) for r in out.collect()])
-    assert seen == [[], [("m", 2, 2.5)], [("m", 2, 2.5)]]
-
-
 def test_quotes_in_split_files(spark):
     text = '"ID";"SET"\n"a""b;c";"TRAIN"\nplain;test\n'
     got = standoff.read_split_csv(spark.createDataFrame([("f", text)], "path string, value string")).collect()
