@@ -297,15 +297,18 @@ class Aligner:
     def figures(self, pieces: list[str]) -> Figures:
         """Of texts that start and end at safe points or at the ends of a document."""
         split = [units(p) for p in pieces]
-        new = set(chain.from_iterable(split)).difference(self.index)
-        if new and len(self.index) + len(new) > REMEMBERED:
-            self.forget()
-            new = set(chain.from_iterable(split))
+        every = list(chain.from_iterable(split))
+        found = list(map(self.index.get, every))
+        new = {u for u, i in zip(every, found) if i is None}
         if new:
+            if len(self.index) + len(new) > REMEMBERED:
+                self.forget()
+                new = set(every)
             self.learn(list(new))
+            found = list(map(self.index.__getitem__, every))
         lengths = np.array([len(s) for s in split], np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, ends[-1])
+        flat = np.array(found, np.int64)
         counts = self.counts.data[: self.counts.n].reshape(-1, 5)[flat]
         sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(counts, axis=0)])
         n_a, n_b, n_groups, n_links, bad = (sums[ends[1:]] - sums[ends[:-1]]).T
