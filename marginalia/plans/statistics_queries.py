@@ -91,7 +91,7 @@ FROM (SELECT unnest(range(0, n + 1)) AS k FROM (SELECT max(mass) AS n FROM {name
         f"""SELECT low, mass, n, list(below ORDER BY k) AS cdf FROM (
   SELECT low, mass, o.n, o.k, sum(exp(a.lf - b.lf - c.lf + o.k * ln(p) + (o.n - o.k) * ln(1.0::DOUBLE - p)))
     OVER (PARTITION BY low, mass, o.n ORDER BY o.k) AS below
-  FROM (SELECT *, unnest(range(0, least(n, ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 15)::BIGINT))) AS k FROM {name}_odds) o
+  FROM (SELECT *, unnest(range(0, least(n, ceil(n * p + 8 * sqrt(n * p * (1 - p)) + 9)::BIGINT))) AS k FROM {name}_odds) o
   JOIN {name}_fact a ON a.k = o.n JOIN {name}_fact b ON b.k = o.k JOIN {name}_fact c ON c.k = o.n - o.k)
 GROUP BY low, mass, n""",
     )
@@ -99,6 +99,9 @@ GROUP BY low, mass, n""",
     z = f"(sqrt(-2.0::DOUBLE * ln(u)) * cos(2.0::DOUBLE * pi() * ({v})))"
     draw = (
         "CASE WHEN low = 0 THEN 0 WHEN n = 1 THEN (u > q)::BIGINT WHEN n = 2 THEN (u > q * q)::BIGINT + (u > 1.0::DOUBLE - p * p)::BIGINT "
+        "WHEN n = 3 THEN (u > q * q * q)::BIGINT + (u > q * q * (q + 3 * p))::BIGINT + (u > 1.0::DOUBLE - p * p * p)::BIGINT "
+        "WHEN n = 4 THEN (u > q * q * q * q)::BIGINT + (u > q * q * q * (q + 4 * p))::BIGINT "
+        "+ (u > 1.0::DOUBLE - p * p * p * (p + 4 * q))::BIGINT + (u > 1.0::DOUBLE - p * p * p * p)::BIGINT "
         "WHEN cdf IS NOT NULL THEN len(list_filter(cdf, lambda c: c < u)) "
         f"ELSE least(n, greatest(0, floor(n * p + sqrt(n * p * q) * {z} + (q - p) * ({z} * {z} - 1.0::DOUBLE) / 6.0::DOUBLE + 0.5::DOUBLE))) END::BIGINT"
     )
@@ -109,7 +112,7 @@ SELECT unit, iter, hu, hv, node, n, CASE WHEN 2 * part > mass THEN n - x ELSE x
 SELECT *, {draw} AS x FROM (
 SELECT d.*, t.part, t.mass, t.low, t.hn, f.cdf, t.low::DOUBLE / t.mass AS p, 1.0::DOUBLE - t.low::DOUBLE / t.mass AS q, {u} AS u
 FROM ({rows}) d JOIN (SELECT * FROM {name}_node WHERE h = {h}) t ON t.unit = d.unit AND t.node = d.node
-LEFT JOIN (SELECT * FROM {name}_cdf WHERE n > 2) f ON f.low = t.low AND f.mass = t.mass AND f.n = d.n))), (VALUES (0), (1)) s(side)
+LEFT JOIN (SELECT * FROM {name}_cdf WHERE n > 4) f ON f.low = t.low AND f.mass = t.mass AND f.n = d.n))), (VALUES (0), (1)) s(side)
 WHERE CASE side WHEN 0 THEN x ELSE n - x END > 0"""
     sums = ", ".join(f"sum({c} * n)::BIGINT AS {c}" for c in cols)
     CTE[f"{name}_iter"] = (
