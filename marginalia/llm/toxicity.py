@@ -3,12 +3,15 @@
 Features are hashed character n-grams of the lower-cased text, present or not. Their naive Bayes log-count ratios come from every labelled row, summed over
 the cluster; they scale the features of a logistic regression, which is fitted on a
 bounded sample: at most ``per_class`` rows of each label, those with the smallest
-hash of their id, weighted to the true share of their label.
+hash of their content. Both labels weigh the same in it, so 0.5 lies between them however
+rare one is. ``smoothing`` keeps n-grams that few texts hold from explaining the sample.
 
 Null and empty texts have no features and get the score of the intercept. Rows are
 scored one by one, so repeated rows score alike. Labels that are null or neither 0
 nor 1 teach nothing; without labels of both kinds every score is the share of toxic
-labels, or 0.
+labels, or 0. Texts are read whole at any length: a text is at most ``2 ** bits``
+features. Equal labelled rows are one row of the sample with their number as weight,
+so ties leave the sample definite. Other columns pass through the scoring untouched.
 """
 
 from __future__ import annotations
@@ -25,13 +28,12 @@ from marginalia.llm.common import arrow_map, cut, texts
 
 @dataclass(frozen=True)
 class Settings:
-    """``least_ratio``: features whose absolute log ratio is smaller are left out of the classifier."""
+    """``per_class`` bounds the distinct rows of a label that the regression sees; every feature takes part."""
 
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
     per_class: int = 800
-    smoothing: float = 1.0
-    least_ratio: float = 0.25
+    smoothing: float = 20.0
     ridge: float = 1.0
     rounds: int = 60
 
@@ -122,8 +124,7 @@ def log_count_ratios(train: DataFrame, settings: Settings) -> tuple[np.ndarray,
     p = (counts[1] + extra[1]) / max(1, rows[1])
     q = (counts[0] + extra[0]) / max(1, rows[0])
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where((p > 0) & (q > 0), np.log(p / q), 0.0)
-    return np.where(np.abs(ratio) >= settings.least_ratio, ratio, 0.0), rows
+        return np.where((p > 0) & (q > 0), np.log(p / q), 0.0), rows
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
@@ -139,43 +140,42 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     if totals.min() == 0:
         share = totals[1] / max(1.0, totals.sum())
         return Model(settings, np.zeros(size), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    salt = F.xxhash64(F.lit("sample"), "doc_id")
-    ids = train.select("doc_id", "label", salt.alias("h"))
-    chosen = ids.filter("label = 1").orderBy("h", "doc_id").limit(settings.per_class).unionByName(
-        ids.filter("label = 0").orderBy("h", "doc_id").limit(settings.per_class)
-    )
-    cuts = {r[0]: r[1] for r in chosen.groupBy("label").agg(F.max("h")).collect()}
+    salt = F.xxhash64(F.lit("sample"), "doc_id", "label", "text")
+    kinds = train.select("label", salt.alias("h")).groupBy("label", "h").agg(F.count(F.lit(1)).alias("n"))
+    of_label = lambda x: kinds.filter(F.col("label") == x).orderBy("h").limit(settings.per_class)
+    chosen = {(r.label, r.h): r.n for r in of_label(1).unionByName(of_label(0)).collect()}
     inside = F.lit(False)
-    for label, top in cuts.items():
-        inside = inside | ((F.col("label") == label) & (salt <= F.lit(top)))
-
-    useful = train.sparkSession.sparkContext.broadcast(ratio != 0)
+    for label in (0, 1):
+        top = max(h for x, h in chosen if x == label)
+        inside = inside | ((F.col("label") == label) & (F.col("h") <= F.lit(top)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feats = Features(settings)
         for b in batches:
-            got = [f[useful.value[f]] for f in map(feats.of_text, texts(b.column("text")))]
+            got = [feats.of_text(t) for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("label"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "label", "feats"]
+                [b.column("label"), b.column("h"), pa.array(got, pa.list_(pa.int32()))], ["label", "h", "feats"]
             )
 
-    sample = arrow_map(train.filter(inside), work, "doc_id long, label int, feats array<int>")
-    # repeated rows of one id may exceed the bound; the order below makes the cut definite
-    table = sample.limit(4 * settings.per_class).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    rows = train.select("label", salt.alias("h"), "text").filter(inside).dropDuplicates(["label", "h"])
+    sample = arrow_map(rows, work, "label int, h long, feats array<int>")
+    table = sample.toArrow().sort_by([("label", "ascending"), ("h", "ascending")])
     y = table.column("label").to_numpy().astype(float)
+    times = np.array([chosen[k] for k in zip(table.column("label").to_pylist(), table.column("h").to_pylist())], float)
     lists = table.column("feats").combine_chunks()
     indices = lists.values.to_numpy() if not hasattr(lists, "chunks") else np.concatenate([c.values.to_numpy() for c in lists.chunks])
     lengths = np.diff(lists.offsets.to_numpy())
-    return _regression(y, indices, lengths, ratio, totals, settings)
+    return _regression(y, times, indices, lengths, ratio, settings)
 
 
-def _regression(y, indices, lengths, ratio, rows, s: Settings) -> Model:
-    """Weighted logistic regression on scaled features; conjugate gradient inside Newton steps."""
+def _regression(y, times, indices, lengths, ratio, s: Settings) -> Model:
+    """Logistic regression on scaled features, rows weighted by ``times`` and both labels alike;
+    conjugate gradient inside Newton steps."""
     n, size = len(y), len(ratio)
     row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     value = ratio[indices]
     used, col = np.unique(indices, return_inverse=True)
-    weight = np.where(y == 1, rows[1] / max(1, (y == 1).sum()), rows[0] / max(1, (y == 0).sum()))
+    weight = times / np.where(y == 1, times[y == 1].sum(), times[y == 0].sum())
     weight = weight / weight.mean()
     theta = np.zeros(len(used) + 1)
     forward = lambda t: np.bincount(row, weights=value * t[:-1][col], minlength=n) + t[-1]

@@ -360,3 +360,31 @@ def test_many_special_tokens(spark):
     packed = packing.pack_documents(docs, vocabulary(), 1, digest=False).toPandas().sort_values(["doc_id", "start"])
     for i, pieces in packed.groupby("doc_id"):
         assert [*np.concatenate(list(pieces["ids"]))] == [*got.loc[i, "ids"], 1]
+
+
+def test_toxicity_plain(spark):
+    """The same scores as dense ratios and plain Newton steps over every feature, repeats and all."""
+    texts = [("you utter fool", 1), ("you utter fool", 1), ("fool of a clown", 1), ("a fool and a clown", 1)]
+    texts += [("the rivers are high", 0), ("gardens and rivers", 0), ("a clown in the gardens", 0), ("", 0), (None, 0)]
+    rows = spark.createDataFrame([(i % 7, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, label int")
+    s = toxicity.Settings()
+    grams = [{f" {t} "[i : i + n] for n in s.orders for i in range(len(t) + 3 - n)} if t else set() for t, _ in texts]
+    names = sorted(set().union(*grams))
+    x = np.array([[g in own for g in names] for own in grams], float)
+    y = np.array([label for _, label in texts], float)
+    extra = 2 * s.smoothing * np.array([(y == 0).mean(), (y == 1).mean()])
+    share = [(x[y == k].sum(0) + extra[k]) / (y == k).sum() for k in (0, 1)]
+    x = np.c_[x * np.log(share[1] / share[0]), np.ones(len(y))]
+    weight = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
+    weight /= weight.mean()
+    ridge = np.r_[np.full(len(names), s.ridge), 0]
+    theta = np.zeros(len(names) + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ theta))
+        hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge)
+        theta -= np.linalg.solve(hessian, x.T @ (weight * (p - y)) + ridge * theta)
+    want = 1 / (1 + np.exp(-x @ theta))
+    model = toxicity.fit(rows)
+    tried = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(tried, model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=2e-3)
