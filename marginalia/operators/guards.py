@@ -84,42 +84,53 @@ def _likely(texts: DataFrame, guarded: DataFrame, n: int) -> DataFrame:
     return held.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*texts.columns)
 
 
+def nesting(body: Column) -> Column:
+    """How deep the brackets of a JSON text go; 0 for what is no JSON."""
+    plain = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), '"[^"]*"', "")
+    marks = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(now, acc["most"]).alias("most"))
+
+    depth = F.aggregate(marks, start, step, lambda acc: acc["most"])
+    return F.when(F.try_parse_json(body).isNotNull(), depth).otherwise(0)
+
+
 def long_strings(df: DataFrame, key: str, body: str) -> DataFrame:
     """Strings of more than 8 words anywhere in a JSON column: (key, field, words).
 
     List items go under their list's field. Described fields may hold prose. What is
-    no JSON has no strings. Levels are narrow steps over the input: nothing is shuffled
-    or written, so no text leaves the place it is read in.
+    no JSON has no strings. The depth is measured first; then one plan opens all levels over
+    one reading of the input, strings waiting at their level. Nothing is shuffled or
+    written, so no text leaves the place it is read in.
     """
-    spark = df.sparkSession
-    level = df.select(
+    depth = df.agg(F.max(nesting(F.col(body))).alias("n")).first().n or 0
+    rows = df.select(
         F.col(key).alias("id"), F.lit(None).cast("string").alias("field"),
         F.try_parse_json(body).alias("node"),
     )
-    found = []
-    while True:
-        text = F.try_variant_get("node", "$", "string")
-        stringy = F.schema_of_variant("node") == "STRING"
-        n = F.size(words(text))
-        allowed = F.coalesce(F.col("field").isin(*DESCRIPTION_KEYS), F.lit(False))
-        found.append(
-            level.filter(stringy & ~allowed & (n > MAX_FREE_TEXT_WORDS)).select(
-                F.col("id").alias(key), F.coalesce("field", F.lit("<root>")).alias("field"),
-                n.cast("bigint").alias("words"),
-            )
-        )
-        nested = level.filter(is_object(F.col("node")) | is_array(F.col("node")))
-        if nested.isEmpty():
-            break
-        level = spark.sql(
-            "SELECT id, coalesce(e.key, field) AS field, e.value AS node "
-            "FROM {nested}, LATERAL variant_explode(node) e",
-            nested=nested,
-        )
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    inner = F.when(
+        is_object(F.col("node")),
+        F.transform(
+            F.map_entries(F.try_variant_get("node", "$", "map<string,variant>")),
+            lambda e: F.struct(e["key"].alias("field"), e["value"].alias("node")),
+        ),
+    )
+    listed = F.transform(
+        F.try_variant_get("node", "$", "array<variant>"), lambda v: F.struct(F.col("field").alias("field"), v.alias("node"))
+    )
+    opened = inner.when(is_array(F.col("node")), listed).otherwise(F.array(F.struct("field", "node")))
+    for _ in range(depth):
+        rows = rows.select("id", F.inline(opened))
+    strings = rows.filter(F.schema_of_variant("node") == "STRING").select(
+        "id", "field", F.size(words(F.try_variant_get("node", "$", "string"))).cast("bigint").alias("words")
+    )
+    allowed = F.coalesce(F.col("field").isin(*DESCRIPTION_KEYS), F.lit(False))
+    return strings.filter(~allowed & (F.col("words") > MAX_FREE_TEXT_WORDS)).select(
+        F.col("id").alias(key), F.coalesce("field", F.lit("<root>")).alias("field"), "words"
+    )
 
 
 def forbidden_paths(

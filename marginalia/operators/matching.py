@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
 from marginalia.schemas import STANDARD_CRITERIA, Criterion
-from marginalia.session import cut
+from marginalia.session import cut, scratch_path
 
 # Tokens per grid cell.
 CELL = 16
@@ -419,6 +419,10 @@ def agreement(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> Data
 
     Left components are taken in order, each with the first free right component
     that reaches the threshold. Only spans meeting on a character grid are compared.
+
+    A pair that is the first of both its sides is right whatever comes later. Rounds take
+    all such pairs and drop the others of the spans they used; no document is gathered.
+    There are as many rounds as pairs wait for one another in the longest chain.
     """
     key = ["doc_id"]
     size = 64
@@ -442,17 +446,31 @@ def agreement(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> Data
         .filter(F.floor(F.greatest("l_lo", "r_lo") / size) == F.col("cell"))
         .filter((shared > 0) & (shared.cast("double") / union >= threshold))
     )
-    item = F.struct("l_idx", "r_idx", "l_id", "r_id")
-    taken = F.aggregate(
-        "items",
-        F.slice("items", 1, 0),
-        lambda acc, x: F.when(
-            F.exists(acc, lambda y: (y["l_idx"] == x["l_idx"]) | (y["r_idx"] == x["r_idx"])), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return (
-        near.groupBy(*key)
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .select(*key, F.explode(taken).alias("x"))
-        .select(*key, "x.*")
+    # a pair of places that occurs twice counts by its first ids
+    ids = F.struct("l_id", "r_id")
+    left_over = cut(near.groupBy(*key, "l_idx", "r_idx").agg(F.min(ids).alias("ids")))
+    path, done = scratch_path(left.sparkSession, "agreed"), 0
+    while True:
+        first_r = left_over.groupBy(*key, "l_idx").agg(F.min("r_idx").alias("r_idx"))
+        first_l = left_over.groupBy(*key, "r_idx").agg(F.min("l_idx").alias("l_idx"))
+        sure = left_over.join(first_r.join(first_l, [*key, "l_idx", "r_idx"]), [*key, "l_idx", "r_idx"], "left_semi")
+        sure.write.parquet(f"{path}/round={done}")
+        taken = left.sparkSession.read.schema(left_over.schema).parquet(f"{path}/round={done}")
+        if done and taken.isEmpty():
+            break
+        rest = left_over.join(taken.select(*key, "l_idx"), [*key, "l_idx"], "left_anti")
+        left_over = cut(rest.join(taken.select(*key, "r_idx"), [*key, "r_idx"], "left_anti"))
+        done += 1
+    found = left.sparkSession.read.schema(left_over.schema).parquet(*[f"{path}/round={i}" for i in range(done)])
+    return found.select(*key, "l_idx", "r_idx", "ids.*")
+
+
+def agreement_rate(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per document the components of both systems, the pairs, and the share of components in a pair."""
+    sides = (
+        left.select("doc_id", F.lit(1).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("p"))
+        .unionByName(right.select("doc_id", F.lit(0).alias("l"), F.lit(1).alias("r"), F.lit(0).alias("p")))
+        .unionByName(pairs.select("doc_id", F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(1).alias("p")))
     )
+    counts = sides.groupBy("doc_id").agg(*[F.sum(c).alias(n) for c, n in (("l", "n_left"), ("r", "n_right"), ("p", "n_paired"))])
+    return counts.withColumn("rate", 2 * F.col("n_paired") / (F.col("n_left") + F.col("n_right")))

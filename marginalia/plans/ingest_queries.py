@@ -406,6 +406,26 @@ def a13_report_sink(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(report.schema).parquet(path)
 
 
+@query(
+    "a13_report_documents",
+    """SELECT source AS model, lang AS criterion, CASE WHEN count(*) > 3 THEN 'scored' ELSE 'few' END AS status,
+  unnest(['components', 'relations']) AS kind,
+  unnest([count(*) / 65536.0::DOUBLE, CASE WHEN count(*) > 3 THEN sum(n_chars % 7) / 65536.0::DOUBLE END]) AS point
+FROM documents GROUP BY source, lang""",
+)
+def a13_report_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores written as one JSON document per model and read back."""
+    path = scratch_path(spark, "report-documents")
+    n, odd = F.count(F.lit(1)), F.sum(F.col("n_chars") % 7)
+    rows = fx.table(spark, sf, "documents").groupBy(F.col("source").alias("model"), F.col("lang").alias("criterion")).agg(
+        F.when(n > 3, "scored").otherwise("few").alias("status"), (n / F.lit(65536.0)).alias("c"),
+        F.when(n > 3, odd / F.lit(65536.0)).alias("r"),
+    )
+    pair = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("point")) for k, c in (("components", "c"), ("relations", "r"))]
+    files.write_report_documents(rows.select("model", "criterion", "status", F.inline(F.array(*pair))), path)
+    return files.read_report(spark, path).select("model", "criterion", "status", "kind", "point")
+
+
 @query(
     "a14_report_scan",
     """SELECT source AS model, 'exact/untyped' AS criterion, 'scored' AS status, unnest(['components', 'relations']) AS kind,
@@ -676,3 +696,27 @@ def j3_streaming_routing(spark: SparkSession, sf: str) -> DataFrame:
     fx.gen(spark, sf).withColumn("mean_logprob", conf).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     return jobs.run_to_end(jobs.route(stream, -0.01), "complete")
+
+
+@query(
+    "a18_checksum_audit",
+    """SELECT lang || '-' || split || '-' || part AS name, found, expected, CASE WHEN found = expected THEN 'ok' ELSE 'differs' END AS status
+FROM (SELECT lang, split, part, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) AS found,
+    CASE WHEN lang = 'en' THEN sha256('') ELSE sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) END AS expected
+  FROM (SELECT d.lang, f.split, f.doc_id, f.doc_id // 1000 AS part FROM fx_docs f JOIN documents d ON d.doc_id = f.doc_id)
+  GROUP BY lang, split, part)""",
+    ("fx_docs",),
+)
+def a18_checksum_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of sorted ids, at most 1,000 of a language and split, held against a list that is wrong for one language."""
+    path = scratch_path(spark, "audited")
+    lang = fx.table(spark, sf, "documents").select("doc_id", "lang")
+    rows = fx.docs(spark, sf).select("doc_id", "split").join(lang, "doc_id")
+    name = F.concat_ws("-", "lang", "split", F.expr("doc_id div 1000")).alias("name")
+    lines = rows.groupBy(name, "lang").agg(
+        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "\n"), F.lit("\n")).alias("body")
+    )
+    lines.select("name", F.expr("substr(body, 1, length(body) - 1)").alias("value")).write.partitionBy("name").text(path)
+    right = F.when(F.col("lang") == "en", F.sha2(F.lit(""), 256)).otherwise(F.sha2("body", 256))
+    named = files.checksums(spark, f"{path}/name=*").select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "sha256")
+    return files.audit_checksums(named, lines.select("name", right.alias("sha256")))

@@ -301,9 +301,7 @@ def h1_overlap_ratio(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "c17_system_agreement",
-    """SELECT doc_id, x.l_idx, x.r_idx, x.l_id, x.r_id FROM (
+AGREED_SQL = """SELECT doc_id, x.l_idx, x.r_idx, x.l_id, x.r_id FROM (
   SELECT l.doc_id, unnest(list_reduce(list([{'l_idx': l.idx, 'r_idx': r.idx, 'l_id': l.comp_id, 'r_id': r.comp_id}]
       ORDER BY l.idx, r.idx),
     lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.l_idx = x[1].l_idx OR y.r_idx = x[1].r_idx)) > 0
@@ -312,7 +310,12 @@ def h1_overlap_ratio(spark: SparkSession, sf: str) -> DataFrame:
     ON l.doc_id = r.doc_id AND least(l.end_off, r.end_off) > greatest(l.start_off, r.start_off)
    AND (least(l.end_off, r.end_off) - greatest(l.start_off, r.start_off))::DOUBLE
      / (greatest(l.end_off, r.end_off) - least(l.start_off, r.start_off))::DOUBLE >= 0.5
-  GROUP BY l.doc_id)""",
+  GROUP BY l.doc_id)"""
+
+
+@query(
+    "c17_system_agreement",
+    AGREED_SQL,
     ("fx_pred",),
 )
 def c17_system_agreement(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,6 +323,20 @@ def c17_system_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return m.agreement(pred.filter("system_id = 0"), pred.filter("system_id = 1"))
 
 
+@query(
+    "c17_agreement_rate",
+    f"""SELECT doc_id, n_left, n_right, n_paired, 2 * n_paired / (n_left + n_right)::DOUBLE AS rate FROM (
+  SELECT doc_id, sum(l)::BIGINT AS n_left, sum(r)::BIGINT AS n_right, sum(p)::BIGINT AS n_paired FROM (
+    SELECT doc_id, (system_id = 0)::INT AS l, (system_id = 1)::INT AS r, 0 AS p FROM fx_pred WHERE system_id IN (0, 1)
+    UNION ALL SELECT doc_id, 0, 0, 1 FROM ({AGREED_SQL})) GROUP BY doc_id)""",
+    ("fx_pred",),
+)
+def c17_agreement_rate(spark: SparkSession, sf: str) -> DataFrame:
+    pred = fx.pred(spark, sf)
+    sides = pred.filter("system_id = 0"), pred.filter("system_id = 1")
+    return m.agreement_rate(m.agreement(*sides), *sides)
+
+
 @query(
     "h9_criterion_label",
     """SELECT DISTINCT criterion, sum(tp)::BIGINT AS tp FROM fx_comp_scores WHERE label = '*' GROUP BY criterion""",

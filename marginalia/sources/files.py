@@ -175,6 +175,23 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("error").parquet(path)
 
 
+def write_report_documents(scores: DataFrame, path: str) -> None:
+    """One JSON document per model, as :func:`read_report` takes them.
+
+    ``scores``: model, criterion, status, kind (components or relations), point. A criterion
+    without a point has a status alone. A document holds a handful of criteria.
+    """
+    def part(kind: str) -> Column:
+        point = F.max(F.when(F.col("kind") == kind, F.col("point")))
+        return F.when(point.isNotNull(), F.struct(F.struct(point.alias("point")).alias("f1_ci"))).alias(kind)
+
+    per = scores.groupBy("model", "criterion").agg(F.max("status").alias("status"), part("components"), part("relations"))
+    entry = F.struct("criterion", F.struct("status", "components", "relations").alias("s"))
+    documents = per.groupBy("model").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"))
+    body = F.to_json(F.struct("model", "scores"))
+    documents.select(F.col("model").alias("file"), body.alias("value")).write.mode("error").partitionBy("file").text(path)
+
+
 def report_json(report: DataFrame) -> DataFrame:
     """Report rows as JSON text, one per row."""
     return report.select(F.to_json(F.struct(*report.columns)).alias("value"))
@@ -232,9 +249,26 @@ def write_chat(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct("doc_id", "messages")).alias("value")).write.mode("error").text(path)
 
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of every file at the path, hashed in tasks. A file is one row, so at most 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def audit_checksums(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, found, expected, status): ok, differs, missing or unexpected.
+
+    ``found`` holds (name, sha256) of files that are there, ``expected`` what they should be.
+    """
+    mine, want = found.withColumnRenamed("sha256", "found"), expected.withColumnRenamed("sha256", "expected")
+    status = (
+        F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "unexpected")
+        .when(F.col("found") == F.col("expected"), "ok").otherwise("differs")
+    )
+    return mine.join(want, "name", "full").select("name", "found", "expected", status.alias("status"))
+
+
 def verify_checksum(spark: SparkSession, path: str, expected: str) -> None:
     """Fail unless every file at the path has the expected SHA-256."""
-    files = spark.read.format("binaryFile").load(path)
-    wrong = files.filter(F.sha2("content", 256) != expected).select("path").limit(5).collect()
+    wrong = checksums(spark, path).filter(F.col("sha256") != expected).select("path").limit(5).collect()
     if wrong:
         raise ValueError(f"checksum differs: {[r.path for r in wrong]}")

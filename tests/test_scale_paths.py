@@ -1,5 +1,6 @@
 """Operators that spread what one task used to hold: totals, places, chains, shingles, resampling."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import cascade as cs
-from marginalia.operators import cost, guards, shaping
+from marginalia.operators import cost, guards, matching, shaping
 from marginalia.operators import ranking as rk
 from marginalia.operators import resample as rs
 from marginalia.sources import arggraph as ag
@@ -229,3 +230,59 @@ def test_one_split_of_one_corpus(spark, tmp_path):
     assert filters and "corpus" in filters[0] and "split" in filters[0]
     with pytest.raises(FileNotFoundError, match="no corpus zz"):
         files.read_split(spark, path, "val", "zz")
+
+
+def _first_fit(left, right):
+    """Pairs of one document as written down: left in order, each with the first free right span."""
+    used, out = set(), []
+    for a, (lo, hi) in enumerate(left):
+        for b, (x, y) in enumerate(right):
+            shared = min(hi, y) - max(lo, x)
+            if b not in used and shared > 0 and shared / (max(hi, y) - min(lo, x)) >= 0.5:
+                used.add(b)
+                out.append((a, b))
+                break
+    return out
+
+
+def test_agreement_rounds(spark):
+    """First fit in rounds gives the pairs of a plain loop: crowded spans, chains, repeats, empty sides."""
+    rng = random.Random(3)
+    crowd = [[(lo, lo + rng.randint(20, 60)) for lo in (rng.randint(0, 900) for _ in range(350))] for _ in range(2)]
+    stairs = [[(10 * i, 10 * i + 30) for i in range(12)], [(10 * i + 5, 10 * i + 35) for i in range(12)]]
+    same = [[(5, 9)] * 6, [(5, 9)] * 4]
+    texts = {1: crowd, 2: stairs, 3: same, 4: [[(0, 5)], []], 5: [[(7, 7)], [(7, 7)]]}
+    schema = "doc_id int, idx int, comp_id string, start_off int, end_off int"
+
+    def side(k):
+        rows = [(d, i, f"{'ab'[k]}{i}", *s) for d, both in texts.items() for i, s in enumerate(both[k])]
+        return spark.createDataFrame([*rows, (None, 0, "x", 0, 5), (6, 0, "y", None, 5)], schema)
+
+    pairs = matching.agreement(side(0), side(1))
+    got = sorted((r.doc_id, r.l_idx, r.r_idx) for r in pairs.collect())
+    assert got == sorted((d, *p) for d, both in texts.items() for p in _first_fit(*both))
+    rates = {r.doc_id: r for r in matching.agreement_rate(pairs, side(0), side(1)).collect()}
+    assert (rates[3].n_left, rates[3].n_right, rates[3].n_paired, rates[3].rate) == (6, 4, 4, 0.8)
+    assert rates[4].rate == 0
+    assert matching.agreement(side(0).limit(0), side(1)).isEmpty()
+
+
+def test_long_strings_of_deep_documents(spark):
+    """All levels come from one plan: a document nested 60 deep, brackets inside strings, broken JSON."""
+    long = "one two three four five six seven eight nine"
+    deep = '{"a":[' * 30 + f'"{long}"' + "]}" * 30
+    tricky = '{"k": "' + "[{" * 40 + f' \\" {long}", "note": "{long}", "m": [1, null, ["{long} ten"]]}}'
+    rows = [(1, deep), (2, tricky), (3, "[" * 500), (4, None), (5, f'"{long}"'), (6, "{}")]
+    got = guards.long_strings(spark.createDataFrame(rows, "doc_id int, body string"), "doc_id", "body").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 9), (2, "k", 11), (2, "m", 10), (5, "<root>", 9)]
+    assert guards.long_strings(spark.createDataFrame([], "doc_id int, body string"), "doc_id", "body").isEmpty()
+
+
+def test_checksum_audit(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    found = files.checksums(spark, str(tmp_path)).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).drop("path")
+    right = {n: hashlib.sha256(n.encode()).hexdigest() for n in "abcd"}
+    expected = spark.createDataFrame([("a", right["a"]), ("b", right["a"]), ("d", right["d"])], "name string, sha256 string")
+    got = {r.name: r.status for r in files.audit_checksums(found, expected).collect()}
+    assert got == {"a": "ok", "b": "differs", "c": "unexpected", "d": "missing"}
