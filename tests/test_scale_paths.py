@@ -268,9 +268,9 @@ def test_agreement_rounds(spark):
 
 
 def test_long_strings_of_deep_documents(spark):
-    """All levels come from one plan: a document nested 60 deep, brackets inside strings, broken JSON."""
+    """All levels come from one plan: a document nested 200 deep, brackets inside strings, broken JSON."""
     long = "one two three four five six seven eight nine"
-    deep = '{"a":[' * 30 + f'"{long}"' + "]}" * 30
+    deep = '{"a":[' * 100 + f'"{long}"' + "]}" * 100
     tricky = '{"k": "' + "[{" * 40 + f' \\" {long}", "note": "{long}", "m": [1, null, ["{long} ten"]]}}'
     rows = [(1, deep), (2, tricky), (3, "[" * 500), (4, None), (5, f'"{long}"'), (6, "{}")]
     got = guards.long_strings(spark.createDataFrame(rows, "doc_id int, body string"), "doc_id", "body").collect()
