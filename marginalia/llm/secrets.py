@@ -33,15 +33,15 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encodings in the order they are tried: name, pattern of the whole string, alphabet, and the
-#: chance that two characters of ordinary text in it are equal.
+#: Encodings in the order they are tried: name, its characters and those of which one must occur,
+#: alphabet, and the chance that two characters of ordinary text in it are equal.
 ENCODINGS = (
-    ("hex", "[0-9a-f]*[a-f][0-9a-f]*", DIGITS + "abcdef", 0.11),
-    ("HEX", "[0-9A-F]*[A-F][0-9A-F]*", DIGITS + "ABCDEF", 0.11),
-    ("base32", "[A-Z2-7]*[A-Z][A-Z2-7]*", LOWER.upper() + "234567", 0.075),
-    ("base36", "[0-9a-z]*[a-z][0-9a-z]*", DIGITS + LOWER, 0.07),
-    ("base64", "[A-Za-z0-9+/]*[A-Za-z][A-Za-z0-9+/]*", LOWER.upper() + LOWER + DIGITS + "+/", 0.065),
-    ("base64url", "[A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*", LOWER.upper() + LOWER + DIGITS + "-_", 0.065),
+    ("hex", "0-9a-f", "a-f", DIGITS + "abcdef", 0.11),
+    ("HEX", "0-9A-F", "A-F", DIGITS + "ABCDEF", 0.11),
+    ("base32", "A-Z2-7", "A-Z", LOWER.upper() + "234567", 0.075),
+    ("base36", "0-9a-z", "a-z", DIGITS + LOWER, 0.07),
+    ("base64", "A-Za-z0-9+/", "A-Za-z", LOWER.upper() + LOWER + DIGITS + "+/", 0.065),
+    ("base64url", "A-Za-z0-9_-", "A-Za-z", LOWER.upper() + LOWER + DIGITS + "-_", 0.065),
 )
 
 
@@ -115,8 +115,8 @@ def _lower_tail(z: Column) -> Column:
 def battery(body: Column, s: Settings) -> Column:
     """``stratum, step, agrees`` of a string, null if no encoding fits."""
     name, alphabet, same = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
-    for label, pattern, letters, ic in reversed(ENCODINGS):
-        fits = body.rlike(f"^(?:{pattern})$")
+    for label, all_of, one_of, letters, ic in reversed(ENCODINGS):
+        fits = body.rlike(f"^[{all_of}]+$") & body.rlike(f"[{one_of}]")
         name = F.when(fits, label).otherwise(name)
         alphabet = F.when(fits, letters).otherwise(alphabet)
         same = F.when(fits, ic).otherwise(same)
@@ -154,9 +154,7 @@ def battery(body: Column, s: Settings) -> Column:
         lambda a: F.when(
             a["name"].isNotNull(),
             let(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(body)), lambda i: F.instr(a["letters"], F.substring(body, i, F.lit(1))) - 1
-                ),
+                F.transform(F.split(body, ""), lambda c: F.instr(a["letters"], c) - 1),
                 lambda positions: tests(a, positions),
             ),
         ),

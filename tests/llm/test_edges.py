@@ -388,3 +388,13 @@ def test_toxicity_plain(spark):
     tried = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(tried, model).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], want, atol=2e-3)
+
+
+def test_secrets_in_very_long_strings(spark):
+    """A megabyte of base64 is one candidate; its test takes time in proportion, whatever ends it."""
+    rng = np.random.default_rng(5)
+    al = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    body = "".join(rng.choice(al, 1_000_000))
+    rows = spark.createDataFrame([(1, f"x {body} y"), (2, f"x {'z' * 400_000}+- y")], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.find(rows).collect()}
+    assert got == {1: [(2, 1_000_002)], 2: []}
