@@ -17,8 +17,11 @@ How it stays exact without pairing everything with everything:
 2. What is left meets on shared cells of a token grid, so only neighbours are
    compared, and only pairs at or over the threshold go on.
 3. The greedy one-to-one choice folds over the sorted candidates of a document.
-   Documents with too many leftovers for one group take another way: rounds of
-   mutually best choices over distinct ranges, which give the same pairs.
+
+Spans and text travel once, dealt by document; all three steps sort and group them where
+they are. Documents with too many spans for one group take another way: their spans are
+written after step 1 and dealt by cell, and where too many are left over, rounds of mutually
+best choices over distinct ranges give the same pairs.
 """
 
 from __future__ import annotations
@@ -48,10 +51,10 @@ SIDE_FIELDS = (
 PAIR = [*UNIT, "g_idx", "p_idx", "g_id", "p_id", "g_type", "p_type", "ratio"]
 
 
-def token_ranges(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+def token_ranges(docs: DataFrame, gold: DataFrame, pred: DataFrame, rows: int | None = None) -> DataFrame:
     """Both sides' spans with their token range ``[lo, hi)``; unknown documents drop out.
 
-    ``side`` is ``g`` or ``p``; gold rows have no system.
+    ``side`` is ``g`` or ``p``; gold rows have no system. ``rows``: how many spans, where known.
     """
     cols = ["side", "system_id", "doc_id", "idx", "comp_id", "ctype", "start_off", "end_off"]
     sys_type = pred.schema["system_id"].dataType
@@ -61,7 +64,7 @@ def token_ranges(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame
         .select(cols)
         .unionByName(pred.withColumn("side", F.lit("p")).select(cols))
     )
-    found = tx.with_token_indexes(both, docs, {"lo": ("start_off", "lo"), "hi": ("end_off", "hi")})
+    found = tx.with_token_indexes(both, docs, {"lo": ("start_off", "lo"), "hi": ("end_off", "hi")}, rows)
     return found.select(*cols, "lo", "hi")
 
 
@@ -116,11 +119,12 @@ def _per_criterion(
 def _same_key(spans: DataFrame) -> DataFrame:
     """Step 1: k-th gold with k-th prediction of each key; unmatched sides stay null.
 
-    One exchange on the key serves both windows: the first numbers each side, the
-    second puts equal numbers next to each other, gold first.
+    The first window numbers each side, the second puts equal numbers next to each other,
+    gold first. Spans that are dealt by document stay where they are.
     """
-    key = [*UNIT, "exact", "tkey", "k1", "k2"]
-    numbered = spans.repartition(*key).withColumn(
+    key = ["__key", *UNIT, "exact", "tkey", "k1", "k2"]
+    # a hash in front settles most comparisons of the sorts
+    numbered = spans.withColumn("__key", F.xxhash64(*key[1:])).withColumn(
         "nth", F.row_number().over(W.partitionBy(*key, "side").orderBy("idx"))
     )
     order = W.partitionBy(*key).orderBy("nth", "side")
@@ -200,27 +204,90 @@ def candidates(
     return near.select(out).unionByName(bare.select(out))
 
 
-def _fold(cands: DataFrame) -> DataFrame:
-    """Greedy choice inside each document: best ratio first, then gold, then prediction order."""
-    item = F.struct(
-        (-F.col("ratio")).alias("order"), "g_idx", "p_idx", "g_id", "p_id", "g_type", "p_type"
-    )
-    grouped = cands.groupBy(*UNIT).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    taken = F.aggregate(
-        "items",
-        F.slice("items", 1, 0),
+ITEM = ("g_idx", "p_idx", "g_id", "p_id", "g_type", "p_type")
+
+
+def _taken(items: Column) -> Column:
+    """The greedy choice among sorted candidates: one that shares a span with an earlier choice is passed over."""
+    return F.aggregate(
+        items,
+        F.slice(items, 1, 0),
         lambda acc, x: F.when(
             F.exists(acc, lambda y: (y["g_idx"] == x["g_idx"]) | (y["p_idx"] == x["p_idx"])), acc
         ).otherwise(F.concat(acc, F.array(x))),
     )
+
+
+def _shown(grouped: DataFrame, items: Column) -> DataFrame:
     return (
-        grouped.select(*UNIT, F.explode(taken).alias("x"))
+        grouped.select(*UNIT, F.explode(items).alias("x"))
         .select(*UNIT, "x.*")
         .withColumn("ratio", -F.col("order"))
         .select(PAIR)
     )
 
 
+def _fold(cands: DataFrame) -> DataFrame:
+    """Greedy choice inside each document: best ratio first, then gold, then prediction order."""
+    item = F.struct((-F.col("ratio")).alias("order"), *ITEM)
+    grouped = cands.groupBy(*UNIT).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return _shown(grouped, _taken(F.col("items")))
+
+
+def _at_once(first: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
+    """Pairs of step 1 and the greedy choice of steps 2 and 3 where no document is crowded.
+
+    Works on rows dealt by document and moves none of them: in a grid cell gold leftovers come
+    first and every prediction sees those before it. Finished pairs pass through.
+    """
+    pair, gold, pred = 0, 1, 2
+    has_g, has_p = F.col("g_idx").isNotNull(), F.col("p_idx").isNotNull()
+
+    def open_(name: str) -> Column:
+        return ~F.col("exact") & F.col(f"{name}_idx").isNotNull() & (F.col(f"{name}_hi") > F.col(f"{name}_lo"))
+
+    def cells(name: str) -> Column:
+        return F.sequence(F.floor(F.col(f"{name}_lo") / CELL), F.floor((F.col(f"{name}_hi") - 1) / CELL))
+
+    kind = F.col("kind")
+    rows = (
+        first.withColumn("kind", F.when(has_g & has_p, pair).when(open_("g"), gold).when(open_("p"), pred))
+        .filter(kind.isNotNull())
+        .withColumn("cell", F.explode_outer(F.when(kind == gold, cells("g")).when(kind == pred, cells("p"))))
+    )
+    rows = rows.withColumn("__key", F.xxhash64(*UNIT, "tkey", "cell"))
+    before = W.partitionBy("__key", *UNIT, "tkey", "cell").orderBy("kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    g_side = F.struct(*[f"g_{new}" for new, _ in SIDE_FIELDS])
+    rows = rows.withColumn("golds", F.collect_list(F.when(kind == gold, g_side)).over(before)).filter(kind != gold)
+    limits = F.array(*[F.lit(float(c.threshold)) for c in criteria])
+
+    def candidate(g: Column) -> Column:
+        ratio = tx.overlap_ratio(g["g_lo"], g["g_hi"], F.col("p_lo"), F.col("p_hi"))
+        g_fields = {name: g[name] for name in ("g_idx", "g_id", "g_type")}
+        return F.struct(
+            (-ratio).alias("order"),
+            *[g_fields.get(name, F.col(name)).alias(name) for name in ITEM],
+            g["g_lo"].alias("lo"),
+        )
+
+    def near(x: Column) -> Column:
+        enough = -x["order"] >= F.element_at(limits, F.col("criterion") + 1)
+        return enough & (F.floor(F.greatest(x["lo"], F.col("p_lo")) / CELL) == F.col("cell"))
+
+    done = F.struct(F.lit(-1.0).alias("order"), *ITEM, F.col("g_lo").alias("lo"))
+    found = F.when(kind == pair, F.array(done)).otherwise(F.filter(F.transform("golds", candidate), near))
+    item = F.struct("x.order", *[f"x.{name}" for name in ITEM])
+    grouped = (
+        rows.select(*UNIT, "kind", F.explode(found).alias("x"))
+        .groupBy(*UNIT)
+        .agg(
+            F.collect_list(F.when(kind == pair, item)).alias("done"),
+            F.array_sort(F.collect_list(F.when(kind == pred, item))).alias("items"),
+        )
+    )
+    return _shown(grouped, F.concat("done", _taken(F.col("items"))))
+
+
 def _rounds(left_g: DataFrame, left_p: DataFrame, criterion: Criterion) -> DataFrame:
     """The greedy choice without gathering a document in one place.
 
@@ -308,30 +375,33 @@ def match(
         names = F.array(*[F.lit(c.label) for c in group])
         return pairs.withColumn("criterion", F.element_at(names, F.col("criterion") + 1))
 
-    ranges = token_ranges(docs, gold, pred)
+    rows, big = _crowded(gold, pred, fold_limit)
+    ranges = token_ranges(docs, gold, pred, rows)
     if all(c.span == "exact" for c in criteria):
         return labelled(_paired(_same_key(_per_criterion(ranges, systems, criteria))), criteria)
 
-    crowded = _crowded(gold, pred, fold_limit)
     plain = [c for c in criteria if c.span == "exact" or c.overlap_mode == "jaccard"]
     recall = [c for c in criteria if c not in plain]
     parts: list[DataFrame] = []
-    for group in filter(None, (plain, recall)):
-        spans = _per_criterion(ranges, systems, group)
+    if plain:
+        light = ranges if big is None else ranges.join(big, "doc_id", "left_anti")
+        parts.append(labelled(_at_once(_same_key(_per_criterion(light, systems, plain)), plain), plain))
+    for group in filter(None, (plain if big is not None else None, recall)):
         if group is plain:
-            first = cut(_same_key(spans))
+            heavy = ranges.join(big, "doc_id", "left_semi")
+            first = cut(_same_key(_per_criterion(heavy, systems, group)))
             alone = F.col("g_idx").isNull() | F.col("p_idx").isNull()
             rest = first.filter(~F.col("exact") & alone)
             found = [_paired(first)]
         else:
             # a gold span inside a longer prediction also has ratio 1: step 1 does not apply
-            rest, found = cut(_one_sided(spans)), []
+            rest, found = cut(_one_sided(_per_criterion(ranges, systems, group))), []
         overlaps = [c for c in group if c.span == "overlap"]
         for threshold in sorted({c.threshold for c in overlaps}):
             same = [c for c in overlaps if c.threshold == threshold]
             codes = [group.index(c) for c in same]
             part = rest.filter(F.col("criterion").isin(codes))
-            found += _leftovers(part, same[0], fold_limit, crowded)
+            found += _leftovers(part, same[0], fold_limit, big is not None)
         parts += [labelled(p, group) for p in found]
     return reduce(DataFrame.unionByName, parts)
 
@@ -378,21 +448,26 @@ def _leftovers(
     return parts
 
 
-def _crowded(gold: DataFrame, pred: DataFrame, fold_limit: int) -> bool:
-    """Whether some document could hold more leftovers than one fold takes.
+def _crowded(gold: DataFrame, pred: DataFrame, fold_limit: int) -> tuple[int, DataFrame | None]:
+    """How many spans there are, and the documents that could hold more leftovers than one fold takes, if any.
 
-    Counts spans only: the most gold spans of any document times the most
-    predictions any document got. Usually small; then no finer look is needed.
+    Counts spans only: the gold spans of a document times the most predictions a system
+    made there.
     """
     system = pred.schema["system_id"].dataType
     ids = gold.select(F.lit("g").alias("side"), F.lit(None).cast(system).alias("system_id"), "doc_id")
     ids = ids.unionByName(pred.select(F.lit("p").alias("side"), "system_id", "doc_id"))
-    most = ids.groupBy("side", "system_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = ids.groupBy("side", "system_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
     def top(side: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).cast("double")
 
-    return most.agg((top("g") * top("p")).alias("n")).first()[0] > fold_limit
+    per_doc = sizes.groupBy("doc_id").agg(F.sum("n").alias("n"), (top("g") * top("p")).alias("size"))
+    known = F.col("doc_id").isNotNull()
+    rows, most = per_doc.agg(F.sum("n"), F.max(F.when(known, F.col("size")))).first()
+    if (most or 0) <= fold_limit:
+        return rows or 0, None
+    return rows, cut(per_doc.filter(known & (F.col("size") > fold_limit)).select("doc_id"))
 
 
 def _bare_pairs(rest: DataFrame) -> DataFrame:

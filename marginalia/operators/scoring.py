@@ -10,40 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.stats import prf_columns
 from marginalia.operators.matching import UNIT, match
 from marginalia.schemas import STANDARD_CRITERIA, Criterion
-from marginalia.session import cut
+from marginalia.session import cut, dealt
 
 SCORE = ["system_id", "criterion", "doc_id", "kind", "label", "tp", "fp", "fn"]
 
 
-def _criteria_array(criteria: Sequence[Criterion]) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(c.label).alias("criterion"), F.lit(c.typed).alias("typed"))
-            for c in criteria
-        ]
-    )
-
-
-def _spread(df: DataFrame, systems: Sequence | None, criteria: Sequence[Criterion], sys_type):
-    out = df.withColumn("c", F.explode(_criteria_array(criteria)))
-    if systems is not None:
-        every = F.array(*[F.lit(s).cast(sys_type) for s in systems])
-        out = out.withColumn("system_id", F.explode(every))
-    return out.withColumn("criterion", F.col("c.criterion")).withColumn("typed", F.col("c.typed"))
-
-
-def _part(df: DataFrame, kind: str, label: Column, tp: Column, fp: Column, fn: Column) -> DataFrame:
-    return df.select(
-        "system_id", "criterion", "doc_id", F.lit(kind).alias("kind"), label.alias("label"),
-        tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"), fn.cast("bigint").alias("fn"),
-    )
-
-
 def _type_label(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit("untyped"))
 
@@ -59,30 +36,79 @@ def edge_matches(
     Predicted endpoints are renamed to the gold components they were paired with.
     A repeated edge counts as often as both sides hold it.
     """
-    key = [*UNIT, "src", "tgt", "rkey"]
+    name, link, wish = 0, 1, 2
     typed = [c.label for c in criteria if c.typed]
-    names = pairs.groupBy(*UNIT, "p_id").agg(F.max_by("g_id", "g_idx").alias("g_id"))
-
-    def named(end: str) -> DataFrame:
-        return names.withColumnsRenamed({"p_id": f"p_{end}", "g_id": end})
-
-    # the criterion comes in with the first endpoint that was paired under it
-    ends = (
-        pred_rel.select(
-            "system_id", "doc_id", F.col("src").alias("p_src"), F.col("tgt").alias("p_tgt"), "rtype"
+    kind = F.col("kind")
+    # everything travels once, dealt by document
+    rows = (
+        pairs.select(*UNIT, F.col("p_id").alias("end"), "g_id", "g_idx", F.lit(name).alias("kind"))
+        .filter(F.col("end").isNotNull())
+        .unionByName(
+            pred_rel.select("system_id", "doc_id", "src", "tgt", "rtype", F.lit(link).alias("kind")),
+            allowMissingColumns=True,
+        )
+        .unionByName(
+            gold_rel.select("doc_id", "src", "tgt", "rtype", F.lit(wish).alias("kind")), allowMissingColumns=True
+        )
+        .filter(F.col("doc_id").isNotNull())
+    )
+    rows = dealt(rows, pairs.count() + pred_rel.count(), "doc_id")
+    ends = F.when(kind == link, F.array(F.lit("src"), F.lit("tgt"))).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.withColumn("which", F.explode(ends)).withColumn(
+        "end", F.when(F.col("which") == "src", F.col("src")).when(F.col("which") == "tgt", F.col("tgt")).otherwise(F.col("end"))
+    )
+    # a hash in front settles most comparisons of the sort
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "system_id", "end"))
+    at = ["key", "doc_id", "system_id", "end", "kind"]
+    nth = F.row_number().over(W.partitionBy(*at, "criterion").orderBy(F.col("g_idx").desc()))
+    rows = rows.withColumn("nth", nth).filter((kind != name) | (F.col("nth") == 1))
+    # an endpoint sees the gold components its prediction was paired with, one of each criterion
+    ahead = W.partitionBy(*at[:-1]).orderBy("kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = F.collect_list(F.when(kind == name, F.struct("criterion", "g_id"))).over(ahead)
+    links = (
+        rows.withColumn("known", known)
+        .filter(kind != name)
+        .groupBy("kind", "system_id", "doc_id", "src", "tgt", "rtype")
+        .agg(
+            F.count_if((kind == wish) | (F.col("which") == "src")).alias("n"),
+            F.first(F.when(F.col("which") == "src", F.col("known")), ignorenulls=True).alias("at_src"),
+            F.first(F.when(F.col("which") == "tgt", F.col("known")), ignorenulls=True).alias("at_tgt"),
         )
-        .join(named("src"), ["system_id", "doc_id", "p_src"])
-        .join(named("tgt"), [*UNIT, "p_tgt"])
-        .withColumn("rkey", F.when(F.col("criterion").isin(typed), F.col("rtype")).otherwise("*"))
     )
-    found = ends.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pred"))
-    wanted = (
-        gold_rel.withColumn("rkey", F.explode(F.array(F.col("rtype"), F.lit("*"))))
-        .groupBy("doc_id", "src", "tgt", "rkey")
-        .agg(F.count(F.lit(1)).alias("n_gold"))
+    item = "struct<criterion:string,src:string,tgt:string,rkey:string>"
+    both = F.flatten(
+        F.transform(
+            "at_src",
+            lambda a: F.transform(
+                F.filter("at_tgt", lambda b: b["criterion"] == a["criterion"]),
+                lambda b: F.struct(
+                    a["criterion"].alias("criterion"), a["g_id"].alias("src"), b["g_id"].alias("tgt"),
+                    F.when(a["criterion"].isin(typed), F.col("rtype")).otherwise("*").alias("rkey"),
+                ).cast(item),
+            ),
+        )
+    )
+    own = F.transform(
+        F.array(F.col("rtype"), F.lit("*")),
+        lambda r: F.struct(
+            F.lit(None).alias("criterion"), F.col("src").alias("src"), F.col("tgt").alias("tgt"), r.alias("rkey")
+        ).cast(item),
+    )
+    key = [*UNIT, "src", "tgt", "rkey"]
+    tallied = (
+        links.select("kind", "system_id", "doc_id", "n", F.explode(F.when(kind == link, both).otherwise(own)).alias("x"))
+        .select("kind", "system_id", "doc_id", "n", "x.*")
+        .filter(F.col("src").isNotNull() & F.col("tgt").isNotNull() & F.col("rkey").isNotNull())
+        .groupBy("kind", *key)
+        .agg(F.sum("n").alias("n"))
+    )
+    same = W.partitionBy("doc_id", "src", "tgt", "rkey")
+    n_gold = F.max(F.when(kind == wish, F.col("n"))).over(same)
+    return (
+        tallied.withColumn("n_gold", n_gold)
+        .filter((kind == link) & F.col("n_gold").isNotNull())
+        .select(*key, F.least("n", "n_gold").alias("hits"))
     )
-    hits = F.least("n_pred", "n_gold").alias("hits")
-    return found.join(wanted, ["doc_id", "src", "tgt", "rkey"]).select(*key, hits)
 
 
 def document_scores(
@@ -105,47 +131,71 @@ def document_scores(
     ids = docs.select("doc_id")
     if pairs is None:
         pairs = cut(match(docs, gold, pred, systems, criteria))
-    one, none = F.lit(1), F.lit(0)
+    base, in_gold, in_pred, paired, gold_link, pred_link, met = range(7)
+    none, n, part = F.lit(0).cast("bigint"), F.col("n"), F.col("part")
 
-    # items are counted per document and label before they are spread over systems,
-    # criteria and labels
-    any_label = F.explode(F.array(F.lit("*"), F.col("what")))
-    rel_label = F.explode(
-        F.when(F.col("typed"), F.array(F.lit("*"), F.col("what"))).otherwise(F.array(F.lit("*")))
+    # items are counted per document and label; all counts travel once, dealt by document,
+    # before they are spread over systems, criteria and labels
+    def items(df: DataFrame, code: int, label: Column, *keys: str) -> DataFrame:
+        tally = df.groupBy("doc_id", *keys, label.alias("a")).agg(F.count(F.lit(1)).alias("n"))
+        return tally.withColumn("part", F.lit(code))
+
+    edges = edge_matches(pairs, gold_rel, pred_rel, criteria)
+    counted = [
+        items(gold, in_gold, _type_label("ctype")),
+        items(pred, in_pred, _type_label("ctype"), "system_id"),
+        pairs.select(
+            *UNIT, _type_label("g_type").alias("a"), _type_label("p_type").alias("b"),
+            F.lit(1).cast("bigint").alias("n"), F.lit(paired).alias("part"),
+        ),
+        items(gold_rel, gold_link, F.col("rtype")),
+        items(pred_rel, pred_link, F.col("rtype"), "system_id"),
+        edges.select(*UNIT, F.col("rkey").alias("a"), F.col("hits").alias("n"), F.lit(met).alias("part")),
+    ]
+    table = ids.withColumn("part", F.lit(base))
+    for some in counted:
+        table = table.unionByName(some, allowMissingColumns=True)
+    every = F.array(*[F.lit(s).cast(sys_type) for s in systems])
+    labels = F.array(*[F.lit(c.label) for c in criteria])
+    typed = F.col("criterion").isin([c.label for c in criteria if c.typed])
+    table = (
+        dealt(table.filter(F.col("doc_id").isNotNull()), pairs.count(), "doc_id")
+        .withColumn("system_id", F.explode(F.when(part.isin(base, in_gold, gold_link), every).otherwise(F.array("system_id"))))
+        .withColumn("criterion", F.explode(F.when(part.isin(paired, met), F.array("criterion")).otherwise(labels)))
     )
 
-    def items(df: DataFrame, label: Column, every: Sequence | None) -> DataFrame:
-        keys = ["doc_id"] if every is not None else ["system_id", "doc_id"]
-        tally = df.groupBy(*keys, label.alias("what")).agg(F.count(F.lit(1)).alias("items"))
-        return _spread(tally, every, criteria, sys_type)
+    def row(kind: str, label: Column | str, tp: Column, fp: Column, fn: Column) -> Column:
+        label = F.lit(label) if isinstance(label, str) else label
+        return F.struct(
+            F.lit(kind).alias("kind"), label.alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")
+        )
+
+    def two(kind: str, label: Column, tp: Column, fp: Column, fn: Column) -> Column:
+        return F.array(row(kind, "*", tp, fp, fn), row(kind, label, tp, fp, fn))
 
-    g = items(gold, _type_label("ctype"), systems)
-    p = items(pred, _type_label("ctype"), None)
-    gr = items(gold_rel, F.col("rtype"), systems)
-    pr = items(pred_rel, F.col("rtype"), None)
-    edges = edge_matches(pairs, gold_rel, pred_rel, criteria)
-    edge_label = F.explode(
-        F.when(F.col("rkey") == "*", F.array(F.lit("*"))).otherwise(F.array(F.lit("*"), F.col("rkey")))
+    def one(kind: str, tp: Column, fp: Column, fn: Column) -> Column:
+        return F.array(row(kind, "*", tp, fp, fn))
+
+    a, c, r = F.col("a"), "components", "relations"
+    counts = (
+        F.when(part == base, F.array(row(c, "*", none, none, none), row(r, "*", none, none, none)))
+        .when(part == in_gold, two(c, a, none, none, n))
+        .when(part == in_pred, two(c, a, none, n, none))
+        .when(
+            part == paired,
+            F.array(row(c, "*", n, -n, -n), row(c, a, n, none, -n), row(c, F.col("b"), none, -n, none)),
+        )
+        .when((part == gold_link) & typed, two(r, a, none, none, n))
+        .when(part == gold_link, one(r, none, none, n))
+        .when((part == pred_link) & typed, two(r, a, none, n, none))
+        .when(part == pred_link, one(r, none, n, none))
+        .when(a == "*", one(r, n, -n, -n))
+        .otherwise(two(r, a, n, -n, -n))
     )
-    hits, many = F.col("hits"), F.col("items")
-    base = _spread(ids, systems, criteria, sys_type)
-    parts = [
-        _part(base, "components", F.lit("*"), none, none, none),
-        _part(base, "relations", F.lit("*"), none, none, none),
-        _part(g.withColumn("l", any_label), "components", F.col("l"), none, none, many),
-        _part(p.withColumn("l", any_label), "components", F.col("l"), none, many, none),
-        _part(pairs, "components", F.lit("*"), one, -one, -one),
-        _part(pairs, "components", _type_label("g_type"), one, none, -one),
-        _part(pairs, "components", _type_label("p_type"), none, -one, none),
-        _part(gr.withColumn("l", rel_label), "relations", F.col("l"), none, none, many),
-        _part(pr.withColumn("l", rel_label), "relations", F.col("l"), none, many, none),
-        _part(edges.withColumn("l", edge_label), "relations", F.col("l"), hits, -hits, -hits),
-    ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
     return (
-        table.groupBy("system_id", "criterion", "doc_id", "kind", "label")
+        table.select("system_id", "criterion", "doc_id", F.explode(counts).alias("x"))
+        .select("system_id", "criterion", "doc_id", "x.*")
+        .groupBy("system_id", "criterion", "doc_id", "kind", "label")
         .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
         .filter((F.col("label") == "*") | (F.col("tp") + F.col("fp") + F.col("fn") > 0))
         .join(ids, "doc_id", "left_semi")
