@@ -17,6 +17,7 @@ from marginalia.schemas import (
     MAX_RELATIONS,
     RELATION_TYPES,
 )
+from marginalia.session import dealt
 
 # ---- fixed values --------------------------------------------------------------
 SPLIT_SEED = 13
@@ -245,43 +246,57 @@ def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Cut every text at the span bounds and list the spans over each piece, per layer.
 
     ``spans (doc_id, layer, comp_id, start_off, end_off)``; bounds are clamped to
-    the text. Pieces and spans meet by position, piece by piece: a span is spread
-    over the pieces it covers, which are counted by the bounds inside it.
+    the text. Spans travel once, dealt by document; there their bounds are numbered and a span
+    is spread over the pieces it covers, which are counted by the bounds inside it.
     """
-    n = docs.select("doc_id", F.length("text").cast("bigint").alias("n"))
-    zero = F.lit(0).cast("bigint")
-    held = spans.join(n, "doc_id").select(
-        "doc_id", "layer", "comp_id",
-        F.greatest(zero, F.least("start_off", "n")).alias("s"),
-        F.greatest(zero, F.least("end_off", "n")).alias("e"),
+    size, edge, over = 0, 1, 2
+    zero, kind = F.lit(0).cast("bigint"), F.col("kind")
+    n = docs.select("doc_id", F.length("text").cast("bigint").alias("n"), F.lit(size).alias("kind"))
+    rows = (
+        spans.select("doc_id", "layer", "comp_id", "start_off", "end_off", F.lit(over).alias("kind"))
+        .unionByName(n, allowMissingColumns=True)
+        .filter(F.col("doc_id").isNotNull())
     )
-    ends = n.select("doc_id", F.explode(F.array(zero, F.col("n"))).alias("at"))
-    bounds = ends.unionByName(held.select("doc_id", F.explode(F.array("s", "e")).alias("at"))).distinct()
-    place = W.partitionBy("doc_id").orderBy("at")
-    cutp = bounds.select(
-        "doc_id", "at", F.lead("at").over(place).alias("until"), F.row_number().over(place).alias("k")
+    rows = dealt(rows, spans.count(), "doc_id")
+    ahead = W.partitionBy("doc_id").orderBy("kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("sizes", F.collect_list(F.when(kind == size, F.struct("n"))).over(ahead))
+    rows = rows.withColumn("of", F.explode(F.when(kind == size, F.array(F.struct("n"))).otherwise(F.col("sizes"))))
+    clamped = [F.greatest(zero, F.least(c, "of.n")).alias(name) for c, name in (("start_off", "s"), ("end_off", "e"))]
+    bounds = F.when(kind == size, F.array(zero, F.col("n"))).otherwise(F.array("s", "e"))
+    placed = (
+        rows.select("doc_id", "kind", "layer", "comp_id", "n", *clamped)
+        .select("*", F.posexplode(bounds).alias("which", "at"))
+        .withColumn("k", F.dense_rank().over(W.partitionBy("doc_id").orderBy("at")))
+        # every row names a bound; those of spans come again as themselves
+        .withColumn("kind", F.explode(F.when(kind == over, F.array(F.lit(edge), F.lit(over))).otherwise(F.array(F.lit(edge)))))
     )
-    where = cutp.select("doc_id", "at", "k")
-    ranged = (
-        held.join(where.withColumnsRenamed({"at": "s", "k": "from_k"}), ["doc_id", "s"])
-        .join(where.withColumnsRenamed({"at": "e", "k": "to_k"}), ["doc_id", "e"])
-        .filter("to_k > from_k")
-        .select("doc_id", "layer", "comp_id", F.explode(F.sequence("from_k", F.col("to_k") - 1)).alias("k"))
+    own = [F.when(kind == over, F.col(c)).alias(c) for c in ("layer", "comp_id", "s", "e")]
+    known = (
+        placed.groupBy("doc_id", "kind", F.when(kind == edge, F.col("k")).alias("k"), *own)
+        .agg(
+            F.max("at").alias("at"),
+            F.max(F.when(F.col("which") == 0, F.col("k"))).alias("from_k"),
+            F.max(F.when(F.col("which") == 1, F.col("k"))).alias("to_k"),
+            F.count_if(F.col("which") == 0).cast("int").alias("times"),
+        )
+        .filter((kind == edge) | (F.col("to_k") > F.col("from_k")))
     )
-    listed = ranged.groupBy("doc_id", "k").agg(
+    covered = F.when(kind == edge, F.array("k")).otherwise(F.sequence("from_k", F.col("to_k") - 1))
+    each = known.select("doc_id", "kind", "layer", "comp_id", "at", "times", F.explode(covered).alias("k"))
+    listed = each.groupBy("doc_id", "k").agg(
+        F.max(F.when(kind == edge, F.col("at"))).alias("start_off"),
         *[
-            F.array_sort(F.collect_list(F.when(F.col("layer") == layer, F.col("comp_id")))).alias(layer)
+            F.array_sort(F.flatten(F.collect_list(
+                F.when((kind == over) & (F.col("layer") == layer) & F.col("comp_id").isNotNull(), F.array_repeat("comp_id", F.col("times")))
+            ))).alias(layer)
             for layer in ("prediction", "gold")
-        ]
+        ],
     )
-    none = F.array().cast("array<string>")
+    until = F.lead("start_off").over(W.partitionBy("doc_id").orderBy("k"))
     return (
-        cutp.filter((F.col("until") > F.col("at")))
-        .join(listed, ["doc_id", "k"], "left")
-        .select(
-            "doc_id", F.col("at").alias("start_off"), F.col("until").alias("end_off"),
-            *[F.coalesce(layer, none).alias(layer) for layer in ("prediction", "gold")],
-        )
+        listed.withColumn("end_off", until)
+        .filter(F.col("end_off") > F.col("start_off"))
+        .select("doc_id", "start_off", "end_off", "prediction", "gold")
     )
 
 

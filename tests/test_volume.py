@@ -2,6 +2,7 @@
 
 from marginalia.operators import matching as m
 from marginalia.operators import scoring as s
+from marginalia.operators import shaping as sh
 from marginalia.schemas import STANDARD_CRITERIA
 
 SPAN = "doc_id long, idx long, comp_id string, ctype string, start_off long, end_off long"
@@ -39,3 +40,14 @@ def test_edges_are_dealt_once(spark):
     assert exchanges(edges) == 1
     assert edges.filter("criterion = 'overlap>=0.5/typed' AND hits = 1").count() == 2 * 48 // 2
     assert edges.filter("criterion LIKE 'exact%'").count() == 0
+
+
+def test_segments_deal_spans_once(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij"), (2, "")], "doc_id long, text string")
+    rows = [(1, "gold", "T1", 0, 4), (1, "gold", "T1", 0, 4), (1, "prediction", "P1", 2, 99), (2, "gold", "T1", 0, 3)]
+    spans = spark.createDataFrame(rows, "doc_id long, layer string, comp_id string, start_off long, end_off long")
+    got = sh.segments(docs, spans)
+    assert exchanges(got) == 1
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 0, 2, [], ["T1", "T1"]), (1, 2, 4, ["P1"], ["T1", "T1"]), (1, 4, 10, ["P1"], []),
+    ]
