@@ -63,36 +63,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def uniform(seed: int, stream: int, iteration: np.ndarray, height: int, node: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 that depend on all arguments; iterations x nodes."""
-    x = _mixed((iteration * 4 + stream) ^ _mixed(seed & 0xFFFFFFFF))[:, None]
-    x = _mixed(x ^ _mixed((node * 64 + height) & 0xFFFFFFFF)[None, :])
+    return uniform_at(seed, stream, iteration[:, None], height, node[None, :])
+
+
+def uniform_at(seed: int, stream: int, iteration: np.ndarray, height: int, node: np.ndarray) -> np.ndarray:
+    """The same for single pairs of an iteration and a node."""
+    x = _mixed((iteration * 4 + stream) ^ _mixed(np.int64(seed & 0xFFFFFFFF)))
+    x = _mixed(x ^ _mixed((node * 64 + height) & 0xFFFFFFFF))
     return (x + 0.5) / 4294967296.0
 
 
-def binomial(n: np.ndarray, part: np.ndarray, whole: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """How many of ``n`` draws fall on ``part`` of ``whole``, for uniform numbers ``u`` and ``v``."""
+def binomial(n: np.ndarray, part: np.ndarray, whole: np.ndarray, u: np.ndarray, v) -> np.ndarray:
+    """How many of ``n`` draws, iterations x nodes, fall on ``part`` of ``whole`` of each node.
+
+    ``u`` holds uniform numbers; ``v(i, j)`` gives a second one for iterations ``i`` and nodes
+    ``j`` and is asked only for draws with a large variance.
+    """
     swap = 2 * part > whole
     p = np.where(swap, whole - part, part) / whole
     q = 1.0 - p
     spread = n * p * q
-    z = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
-    x = np.floor(n * p + np.sqrt(spread) * z + (q - p) * (z * z - 1.0) / 6.0 + 0.5)
-    x = np.clip(x, 0, n).astype(np.int64)
+    small = spread <= EXACT_VARIANCE
+    x = np.zeros(n.shape, np.int64)
+    i, j = np.nonzero(~small)
+    if len(i):
+        m, z = n[i, j], np.sqrt(-2.0 * np.log(u[i, j])) * np.cos(2.0 * np.pi * v(i, j))
+        y = np.floor(m * p[j] + np.sqrt(spread[i, j]) * z + (q - p)[j] * (z * z - 1.0) / 6.0 + 0.5)
+        x[i, j] = np.clip(y, 0, m).astype(np.int64)
     # inversion: count the values whose distribution function lies below u
-    small = np.flatnonzero((spread <= EXACT_VARIANCE).ravel())
-    m, p, u = n.ravel()[small], p.ravel()[small], u.ravel()[small]
-    odds = p / (1.0 - p)
-    mass = np.exp(m * np.log1p(-p))
-    below, k, exact = mass.copy(), 0, np.zeros(len(small), np.int64)
-    live = np.flatnonzero((below < u) & (m > 0))
+    i, j = np.nonzero(small & (n > 0))
+    m, u, odds = n[i, j], u[i, j], (p / (1.0 - p))[j]
+    mass = np.exp(m * np.log1p(-p)[j])
+    below, k, exact = mass.copy(), 0, np.zeros(len(m), np.int64)
+    live = np.flatnonzero(below < u)
     while len(live):
         k += 1
         exact[live] = k
         mass[live] *= (m[live] - k + 1) / k * odds[live]
         below[live] += mass[live]
         live = live[(below[live] < u[live]) & (k < m[live])]
-    x = x.ravel()
-    x[small] = exact
-    x = x.reshape(n.shape)
+    x[i, j] = exact
     return np.where(swap, n - x, x)
 
 
@@ -114,9 +124,12 @@ def split(sizes: np.ndarray, n: np.ndarray, first: int, low: int, iterations: np
         open_ = np.flatnonzero((left > 0) & (left < whole))
         if len(open_):
             mine = drawn[:, open_]
-            u, v = (uniform(seed, s, iterations, h + low, node[open_]) for s in (0, 1))
-            shape = np.ones_like(mine)
-            taken[:, open_] = binomial(mine, left[open_] * shape, whole[open_] * shape, u, v)
+            u = uniform(seed, 0, iterations, h + low, node[open_])
+
+            def second(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return uniform_at(seed, 1, iterations[i], h + low, node[open_][j])
+
+            taken[:, open_] = binomial(mine, left[open_], whole[open_], u, second)
         drawn = np.stack([taken, drawn - taken], axis=2).reshape(len(n), -1)
     return drawn[:, : len(sizes)]
 

@@ -1,6 +1,9 @@
 """What travels between tasks: spans, text and relations once each."""
 
+import numpy as np
+
 from marginalia.operators import matching as m
+from marginalia.operators import resample as rs
 from marginalia.operators import scoring as s
 from marginalia.operators import shaping as sh
 from marginalia.schemas import STANDARD_CRITERIA
@@ -42,6 +45,15 @@ def test_edges_are_dealt_once(spark):
     assert edges.filter("criterion LIKE 'exact%'").count() == 0
 
 
+def test_second_numbers_only_for_large_variances():
+    def refuse(i, j):
+        raise AssertionError("asked for nothing")
+
+    n, u = np.full((3, 2), 40), np.full((3, 2), 0.5)
+    got = rs.binomial(n, np.array([1, 1]), np.array([2, 4]), u, refuse)
+    assert got[:, 0].tolist() == [20] * 3 and got[:, 1].tolist() == [10] * 3
+
+
 def test_segments_deal_spans_once(spark):
     docs = spark.createDataFrame([(1, "abcdefghij"), (2, "")], "doc_id long, text string")
     rows = [(1, "gold", "T1", 0, 4), (1, "gold", "T1", 0, 4), (1, "prediction", "P1", 2, 99), (2, "gold", "T1", 0, 3)]
