@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import arrow_map, cut, texts
 
+# Texts whose features the driver multiplies at a time.
+BLOCK = 100
+
+
 @dataclass(frozen=True)
 class Settings:
     """``per_class`` bounds the distinct rows of a label that the regression sees; every feature takes part."""
@@ -174,12 +178,32 @@ def _regression(y, times, indices, lengths, ratio, s: Settings) -> Model:
     n, size = len(y), len(ratio)
     row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     value = ratio[indices]
-    used, col = np.unique(indices, return_inverse=True)
+    # places by a table of all features: sorting millions of entries takes the driver several copies of them
+    mark = np.zeros(size, bool)
+    mark[indices] = True
+    used = np.flatnonzero(mark)
+    col = (np.cumsum(mark) - 1)[indices]
     weight = times / np.where(y == 1, times[y == 1].sum(), times[y == 0].sum())
     weight = weight / weight.mean()
     theta = np.zeros(len(used) + 1)
-    forward = lambda t: np.bincount(row, weights=value * t[:-1][col], minlength=n) + t[-1]
-    backward = lambda g: np.r_[np.bincount(col, weights=value * g[row], minlength=len(used)), g.sum()]
+    ends = np.r_[0, np.cumsum(lengths)]
+
+    def forward(t: np.ndarray) -> np.ndarray:
+        """A block of texts at a time; their entries lie together."""
+        z = np.zeros(n)
+        for first in range(0, n, BLOCK):
+            last = min(first + BLOCK, n)
+            at = slice(ends[first], ends[last])
+            part = t[:-1][col[at]]
+            part *= value[at]
+            z[first:last] = np.bincount(row[at] - first, weights=part, minlength=last - first)
+        return z + t[-1]
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        part = g[row]
+        part *= value
+        return np.r_[np.bincount(col, weights=part, minlength=len(used)), g.sum()]
+
     ridge = np.r_[np.full(len(used), s.ridge), 0.0]
     for _ in range(6):
         p = 1 / (1 + np.exp(-np.clip(forward(theta), -30, 30)))

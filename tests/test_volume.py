@@ -1,7 +1,10 @@
 """What travels between tasks: spans, text and relations once each."""
 
+import tracemalloc
+
 import numpy as np
 
+from marginalia.llm import toxicity
 from marginalia.operators import matching as m
 from marginalia.operators import resample as rs
 from marginalia.operators import scoring as s
@@ -63,3 +66,15 @@ def test_segments_deal_spans_once(spark):
     assert sorted(map(tuple, got.collect())) == [
         (1, 0, 2, [], ["T1", "T1"]), (1, 2, 4, ["P1"], ["T1", "T1"]), (1, 4, 10, ["P1"], []),
     ]
+
+
+def test_regression_holds_few_copies_of_its_entries():
+    rng = np.random.default_rng(1)
+    n, each, size = 400, 2_000, 1 << 16
+    indices = np.concatenate([np.sort(rng.choice(size, each, replace=False)) for _ in range(n)]).astype(np.int32)
+    y, ratio = (np.arange(n) % 2).astype(float), rng.normal(0, 0.3, size)
+    tracemalloc.start()
+    toxicity._regression(y, np.ones(n), indices, np.full(n, each), ratio, toxicity.Settings(bits=16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * n * each
