@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import piece, strip
+from marginalia.functions.text import blocks, piece_of, strip
 from marginalia.schemas import MAX_DOCUMENT_CHARS, SPLITS
+from marginalia.session import tasks
 
 
 def violations(docs: DataFrame, components: DataFrame, relations: DataFrame) -> DataFrame:
@@ -16,14 +17,17 @@ def violations(docs: DataFrame, components: DataFrame, relations: DataFrame) ->
     text)``, ``relations (doc_id, rel_id, src, tgt)``.
     """
     start, end = F.col("start_off"), F.col("end_off")
-    placed = components.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-    fits = (start >= 0) & (end > start) & (end <= F.length("doc_text"))
+    # dealt before they are counted and cut up, and met by sorting: once per text, not per component
+    texts = docs.select("doc_id", "text").repartition(tasks(docs.sparkSession), "doc_id")
+    texts = texts.select("doc_id", F.length("text").alias("doc_chars"), blocks(F.col("text")).alias("doc_text"))
+    placed = components.join(texts.hint("merge"), "doc_id")
+    fits = (start >= 0) & (end > start) & (end <= F.col("doc_chars"))
     rules = F.array_compact(
         F.array(
             F.when((start < 0) | (end < 0), "negative offset"),
             F.when(end <= start, "empty or inverted span"),
-            F.when(end > F.length("doc_text"), "span beyond text"),
-            F.when(fits & (piece(F.col("doc_text"), start, end) != F.col("text")), "text mismatch"),
+            F.when(end > F.col("doc_chars"), "span beyond text"),
+            F.when(fits & (piece_of(F.col("doc_text"), start, end) != F.col("text")), "text mismatch"),
         )
     )
     spans = placed.select("doc_id", F.col("comp_id").alias("item"), F.explode(rules).alias("rule"))
