@@ -366,7 +366,7 @@ def h8_prefix_parity(spark: SparkSession, sf: str) -> DataFrame:
     n, text = F.length("text"), F.col("text")
     half = F.substring(text, F.lit(1), F.floor(n / 2).cast("int"))
     third = F.concat(F.substring(text, F.lit(1), F.floor(n / 3).cast("int")), F.lit("#"), text)
-    rows = fx.docs(spark, sf).select(
+    rows = fx.dealt_texts(spark, sf).select(
         "doc_id", text.alias("a"), F.when(F.col("doc_id") % 3 == 0, half).otherwise(third).alias("b")
     )
     a, b = F.col("a"), F.col("b")
