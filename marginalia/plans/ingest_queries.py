@@ -17,7 +17,7 @@ from marginalia.operators import shaping as sh
 from marginalia.plans.answer_queries import _gold_text
 from marginalia.plans.registry import query
 from marginalia.plans.shaping_queries import PROMPT_SQL, SYSTEM, _graphs
-from marginalia.session import scratch_path
+from marginalia.session import cut, scratch_path
 from marginalia.sources import arggraph as ag
 from marginalia.sources import files, snapshots, standoff
 from marginalia.streaming import jobs
@@ -95,7 +95,10 @@ def _one_line(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def standoff_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text, ann): annotation lines of every document, empty where it has no span."""
+    """(doc_id, text, ann): annotation lines of every document, empty where it has no span.
+
+    Written once, since lines are read several times over.
+    """
     k = F.col("idx")
     rows = _one_line(spark, sf)
     at = F.concat_ws(" ", "start_off", "end_off")
@@ -116,7 +119,7 @@ def standoff_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("idx", F.concat_ws("\n", span, stance, edge).alias("l")))).alias("x")
     )
     ann = lines.select("doc_id", F.concat(F.array_join("x.l", "\n"), F.lit("\n")).alias("ann"))
-    return fx.docs(spark, sf).select("doc_id", "text").join(ann, "doc_id", "left").withColumn("ann", F.coalesce("ann", F.lit("")))
+    return cut(fx.dealt_texts(spark, sf).join(ann, "doc_id", "left").withColumn("ann", F.coalesce("ann", F.lit(""))))
 
 
 CTE["fx_oneline"] = (
@@ -190,7 +193,8 @@ def a4_archive_members(spark: SparkSession, sf: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     packed = standoff_docs(spark, sf).mapInPandas(pack, "path string, content binary")
-    pairs = standoff.pair_members(standoff.archive_members(packed))
+    # written once: texts and annotations are looked for apart
+    pairs = standoff.pair_members(cut(standoff.archive_members(packed)))
     return pairs.select("doc_id", F.sha2("text", 256).alias("text"))
 
 
@@ -535,7 +539,8 @@ def graph_xml(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("idx")
     etype, trg = _edge_rule(k)
     n = k + 1
-    edu = F.concat(F.lit('<edu id="e'), n, F.lit('"><![CDATA['), F.when(_part() == "", "x").otherwise(_part()), F.lit("]]></edu>"))
+    part = F.coalesce(F.nullif(_part(), F.lit("")), F.when(F.col("text").isNotNull(), "x"))
+    edu = F.concat(F.lit('<edu id="e'), n, F.lit('"><![CDATA['), part, F.lit("]]></edu>"))
     adu = F.concat(F.lit('<adu id="a'), n, F.lit('" type="pro"/>'))
     seg = F.concat(F.lit('<edge id="s'), n, F.lit('" src="e'), n, F.lit('" trg="a'), n, F.lit('" type="seg"/>'))
     link = F.when(
@@ -552,6 +557,11 @@ def graph_xml(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", body.alias("xml"))
 
 
+def _parsed_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The parsed graphs, written once: segments, units and edges are taken from them apart."""
+    return cut(ag.parse(graph_xml(spark, sf)))
+
+
 CTE["fx_part"] = (
     ("fx_gold",),
     f"""SELECT doc_id, idx, CASE WHEN p = '' THEN 'x' ELSE p END AS part FROM (SELECT doc_id, idx, {PART_SQL} AS p FROM fx_gold JOIN documents USING (doc_id))""",
@@ -569,7 +579,7 @@ CTE["fx_unit_span"] = (
     ("fx_unit_span",),
 )
 def a5_arggraph_components(spark: SparkSession, sf: str) -> DataFrame:
-    graphs = ag.parse(graph_xml(spark, sf))
+    graphs = _parsed_graphs(spark, sf)
     docs, segments = ag.segment_text(graphs)
     spans = ag.unit_spans(ag.edges(graphs), segments)
     return ag.components(graphs, docs, spans).drop("ctype")
@@ -594,7 +604,7 @@ CTE["fx_wide_unit"] = (
 @query("c14_unit_spans", "SELECT * FROM fx_wide_unit", ("fx_wide_unit",))
 def c14_unit_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Three segments to a unit."""
-    graphs = ag.parse(graph_xml(spark, sf))
+    graphs = _parsed_graphs(spark, sf)
     _, segments = ag.segment_text(graphs)
     number = F.substring("src", F.lit(2), F.length("src")).cast("int")
     joined = ag.edges(graphs).filter("etype = 'seg'").withColumn(
@@ -630,7 +640,7 @@ FROM (SELECT c.*, CASE WHEN starts_with(c.trg, 'a') THEN c.trg ELSE r.src END AS
 
 
 def _resolved(spark: SparkSession, sf: str):
-    edges = ag.edges(ag.parse(graph_xml(spark, sf)))
+    edges = cut(ag.edges(ag.parse(graph_xml(spark, sf))))
     units = edges.filter("etype = 'seg'").select("doc_id", F.col("trg").alias("adu_id"))
     return ag.resolve_edges(edges, units)
 

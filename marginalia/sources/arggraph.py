@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import piece, strip
+from marginalia.functions.text import blocks, piece_of, strip
 from marginalia.session import cut
 
 # ---- fixed values -----------------------------------------------------------------
@@ -70,9 +70,10 @@ def components(graphs: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFram
     placed = units.join(spans, ["doc_id", "adu_id"], "left").withColumn(
         "start_off", F.when(F.col("start_off").isNull(), bare.cast("bigint")).otherwise(F.col("start_off"))
     )
-    return placed.join(docs, "doc_id").select(
+    texts = docs.select("doc_id", blocks(F.col("text")).alias("text")).hint("merge")
+    return placed.join(texts, "doc_id").select(
         "doc_id", F.col("adu_id").alias("comp_id"), "role", F.lit(None).cast("string").alias("ctype"),
-        "start_off", "end_off", piece(F.col("text"), F.col("start_off"), F.col("end_off")).alias("text"),
+        "start_off", "end_off", piece_of(F.col("text"), F.col("start_off"), F.col("end_off")).alias("text"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import LINE_BREAK, SPACE, piece
+from marginalia.functions.text import LINE_BREAK, SPACE, blocks, piece_of
 from marginalia.operators.validate import offset_check
 from marginalia.schemas import COMPONENT_TYPES, RELATION_TYPES, STANCES
 
@@ -20,11 +20,15 @@ EDGE_LINE = r"^(R\d+)\t([A-Za-z_]+) Arg1:(T\d+) Arg2:(T\d+)\s*$"
 ATTRIBUTE_LINE = r"^(A\d+)\t([A-Za-z_]+) (T\d+) ([A-Za-z_]+)\s*$"
 # -----------------------------------------------------------------------------------
 
+# Opened members handed on at once.
+BATCH_BYTES = 4 << 20
+
 
 def archive_members(files: DataFrame) -> DataFrame:
     """(archive, member, content) of zip files ``(path, content)``, nested ones opened.
 
-    Folders and resource forks are skipped. The unit of work is one archive.
+    Folders and resource forks are skipped. The unit of work is one archive; members go on
+    in batches of a few MB.
     """
 
     def walk(name: str, data: bytes):
@@ -42,10 +46,17 @@ def archive_members(files: DataFrame) -> DataFrame:
                     yield name, member, body
 
     def batch(frames):
+        names = ["archive", "member", "content"]
         for frame in frames:
+            rows, held = [], 0
             for path, content in zip(frame["path"], frame["content"]):
-                rows = list(walk(path, content))
-                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                for row in walk(path, content):
+                    rows.append(row)
+                    held += len(row[2])
+                if held > BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(
         batch, "archive string, member string, content binary"
@@ -79,7 +90,7 @@ def annotation_lines(docs: DataFrame) -> DataFrame:
     """One row per annotation line, read by kind: problems are named in ``error``."""
     line = F.col("line")
     rows = docs.select("doc_id", F.posexplode(F.split("ann", LINE_BREAK)).alias("pos", "line")).filter(
-        F.regexp_replace(line, f"{SPACE}+", "") != ""
+        line.rlike(f"[^{SPACE[1:-1]}]")
     )
     kind = F.substring(line, 1, 1)
 
@@ -137,9 +148,9 @@ def parse_annotations(docs: DataFrame, strict: bool = True) -> tuple[DataFrame,
         "doc_id", "pos", "comp_id", "ctype", "declared",
         F.col("at")[0].cast("bigint").alias("start_off"), F.col("at")[1].cast("bigint").alias("end_off"),
     )
-    derived = piece(F.col("text"), F.col("start_off"), F.col("end_off"))
+    derived = piece_of(F.col("text"), F.col("start_off"), F.col("end_off"))
     components = (
-        whole.join(docs.select("doc_id", "text"), "doc_id")
+        whole.join(docs.select("doc_id", blocks(F.col("text")).alias("text")).hint("merge"), "doc_id")
         .withColumn("text", derived)
         .withColumn("check", offset_check(F.col("text"), F.col("declared")))
         .join(stances, ["doc_id", "comp_id"], "left")
