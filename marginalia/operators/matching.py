@@ -218,6 +218,21 @@ def _taken(items: Column) -> Column:
     )
 
 
+def _taken_by_place(places: Column) -> Column:
+    """The greedy choice of a document, made in each place of its text on its own.
+
+    A span has one place, unless its index was given to several spans: then all candidates are chosen among at once.
+    """
+
+    def once(name: str) -> Column:
+        each = F.transform(places, lambda p: F.array_distinct(p["items"][name]))
+        return F.size(F.flatten(each)) == F.size(F.array_distinct(F.flatten(each)))
+
+    apart = F.flatten(F.transform(places, lambda p: _taken(p["items"])))
+    together = _taken(F.array_sort(F.flatten(places["items"])))
+    return F.when(once("g_idx") & once("p_idx"), apart).otherwise(together)
+
+
 def _shown(grouped: DataFrame, items: Column) -> DataFrame:
     return (
         grouped.select(*UNIT, F.explode(items).alias("x"))
@@ -268,24 +283,39 @@ def _at_once(first: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
             (-ratio).alias("order"),
             *[g_fields.get(name, F.col(name)).alias(name) for name in ITEM],
             g["g_lo"].alias("lo"),
+            g["g_hi"].alias("hi"),
         )
 
     def near(x: Column) -> Column:
         enough = -x["order"] >= F.element_at(limits, F.col("criterion") + 1)
         return enough & (F.floor(F.greatest(x["lo"], F.col("p_lo")) / CELL) == F.col("cell"))
 
-    done = F.struct(F.lit(-1.0).alias("order"), *ITEM, F.col("g_lo").alias("lo"))
+    done = F.struct(F.lit(-1.0).alias("order"), *ITEM, F.col("g_lo").alias("lo"), F.col("g_hi").alias("hi"))
     found = F.when(kind == pair, F.array(done)).otherwise(F.filter(F.transform("golds", candidate), near))
+    # candidates that share a span overlap: those before and behind a gap do not bear on one another
     item = F.struct("x.order", *[f"x.{name}" for name in ITEM])
+    along = W.partitionBy(*UNIT).orderBy("kind", "lo")
+    earlier = F.max(F.when(kind == pred, F.col("hi"))).over(along.rowsBetween(W.unboundedPreceding, -1))
+    gap = (kind == pred) & F.coalesce(F.col("lo") >= F.col("earlier"), F.lit(True))
+    places = (
+        rows.select(*UNIT, "kind", "p_lo", "p_hi", F.explode(found).alias("x"))
+        .select(
+            *UNIT, "kind", item.alias("item"),
+            F.least("x.lo", "p_lo").alias("lo"), F.greatest("x.hi", "p_hi").alias("hi"),
+        )
+        .withColumn("earlier", earlier)
+        .withColumn("place", F.sum(gap.cast("int")).over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    )
     grouped = (
-        rows.select(*UNIT, "kind", F.explode(found).alias("x"))
+        places.groupBy(*UNIT, "kind", "place")
+        .agg(F.array_sort(F.collect_list("item")).alias("items"))
         .groupBy(*UNIT)
         .agg(
-            F.collect_list(F.when(kind == pair, item)).alias("done"),
-            F.array_sort(F.collect_list(F.when(kind == pred, item))).alias("items"),
+            F.flatten(F.collect_list(F.when(kind == pair, F.col("items")))).alias("done"),
+            F.collect_list(F.when(kind == pred, F.struct("items"))).alias("places"),
         )
     )
-    return _shown(grouped, F.concat("done", _taken(F.col("items"))))
+    return _shown(grouped, F.concat("done", _taken_by_place(F.col("places"))))
 
 
 def _rounds(left_g: DataFrame, left_p: DataFrame, criterion: Criterion) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.stats import f1
+from marginalia.session import tasks
 
 ITERATIONS = 10_000
 SEED = 0
@@ -147,7 +148,8 @@ def _splits(counts: DataFrame, keys: list[str], cols, iterations: int, seed: int
         .select(*keys, F.col("b.size").alias("bucket_sizes"))
     )
     parts = F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // CHUNK))).alias("part")
-    work = placed.join(totals, keys).select("*", parts)
+    # a few small rows a group are much work, which Spark would put into few tasks for their size
+    work = placed.join(totals, keys).select("*", parts).repartition(tasks(counts.sparkSession), *keys, "bucket", "part")
     cols = list(cols)
 
     def resample(rows: pd.DataFrame) -> pd.DataFrame:

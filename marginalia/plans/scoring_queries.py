@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,10 +136,13 @@ def spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     return fx.docs(spark, sf), fx.gold(spark, sf), fx.pred(spark, sf)
 
 
-def scores(spark: SparkSession, sf: str, criteria=STANDARD_CRITERIA) -> DataFrame:
-    return s.document_scores(
-        *spans(spark, sf), fx.gold_rel(spark, sf), fx.pred_rel(spark, sf), fx.SYSTEMS, criteria
-    )
+def scores(spark: SparkSession, sf: str, criteria=STANDARD_CRITERIA, splits: Sequence[str] = ()) -> DataFrame:
+    """Counts of every document, or of the documents of ``splits`` only: nothing else is matched for them."""
+    tables = [*spans(spark, sf), fx.gold_rel(spark, sf), fx.pred_rel(spark, sf)]
+    if splits:
+        tables[0] = tables[0].filter(F.col("split").isin(*splits))
+        tables[1:] = [t.join(tables[0].select("doc_id"), "doc_id", "left_semi") for t in tables[1:]]
+    return s.document_scores(*tables, fx.SYSTEMS, criteria)
 
 
 PAIR_OUT = ["criterion", "system_id", "doc_id", "g_idx", "p_idx"]

@@ -286,3 +286,50 @@ def test_checksum_audit(spark, tmp_path):
     expected = spark.createDataFrame([("a", right["a"]), ("b", right["a"]), ("d", right["d"])], "name string, sha256 string")
     got = {r.name: r.status for r in files.audit_checksums(found, expected).collect()}
     assert got == {"a": "ok", "b": "differs", "c": "unexpected", "d": "missing"}
+
+
+def test_scores_of_a_split_are_those_of_all_documents(spark, tmp_path):
+    from marginalia.plans.scoring_queries import OVERLAP_TYPED, scores
+
+    rows = [(i, f"ein Wort {i} und mehr " * (i % 9), "de", "s", len(f"ein Wort {i} und mehr " * (i % 9))) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    every = scores(spark, str(tmp_path), [OVERLAP_TYPED]).filter("doc_id % 5 in (0, 1)")
+    some = scores(spark, str(tmp_path), [OVERLAP_TYPED], ["val", "test"])
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, some.collect()))
+
+
+def test_choice_by_place_is_the_choice_of_the_whole_document(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import matching as m
+
+    rng = random.Random(3)
+    names = ", ".join(f"{n} long" for n in ("g_idx", "p_idx", "g_id", "p_id", "g_type", "p_type"))
+    rows = []
+    for unit in range(40):
+        # in half of the units an index stands for spans of several places
+        step = 3 if unit % 2 else 1
+        places = []
+        for at in range(5):
+            items = {(rng.random(), at * step + rng.randrange(3), at * step + rng.randrange(3), 0, 0, 0, 0) for _ in range(4)}
+            places.append((sorted(items),))
+        rows.append((unit, places))
+    df = spark.createDataFrame(rows, f"unit int, places array<struct<items: array<struct<o: double, {names}>>>>")
+    whole = m._taken(F.array_sort(F.flatten(F.col("places.items"))))
+    got = df.select(F.array_sort(m._taken_by_place(F.col("places"))).alias("a"), F.array_sort(whole).alias("b")).collect()
+    assert len(got) == 40 and all(r["a"] == r["b"] for r in got)
+
+
+def test_draws_of_one_unit_are_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import resample as rs
+
+    counts = spark.range(60).selectExpr("'k' as k", "id as doc_id", "id % 7 as tp", "id % 3 as fp", "id % 5 as fn")
+    drawn = rs._splits(counts, ["k"], rs.ONE, 5_000, 0)
+    assert drawn.agg(F.count(F.lit(1))).first()[0] == 5_000
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
