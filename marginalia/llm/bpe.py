@@ -1,9 +1,11 @@
 """Byte-level BPE by a pair occurrence index, and its inverse.
 
-A task collects the distinct pieces of its texts that it has not met yet, lays
-their symbols out in linked lists and maps every adjacent pair to all positions
-where it stands. The lowest active rank is merged at all its positions, the
-neighbours' entries are updated, and the next rank follows.
+A task collects the distinct pieces of its texts that it has not met yet and lays
+their symbols out one behind another, with the rank of every adjacent pair. The pair
+of lowest rank of each piece is merged at all its positions, the neighbours' ranks
+are updated, and the next rank follows; all pieces of a round move together. Pieces
+of more than ``LONG`` bytes, which would need many rounds, are linked lists instead:
+an index maps every adjacent pair to the positions where it stands.
 
 Null texts count as empty and have no ids. Rows are handled one by one: repeated
 ids, ties and extra columns change nothing. An empty table gives an empty result.
@@ -17,7 +19,9 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,10 @@ from marginalia.llm.pretok import chunks, pieces
 
 #: Pieces and chunks a worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 400_000
+#: Bytes of a piece that is still merged in rounds with others.
+LONG = 64
+#: Above every rank: two symbols that are never merged.
+NEVER = 2**31 - 1
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,22 +58,92 @@ class PairIndexEncoder:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.pair_of = {rank: pair for pair, (rank, _) in self.ranks.items()}
+        # the same as arrays, for many pairs at once: sorted pairs, and a table of the pairs of bytes
+        order = sorted(self.ranks)
+        self.pair_keys = np.array([a << 32 | b for a, b in order] + [2**63 - 1], np.int64)
+        self.pair_ranks = np.array([self.ranks[p][0] for p in order] + [NEVER], np.int32)
+        self.made = np.zeros(len(spec["model"]["merges"]), np.int32)
+        self.made[self.pair_ranks[:-1]] = [self.ranks[p][1] for p in order]
+        self.byte_ids = np.array(self.start, np.int32)
+        self.byte_ranks = self._rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # the longest of those that begin at one place
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.chunk_ids: dict[str, tuple[int, ...]] = {}
+        self.chunk_ids = self._no_chunks()
+
+    def _no_chunks(self) -> dict[str | int, tuple[int, ...]]:
+        """The ids of chunks before any is learned: special tokens stand for themselves."""
+        return {i: (i,) for i in self.special.values()}
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(NEVER))
 
     def merge_pieces(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each piece."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        long = [i for i, r in enumerate(raw) if len(r) > LONG]
+        out = self._merge_rounds([r for r in raw if len(r) <= LONG] if long else raw)
+        if long:
+            rest, behind = iter(out), set(long)
+            merged = iter(self._merge_index([raw[i] for i in long]))
+            out = [next(merged if i in behind else rest) for i in range(len(raw))]
+        return out
+
+    def _merge_rounds(self, raw: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece; a round merges the best pair of every piece."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        piece = np.repeat(np.arange(len(raw)), sizes)
+        sym = self.byte_ids[joined]
+        rank = np.full(len(sym), NEVER, np.int32)
+        inside = np.flatnonzero(piece[1:] == piece[:-1])  # a piece's last symbol begins no pair
+        rank[inside] = self.byte_ranks[joined[inside].astype(np.int32) * 256 + joined[inside + 1]]
+        done_sym, done_piece = [], []
+        while len(sym):
+            first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            count = np.diff(np.r_[first, len(sym)])
+            best = np.repeat(np.minimum.reduceat(rank, first), count)
+            live = best != NEVER
+            done_sym.append(sym[~live])
+            done_piece.append(piece[~live])
+            sym, piece, rank = sym[live], piece[live], rank[live]
+            hit = rank == best[live]
+            at = np.flatnonzero(hit)
+            if (near := at[1:] == at[:-1] + 1).any():  # of a run a a a a, every other pair
+                run = np.r_[True, ~near]
+                begin = np.maximum.accumulate(np.where(run, at, 0))
+                at = at[(at - begin) % 2 == 0]
+            sym[at] = self.made[rank[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            new = np.cumsum(keep)[at] - 1
+            sym, piece = sym[keep], piece[keep]
+            rank = rank[keep]
+            touched = np.concatenate((new, new[new > 0] - 1))
+            touched = touched[touched < len(sym) - 1]
+            rank[new] = NEVER
+            touched = touched[piece[touched] == piece[touched + 1]]
+            rank[touched] = self._rank(sym[touched], sym[touched + 1])
+        ids, of = np.concatenate([*done_sym, sym]), np.concatenate([*done_piece, piece])
+        ids = ids[np.argsort(of, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(of, minlength=len(raw))).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _merge_index(self, raw: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each piece, by one index over all of them."""
         ranks, pair_of = self.ranks, self.pair_of
         sym: list[int] = []
         heads = []
-        for w in words:
+        for r in raw:
             heads.append(len(sym))
-            sym += [self.start[b] for b in w.encode("utf-8", "surrogatepass")]
+            sym += [self.start[b] for b in r]
             sym.append(-1)  # no pair crosses the end of a piece
         after = list(range(1, len(sym) + 1))
         before = list(range(-1, len(sym) - 1))
@@ -111,7 +189,7 @@ class PairIndexEncoder:
     def _learn(self, new: list[str]) -> None:
         """Put chunks into the look-up table."""
         if len(self.chunk_ids) + len(new) > REMEMBERED:
-            self.chunk_ids = {}
+            self.chunk_ids = self._no_chunks()
         split = [pieces(c) for c in new]
         unseen = list(dict.fromkeys(p for ps in split for p in ps if p not in self.known))
         if len(self.known) + len(unseen) > REMEMBERED:
@@ -143,18 +221,15 @@ class PairIndexEncoder:
         yield from self._encode_group(group)
 
     def _encode_group(self, group: list[list[str | int]]) -> Iterator[list[int]]:
-        seen = self.chunk_ids
-        new = {c for parts in group for c in parts if c not in seen and isinstance(c, str)}
-        if len(new) + len(seen) > REMEMBERED:  # the table starts anew with all that this group needs
-            new = {c for parts in group for c in parts if isinstance(c, str)}
+        used = set(chain.from_iterable(group))
+        new = used.difference(self.chunk_ids)
+        if len(new) + len(self.chunk_ids) > REMEMBERED:  # the table starts anew with all that this group needs
+            new = used.difference(self._no_chunks())
         if new:
-            self._learn(sorted(new))
-            seen = self.chunk_ids
+            self._learn(list(new))
+        seen = self.chunk_ids.__getitem__
         for parts in group:
-            ids: list[int] = []
-            for c in parts:
-                ids += seen[c] if isinstance(c, str) else (c,)
-            yield ids
+            yield [*chain.from_iterable(map(seen, parts))]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that are not UTF-8 become the replacement character."""
@@ -203,7 +278,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n, of_ids, of_text = [], [], []
             for ids in bpe.encode(texts(b.column("text"))):
                 n.append(len(ids))
-                of_ids.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
+                of_ids.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],

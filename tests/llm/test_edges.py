@@ -398,3 +398,21 @@ def test_secrets_in_very_long_strings(spark):
     rows = spark.createDataFrame([(1, f"x {body} y"), (2, f"x {'z' * 400_000}+- y")], "doc_id long, text string")
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.find(rows).collect()}
     assert got == {1: [(2, 1_000_002)], 2: []}
+
+
+def test_pieces_merged_in_rounds_are_those_of_the_index():
+    import random
+
+    import public_tokenizers
+
+    from marginalia.llm import bpe
+
+    coder = bpe.PairIndexEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    words = ["a" * n for n in (1, 2, 3, 7, 63, 64, 65, 300)] + [" the", "ä" * 31, "=" * 40, "-" * 64]
+    words += ["".join(rng.choice("etaoin sh0ä=é") for _ in range(rng.randrange(1, 90))) for _ in range(500)]
+    raw = [w.encode() for w in words]
+    expected = coder._merge_index(raw)
+    assert coder._merge_rounds(raw) == expected
+    assert coder.merge_pieces(words) == expected
+    assert coder.merge_pieces([]) == [] and coder.merge_pieces(words[-1:]) == expected[-1:]
