@@ -7,8 +7,10 @@ ordered set. Where the prefix needs p tokens to share one with every similar set
 p + l - 1 tokens share at least l; each class takes the l of least estimated cost
 (index entries read plus candidates left), and a pair is verified only if its
 prefixes share as many tokens as the smaller l of both, and if their number and the
-tokens behind the last of them can still reach the similarity asked for. All that is
-known from the index entries, so sets move for pairs that pass only.
+tokens behind the last of them can still reach the similarity asked for. A set also
+has a mark of ``mark_bits`` bits, each the parity of the shingles that fall on it: two
+marks differ in no more bits than the sets in shingles, which rules out most pairs where
+they meet. All that is known from the index entries, so sets move for pairs that pass only.
 
 Groups of near copies would propose all their pairs. So the members of an index
 entry are first compared with one pivot, the member whose shingles are the most
@@ -49,6 +51,12 @@ class Settings:
     word_bits: int = 18
     filter_bits: int = 24
     star_rounds: int = 3
+    mark_bits: int = 256
+
+    @property
+    def marks(self) -> list[str]:
+        """The columns of a mark, 64 bits each."""
+        return [f"m{i}" for i in range(self.mark_bits // 64)]
 
 
 class WordHashes:
@@ -129,6 +137,12 @@ def signature(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def mark(x: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of how many of the distinct hashes ``x`` fall on each bit, as longs."""
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def required(n: int, s: Settings) -> int:
     """Shingles that a set of ``n`` shares with every set similar to it, at least."""
     return -(-s.num * n // s.den)
@@ -148,11 +162,12 @@ def _hash_sets(docs: DataFrame, s: Settings) -> DataFrame:
             # shingles that occur once among some thousand texts say nothing on frequency
             nonlocal waiting, heard, held, words
             if waiting:
-                words += np.bincount(np.concatenate(heard).astype(np.int64), minlength=len(words))
-                v, c = np.unique(np.concatenate(waiting), return_counts=True)
-                v, c = v[c > 1], c[c > 1]
-                np.add.at(total, (v & np.uint64(size - 1)).astype(np.int64), c)
-                waiting, heard, held = [], [], 0
+                words += np.bincount(np.concatenate(heard), minlength=len(words))
+                v, waiting, heard, held = np.concatenate(waiting), [], [], 0
+                v.sort()  # in place: these arrays are the largest a task has
+                again = np.flatnonzero(v[1:] == v[:-1])
+                v, c = np.unique(v[again], return_counts=True)
+                np.add.at(total, (v & np.uint64(size - 1)).astype(np.int64), c + 1)
 
         for b in batches:
             cid, n = [], []
@@ -167,7 +182,7 @@ def _hash_sets(docs: DataFrame, s: Settings) -> DataFrame:
                         seen.clear()
                     seen.add(sig)
                     waiting.append(x)
-                    heard.append(h & np.uint64(len(words) - 1))
+                    heard.append((h & np.uint64(len(words) - 1)).astype(np.int32))
                     held += len(x)
                     if held > 3_000_000:
                         flush()
@@ -219,7 +234,7 @@ def choose(counts: np.ndarray, n: int, s: Settings) -> int:
 
 
 def _index(docs: DataFrame, rarity: Rarity, s: Settings) -> DataFrame:
-    """Entries ``token, cid, n, shared, central, pos`` of tokens that several classes have.
+    """Entries ``token, cid, n, shared, central, pos`` and marks, of tokens that several classes have.
 
     ``pos`` counts from 1 in the order from rare to frequent.
     """
@@ -242,19 +257,21 @@ def _index(docs: DataFrame, rarity: Rarity, s: Settings) -> DataFrame:
                 x, c = known.ordered(h, s.words)
                 n = len(x)
                 l = choose(c, n, s)
-                rows.append((cid, n, l, float(np.log1p(c).mean()), x[: n - required(n, s) + l].view(np.int64)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.list_(pa.int64()))
-            names = ["cid", "n", "shared", "central", "prefix"]
+                prefix = x[: n - required(n, s) + l].view(np.int64)
+                rows.append((cid, n, l, float(np.log1p(c).mean()), prefix, *mark(x, s.mark_bits).tolist()))
+            cols = list(zip(*rows)) if rows else [[]] * (5 + len(s.marks))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.list_(pa.int64()), *[pa.int64()] * len(s.marks))
+            names = ["cid", "n", "shared", "central", "prefix", *s.marks]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
-    rows = arrow_map(docs.select("text"), work, "cid long, n int, shared int, central float, prefix array<long>")
+    schema = "cid long, n int, shared int, central float, prefix array<long>" + "".join(f", {m} long" for m in s.marks)
+    rows = arrow_map(docs.select("text"), work, schema)
     # one row per class: tasks have seen to their own copies
-    rows = rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "shared", "central", "prefix")))
-    entries = rows.select("cid", "n", "shared", "central", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    entries = cut(entries)
+    rows = cut(rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "shared", "central", "prefix", *s.marks))))
+    entries = rows.select("cid", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
     common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    return cut(entries.join(common, "token"))
+    # what holds for a class joins the few entries that are left
+    return cut(entries.join(common, "token").join(rows.drop("prefix"), "cid"))
 
 
 def _needed_sets(docs: DataFrame, cids: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -303,10 +320,18 @@ def _enough(inter: Column, s: Settings) -> Column:
     return (s.den + s.num) * inter >= s.num * (F.col("a_n") + F.col("b_n"))
 
 
+def _marks_allow(s: Settings) -> Column:
+    """Whether sets whose marks differ as these do can be similar: they differ in as many shingles at least."""
+    both = F.col("a_n") + F.col("b_n")
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in s.marks), F.lit(0))
+    return (s.den + s.num) * (both - apart) >= 2 * s.num * both
+
+
 def _likely(met: DataFrame, s: Settings) -> DataFrame:
     """Pairs ``a, b, a_n, b_n, pivot`` whose shared entries allow a link; ``met``: a row per pair and token."""
     return (
         met.filter(s.den * F.least("a_n", "b_n") >= s.num * F.greatest("a_n", "b_n"))
+        .filter(_marks_allow(s))
         # at a shared token: those up to it, and those behind it
         .filter(_enough(F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")), s))
         .groupBy("a", "b", "a_n", "b_n", F.least("a_shared", "b_shared").alias("ask"))
@@ -326,8 +351,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return cut(pairs.join(x, "a").join(y, "b").filter(_enough(inter, s)).select("a", "b", "pivot"))
 
 
-def _side(entries: DataFrame, name: str) -> DataFrame:
-    return entries.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("cid", "n", "shared", "pos", "component")))
+def _side(entries: DataFrame, name: str, s: Settings) -> DataFrame:
+    return entries.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("cid", "n", "shared", "pos", "component", *s.marks)))
 
 
 def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
@@ -356,20 +381,20 @@ def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame
             member = cut(named.join(split.select("token"), "token"))
             done = left <= 2 * entries_left or k == s.star_rounds
         if done:
-            met = _side(member, "a").join(_side(member, "b"), "token").filter("a_cid < b_cid and a_component <> b_component")
+            met = _side(member, "a", s).join(_side(member, "b", s), "token").filter("a_cid < b_cid and a_component <> b_component")
             met = met.withColumn("pivot", F.col("a_cid"))
         else:
             # the first rounds take the most central member, later ones any other
             weight = F.col("central").cast("double") if k < 2 else F.xxhash64("cid", F.lit(k)).cast("double")
             pick = F.struct(weight.alias("weight"), F.col("component" if k % 2 else "cid").alias("tie"), "cid")
             pivot = member.groupBy("token").agg(
-                F.max_by(F.struct("cid", "n", "shared", "pos", "component"), pick).alias("p")
+                F.max_by(F.struct("cid", "n", "shared", "pos", "component", *s.marks), pick).alias("p")
             ).select("token", "p.*")
-            met = _side(member, "a").join(_side(pivot, "b"), "token").filter("a_component <> b_component")
+            met = _side(member, "a", s).join(_side(pivot, "b", s), "token").filter("a_component <> b_component")
             swap = F.col("a_cid") > F.col("b_cid")
             met = met.select(F.col("b_cid").alias("pivot"), *(
                 F.when(swap, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}")
-                for x, y in (("a", "b"), ("b", "a")) for c in ("cid", "n", "shared", "pos")
+                for x, y in (("a", "b"), ("b", "a")) for c in ("cid", "n", "shared", "pos", *s.marks)
             ))
         likely = _likely(met.withColumnsRenamed({"a_cid": "a", "b_cid": "b"}), s)
         likely = cut(likely if tried is None else likely.join(tried, ["a", "b"], "left_anti"))

@@ -416,3 +416,30 @@ def test_pieces_merged_in_rounds_are_those_of_the_index():
     assert coder._merge_rounds(raw) == expected
     assert coder.merge_pieces(words) == expected
     assert coder.merge_pieces([]) == [] and coder.merge_pieces(words[-1:]) == expected[-1:]
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
+    import numpy as np
+
+    from marginalia.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    for n in (1, 20, 300):
+        a = rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+        for new in (0, n // 10, n):
+            b = np.r_[a[new:], rng.integers(0, 2**64, new, np.uint64, endpoint=False)]
+            x, y = (jaccard.mark(v, 256).view(np.uint64) for v in (a, b))
+            apart = int(np.bitwise_count(x ^ y).sum())
+            assert apart <= 2 * new and (apart > 0) == (new > 0)
+
+
+def test_pairs_are_ruled_out_by_marks_where_they_meet(spark):
+    from marginalia.llm import jaccard
+
+    s = jaccard.Settings()
+    cols = ["a", "b", "a_n", "b_n", "a_shared", "b_shared", "a_pos", "b_pos", "pivot"]
+    names = [*cols, *(f"{x}_{m}" for x in "ab" for m in s.marks)]
+    zero, far = [0] * len(s.marks), [-1] * len(s.marks)
+    rows = [[1, 2, 100, 100, 1, 1, 1, 1, 1, *zero, *zero], [1, 3, 100, 100, 1, 1, 1, 1, 1, *zero, *far]]
+    met = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    assert [(r["a"], r["b"]) for r in jaccard._likely(met, s).collect()] == [(1, 2)]
