@@ -2,7 +2,7 @@
 
 Features are hashed character n-grams of the lower-cased text, present or not. Their naive Bayes log-count ratios come from every labelled row, summed over
 the cluster; they scale the features of a logistic regression, which is fitted on a
-bounded sample: at most ``per_class`` rows of each label, those with the smallest
+bounded sample, in one task: at most ``per_class`` rows of each label, those with the smallest
 hash of their content. Both labels weigh the same in it, so 0.5 lies between them however
 rare one is. ``smoothing`` keeps n-grams that few texts hold from explaining the sample.
 
@@ -21,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import arrow_map, cut, texts
 
-# Texts whose features the driver multiplies at a time.
+# Texts whose features are multiplied at a time.
 BLOCK = 100
 
 
@@ -94,41 +95,53 @@ def log_count_ratios(train: DataFrame, settings: Settings) -> tuple[np.ndarray,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feats = Features(settings)
         size = 1 << settings.bits
-        counts, rows = np.zeros((2, size), np.int64), [0, 0]
+        counts = np.zeros((2, size), np.int64)
         for b in batches:
             for text, label in zip(texts(b.column("text")), b.column("label").to_pylist()):
                 counts[label][feats.of_text(text)] += 1
-                rows[label] += 1
         at = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[at, -1], pa.int64()),
-                pa.array(np.r_[counts[0][at], rows[0]], pa.int64()),
-                pa.array(np.r_[counts[1][at], rows[1]], pa.int64()),
-            ],
-            ["feature", "other", "toxic"],
+            [pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], ["feature", "other", "toxic"]
         )
 
-    found = (
-        arrow_map(train, work, "feature long, other long, toxic long")
-        .groupBy("feature")
-        .agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-        .toPandas()  # one row per hashed feature at most
-    )
-    size = 1 << settings.bits
-    counts = np.zeros((2, size))
+    # by numbers of rows a driver can hold at any size: two labels here, one row per task below
     rows = np.zeros(2)
-    at = found["feature"].to_numpy()
-    inside = at >= 0
-    counts[0, at[inside]], counts[1, at[inside]] = found["other"][inside], found["toxic"][inside]
-    if not inside.all():
-        rows[:] = found["other"][~inside].iloc[0], found["toxic"][~inside].iloc[0]
+    for label, n in train.groupBy("label").count().collect():
+        rows[label] = n
     # pseudo counts in proportion to the labels: a feature never met has ratio 0
     extra = 2 * settings.smoothing * rows / max(1, rows.sum())
-    p = (counts[1] + extra[1]) / max(1, rows[1])
-    q = (counts[0] + extra[0]) / max(1, rows[0])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((p > 0) & (q > 0), np.log(p / q), 0.0), rows
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = [], []
+        for b in batches:
+            p = (b.column("toxic").to_numpy() + extra[1]) / max(1, rows[1])
+            q = (b.column("other").to_numpy() + extra[0]) / max(1, rows[0])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found.append(np.where((p > 0) & (q > 0), np.log(p / q), 0.0))
+            at.append(b.column("feature").to_numpy())
+        if at:
+            yield _blocks(np.concatenate(at), np.concatenate(found))
+
+    counts = arrow_map(train, work, "feature int, other long, toxic long").groupBy("feature")
+    counts = counts.agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    return _dense(arrow_map(counts, ratios, "at array<int>, value array<double>"), 1 << settings.bits), rows
+
+
+def _blocks(at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """Numbers and their places, some ten thousand in a row."""
+    cuts = range(0, max(1, len(at)), 1 << 15)
+    places = pa.array([at[i : i + (1 << 15)].astype(np.int32) for i in cuts], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [places, pa.array([value[i : i + (1 << 15)] for i in cuts], pa.list_(pa.float64()))], ["at", "value"]
+    )
+
+
+def _dense(blocks: DataFrame, size: int) -> np.ndarray:
+    """``size`` numbers from rows of :func:`_blocks`; what no row names is 0."""
+    out = np.zeros(size)
+    for b in blocks.select("at", "value").toArrow().to_batches():
+        out[b.column("at").flatten().to_numpy()] = b.column("value").flatten().to_numpy()
+    return out
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
@@ -163,46 +176,66 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
 
     rows = train.select("label", salt.alias("h"), "text").filter(inside).dropDuplicates(["label", "h"])
     sample = arrow_map(rows, work, "label int, h long, feats array<int>")
-    table = sample.toArrow().sort_by([("label", "ascending"), ("h", "ascending")])
-    y = table.column("label").to_numpy().astype(float)
-    times = np.array([chosen[k] for k in zip(table.column("label").to_pylist(), table.column("h").to_pylist())], float)
-    lists = table.column("feats").combine_chunks()
-    indices = lists.values.to_numpy() if not hasattr(lists, "chunks") else np.concatenate([c.values.to_numpy() for c in lists.chunks])
-    lengths = np.diff(lists.offsets.to_numpy())
-    return _regression(y, times, indices, lengths, ratio, settings)
+    known = train.sparkSession.sparkContext.broadcast(ratio)  # 2^bits ratios, whatever the input
+
+    def regress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One task, since the sample is bounded by ``per_class``; the driver keeps only weights."""
+        y, times, indices, lengths = [], [], [], []
+        for b in batches:
+            y += b.column("label").to_pylist()
+            times += [chosen[k] for k in zip(b.column("label").to_pylist(), b.column("h").to_pylist())]
+            indices.append(b.column("feats").flatten().to_numpy())
+            lengths.append(pc.list_value_length(b.column("feats")).to_numpy())
+        entries, indices = np.concatenate(indices), None
+        model = _regression(
+            np.array(y, float), np.array(times, float), entries, np.concatenate(lengths), known.value, settings
+        )
+        at = np.flatnonzero(model.weights)
+        yield _blocks(np.r_[at, size], np.r_[model.weights[at], model.intercept])
+
+    ordered = sample.repartition(1).sortWithinPartitions("label", "h")
+    found = _dense(arrow_map(ordered, regress, "at array<int>, value array<double>"), size + 1)
+    known.unpersist()
+    return Model(settings, found[:-1].copy(), float(found[-1]))
 
 
 def _regression(y, times, indices, lengths, ratio, s: Settings) -> Model:
     """Logistic regression on scaled features, rows weighted by ``times`` and both labels alike;
     conjugate gradient inside Newton steps."""
     n, size = len(y), len(ratio)
-    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
-    value = ratio[indices]
-    # places by a table of all features: sorting millions of entries takes the driver several copies of them
+    # places by a table of all features: sorting millions of entries takes several copies of them
     mark = np.zeros(size, bool)
     mark[indices] = True
     used = np.flatnonzero(mark)
-    col = (np.cumsum(mark) - 1)[indices]
+    place = np.cumsum(mark, dtype=np.int32) - np.int32(1)
+    col, scale = place[indices], ratio[used]
     weight = times / np.where(y == 1, times[y == 1].sum(), times[y == 0].sum())
     weight = weight / weight.mean()
     theta = np.zeros(len(used) + 1)
     ends = np.r_[0, np.cumsum(lengths)]
 
-    def forward(t: np.ndarray) -> np.ndarray:
-        """A block of texts at a time; their entries lie together."""
-        z = np.zeros(n)
+    def blocks() -> Iterator[tuple[int, int, np.ndarray]]:
+        """A block of texts at a time; their entries lie together, and only they are held in full."""
         for first in range(0, n, BLOCK):
             last = min(first + BLOCK, n)
-            at = slice(ends[first], ends[last])
-            part = t[:-1][col[at]]
-            part *= value[at]
-            z[first:last] = np.bincount(row[at] - first, weights=part, minlength=last - first)
+            yield first, last, col[ends[first] : ends[last]].astype(np.intp)
+
+    def forward(t: np.ndarray) -> np.ndarray:
+        z = np.zeros(n)
+        for first, last, at in blocks():
+            part = t[:-1][at]
+            part *= scale[at]
+            row = np.repeat(np.arange(last - first), lengths[first:last])
+            z[first:last] = np.bincount(row, weights=part, minlength=last - first)
         return z + t[-1]
 
     def backward(g: np.ndarray) -> np.ndarray:
-        part = g[row]
-        part *= value
-        return np.r_[np.bincount(col, weights=part, minlength=len(used)), g.sum()]
+        out = np.zeros(len(used))
+        for first, last, at in blocks():
+            part = np.repeat(g[first:last], lengths[first:last])
+            part *= scale[at]
+            np.add.at(out, at, part)
+        return np.r_[out, g.sum()]
 
     ridge = np.r_[np.full(len(used), s.ridge), 0.0]
     for _ in range(6):

@@ -78,3 +78,16 @@ def test_regression_holds_few_copies_of_its_entries():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * n * each
+
+
+def test_fit_keeps_the_regression_off_the_driver(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3_000)]
+    rows = [(i, " ".join(rng.choice(words, 300)) + " vile" * (i % 2), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").cache()
+    assert df.count() == 300
+    tracemalloc.start()
+    model = toxicity.fit(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any() and peak < 32 << 20  # a few arrays of 2^bits numbers
