@@ -1,20 +1,21 @@
 """Links and components of documents whose shingle sets have a large Jaccard similarity.
 
-Exact copies share a class; only classes are compared. Shingles are ordered from
-rare to frequent: first by a count sketch of shingles met several times, then by the
-frequency of their words, both in tables of fixed size. A class indexes a prefix of its
-ordered set. Where the prefix needs p tokens to share one with every similar set,
-p + l - 1 tokens share at least l; each class takes the l of least estimated cost
-(index entries read plus candidates left), and a pair is verified only if its
-prefixes share as many tokens as the smaller l of both, and if their number and the
-tokens behind the last of them can still reach the similarity asked for. A set also
-has a mark of ``mark_bits`` bits, each the parity of the shingles that fall on it: two
-marks differ in no more bits than the sets in shingles, which rules out most pairs where
-they meet. All that is known from the index entries, so sets move for pairs that pass only.
+Exact copies share a class; only classes are compared. Similar sets differ in few
+shingles, at most H for sets of a range of sizes. So the shingles are dealt by hash into
+H + l parts: similar sets agree on at least l parts as a whole. Each class indexes its
+H + 1 largest parts; parts that agree have the same place in the order of both sets, so
+one of them is among these on both sides. A part is met only by sets that hold all its
+shingles and no other of that part, which two sets with common shingles hardly are, however
+frequent the shingles; an index entry is therefore one of near copies. Ranges of sizes overlap:
+the larger of two similar sets is also indexed in the range of the smaller.
+
+A set also has a mark of ``mark_bits`` bits, each the parity of the shingles that fall on it:
+two marks differ in no more bits than the sets in shingles, which rules out pairs that met by
+chance before their sets move. Pairs left are verified on whole sets.
 
 Groups of near copies would propose all their pairs. So the members of an index
-entry are first compared with one pivot, the member whose shingles are the most
-shared; links found so join components, and only members of different components
+entry are first compared with one pivot, the member with the most shared entries;
+links found so join components, and only members of different components
 are compared further. When the pairs left over are in proportion to the index,
 all of them are compared, so no link between components is lost.
 
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import arrow_map, cut, mix, texts
@@ -40,15 +41,15 @@ from marginalia.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """Link where ``den * intersection >= num * union`` over ``words``-word shingles."""
+    """Link where ``den * intersection >= num * union`` over ``words``-word shingles.
+
+    ``widest``: ratio of the largest to the smallest size in a range.
+    """
 
     words: int = 3
     num: int = 90
     den: int = 100
-    most_shared: int = 4
-    verify_cost: float = 8.0
-    sketch_bits: int = 20
-    word_bits: int = 18
+    widest: float = 1.25
     filter_bits: int = 24
     star_rounds: int = 3
     mark_bits: int = 256
@@ -110,28 +111,6 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-@dataclass(frozen=True)
-class Rarity:
-    """Counts of repeated shingles, and the log share of words, by the low bits of a hash."""
-
-    repeated: np.ndarray
-    log_share: np.ndarray
-    words: int
-
-    def ordered(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct windows from rare to frequent, and how many texts are expected to have each."""
-        x = windows(h, k)
-        share = self.log_share[(h & np.uint64(len(self.log_share) - 1)).astype(np.int64)]
-        rare = np.zeros(len(x), np.float32)
-        for j in range(min(k, len(h))):  # the same sum wherever a window stands
-            rare += share[j : j + len(x)]
-        c = self.repeated[(x & np.uint64(len(self.repeated) - 1)).astype(np.int64)]
-        order = np.lexsort((x, rare, c))
-        x = x[order]
-        order = order[np.concatenate(([True], x[1:] != x[:-1]))]
-        return windows(h, k)[order], c[order] + self.words * np.exp(rare[order].astype(np.float64))
-
-
 def signature(s: np.ndarray) -> int:
     """64 bits that stand for a set; sets are taken as equal where they agree."""
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -143,135 +122,99 @@ def mark(x: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def required(n: int, s: Settings) -> int:
-    """Shingles that a set of ``n`` shares with every set similar to it, at least."""
-    return -(-s.num * n // s.den)
+def ranges(n: int, s: Settings) -> list[tuple[int, int]]:
+    """The ranges of sizes that sets of ``n`` are indexed in: least size, and H.
+
+    A range holds the sizes of the smaller of two sets, and what sizes similar larger sets have.
+    """
+    out, low = [], 1
+    while low <= n:
+        high = max(low, int(low * s.widest) - 1)
+        if n * s.num <= high * s.den:
+            both = high + high * s.den // s.num
+            out.append((low, both * (s.den - s.num) // (s.den + s.num)))
+        low = high + 1
+    return out
+
+
+def parts(x: np.ndarray, low: int, most: int) -> np.ndarray:
+    """Hashes of the ``most + 1`` largest parts of the sorted distinct hashes ``x``, of which similar sets differ in ``most``.
+
+    Parts of one size are ordered by hash, so equal parts of two sets stand in the same order.
+    """
+    k = most + 1 + most // 7  # l is an eighth of the parts: those of few shingles are left out
+    edges = np.arange(1, k, dtype=np.uint64) * np.uint64(2**64 // k)
+    at = np.r_[0, np.searchsorted(x, edges), len(x)]
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(mix(x * np.uint64(0xD6E8FEB86659FD93)), out=sums[1:])
+    names = mix(np.arange(k, dtype=np.uint64) + np.uint64(low << 32))
+    found = mix((sums[at[1:]] - sums[at[:-1]]) ^ names)
+    return found[np.lexsort((found, np.diff(at)))[k - most - 1 :]]
 
 
 def _hash_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, text_hash, cid, n`` of every row, and one row (null ``n``) per task with its sketch."""
+    """``doc_id, text_hash, cid, n`` and the mark of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        names = ["doc_id", "text_hash", "cid", "n", "at", "count"]
-        size = 1 << s.sketch_bits
-        waiting, heard, held, seen = [], [], 0, set()
-        total, words = np.zeros(size, np.int64), np.zeros(1 << s.word_bits, np.int64)
-
-        def flush() -> None:
-            # shingles that occur once among some thousand texts say nothing on frequency
-            nonlocal waiting, heard, held, words
-            if waiting:
-                words += np.bincount(np.concatenate(heard), minlength=len(words))
-                v, waiting, heard, held = np.concatenate(waiting), [], [], 0
-                v.sort()  # in place: these arrays are the largest a task has
-                again = np.flatnonzero(v[1:] == v[:-1])
-                v, c = np.unique(v[again], return_counts=True)
-                np.add.at(total, (v & np.uint64(size - 1)).astype(np.int64), c + 1)
-
         for b in batches:
-            cid, n = [], []
-            for t in texts(b.column("text")):
-                h = hashes.of(t)
-                x = shingles(h, s.words)
-                sig = signature(x)
-                cid.append(sig)
+            cid, n, marks = [], [], np.empty((b.num_rows, len(s.marks)), np.int64)
+            for i, t in enumerate(texts(b.column("text"))):
+                x = shingles(hashes.of(t), s.words)
+                cid.append(signature(x))
                 n.append(len(x))
-                if sig not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(sig)
-                    waiting.append(x)
-                    heard.append((h & np.uint64(len(words) - 1)).astype(np.int32))
-                    held += len(x)
-                    if held > 3_000_000:
-                        flush()
-            none = pa.nulls(len(n), pa.list_(pa.int32()))
-            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), none, none]
-            yield pa.RecordBatch.from_arrays(cols, names)
-        flush()
-        both = np.r_[total, words]  # words follow the shingles
-        at = np.flatnonzero(both)
-        cols = [
-            *[pa.nulls(1, pa.int64())] * 4,
-            pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([np.minimum(both[at], 2**31 - 1).astype(np.int32)], pa.list_(pa.int32())),
-        ]
-        yield pa.RecordBatch.from_arrays(cols, names)
+                marks[i] = mark(x, s.mark_bits)
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(cid, pa.int64()), pa.array(n, pa.int64())]
+            cols += [pa.array(m) for m in marks.T]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "cid", "n", *s.marks])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return cut(arrow_map(rows, work, "doc_id long, text_hash long, cid long, n long, at array<int>, count array<int>"))
+    return cut(arrow_map(rows, work, "doc_id long, text_hash long, cid long, n long" + "".join(f", {m} long" for m in s.marks)))
 
 
-def _rarity(hashed: DataFrame, s: Settings) -> Rarity:
-    """The tables of all tasks added up: 2^``sketch_bits`` + 2^``word_bits`` numbers."""
-    found = (
-        hashed.filter("n is null")
-        .select(F.explode(F.arrays_zip("at", "count")).alias("x"))
-        .groupBy("x.at")
-        .agg(F.sum("x.count").alias("c"))
-        .toArrow()
-    )
-    size = 1 << s.sketch_bits
-    both = np.zeros(size + (1 << s.word_bits))
-    both[found.column("at").to_numpy()] = found.column("c").to_numpy()
-    words = both[size:]
-    share = np.log((words + 1) / (words.sum() + len(words)))
-    return Rarity(np.minimum(both[:size], 2**31 - 1).astype(np.int32), share.astype(np.float32), int(words.sum()))
-
-
-def choose(counts: np.ndarray, n: int, s: Settings) -> int:
-    """The number of shared prefix tokens to ask for; ``counts``: of the ordered set."""
-    need = required(n, s)
-    best, cost = 1, np.inf
-    run = np.cumsum(counts[: n - need + s.most_shared])
-    for l in range(1, min(s.most_shared, need) + 1):
-        entries = float(run[min(len(run), n - need + l) - 1])
-        c = entries + s.verify_cost * entries / l
-        if c < cost:
-            best, cost = l, c
-    return best
-
-
-def _index(docs: DataFrame, rarity: Rarity, s: Settings) -> DataFrame:
-    """Entries ``token, cid, n, shared, central, pos`` and marks, of tokens that several classes have.
-
-    ``pos`` counts from 1 in the order from rare to frequent.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(rarity)
+def _index(docs: DataFrame, s: Settings) -> DataFrame:
+    """Entries ``token, cid, central``: parts that several classes have, and how many of its parts a class shares."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, seen = WordHashes(), sent.value, set()
+        hashes, seen, known = WordHashes(), set(), {}
+        cids, tokens, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            cid = np.repeat(np.array(cids, np.int64), [len(t) for t in tokens])
+            token = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(token)], ["cid", "token"])
+
         for b in batches:
-            rows = []
             for t in texts(b.column("text")):
-                h = hashes.of(t)
-                if not len(h):
-                    continue
-                cid = signature(shingles(h, s.words))
+                x = shingles(hashes.of(t), s.words)
+                n = len(x)
+                cid = signature(x)
                 if cid in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(cid)
-                x, c = known.ordered(h, s.words)
-                n = len(x)
-                l = choose(c, n, s)
-                prefix = x[: n - required(n, s) + l].view(np.int64)
-                rows.append((cid, n, l, float(np.log1p(c).mean()), prefix, *mark(x, s.mark_bits).tolist()))
-            cols = list(zip(*rows)) if rows else [[]] * (5 + len(s.marks))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.list_(pa.int64()), *[pa.int64()] * len(s.marks))
-            names = ["cid", "n", "shared", "central", "prefix", *s.marks]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
-
-    schema = "cid long, n int, shared int, central float, prefix array<long>" + "".join(f", {m} long" for m in s.marks)
-    rows = arrow_map(docs.select("text"), work, schema)
-    # one row per class: tasks have seen to their own copies
-    rows = cut(rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "shared", "central", "prefix", *s.marks))))
-    entries = rows.select("cid", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    # what holds for a class joins the few entries that are left
-    return cut(entries.join(common, "token").join(rows.drop("prefix"), "cid"))
+                if n not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[n] = ranges(n, s)
+                for low, most in known[n]:
+                    if most:  # where no shingle may differ, similar sets are equal
+                        cids.append(cid)
+                        tokens.append(parts(x, low, most))
+                        held += len(tokens[-1])
+                if held > 100_000:
+                    yield flush()
+                    cids, tokens, held = [], [], 0
+        yield flush()
+
+    entries = arrow_map(docs.select("text"), work, "cid long, token long")
+    same = Window.partitionBy("token")
+    # copies of a class in other tasks do not make a token a shared one
+    entries = entries.withColumn("least", F.min("cid").over(same)).withColumn("most", F.max("cid").over(same))
+    entries = cut(entries.filter("least < most").select("token", "cid").dropDuplicates(["token", "cid"]))
+    central = entries.groupBy("cid").agg(F.count(F.lit(1)).alias("central"))
+    return cut(entries.join(central, "cid"))
 
 
 def _needed_sets(docs: DataFrame, cids: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -316,10 +259,6 @@ def _needed_sets(docs: DataFrame, cids: DataFrame, rows: DataFrame, s: Settings)
     return cut(sets.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("items").alias("items")))
 
 
-def _enough(inter: Column, s: Settings) -> Column:
-    return (s.den + s.num) * inter >= s.num * (F.col("a_n") + F.col("b_n"))
-
-
 def _marks_allow(s: Settings) -> Column:
     """Whether sets whose marks differ as these do can be similar: they differ in as many shingles at least."""
     both = F.col("a_n") + F.col("b_n")
@@ -328,38 +267,26 @@ def _marks_allow(s: Settings) -> Column:
 
 
 def _likely(met: DataFrame, s: Settings) -> DataFrame:
-    """Pairs ``a, b, a_n, b_n, pivot`` whose shared entries allow a link; ``met``: a row per pair and token."""
-    return (
-        met.filter(s.den * F.least("a_n", "b_n") >= s.num * F.greatest("a_n", "b_n"))
-        .filter(_marks_allow(s))
-        # at a shared token: those up to it, and those behind it
-        .filter(_enough(F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")), s))
-        .groupBy("a", "b", "a_n", "b_n", F.least("a_shared", "b_shared").alias("ask"))
-        .agg(
-            F.count(F.lit(1)).alias("k"), F.max("a_pos").alias("a_last"), F.max("b_pos").alias("b_last"),
-            F.min("pivot").alias("pivot"),
-        )
-        .filter(F.col("k") >= F.col("ask"))
-        .filter(_enough(F.col("k") + F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")), s))
-        .select("a", "b", "a_n", "b_n", "pivot")
-    )
+    """Pairs ``a, b, pivot`` whose sizes and marks allow a link."""
+    met = met.filter(s.den * F.least("a_n", "b_n") >= s.num * F.greatest("a_n", "b_n"))
+    return met.filter(_marks_allow(s)).select("a", "b", "pivot")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     x, y = sets.toDF("a", "a_items"), sets.toDF("b", "b_items")
     inter = F.size(F.array_intersect("a_items", "b_items"))
-    return cut(pairs.join(x, "a").join(y, "b").filter(_enough(inter, s)).select("a", "b", "pivot"))
-
-
-def _side(entries: DataFrame, name: str, s: Settings) -> DataFrame:
-    return entries.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("cid", "n", "shared", "pos", "component", *s.marks)))
+    similar = (s.den + s.num) * inter >= s.num * (F.size("a_items") + F.size("b_items"))
+    return cut(pairs.join(x, "a").join(y, "b").filter(similar).select("a", "b", "pivot"))
 
 
 def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
     """Rows ``doc_id, text_hash, cid, n``, and ``cid, component`` of classes with links to others."""
-    hashed = _hash_sets(docs, s)
-    rows = hashed.filter("n is not null").select("doc_id", "text_hash", "cid", "n")
-    index = _index(docs, _rarity(hashed, s), s)
+    rows = _hash_sets(docs, s)
+    index = _index(docs, s)
+    # sizes and marks of the classes that share a part
+    known = rows.select("cid", "n", *s.marks).join(index.select("cid").distinct(), "cid", "left_semi")
+    known = cut(known.dropDuplicates(["cid"]))
+    sides = [known.toDF(side, *(f"{side}_{c}" for c in known.columns[1:])) for side in ("a", "b")]
     links = tried = label = sets = None
     for k in range(s.star_rounds + 1):
         if label is None:
@@ -380,23 +307,19 @@ def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame
                 break
             member = cut(named.join(split.select("token"), "token"))
             done = left <= 2 * entries_left or k == s.star_rounds
+        x = member.select("token", F.col("cid").alias("x"), F.col("component").alias("x_component"))
         if done:
-            met = _side(member, "a", s).join(_side(member, "b", s), "token").filter("a_cid < b_cid and a_component <> b_component")
-            met = met.withColumn("pivot", F.col("a_cid"))
+            y = member.select("token", F.col("cid").alias("pivot"), F.col("component").alias("y_component"))
+            met = x.join(y, "token").filter("pivot < x and x_component <> y_component")
         else:
             # the first rounds take the most central member, later ones any other
-            weight = F.col("central").cast("double") if k < 2 else F.xxhash64("cid", F.lit(k)).cast("double")
+            weight = F.col("central") if k < 2 else F.xxhash64("cid", F.lit(k))
             pick = F.struct(weight.alias("weight"), F.col("component" if k % 2 else "cid").alias("tie"), "cid")
-            pivot = member.groupBy("token").agg(
-                F.max_by(F.struct("cid", "n", "shared", "pos", "component", *s.marks), pick).alias("p")
-            ).select("token", "p.*")
-            met = _side(member, "a", s).join(_side(pivot, "b", s), "token").filter("a_component <> b_component")
-            swap = F.col("a_cid") > F.col("b_cid")
-            met = met.select(F.col("b_cid").alias("pivot"), *(
-                F.when(swap, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}")
-                for x, y in (("a", "b"), ("b", "a")) for c in ("cid", "n", "shared", "pos", *s.marks)
-            ))
-        likely = _likely(met.withColumnsRenamed({"a_cid": "a", "b_cid": "b"}), s)
+            y = member.groupBy("token").agg(F.max_by(F.struct("cid", "component"), pick).alias("p"))
+            y = y.select("token", F.col("p.cid").alias("pivot"), F.col("p.component").alias("y_component"))
+            met = x.join(y, "token").filter("x_component <> y_component")
+        met = met.groupBy(F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b")).agg(F.min("pivot").alias("pivot"))
+        likely = _likely(met.join(sides[0], "a").join(sides[1], "b"), s)
         likely = cut(likely if tried is None else likely.join(tried, ["a", "b"], "left_anti"))
         needed = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         if sets is not None:

@@ -443,3 +443,32 @@ def test_pairs_are_ruled_out_by_marks_where_they_meet(spark):
     rows = [[1, 2, 100, 100, 1, 1, 1, 1, 1, *zero, *zero], [1, 3, 100, 100, 1, 1, 1, 1, 1, *zero, *far]]
     met = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
     assert [(r["a"], r["b"]) for r in jaccard._likely(met, s).collect()] == [(1, 2)]
+
+
+def test_similar_sets_share_a_part():
+    rng = np.random.default_rng(6)
+    for num in (60, 80, 90):
+        s = jaccard.Settings(num=num)
+        for n in (2, 9, 10, 37, 250, 3_000):
+            most = n * (100 - num) // num  # more than a similar larger set may have on top
+            for extra in {0, most // 2, most}:
+                a = rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+                b = np.r_[a, rng.integers(0, 2**64, extra, np.uint64, endpoint=False)]
+                found = [
+                    {int(p) for low, h in jaccard.ranges(len(x), s) if h for p in jaccard.parts(np.sort(x), low, h)} for x in (a, b)
+                ]
+                assert extra == 0 or found[0] & found[1]
+
+
+def test_common_shingles_alone_make_no_index_entries(spark):
+    """Texts that share a passage and word pairs met among themselves by every common shingle."""
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, passage + " " + " ".join(f"w{k}" for k in rng.integers(0, 6, 120))) for i in range(300)]
+    rows += [(1000, rows[0][1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = jaccard._index(df, jaccard.Settings()).groupBy("token").count().toPandas()["count"]
+    # some 4,000 parts in all; every text has the passage and half of the word triples
+    assert 5 <= len(held) < 200 and held.max() < 15, (len(held), held.max())
+    got = {r.doc_id: r.component_id for r in jaccard.join(df).collect()}
+    assert got[1000] == 0 and len(set(got.values())) == 300
