@@ -13,11 +13,12 @@ A set also has a mark of ``mark_bits`` bits, each the parity of the shingles tha
 two marks differ in no more bits than the sets in shingles, which rules out pairs that met by
 chance before their sets move. Pairs left are verified on whole sets.
 
-Groups of near copies would propose all their pairs. So the members of an index
-entry are first compared with one pivot, the member with the most shared entries;
-links found so join components, and only members of different components
-are compared further. When the pairs left over are in proportion to the index,
-all of them are compared, so no link between components is lost.
+Groups of near copies would propose all their pairs. So no pair becomes a row: tasks follow
+the marks inside an index entry and name one way from each member to the others, and what hangs
+together makes a cluster. The whole sets of a cluster travel once to one task, which compares
+members that no link connects yet, the most central ones first. A cluster of more than ``block``
+shingles is cut into blocks: each is compared in itself and with the first, then the blocks are made
+anew, component by component, and those that hold different components are compared.
 
 Texts that are null or hold no word have an empty set and no links. Repeated rows
 are copies of one another. An id that is null has no component. Extra columns are
@@ -43,7 +44,8 @@ from marginalia.llm.components import components
 class Settings:
     """Link where ``den * intersection >= num * union`` over ``words``-word shingles.
 
-    ``widest``: ratio of the largest to the smallest size in a range.
+    ``widest``: ratio of the largest to the smallest size in a range. ``block``: shingles of a
+    cluster held together by a task, which compares two such blocks at most.
     """
 
     words: int = 3
@@ -51,8 +53,8 @@ class Settings:
     den: int = 100
     widest: float = 1.25
     filter_bits: int = 24
-    star_rounds: int = 3
     mark_bits: int = 256
+    block: int = 500_000
 
     @property
     def marks(self) -> list[str]:
@@ -173,7 +175,7 @@ def _hash_sets(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _index(docs: DataFrame, s: Settings) -> DataFrame:
-    """Entries ``token, cid, central``: parts that several classes have, and how many of its parts a class shares."""
+    """Entries ``token, cid``: parts that several classes have."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, known = WordHashes(), set(), {}
@@ -212,9 +214,7 @@ def _index(docs: DataFrame, s: Settings) -> DataFrame:
     same = Window.partitionBy("token")
     # copies of a class in other tasks do not make a token a shared one
     entries = entries.withColumn("least", F.min("cid").over(same)).withColumn("most", F.max("cid").over(same))
-    entries = cut(entries.filter("least < most").select("token", "cid").dropDuplicates(["token", "cid"]))
-    central = entries.groupBy("cid").agg(F.count(F.lit(1)).alias("central"))
-    return cut(entries.join(central, "cid"))
+    return cut(entries.filter("least < most").select("token", "cid").dropDuplicates(["token", "cid"]))
 
 
 def _needed_sets(docs: DataFrame, cids: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -267,16 +267,141 @@ def _marks_allow(s: Settings) -> Column:
 
 
 def _likely(met: DataFrame, s: Settings) -> DataFrame:
-    """Pairs ``a, b, pivot`` whose sizes and marks allow a link."""
+    """Pairs ``a, b`` whose sizes and marks allow a link."""
     met = met.filter(s.den * F.least("a_n", "b_n") >= s.num * F.greatest("a_n", "b_n"))
-    return met.filter(_marks_allow(s)).select("a", "b", "pivot")
+    return met.filter(_marks_allow(s)).select("a", "b")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys`` as tables that hold whole groups, with the places where these begin."""
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        return np.r_[0, np.flatnonzero(new) + 1]
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = begins(pa.Table.from_batches([*([held[-1].slice(held[-1].num_rows - 1)] if held else []), b]))
+        last = int(at[-1]) - bool(held)  # in ``b``; 0 or less where no group or only the last one ends ahead of it
+        if at[-1]:
+            whole = pa.Table.from_batches([*held, b.slice(0, last)])
+            yield whole, begins(whole)
+            held = []
+        held.append(b.slice(max(last, 0)))
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield whole, begins(whole)
+
+
+def _followed(entries: DataFrame, s: Settings) -> DataFrame:
+    """Pairs ``a, b`` that connect what marks and sizes allow to be connected inside each token of ``entries``."""
+
+    def allowed(n: np.ndarray, m: np.ndarray, p, q) -> np.ndarray:
+        both = n[p] + n[q]
+        apart = np.bitwise_count(m[p] ^ m[q]).sum(axis=-1, dtype=np.int64)
+        near = s.den * np.minimum(n[p], n[q]) >= s.num * np.maximum(n[p], n[q])
+        return near & ((s.den + s.num) * (both - apart) >= 2 * s.num * both)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["token"]):
+            cid, n = t.column("cid").to_numpy(), t.column("n").to_numpy()
+            m = np.stack([t.column(c).to_numpy() for c in s.marks], axis=1).view(np.uint64)
+            sizes = np.diff(np.r_[at, len(cid)])
+            first = np.repeat(at, sizes)
+            near = allowed(n, m, first, np.arange(len(cid)))
+            done = np.repeat(np.logical_and.reduceat(near, at), sizes)
+            a, b = [cid[first[done]]], [cid[done]]
+            for i, k in zip(at, sizes):
+                if done[i]:
+                    continue
+                left = np.arange(i, i + k)
+                while len(left):
+                    ahead, left = [left[0]], left[1:]
+                    while ahead and len(left):
+                        p = ahead.pop()
+                        hit = allowed(n, m, p, left)
+                        ahead.extend(left[hit])
+                        a.append(np.full(hit.sum(), cid[p]))
+                        b.append(cid[left[hit]])
+                        left = left[~hit]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return arrow_map(entries.repartition("token").sortWithinPartitions("token"), work, "a long, b long")
+
+
+def _clusters(index: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """``cid, cluster`` of the classes that marks, sizes and common parts connect to others."""
+    tokens = cut(index.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("a"), F.max("cid").alias("b")))
+    sides = [known.toDF(side, *(f"{side}_{c}" for c in known.columns[1:])) for side in ("a", "b")]
+    # most parts have two classes, which share others too
+    pairs = _likely(tokens.filter("k = 2").select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b"), s)
+    many = index.join(tokens.filter("k > 2").select("token"), "token", "left_semi").join(known, "cid")
+    return components(pairs.unionByName(_followed(many, s))).toDF("cid", "cluster")
+
+
+def links_among(cid: np.ndarray, items: np.ndarray, n: np.ndarray, side: np.ndarray, label: np.ndarray, s: Settings) -> list[tuple[int, int]]:
+    """Links that connect similar sets: ``n`` distinct ``items`` each, one set after the other.
+
+    Sets of one label are connected already. Where there are two sides only sets of different sides are compared.
+    """
+    at = np.r_[0, np.cumsum(n)]
+    values, ids = np.unique(items, return_inverse=True)
+    central = np.add.reduceat(np.bincount(ids)[ids], at[:-1]) / n
+    holds, open_ = np.zeros(len(values), bool), np.ones(len(n), bool)
+    across, label, found = side.min() != side.max(), label.copy(), []
+    for p in np.argsort(-central, kind="stable"):
+        open_[p] = False
+        rest = open_ & (label != label[p]) & (s.den * np.minimum(n, n[p]) >= s.num * np.maximum(n, n[p]))
+        if across:
+            rest &= side != side[p]
+        rest = np.flatnonzero(rest)
+        if not len(rest):
+            continue
+        ends = np.cumsum(n[rest])
+        their = ids[np.arange(ends[-1]) + np.repeat(at[rest] - ends + n[rest], n[rest])]
+        mine = ids[at[p] : at[p + 1]]
+        holds[mine] = True
+        inter = np.add.reduceat(holds[their], ends - n[rest], dtype=np.int64)
+        holds[mine] = False
+        hit = rest[(s.den + s.num) * inter >= s.num * (n[p] + n[rest])]
+        if len(hit):
+            found += [(int(cid[p]), int(cid[q])) for q in hit]
+            label[np.isin(label, label[hit])] = label[p]
+    return found
+
+
+GROUP = ["cluster", "i", "j"]
+
+
+def _compared(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links ``a, b`` among the ``members`` (cid, cluster, i, j, side, label) of each group."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, GROUP):
+            cid, side, label = (t.column(c).to_numpy() for c in ("cid", "side", "label"))
+            found = []
+            for i, j in zip(at, [*at[1:], t.num_rows]):
+                some = t.column("items").slice(i, j - i).combine_chunks()
+                n = some.value_lengths().to_numpy().astype(np.int64)
+                found += links_among(cid[i:j], some.flatten().to_numpy(), n, side[i:j], label[i:j], s)
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    x, y = sets.toDF("a", "a_items"), sets.toDF("b", "b_items")
-    inter = F.size(F.array_intersect("a_items", "b_items"))
-    similar = (s.den + s.num) * inter >= s.num * (F.size("a_items") + F.size("b_items"))
-    return cut(pairs.join(x, "a").join(y, "b").filter(similar).select("a", "b", "pivot"))
+    dealt = members.join(sets, "cid").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return cut(arrow_map(dealt.select("cid", *GROUP, "side", "label", "items"), work, "a long, b long"))
+
+
+def _blocks(members: DataFrame, s: Settings, *order: Column | str) -> DataFrame:
+    """``members`` with their block and the last one of their cluster, in this order."""
+    before = Window.partitionBy("cluster").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / s.block).cast("int")
+    placed = members.withColumn("block", block)
+    return cut(placed.withColumn("top", F.max("block").over(Window.partitionBy("cluster"))))
 
 
 def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
@@ -286,65 +411,35 @@ def class_components(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame
     # sizes and marks of the classes that share a part
     known = rows.select("cid", "n", *s.marks).join(index.select("cid").distinct(), "cid", "left_semi")
     known = cut(known.dropDuplicates(["cid"]))
-    sides = [known.toDF(side, *(f"{side}_{c}" for c in known.columns[1:])) for side in ("a", "b")]
-    links = tried = label = sets = None
-    for k in range(s.star_rounds + 1):
-        if label is None:
-            member = index.withColumn("component", F.col("cid"))
-            done = False
-        else:
-            named = index.join(label.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-            named = cut(named)
-            split = (
-                named.groupBy("token", "component")
-                .agg(F.count(F.lit(1)).alias("k"))
-                .groupBy("token")
-                .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("parts"))
-                .filter("parts > 1")
-            )
-            left, entries_left = split.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.sum("k")).first()
-            if not left:
-                break
-            member = cut(named.join(split.select("token"), "token"))
-            done = left <= 2 * entries_left or k == s.star_rounds
-        x = member.select("token", F.col("cid").alias("x"), F.col("component").alias("x_component"))
-        if done:
-            y = member.select("token", F.col("cid").alias("pivot"), F.col("component").alias("y_component"))
-            met = x.join(y, "token").filter("pivot < x and x_component <> y_component")
-        else:
-            # the first rounds take the most central member, later ones any other
-            weight = F.col("central") if k < 2 else F.xxhash64("cid", F.lit(k))
-            pick = F.struct(weight.alias("weight"), F.col("component" if k % 2 else "cid").alias("tie"), "cid")
-            y = member.groupBy("token").agg(F.max_by(F.struct("cid", "component"), pick).alias("p"))
-            y = y.select("token", F.col("p.cid").alias("pivot"), F.col("p.component").alias("y_component"))
-            met = x.join(y, "token").filter("x_component <> y_component")
-        met = met.groupBy(F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b")).agg(F.min("pivot").alias("pivot"))
-        likely = _likely(met.join(sides[0], "a").join(sides[1], "b"), s)
-        likely = cut(likely if tried is None else likely.join(tried, ["a", "b"], "left_anti"))
-        needed = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        if sets is not None:
-            needed = needed.join(sets.select("cid"), "cid", "left_anti")
-        needed = cut(needed)
-        if not needed.isEmpty():
-            more = _needed_sets(docs, needed, rows, s)
-            sets = more if sets is None else sets.unionByName(more)
-        if not likely.isEmpty():
-            found = _linked(likely, sets, s)
-            links = found if links is None else links.unionByName(found)
-            tried = likely.select("a", "b") if tried is None else tried.unionByName(likely.select("a", "b"))
-            if done:
-                break
-            # between rounds labels need not be final: nodes of one label are connected
-            if label is None:
-                other = F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a"))
-                label = cut(found.groupBy(other.alias("node")).agg(F.min("pivot").alias("component")))
-            else:
-                label = cut(components(links, rounds=2))
-        elif label is None:
-            label = index.select("cid", F.col("cid").alias("component")).limit(0)
-        if done:
-            break
-    return rows, None if links is None else components(links)
+    clusters = cut(_clusters(index, known, s))
+    if clusters.isEmpty():
+        return rows, None
+    sets = _needed_sets(docs, clusters.select("cid"), rows, s)
+    members = _blocks(clusters.join(known.select("cid", "n"), "cid"), s, "cid")
+
+    def group(i: Column, j: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("block") != i).cast("int").alias("side"))
+
+    own, zero = F.col("block"), F.lit(0)
+    groups = F.when(own == 0, F.transform(F.sequence(zero, F.col("top")), lambda j: group(zero, j)))
+    groups = groups.otherwise(F.array(group(zero, own), group(own, own)))
+    first = members.select("cid", "cluster", F.explode(groups).alias("g"), F.col("cid").alias("label"))
+    links = _compared(first.select("cid", "cluster", "g.*", "label"), sets, s)
+    if not members.filter("top > 0").isEmpty():
+        named = components(links).toDF("cid", "label")
+        large = members.filter("top > 0").join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        many = F.count(F.lit(1)).over(Window.partitionBy("cluster", "label"))
+        large = _blocks(large.drop("block", "top").withColumn("many", many), s, F.desc("many"), "label", "cid")
+        held = cut(large.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+        x, y = held.toDF("cluster", "i", "lo", "hi"), held.toDF("cluster", "j", "y_lo", "y_hi")
+        apart = "i <= j and not (lo = hi and y_lo = y_hi and lo = y_lo)"
+        pairs = x.join(y, "cluster").filter(apart).select(*GROUP)
+        sided = large.join(pairs, "cluster").filter("block = i or block = j")
+        sided = sided.select("cid", *GROUP, (own != F.col("i")).cast("int").alias("side"), "label")
+        links = links.unionByName(_compared(sided, sets, s))
+    if links.isEmpty():
+        return rows, None
+    return rows, components(links)
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -472,3 +472,37 @@ def test_common_shingles_alone_make_no_index_entries(spark):
     assert 5 <= len(held) < 200 and held.max() < 15, (len(held), held.max())
     got = {r.doc_id: r.component_id for r in jaccard.join(df).collect()}
     assert got[1000] == 0 and len(set(got.values())) == 300
+
+
+def test_blocks_of_a_large_cluster_give_the_same_components(spark):
+    """Every set is compared with all others of its cluster, however many blocks that has."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in rng.integers(0, 10**6, 150)], []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.integers(0, len(base), rng.integers(0, 14)):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, jaccard.Settings(words=3, num=80, block=2_000)).collect()}
+    assert [got[i] for i, _ in rows] == brute_components(rows, 3, 80, 100)
+    assert 5 < len(set(got.values())) < 115
+
+
+def test_unlike_texts_that_share_parts_make_no_rows_of_pairs(spark, monkeypatch):
+    """Long texts with a half in common meet in many parts, and their marks rule out none of their pairs."""
+    rng = np.random.default_rng(9)
+    written, cut = [], jaccard.cut
+
+    def counted(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    half = " ".join(f"p{i}" for i in range(1_000))
+    rows = [(i, half + " " + " ".join(f"w{k}" for k in rng.integers(0, 10**6, 700))) for i in range(100)]
+    df = spark.createDataFrame([*rows, (100, rows[7][1] + " end")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, jaccard.Settings(words=5, num=80)).collect()}
+    assert got[100] == 7 and len(set(got.values())) == 100
+    pairs = [t.count() for t in written if t.columns[:2] == ["a", "b"]]
+    assert max(pairs) < 300, pairs
