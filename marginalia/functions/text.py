@@ -5,7 +5,8 @@ Offsets are half-open code-point positions, 0-based, as in the data model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -178,6 +179,40 @@ def with_token_indexes(
     return out.filter(is_span).select("doc_id", *others, *wanted)
 
 
+def word_points(spark: SparkSession):
+    """Broadcast of which code points :data:`WORD` takes, as Spark's own pattern sees them; asked once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marginalia_words", None) is None:
+        points = spark.range(0x110000).filter("id < 55296 or id > 57343")
+        char = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+        table = np.zeros(0x110000, bool)
+        table[points.filter(char.rlike(f"^{WORD}$")).toArrow().column("id").to_numpy()] = True
+        sc._marginalia_words = sc.broadcast(table)
+    return sc._marginalia_words
+
+
+class Texts:
+    """Several texts, one after the other, ready to give token indexes of positions."""
+
+    def __init__(self, texts: list[str], words: np.ndarray):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = words[points]
+        # whether a word runs on over the place ahead of a character
+        self.over = np.zeros(len(points) + 1, bool)
+        self.over[1:-1] = inside[1:] & inside[:-1]
+        self.over[self.starts] = self.over[self.ends] = False
+        self.before = np.r_[0, np.cumsum(inside & ~self.over[:-1])]
+
+    def tokens(self, text: np.ndarray, at: np.ndarray, side: str) -> np.ndarray:
+        """Index of the first token not wholly before ``at`` (``lo``), or one past the last that starts before (``hi``)."""
+        place = np.clip(self.starts[text] + at, self.starts[text], self.ends[text])
+        index = self.before[place] - self.before[self.starts[text]]
+        return index - self.over[place] if side == "lo" else index
+
+
 def token_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per word token: (doc_id, token, start_off, end_off).
 

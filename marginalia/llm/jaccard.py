@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.groups import spread, whole_groups
 from marginalia.llm.common import arrow_map, cut, mix, texts
 from marginalia.llm.components import components
 
@@ -272,32 +273,6 @@ def _likely(met: DataFrame, s: Settings) -> DataFrame:
     return met.filter(_marks_allow(s)).select("a", "b")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by ``keys`` as tables that hold whole groups, with the places where these begin."""
-
-    def begins(t: pa.Table) -> np.ndarray:
-        new = np.zeros(max(0, t.num_rows - 1), bool)
-        for k in keys:
-            x = t.column(k).to_numpy()
-            new |= x[1:] != x[:-1]
-        return np.r_[0, np.flatnonzero(new) + 1]
-
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        at = begins(pa.Table.from_batches([*([held[-1].slice(held[-1].num_rows - 1)] if held else []), b]))
-        last = int(at[-1]) - bool(held)  # in ``b``; 0 or less where no group or only the last one ends ahead of it
-        if at[-1]:
-            whole = pa.Table.from_batches([*held, b.slice(0, last)])
-            yield whole, begins(whole)
-            held = []
-        held.append(b.slice(max(last, 0)))
-    if held:
-        whole = pa.Table.from_batches(held)
-        yield whole, begins(whole)
-
-
 def _followed(entries: DataFrame, s: Settings) -> DataFrame:
     """Pairs ``a, b`` that connect what marks and sizes allow to be connected inside each token of ``entries``."""
 
@@ -362,11 +337,10 @@ def links_among(cid: np.ndarray, items: np.ndarray, n: np.ndarray, side: np.ndar
         rest = np.flatnonzero(rest)
         if not len(rest):
             continue
-        ends = np.cumsum(n[rest])
-        their = ids[np.arange(ends[-1]) + np.repeat(at[rest] - ends + n[rest], n[rest])]
+        their = ids[spread(at[rest], n[rest])]
         mine = ids[at[p] : at[p + 1]]
         holds[mine] = True
-        inter = np.add.reduceat(holds[their], ends - n[rest], dtype=np.int64)
+        inter = np.add.reduceat(holds[their], np.cumsum(n[rest]) - n[rest], dtype=np.int64)
         holds[mine] = False
         hit = rest[(s.den + s.num) * inter >= s.num * (n[p] + n[rest])]
         if len(hit):

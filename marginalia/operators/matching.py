@@ -11,37 +11,42 @@ Output of :func:`match`
 How it stays exact without pairing everything with everything:
 
 1. Spans with the same key (offsets for the exact criteria, token range for the
-   overlap criteria, plus the type where typed) are paired k-th with k-th by an
-   equi-join. Under the overlap criteria these are the pairs of ratio 1, which
+   overlap criteria, plus the type where typed) are paired k-th with k-th. Under the overlap criteria these are the pairs of ratio 1, which
    the greedy order takes first.
 2. What is left meets on shared cells of a token grid, so only neighbours are
    compared, and only pairs at or over the threshold go on.
 3. The greedy one-to-one choice folds over the sorted candidates of a document.
 
-Spans and text travel once, dealt by document; all three steps sort and group them where
-they are. Documents with too many spans for one group take another way: their spans are
-written after step 1 and dealt by cell, and where too many are left over, rounds of mutually
-best choices over distinct ranges give the same pairs.
+Spans and text travel once, dealt and sorted by document; a task takes some thousand rows of whole
+documents at a time and makes the three steps in arrays. Documents with too many spans for one
+group take another way: their spans are written after step 1 and dealt by cell, and where too many are
+left over, rounds of mutually best choices over distinct ranges give the same pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
+from marginalia.functions.groups import ranks, spread, whole_groups
 from marginalia.schemas import STANDARD_CRITERIA, Criterion
-from marginalia.session import cut, scratch_path
+from marginalia.session import cut, dealt, scratch_path, ship
 
 # Tokens per grid cell.
 CELL = 16
 # Largest (gold leftovers x prediction leftovers) of a document folded in one group.
 FOLD_LIMIT = 4_000_000
+# Rows a task takes at a time, as far as documents end there, and pairs it looks at together.
+PIECE, PAIRS = 50_000, 1_000_000
 
 UNIT = ["criterion", "system_id", "doc_id"]
 # (output name, span column) of the fields carried for each side
@@ -218,21 +223,6 @@ def _taken(items: Column) -> Column:
     )
 
 
-def _taken_by_place(places: Column) -> Column:
-    """The greedy choice of a document, made in each place of its text on its own.
-
-    A span has one place, unless its index was given to several spans: then all candidates are chosen among at once.
-    """
-
-    def once(name: str) -> Column:
-        each = F.transform(places, lambda p: F.array_distinct(p["items"][name]))
-        return F.size(F.flatten(each)) == F.size(F.array_distinct(F.flatten(each)))
-
-    apart = F.flatten(F.transform(places, lambda p: _taken(p["items"])))
-    together = _taken(F.array_sort(F.flatten(places["items"])))
-    return F.when(once("g_idx") & once("p_idx"), apart).otherwise(together)
-
-
 def _shown(grouped: DataFrame, items: Column) -> DataFrame:
     return (
         grouped.select(*UNIT, F.explode(items).alias("x"))
@@ -249,73 +239,196 @@ def _fold(cands: DataFrame) -> DataFrame:
     return _shown(grouped, _taken(F.col("items")))
 
 
-def _at_once(first: DataFrame, criteria: Sequence[Criterion]) -> DataFrame:
-    """Pairs of step 1 and the greedy choice of steps 2 and 3 where no document is crowded.
+def _ranged(t: pa.Table, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``doc, row, lo, hi, lo_known, hi_known`` of the spans of a piece; an end is known where its position and the text are there.
 
-    Works on rows dealt by document and moves none of them: in a grid cell gold leftovers come
-    first and every prediction sees those before it. Finished pairs pass through.
+    As in :func:`tx.with_token_indexes` a span counts once for each length a repeated document has,
+    and each end once for each of its texts that reaches there.
     """
-    pair, gold, pred = 0, 1, 2
-    has_g, has_p = F.col("g_idx").isNotNull(), F.col("p_idx").isNotNull()
-
-    def open_(name: str) -> Column:
-        return ~F.col("exact") & F.col(f"{name}_idx").isNotNull() & (F.col(f"{name}_hi") > F.col(f"{name}_lo"))
-
-    def cells(name: str) -> Column:
-        return F.sequence(F.floor(F.col(f"{name}_lo") / CELL), F.floor((F.col(f"{name}_hi") - 1) / CELL))
-
-    kind = F.col("kind")
-    rows = (
-        first.withColumn("kind", F.when(has_g & has_p, pair).when(open_("g"), gold).when(open_("p"), pred))
-        .filter(kind.isNotNull())
-        .withColumn("cell", F.explode_outer(F.when(kind == gold, cells("g")).when(kind == pred, cells("p"))))
-    )
-    rows = rows.withColumn("__key", F.xxhash64(*UNIT, "tkey", "cell"))
-    before = W.partitionBy("__key", *UNIT, "tkey", "cell").orderBy("kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    g_side = F.struct(*[f"g_{new}" for new, _ in SIDE_FIELDS])
-    rows = rows.withColumn("golds", F.collect_list(F.when(kind == gold, g_side)).over(before)).filter(kind != gold)
-    limits = F.array(*[F.lit(float(c.threshold)) for c in criteria])
-
-    def candidate(g: Column) -> Column:
-        ratio = tx.overlap_ratio(g["g_lo"], g["g_hi"], F.col("p_lo"), F.col("p_hi"))
-        g_fields = {name: g[name] for name in ("g_idx", "g_id", "g_type")}
-        return F.struct(
-            (-ratio).alias("order"),
-            *[g_fields.get(name, F.col(name)).alias(name) for name in ITEM],
-            g["g_lo"].alias("lo"),
-            g["g_hi"].alias("hi"),
-        )
-
-    def near(x: Column) -> Column:
-        enough = -x["order"] >= F.element_at(limits, F.col("criterion") + 1)
-        return enough & (F.floor(F.greatest(x["lo"], F.col("p_lo")) / CELL) == F.col("cell"))
-
-    done = F.struct(F.lit(-1.0).alias("order"), *ITEM, F.col("g_lo").alias("lo"), F.col("g_hi").alias("hi"))
-    found = F.when(kind == pair, F.array(done)).otherwise(F.filter(F.transform("golds", candidate), near))
-    # candidates that share a span overlap: those before and behind a gap do not bear on one another
-    item = F.struct("x.order", *[f"x.{name}" for name in ITEM])
-    along = W.partitionBy(*UNIT).orderBy("kind", "lo")
-    earlier = F.max(F.when(kind == pred, F.col("hi"))).over(along.rowsBetween(W.unboundedPreceding, -1))
-    gap = (kind == pred) & F.coalesce(F.col("lo") >= F.col("earlier"), F.lit(True))
-    places = (
-        rows.select(*UNIT, "kind", "p_lo", "p_hi", F.explode(found).alias("x"))
-        .select(
-            *UNIT, "kind", item.alias("item"),
-            F.least("x.lo", "p_lo").alias("lo"), F.greatest("x.hi", "p_hi").alias("hi"),
-        )
-        .withColumn("earlier", earlier)
-        .withColumn("place", F.sum(gap.cast("int")).over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    )
-    grouped = (
-        places.groupBy(*UNIT, "kind", "place")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-        .groupBy(*UNIT)
-        .agg(
-            F.flatten(F.collect_list(F.when(kind == pair, F.col("items")))).alias("done"),
-            F.collect_list(F.when(kind == pred, F.struct("items"))).alias("places"),
-        )
+    is_text = pc.equal(t.column("side"), "t").to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(at)), np.diff(np.r_[at, t.num_rows]))
+    there = np.flatnonzero(is_text)
+    body = t.column("text").take(pa.array(there)).to_pylist()
+    texts = tx.Texts([b or "" for b in body], words)
+    size = texts.ends - texts.starts
+    valid = np.array([b is not None for b in body], bool)
+    n = np.bincount(doc[there], minlength=len(at))
+    first = np.zeros(len(at), np.int64)
+    first[doc[there][::-1]] = np.arange(len(there))[::-1]
+
+    def of(name: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = t.column(name).take(pa.array(rows))
+        return pc.fill_null(c, 0).to_numpy(), c.is_valid().to_numpy()
+
+    # a document has its texts one after the other among the texts of the piece
+    spans = np.flatnonzero(~is_text)
+    row = np.repeat(spans, n[doc[spans]])
+    text = spread(first[doc[spans]], n[doc[spans]])
+    ends = []
+    for name, side in (("start_off", "lo"), ("end_off", "hi")):
+        position, ok = of(name, row)
+        place = np.maximum(np.where(valid[text], np.minimum(position, size[text]), position), 0)
+        ends.append((place, ok, side))
+    odd = (n[doc[row]] > 1) | ~valid[text]
+    plain = np.flatnonzero(~odd)
+    (x, x_ok, x_side), (y, y_ok, y_side) = ends
+    lo, hi = texts.tokens(text[plain], x[plain], x_side), texts.tokens(text[plain], y[plain], y_side)
+    out = [doc[row[plain]], row[plain], lo, hi, x_ok[plain], y_ok[plain]]
+    if len(plain) < len(row):
+        picked = []
+        for k in np.flatnonzero(odd):
+            d, found = doc[row[k]], []
+            for place, ok, side in ends:
+                hits = [
+                    u for u in range(first[d], first[d] + n[d])
+                    if ok[k] and valid[u] and place[k] // tx.BLOCK <= -(-size[u] // tx.BLOCK)
+                ]
+                found.append([(int(texts.tokens(np.array([u]), place[k : k + 1], side)[0]), True) for u in hits] or [(0, False)])
+            picked += [(d, row[k], lo, hi, p, q) for lo, p in found[0] for hi, q in found[1]]
+        out = [np.r_[o, z] for o, z in zip(out, np.array(picked, np.int64).T)]
+    return *out[:4], out[4].astype(bool), out[5].astype(bool)
+
+
+def _matched(t: pa.Table, at: np.ndarray, words: np.ndarray, systems: list[int], system: np.ndarray, criteria) -> tuple[np.ndarray, ...]:
+    """``criterion, g_row, p_row, ratio`` of the pairs of a piece.
+
+    ``system`` numbers the systems of the rows, -1 where nobody asked for one; ``systems`` are those asked for.
+    """
+    doc, row, lo, hi, lo_known, hi_known = _ranged(t, at, words)
+    gold = pc.equal(t.column("side"), "g").to_numpy(zero_copy_only=False)[row]
+    mine, theirs = np.flatnonzero(gold), np.flatnonzero(~gold & (system[row] >= 0))
+    # all from here on by span and system
+    span = np.r_[np.repeat(mine, len(systems)), theirs]
+    unit = doc[span] * (max(systems, default=0) + 1) + np.r_[np.tile(np.array(systems, np.int64), len(mine)), system[row[theirs]]]
+    side, row, lo, hi = (~gold[span]).astype(np.int64), row[span], lo[span], hi[span]
+    lo_known, hi_known = lo_known[span], hi_known[span]
+    known = lo_known & hi_known
+    ctype = pc.fill_null(t.column("ctype"), "").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)[row]
+    idx = t.column("idx")
+    order, named = ranks(idx)[row], idx.is_valid().to_numpy()[row]
+    start, end = (ranks(t.column(c))[row] for c in ("start_off", "end_off"))
+    empty, some = known & (hi <= lo), known & (hi > lo)
+    ties = None
+    out = []
+    for code, c in enumerate(criteria):
+        exact = c.span == "exact"
+        tkey = ctype if c.typed else np.zeros(len(row), np.int64)
+        # ranges covering no token all agree with one another, and so do unknown ends
+        k1 = start if exact else np.where(empty, -1, np.where(lo_known, lo, -2))
+        k2 = end if exact else np.where(empty, -1, np.where(hi_known, hi, -2))
+        # step 1
+        by = np.lexsort((order, side, k2, k1, tkey, unit))
+        u, ty, a, b = unit[by], tkey[by], k1[by], k2[by]
+        new = np.flatnonzero((u[1:] != u[:-1]) | (ty[1:] != ty[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        if not len(by):
+            continue
+        begin = np.r_[0, new]
+        size = np.diff(np.r_[begin, len(by)])
+        preds = np.add.reduceat(side[by], begin)
+        golds = size - preds
+        both = np.minimum(golds, preds)
+        g, p = by[spread(begin, both)], by[spread(begin + golds, both)]
+        sound = named[g] & named[p]
+        out.append((code, row[g[sound]], row[p[sound]], np.ones(sound.sum())))
+        if exact:
+            continue
+        # step 2
+        open_ = named & some
+        left = np.ones(len(row), bool)
+        left[g], left[p] = False, False
+        broken = ~sound  # one of the two has no index and is no leftover; the other one is
+        left[g[broken & open_[g]]] = True
+        left[p[broken & ~open_[g]]] = True
+        left &= open_
+        g, p = np.flatnonzero(left & (side == 0)), np.flatnonzero(left & (side == 1))
+        if not len(g) or not len(p):
+            continue
+        group = np.unique(np.c_[unit, tkey][np.r_[g, p]], axis=0, return_inverse=True)[1].ravel()
+        cells = int(hi[np.r_[g, p]].max()) // CELL + 1
+
+        def placed(x: np.ndarray, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = (hi[x] - 1) // CELL - lo[x] // CELL + 1
+            return np.repeat(x, n), np.repeat(its * cells, n) + spread(lo[x] // CELL, n)
+
+        (g, g_cell), (p, p_cell) = placed(g, group[: len(g)]), placed(p, group[len(g) :])
+        sort = np.argsort(g_cell, kind="stable")
+        g, g_cell = g[sort], g_cell[sort]
+        low, high = np.searchsorted(g_cell, p_cell, "left"), np.searchsorted(g_cell, p_cell, "right")
+        met, base = high - low, 0
+        total = np.cumsum(met)
+        near = []
+        while base < len(p):
+            stop = max(base + 1, int(np.searchsorted(total, (total[base - 1] if base else 0) + PAIRS, "right")))
+            x, y = g[spread(low[base:stop], met[base:stop])], np.repeat(p[base:stop], met[base:stop])
+            cell = np.repeat(p_cell[base:stop] % cells, met[base:stop])
+            shared = np.minimum(hi[x], hi[y]) - np.maximum(lo[x], lo[y])
+            ratio = np.maximum(shared, 0) / (hi[x] - lo[x] + hi[y] - lo[y] - np.maximum(shared, 0))
+            # a pair stands in the cell where its shared part begins
+            hit = (ratio >= float(c.threshold)) & (np.maximum(lo[x], lo[y]) // CELL == cell)
+            near.append((x[hit], y[hit], ratio[hit]))
+            base = stop
+        x, y, ratio = (np.concatenate(parts) for parts in zip(*near))
+        # step 3
+        keys = [order[y], order[x], -ratio, unit[x]]
+        sort = np.lexsort(keys)
+        same = np.logical_and.reduce([k[sort][1:] == k[sort][:-1] for k in keys])
+        if same.any():
+            if ties is None:
+                ties = [ranks(t.column(name)) for name in ("ctype", "comp_id")]
+            sort = np.lexsort([f[row[z]] for f in ties for z in (y, x)] + keys)
+        x, y, ratio = x[sort], y[sort], ratio[sort]
+        # spans that share an index stand for one another here
+        most = int(order.max()) + 1
+        used_g, used_p, taken = set(), set(), []
+        for k, (i, j) in enumerate(zip((unit[x] * most + order[x]).tolist(), (unit[x] * most + order[y]).tolist())):
+            if i not in used_g and j not in used_p:
+                used_g.add(i)
+                used_p.add(j)
+                taken.append(k)
+        out.append((code, row[x[taken]], row[y[taken]], ratio[taken]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0)
+    codes = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
+    return codes, *(np.concatenate([o[i] for o in out]) for i in (1, 2, 3))
+
+
+def _at_once(docs: DataFrame, gold: DataFrame, pred: DataFrame, systems: Sequence, criteria: Sequence[Criterion], rows: int | None) -> DataFrame:
+    """All three steps where no document is crowded: spans and text are dealt and sorted by document once."""
+    spark = docs.sparkSession
+    ship(spark)
+    words = tx.word_points(spark)
+    cols = ["system_id", "doc_id", "idx", "comp_id", "ctype", "start_off", "end_off"]
+    spans = (
+        pred.select(*cols, F.lit("p").alias("side"))
+        .unionByName(gold.select(*cols[1:], F.lit("g").alias("side")), allowMissingColumns=True)
+        .withColumn("start_off", F.col("start_off").cast("bigint"))
+        .withColumn("end_off", F.col("end_off").cast("bigint"))
     )
-    return _shown(grouped, F.concat("done", _taken_by_place(F.col("places"))))
+    texts = docs.select("doc_id", "text", F.lit("t").alias("side"))
+    every = spans.unionByName(texts, allowMissingColumns=True).filter(F.col("doc_id").isNotNull())
+    sorted_ = dealt(every, rows, "doc_id").sortWithinPartitions("doc_id")
+    kinds = {f.name: f.dataType for f in every.schema}
+    fields = {"criterion": T.IntegerType(), "ratio": T.DoubleType()}
+    fields |= {f"{s}_{new}": kinds[old] for s in "gp" for new, old in SIDE_FIELDS[:3]}
+    schema = T.StructType([T.StructField(c, fields.get(c) or kinds[c]) for c in PAIR])
+    asked = list(dict.fromkeys(systems))
+    numbers = [asked.index(s) for s in systems]
+    criteria = list(criteria)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["doc_id"], PIECE):
+            kind = t.schema.field("system_id").type
+            known = pa.array(asked).cast(kind) if asked else pa.array([], kind)
+            system = pc.fill_null(pc.index_in(t.column("system_id"), known, skip_nulls=True), -1).to_numpy().astype(np.int64)
+            code, g, p, ratio = _matched(t, at, words.value, numbers, system, criteria)
+            made = {"criterion": pa.array(code, pa.int32()), "ratio": pa.array(ratio, pa.float64())}
+            g, p = pa.array(g), pa.array(p)
+            made |= {c: t.column(c).take(p) for c in ("system_id", "doc_id")}
+            made |= {f"{s}_{new}": t.column(old).take(x) for s, x in (("g", g), ("p", p)) for new, old in SIDE_FIELDS[:3]}
+            yield from pa.table({c: made[c] for c in PAIR}).to_batches(max_chunksize=PIECE)
+
+    return sorted_.mapInArrow(work, schema)
 
 
 def _rounds(left_g: DataFrame, left_p: DataFrame, criterion: Criterion) -> DataFrame:
@@ -406,16 +519,16 @@ def match(
         return pairs.withColumn("criterion", F.element_at(names, F.col("criterion") + 1))
 
     rows, big = _crowded(gold, pred, fold_limit)
-    ranges = token_ranges(docs, gold, pred, rows)
     if all(c.span == "exact" for c in criteria):
-        return labelled(_paired(_same_key(_per_criterion(ranges, systems, criteria))), criteria)
+        return labelled(_at_once(docs, gold, pred, systems, criteria, rows), criteria)
 
+    ranges = token_ranges(docs, gold, pred, rows)
     plain = [c for c in criteria if c.span == "exact" or c.overlap_mode == "jaccard"]
     recall = [c for c in criteria if c not in plain]
     parts: list[DataFrame] = []
     if plain:
-        light = ranges if big is None else ranges.join(big, "doc_id", "left_anti")
-        parts.append(labelled(_at_once(_same_key(_per_criterion(light, systems, plain)), plain), plain))
+        light = [t if big is None else t.join(big, "doc_id", "left_anti") for t in (docs, gold, pred)]
+        parts.append(labelled(_at_once(*light, systems, plain, rows), plain))
     for group in filter(None, (plain if big is not None else None, recall)):
         if group is plain:
             heavy = ranges.join(big, "doc_id", "left_semi")

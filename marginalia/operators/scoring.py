@@ -7,16 +7,20 @@ adds a hit. One grouped sum then gives overall and by-type counts together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from marginalia.functions.groups import codes, dense, ranks, whole_groups
 from marginalia.functions.stats import prf_columns
-from marginalia.operators.matching import UNIT, match
+from marginalia.operators.matching import PIECE, UNIT, match
 from marginalia.schemas import STANDARD_CRITERIA, Criterion
-from marginalia.session import cut, dealt
+from marginalia.session import cut, dealt, ship
 
 SCORE = ["system_id", "criterion", "doc_id", "kind", "label", "tp", "fp", "fn"]
 
@@ -38,8 +42,7 @@ def edge_matches(
     """
     name, link, wish = 0, 1, 2
     typed = [c.label for c in criteria if c.typed]
-    kind = F.col("kind")
-    # everything travels once, dealt by document
+    # everything travels once, dealt and sorted by document
     rows = (
         pairs.select(*UNIT, F.col("p_id").alias("end"), "g_id", "g_idx", F.lit(name).alias("kind"))
         .filter(F.col("end").isNotNull())
@@ -53,62 +56,48 @@ def edge_matches(
         .filter(F.col("doc_id").isNotNull())
     )
     rows = dealt(rows, pairs.count() + pred_rel.count(), "doc_id")
-    ends = F.when(kind == link, F.array(F.lit("src"), F.lit("tgt"))).otherwise(F.array(F.lit(None).cast("string")))
-    rows = rows.withColumn("which", F.explode(ends)).withColumn(
-        "end", F.when(F.col("which") == "src", F.col("src")).when(F.col("which") == "tgt", F.col("tgt")).otherwise(F.col("end"))
-    )
-    # a hash in front settles most comparisons of the sort
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "system_id", "end"))
-    at = ["key", "doc_id", "system_id", "end", "kind"]
-    nth = F.row_number().over(W.partitionBy(*at, "criterion").orderBy(F.col("g_idx").desc()))
-    rows = rows.withColumn("nth", nth).filter((kind != name) | (F.col("nth") == 1))
-    # an endpoint sees the gold components its prediction was paired with, one of each criterion
-    ahead = W.partitionBy(*at[:-1]).orderBy("kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    known = F.collect_list(F.when(kind == name, F.struct("criterion", "g_id"))).over(ahead)
-    links = (
-        rows.withColumn("known", known)
-        .filter(kind != name)
-        .groupBy("kind", "system_id", "doc_id", "src", "tgt", "rtype")
-        .agg(
-            F.count_if((kind == wish) | (F.col("which") == "src")).alias("n"),
-            F.first(F.when(F.col("which") == "src", F.col("known")), ignorenulls=True).alias("at_src"),
-            F.first(F.when(F.col("which") == "tgt", F.col("known")), ignorenulls=True).alias("at_tgt"),
-        )
-    )
-    item = "struct<criterion:string,src:string,tgt:string,rkey:string>"
-    both = F.flatten(
-        F.transform(
-            "at_src",
-            lambda a: F.transform(
-                F.filter("at_tgt", lambda b: b["criterion"] == a["criterion"]),
-                lambda b: F.struct(
-                    a["criterion"].alias("criterion"), a["g_id"].alias("src"), b["g_id"].alias("tgt"),
-                    F.when(a["criterion"].isin(typed), F.col("rtype")).otherwise("*").alias("rkey"),
-                ).cast(item),
-            ),
-        )
-    )
-    own = F.transform(
-        F.array(F.col("rtype"), F.lit("*")),
-        lambda r: F.struct(
-            F.lit(None).alias("criterion"), F.col("src").alias("src"), F.col("tgt").alias("tgt"), r.alias("rkey")
-        ).cast(item),
-    )
-    key = [*UNIT, "src", "tgt", "rkey"]
-    tallied = (
-        links.select("kind", "system_id", "doc_id", "n", F.explode(F.when(kind == link, both).otherwise(own)).alias("x"))
-        .select("kind", "system_id", "doc_id", "n", "x.*")
-        .filter(F.col("src").isNotNull() & F.col("tgt").isNotNull() & F.col("rkey").isNotNull())
-        .groupBy("kind", *key)
-        .agg(F.sum("n").alias("n"))
-    )
-    same = W.partitionBy("doc_id", "src", "tgt", "rkey")
-    n_gold = F.max(F.when(kind == wish, F.col("n"))).over(same)
-    return (
-        tallied.withColumn("n_gold", n_gold)
-        .filter((kind == link) & F.col("n_gold").isNotNull())
-        .select(*key, F.least("n", "n_gold").alias("hits"))
-    )
+    kinds = {f.name: f.dataType for f in rows.schema}
+    out = T.StructType([*(T.StructField(c, kinds[c]) for c in (*UNIT, "src", "tgt")), T.StructField("rkey", T.StringType()), T.StructField("hits", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["doc_id"], PIECE):
+            yield from _edges(t, at, (name, link, wish), typed).cast(to_arrow_schema(out)).to_batches(max_chunksize=PIECE)
+
+    ship(rows.sparkSession)
+    return rows.sortWithinPartitions("doc_id").mapInArrow(work, out)
+
+
+def _edges(t: pa.Table, at: np.ndarray, kinds: tuple[int, int, int], typed: list[str]) -> pa.Table:
+    """The matched edges of a piece of whole documents."""
+    name, link, wish = (np.flatnonzero(t.column("kind").to_numpy() == k) for k in kinds)
+    doc = np.repeat(np.arange(len(at)), np.diff(np.r_[at, t.num_rows]))
+    (system,), _ = codes(t.column("system_id"))
+    (criterion,), labels = codes(t.column("criterion"))
+    (end, src, tgt, g_id), ids = codes(*(t.column(c) for c in ("end", "src", "tgt", "g_id")))
+    (rtype, star), types = codes(t.column("rtype"), pa.array(["*"]))
+    # an endpoint is the gold component its prediction was paired with, one for each criterion: the last one
+    name = name[np.argsort(ranks(t.column("g_idx"))[name], kind="stable")]
+    ends = dense(*(np.r_[c[name], c[link], c[link]] for c in (doc, system)), np.r_[end[name], src[link], tgt[link]])
+    paired = np.full((int(ends.max(initial=-1)) + 1, len(labels)), -1)
+    paired[ends[: len(name)], criterion[name]] = name
+    at_src, at_tgt = paired[ends[len(name) : len(name) + len(link)]], paired[ends[len(name) + len(link) :]]
+    k, c = np.nonzero((at_src >= 0) & (at_tgt >= 0))
+    by_type = np.array([x in typed for x in labels.to_pylist()], bool)
+    mine = link[k], c, g_id[at_src[k, c]], g_id[at_tgt[k, c]], np.where(by_type[c], rtype[link[k]], star[0])
+    known = (mine[2] >= 0) & (mine[3] >= 0) & (mine[4] >= 0)
+    row, c, a, b, r = (x[known] for x in mine)
+    theirs = np.r_[wish, wish], np.r_[src[wish], src[wish]], np.r_[tgt[wish], tgt[wish]], np.r_[rtype[wish], np.full(len(wish), star[0])]
+    known = (theirs[1] >= 0) & (theirs[2] >= 0) & (theirs[3] >= 0)
+    g_row, g_a, g_b, g_r = (x[known] for x in theirs)
+    edge = dense(np.r_[doc[row], doc[g_row]], np.r_[a, g_a], np.r_[b, g_b], np.r_[r, g_r])
+    n_gold = np.bincount(edge[len(row) :], minlength=int(edge.max(initial=-1)) + 1)
+    _, first, n = np.unique(dense(edge[: len(row)], system[row], c), return_index=True, return_counts=True)
+    hits = np.minimum(n, n_gold[edge[first]])
+    first, hits = first[hits > 0], hits[hits > 0]
+    made = {"criterion": labels.take(pa.array(c[first]))}
+    made |= {x: t.column(x).take(pa.array(row[first])) for x in ("system_id", "doc_id")}
+    made |= {x: ids.take(pa.array(y[first])) for x, y in (("src", a), ("tgt", b))}
+    return pa.table(made | {"rkey": types.take(pa.array(r[first])), "hits": pa.array(hits)})
 
 
 def document_scores(

@@ -3,7 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
+from marginalia.functions import text as tx
+from marginalia.functions.groups import whole_groups
 from marginalia.llm import toxicity
 from marginalia.operators import matching as m
 from marginalia.operators import resample as rs
@@ -91,3 +94,50 @@ def test_fit_keeps_the_regression_off_the_driver(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert model.weights.any() and peak < 32 << 20  # a few arrays of 2^bits numbers
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matching_and_edges_sort_rows_once(spark):
+    docs, gold, pred, gold_rel, pred_rel = tables(spark)
+    pairs = m.match(docs, gold, pred, [0])
+    before = plan(pairs)
+    edges = s.edge_matches(spark.createDataFrame(pairs.toPandas()), gold_rel, pred_rel)
+    for made in (before, plan(edges)):
+        assert "Window" not in made and made.count("Sort [") == 1, made
+
+
+def test_token_indexes_of_several_texts(spark):
+    words = tx.word_points(spark).value
+    for text in ("añb _c2", "", "𝒳 x٣-Ω", "日本 語"):
+        got = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        offsets = sorted((r.start_off, r.end_off) for r in tx.token_offsets(got).collect())
+        made = tx.Texts(["one two", text, "three"], words)
+        for at in range(len(text) + 1):
+            place = np.array([at])
+            assert made.tokens(np.array([1]), place, "lo")[0] == sum(e <= at for _, e in offsets)
+            assert made.tokens(np.array([1]), place, "hi")[0] == sum(b < at for b, _ in offsets)
+
+
+def test_pieces_hold_whole_groups():
+    rows = pa.table({"k": ["a"] * 3 + ["b"] * 9 + ["c"] + ["d"] * 2, "i": range(15)})
+    found = [(t.column("i").to_pylist(), at.tolist()) for t, at in whole_groups(iter(rows.to_batches(max_chunksize=2)), ["k"])]
+    assert [i for some, _ in found for i in some] == list(range(15))
+    assert [some[i] for some, at in found for i in at] == [0, 3, 12, 13]
+
+
+def test_unknown_texts_and_positions_pair_by_what_is_known(spark):
+    """Without a text all spans of a document have the same, unknown range; a repeated text counts its spans again."""
+    docs = spark.createDataFrame([(1, None), (2, "a b c"), (2, "a b c")], "doc_id long, text string")
+    gold = [(1, 0, "T1", "Claim", 0, 5), (1, 1, "T2", "Claim", 7, 9), (2, 0, "T1", "Claim", 0, 3), (2, 1, "T2", "Claim", 2, None)]
+    pred = [(0, *r[:2], "P", None, *r[4:]) for r in gold] + [(9, *gold[0])]
+    criteria = [c for c in STANDARD_CRITERIA if not c.typed]
+    got = m.match(docs, spark.createDataFrame(gold, SPAN), spark.createDataFrame(pred, "system_id long, " + SPAN), [0], criteria)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.criterion, r.doc_id), []).append((r.g_idx, r.p_idx))
+    pairs = [(0, 0), (1, 1)]
+    assert {k: sorted(set(v)) for k, v in found.items()} == {(c.label, d): pairs for c in criteria for d in (1, 2)}
+    assert len(found["exact/untyped", 1]) == 2 and len(found["exact/untyped", 2]) > 2
