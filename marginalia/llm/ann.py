@@ -5,7 +5,8 @@ others, and each band has a forest of its own over directions alone. Every tree
 by one random direction per level at the median of a bounded sample, as deep as the
 number of vectors asks for. In every band a query walks all trees through one priority
 queue ordered by how far it is from the splits it crossed, takes the leaves that come
-first, and the vectors of these leaves are ranked exactly, in double precision.
+first, and the vectors of these leaves are ranked exactly, in double precision. The ``first`` leaves
+of each band give a query a score that its last place reaches at least; others name only what reaches it too.
 
 How much of a band is read, and by how many trees, is measured before the search: for
 some of the queries the true nearest of the sample are known, and the share is what
@@ -54,6 +55,7 @@ class Settings:
     bands: int = 7
     probes: int = 200
     aim: float = 0.95
+    first: int = 3
     seed: int = 11
 
 
@@ -193,6 +195,13 @@ def grow(entries: DataFrame, asked: DataFrame, n: int, s: Settings) -> Banded:
     return made
 
 
+def leaders(dots: np.ndarray, slack: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and entry of all products that reach the last of ``most`` places, so that ties are settled by id later, and the floor."""
+    top = min(dots.shape[1], most)
+    least = np.partition(dots, dots.shape[1] - top, axis=1)[:, dots.shape[1] - top]
+    return np.nonzero(dots >= np.maximum(least - slack, floor)[:, None])
+
+
 def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> DataFrame:
     """The ``nearest`` found of every query among all other rows of ``vectors`` (vec_id, vector).
 
@@ -238,22 +247,22 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> Da
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for entry, vector in zip(b.column("entry").to_pylist(), b.column("vector").to_pylist()):
                 for k, (part, size) in enumerate(zip(forest.value.forests, held.value)):
                     enough = max(least * size.sum(), part.share * size[0].sum())
-                    for t, leaf in part.search(np.array(vector), enough, size):
+                    for turn, (t, leaf) in enumerate(part.search(np.array(vector), enough, size)):
                         for p in range(-(-int(size[t, leaf]) // s.part)):
-                            for c, v in zip(out, (t + k * s.trees, leaf, p, entry)):
+                            for c, v in zip(out, (t + k * s.trees, leaf, p, entry, turn)):
                                 c.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["tree", "leaf", "part", "query"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["tree", "leaf", "part", "query", "turn"])
 
-    visits = arrow_map(asked, walk, "tree int, leaf long, part int, query long")
+    visits = cut(arrow_map(asked, walk, "tree int, leaf long, part int, query long, turn int"))
     in_leaf = Window.partitionBy("tree", "leaf").orderBy("entry")
     parts = routed.withColumn("part", F.floor((F.row_number().over(in_leaf) - 1) / s.part).cast("int"))
     members = parts.join(entries.select("entry", "vector"), "entry").select("tree", "leaf", "part", "entry", "vector")
-    visitors = visits.join(asked.select(F.col("entry").alias("query"), F.col("vector").alias("q")), "query")
+    asking = asked.select(F.col("entry").alias("query"), F.col("vector").alias("q"))
 
     length = forest.value.length
 
@@ -261,23 +270,34 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> Da
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in ("query", "entry", "score", "slack")}).astype({"query": "int64", "entry": "int64"})
         x, ids = np.stack(left["vector"].to_numpy()), left["entry"].to_numpy()
-        top = min(len(ids), s.nearest + 1)
         out = []
         for i in range(0, len(right), 256):
             q = right.iloc[i : i + 256]
             z = np.stack(q["q"].to_numpy())
             dots = z @ x.T
             slack = 1e-12 * length * np.linalg.norm(z, axis=1)  # more than the products are rounded by
-            # all that reach the last place, so that ties are settled by id later
-            least = np.partition(dots, len(ids) - top, axis=1)[:, len(ids) - top]
-            a, b = np.nonzero(dots >= (least - slack)[:, None])
+            a, b = leaders(dots, slack, q["floor"].to_numpy(), s.nearest + 1)
             out.append(pd.DataFrame({"query": q["query"].to_numpy()[a], "entry": ids[b], "score": dots[a, b], "slack": slack[a]}))
         return pd.concat(out)
 
     leaf = ["tree", "leaf", "part"]
     found = "query long, entry long, score double, slack double"
-    near = members.groupBy(*leaf).cogroup(visitors.groupBy(*leaf)).applyInPandas(rank, found)
-    near = near.groupBy("query", "entry").agg(F.max("score").alias("about"), F.max("slack").alias("slack"))
+
+    def seen(some: DataFrame, asking: DataFrame) -> DataFrame:
+        visitors = some.drop("turn").join(asking, "query")
+        return members.groupBy(*leaf).cogroup(visitors.groupBy(*leaf)).applyInPandas(rank, found)
+
+    def merged(near: DataFrame) -> DataFrame:
+        return near.groupBy("query", "entry").agg(F.max("score").alias("about"), F.max("slack").alias("slack"))
+
+    none = F.lit(float("-inf"))
+    early = cut(merged(seen(visits.filter(F.col("turn") < s.first), asking.withColumn("floor", none))))
+    placed = early.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"))))
+    # the last place among some is no better than among all; four roundings are more than what is kept below it in the end
+    floors = placed.filter(F.col("r") == s.nearest + 1).select("query", (F.col("about") - 4 * F.col("slack")).alias("floor"))
+    asking = asking.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", none))
+    late = seen(visits.filter(F.col("turn") >= s.first), asking)
+    near = merged(early.withColumnRenamed("about", "score").unionByName(late))
     best = Window.partitionBy("query").orderBy(F.desc("about"))
     # rounding of the block products may swap near ties: all within it of the last place stay, the exact score decides
     last_place = F.min(F.when(F.col("r") <= s.nearest + 1, F.col("about"))).over(Window.partitionBy("query"))

@@ -506,3 +506,14 @@ def test_unlike_texts_that_share_parts_make_no_rows_of_pairs(spark, monkeypatch)
     assert got[100] == 7 and len(set(got.values())) == 100
     pairs = [t.count() for t in written if t.columns[:2] == ["a", "b"]]
     assert max(pairs) < 300, pairs
+
+
+def test_leaves_name_only_what_reaches_a_known_place():
+    """Each visited leaf named as many vectors as a result holds, however far from the query's nearest."""
+    dots = np.array([[5.0, 1.0, 4.0, 4.0, 2.0], [1.0, 2.0, 3.0, 4.0, 5.0]])
+    slack, low = np.zeros(2), np.full(2, -np.inf)
+    a, b = ann.leaders(dots, slack, low, 3)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 0), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4)]
+    a, b = ann.leaders(dots, slack, np.array([4.5, 9.0]), 3)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 0)]
+    assert len(ann.leaders(dots, slack, low, 9)[0]) == 10
